@@ -18,15 +18,19 @@ from pyspark.sql import functions as F
 from ..functions.binning import BinSpec
 from ..operators.latency import QUEUE_BINS, count_by_bin, mean_by_bin
 from ..operators.normalize import normalize_jobs
+from ..operators.occupancy import gpu_occupancy, gpus_in_use_at
+from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
 from ..operators.shares import state_shares, unsuccessful_breakdown
 from ..session import scratch_path
-from ..sources.adapters import jobs_from_events, jobs_from_orders, load
+from ..sources.adapters import (jobs_from_events, jobs_from_orders, load,
+                                util_from_lineitem, wide_from_embeddings)
 from ..sources.readers import read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Bin layouts for the test tables (GPUs in use on events run 0..99).
 GPU_BINS_TEST = BinSpec(0, 80, 10)
+OCCUPANCY_BINS_TEST = BinSpec(0, 200, 20)
 
 
 # ---------------------------------------------------------------- inputs
@@ -103,6 +107,34 @@ def q12_unsuccessful_breakdown(spark, sf_dir):
     return unsuccessful_breakdown(jobs_o(spark, sf_dir), by=["cluster"])
 
 
+def q13_unit_mean_util(spark, sf_dir):
+    wide = wide_from_embeddings(load(spark, sf_dir, "embeddings"))
+    return unit_means(wide_to_long(wide))
+
+
+def _line_unit_means(spark, sf_dir):
+    return unit_means(util_from_lineitem(load(spark, sf_dir, "lineitem")))
+
+
+def q14_util_histogram(spark, sf_dir):
+    return histogram(_line_unit_means(spark, sf_dir), bins=10)
+
+
+def q15_util_bands(spark, sf_dir):
+    return util_bands(_line_unit_means(spark, sf_dir))
+
+
+def q16_gpu_occupancy(spark, sf_dir):
+    return gpu_occupancy(jobs_e(spark, sf_dir)).select("cluster", "t", "gpus_in_use")
+
+
+def q17_queue_by_occupancy(spark, sf_dir):
+    jobs = jobs_e(spark, sf_dir)
+    probed = gpus_in_use_at(jobs, gpu_occupancy(jobs))
+    return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
+                       task_types=["Eval", "Pretrain"])
+
+
 # ------------------------------------------------------------ oracle SQL
 
 _JOBS_O = """
@@ -245,6 +277,60 @@ SELECT cluster, n_jobs, n_unsuccessful, n_canceled,
 FROM a""",
 }
 
+_LINE_MEANS = """
+u AS (SELECT CAST(l_orderkey AS VARCHAR) AS unit, round(avg(l_quantity * 2), 6) AS mean_util
+      FROM lineitem GROUP BY l_orderkey)"""
+
+_OCC = """
+d AS (SELECT cluster, start_us AS t, CAST(gpu_num AS BIGINT) AS d FROM jobs_e
+      UNION ALL SELECT cluster, end_us AS t, -CAST(gpu_num AS BIGINT) AS d FROM jobs_e),
+n AS (SELECT cluster, t, sum(d) AS delta FROM d GROUP BY cluster, t),
+occ AS (SELECT cluster, t, CAST(sum(delta) OVER (PARTITION BY cluster ORDER BY t
+                                ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gpus_in_use FROM n)"""
+
+_U_BIN = _bin_sql("mean_util", 0, 100, 10, False)
+_OCC_BIN = _bin_sql("gpus_in_use", 0, 200, 20, False)
+
+ORACLE.update({
+    "q13_unit_mean_util": """
+SELECT 'col_' || CAST(i AS VARCHAR) AS unit, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean_util
+FROM embeddings CROSS JOIN range(1, 65) AS r(i) GROUP BY i""",
+    "q14_util_histogram": f"""WITH {_LINE_MEANS},
+s AS (SELECT min(mean_util) AS lo, max(mean_util) AS hi FROM u),
+b AS (SELECT CASE WHEN s.hi = s.lo THEN 0
+                  ELSE least(CAST(floor((mean_util - s.lo) / ((s.hi - s.lo) / 10.0)) AS INTEGER), 9)
+             END AS bin
+      FROM u CROSS JOIN s WHERE mean_util IS NOT NULL),
+bins AS (SELECT CAST(i AS INTEGER) AS bin FROM range(10) AS r(i)),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT bins.bin, s.lo + CAST(bins.bin AS DOUBLE) * ((s.hi - s.lo) / 10.0) AS bin_lo,
+       CASE WHEN bins.bin = 9 THEN s.hi
+            ELSE s.lo + (CAST(bins.bin AS DOUBLE) + 1.0) * ((s.hi - s.lo) / 10.0) END AS bin_hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM bins CROSS JOIN s LEFT JOIN c ON c.bin = bins.bin""",
+    "q15_util_bands": f"""WITH {_LINE_MEANS},
+h AS (SELECT {_U_BIN} AS bin, 1 AS w FROM u
+      UNION ALL SELECT CAST(i AS INTEGER), 0 FROM range(10) AS r(i)),
+c AS (SELECT bin, CAST(sum(w) AS BIGINT) AS n_units FROM h GROUP BY bin)
+SELECT bin, {_label_sql('bin', 0, 100, 10, None)} AS label,
+       CASE WHEN bin IS NULL THEN 'unclassified'
+            WHEN bin * 10 >= 0 AND bin * 10 < 20 THEN 'low'
+            WHEN bin * 10 >= 20 AND bin * 10 < 60 THEN 'mid'
+            WHEN bin * 10 >= 70 AND bin * 10 < 100 THEN 'high'
+            ELSE 'unclassified' END AS zone,
+       n_units
+FROM c""",
+    "q16_gpu_occupancy": f"""WITH {_JOBS_E},{_OCC}
+SELECT cluster, t, gpus_in_use FROM occ""",
+    "q17_queue_by_occupancy": f"""WITH {_JOBS_E},{_OCC},
+p AS (SELECT je.*, occ.gpus_in_use - CAST(je.gpu_num AS BIGINT) AS in_use
+      FROM je LEFT JOIN occ ON occ.cluster = je.cluster AND occ.t = je.start_us)
+SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 200, 20, None)} AS label FROM (
+  SELECT task_type, {_bin_sql('in_use', 0, 200, 20, False)} AS bin, count(*) AS n_jobs,
+         {_mean_sql('queue')} AS mean_queue
+  FROM p WHERE task_type IN ('Eval', 'Pretrain') GROUP BY 1, 2)""",
+})
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in globals().items()
     if name.startswith("q") and name[1:3].isdigit() and callable(fn)
