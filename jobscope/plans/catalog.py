@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import BinSpec
 from ..operators.latency import QUEUE_BINS, count_by_bin, mean_by_bin
-from ..operators.normalize import normalize_jobs
+from ..operators.ml import (FeatureSpec, ModelSpec, evaluate, group_mean_baseline,
+                            hash_split, linear_fit, minmax_scaled, string_indexes, HASH_SPACE)
+from ..operators.normalize import normalize_jobs, training_rows
 from ..operators.occupancy import gpu_occupancy, gpus_in_use_at
 from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
 from ..operators.shares import state_shares, unsuccessful_breakdown
@@ -30,7 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Bin layouts for the test tables (GPUs in use on events run 0..99).
 GPU_BINS_TEST = BinSpec(0, 80, 10)
-OCCUPANCY_BINS_TEST = BinSpec(0, 200, 20)
+OCCUPANCY_BINS_TEST = BinSpec(0, 80, 10)
 
 
 # ---------------------------------------------------------------- inputs
@@ -135,6 +137,73 @@ def q17_queue_by_occupancy(spark, sf_dir):
                        task_types=["Eval", "Pretrain"])
 
 
+# The test tables' duration is an exact function of the GPU columns, so
+# the models here predict the queue delay instead and leave it out of the
+# features.
+TEST_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "gpu_num", "cpu_num", "duration"),
+                            categorical=("user", "task_type"), pca_k=3)
+TEST_MODELS = (
+    ModelSpec("lr", {}),
+    ModelSpec("rf", {"numTrees": 15, "maxDepth": 8, "seed": 42}),
+    ModelSpec("gbt", {"maxIter": 10, "maxDepth": 5, "seed": 42}),
+)
+TRAIN_FRACTION = 0.8
+SPLIT_SEED = 42
+
+
+def _training(spark, sf_dir):
+    rows = training_rows(jobs_e(spark, sf_dir), label=TEST_FEATURES.label,
+                         required=TEST_FEATURES.numeric + (TEST_FEATURES.label,))
+    return hash_split(rows, "job_id", TRAIN_FRACTION, SPLIT_SEED)
+
+
+def _train_test(spark, sf_dir):
+    rows = _training(spark, sf_dir)
+    return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
+
+
+def q18_training_rows(spark, sf_dir):
+    rows = training_rows(jobs_e(spark, sf_dir), label=TEST_FEATURES.label,
+                         required=TEST_FEATURES.numeric + (TEST_FEATURES.label,))
+    return rows.select("job_id", "user", "task_type", "node_num", "gpu_num", "cpu_num",
+                       "duration", "queue", "label")
+
+
+def q19_hash_split(spark, sf_dir):
+    return hash_split(jobs_e(spark, sf_dir), "job_id", TRAIN_FRACTION, SPLIT_SEED) \
+        .select("job_id", "split")
+
+
+def q20_minmax_features(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    return minmax_scaled(train, TEST_FEATURES.numeric)
+
+
+def q21_string_index(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    return string_indexes(train, ["user", "task_type"])
+
+
+def q22_baseline_metrics(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return group_mean_baseline(train, test, group="task_type")
+
+
+def q23_linear_one_feature(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    return linear_fit(train, "gpu_use_count")
+
+
+def q24_model_metrics(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return evaluate(TEST_MODELS, train, test, TEST_FEATURES)[0]
+
+
+def q25_feature_importance(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    return evaluate([m for m in TEST_MODELS if m.kind != "lr"], train, test, TEST_FEATURES)[1]
+
+
 # ------------------------------------------------------------ oracle SQL
 
 _JOBS_O = """
@@ -289,7 +358,6 @@ occ AS (SELECT cluster, t, CAST(sum(delta) OVER (PARTITION BY cluster ORDER BY t
                                 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gpus_in_use FROM n)"""
 
 _U_BIN = _bin_sql("mean_util", 0, 100, 10, False)
-_OCC_BIN = _bin_sql("gpus_in_use", 0, 200, 20, False)
 
 ORACLE.update({
     "q13_unit_mean_util": """
@@ -325,12 +393,68 @@ SELECT cluster, t, gpus_in_use FROM occ""",
     "q17_queue_by_occupancy": f"""WITH {_JOBS_E},{_OCC},
 p AS (SELECT je.*, occ.gpus_in_use - CAST(je.gpu_num AS BIGINT) AS in_use
       FROM je LEFT JOIN occ ON occ.cluster = je.cluster AND occ.t = je.start_us)
-SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 200, 20, None)} AS label FROM (
-  SELECT task_type, {_bin_sql('in_use', 0, 200, 20, False)} AS bin, count(*) AS n_jobs,
+SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
+  SELECT task_type, {_bin_sql('in_use', 0, 80, 10, False)} AS bin, count(*) AS n_jobs,
          {_mean_sql('queue')} AS mean_queue
   FROM p WHERE task_type IN ('Eval', 'Pretrain') GROUP BY 1, 2)""",
 })
 
+_THRESHOLD = int(round(TRAIN_FRACTION * HASH_SPACE))
+_SPLIT = (f"CASE WHEN CAST('0x' || substr(md5('{SPLIT_SEED}:' || CAST(job_id AS VARCHAR)), 1, 8) "
+          f"AS BIGINT) < {_THRESHOLD} THEN 'train' ELSE 'test' END")
+_TRAIN = f"""
+tr AS (
+  SELECT CAST(job_id AS VARCHAR) AS job_id, CAST("user" AS VARCHAR) AS "user", task_type,
+         node_num, gpu_num, cpu_num, duration, queue, gpu_use_count, queue AS label,
+         {_SPLIT} AS split
+  FROM je
+  WHERE state = 'COMPLETED' AND node_num IS NOT NULL AND gpu_num IS NOT NULL
+    AND cpu_num IS NOT NULL AND duration IS NOT NULL AND queue IS NOT NULL)"""
+
+
+def _scaled(c: str) -> str:
+    return (f"CASE WHEN max_{c} = min_{c} THEN CAST(0.5 AS DOUBLE) "
+            f"ELSE ({c} - min_{c}) * (CAST(1.0 AS DOUBLE) / (max_{c} - min_{c})) + 0.0 END "
+            f"AS {c}_scaled")
+
+
+_NUM = ("node_num", "gpu_num", "cpu_num", "duration")
+_TRAIN_MEAN = ("CAST(sum(CAST(label AS DECIMAL(18,2))) AS DOUBLE) / "
+               "CAST(count(label) AS DOUBLE)")
+
+ORACLE.update({
+    "q18_training_rows": f"""WITH {_JOBS_E},{_TRAIN}
+SELECT job_id, "user", task_type, node_num, gpu_num, cpu_num, duration, queue, label FROM tr""",
+    "q19_hash_split": f"""WITH {_JOBS_E}
+SELECT CAST(job_id AS VARCHAR) AS job_id, {_SPLIT} AS split FROM jobs_e""",
+    "q20_minmax_features": f"""WITH {_JOBS_E},{_TRAIN},
+s AS (SELECT {", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in _NUM)}
+      FROM tr WHERE split = 'train')
+SELECT job_id, {", ".join(_scaled(c) for c in _NUM)}
+FROM tr CROSS JOIN s WHERE split = 'train'""",
+    "q21_string_index": f"""WITH {_JOBS_E},{_TRAIN},
+t AS (SELECT * FROM tr WHERE split = 'train'),
+cu AS (SELECT "user" AS v, count(*) AS c FROM t GROUP BY 1),
+iu AS (SELECT v, CAST(row_number() OVER (ORDER BY c DESC, v) - 1 AS DOUBLE) AS idx FROM cu),
+ct AS (SELECT task_type AS v, count(*) AS c FROM t GROUP BY 1),
+it AS (SELECT v, CAST(row_number() OVER (ORDER BY c DESC, v) - 1 AS DOUBLE) AS idx FROM ct)
+SELECT t.job_id, iu.idx AS user_index, it.idx AS task_type_index
+FROM t JOIN iu ON iu.v = t."user" JOIN it ON it.v = t.task_type""",
+    "q22_baseline_metrics": f"""WITH {_JOBS_E},{_TRAIN},
+m AS (SELECT task_type, {_TRAIN_MEAN} AS pred FROM tr WHERE split = 'train' GROUP BY 1),
+g AS (SELECT {_TRAIN_MEAN} AS gpred FROM tr WHERE split = 'train'),
+p AS (SELECT t.label, coalesce(m.pred, g.gpred) AS prediction
+      FROM tr t LEFT JOIN m ON m.task_type = t.task_type CROSS JOIN g WHERE t.split = 'test')
+SELECT count(*) AS n_test,
+       round(sqrt(avg((prediction - label) * (prediction - label))), 6) AS rmse,
+       round(avg(abs(prediction - label)), 6) AS mae
+FROM p""",
+    "q23_linear_one_feature": f"""WITH {_JOBS_E},{_TRAIN}
+SELECT round(regr_slope(label, gpu_use_count), 6) AS slope,
+       round(regr_intercept(label, gpu_use_count), 6) AS intercept
+FROM tr WHERE split = 'train'""",
+})
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in globals().items()
     if name.startswith("q") and name[1:3].isdigit() and callable(fn)
