@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .states import lit_sql, q
+
 UNKNOWN_BIN = "Unknown"
 
 
@@ -53,33 +55,62 @@ def _fmt(v: float) -> str:
     return str(int(v)) if float(v).is_integer() else repr(float(v))
 
 
-def bin_index(x: Column | str, spec: BinSpec) -> Column:
-    """Integer bin of ``x`` under ``spec`` (NULL when Unknown)."""
-    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+def _d(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def bin_index_sql(x_sql: str, spec: BinSpec) -> str:
+    """SQL text of the bin index of ``x_sql`` under ``spec``."""
     n = spec.nbins
-    raw = F.floor((x - F.lit(float(spec.lo))) / F.lit(float(spec.width))).cast("int")
+    x = f"CAST({x_sql} AS DOUBLE)"
+    lo, w, hi = _d(spec.lo), _d(spec.width), _d(spec.hi)
+    raw = f"CAST(floor(({x} - {lo}) / {w}) AS INT)"
     # One correction step against the exact edges, so a value that sits on
     # an edge lands where the comparisons ``edge_i <= x < edge_i+1`` put it
     # even when the division rounds across the edge.
+    fixed = (f"CASE WHEN {x} < {lo} + CAST({raw} AS DOUBLE) * {w} THEN {raw} - 1 "
+             f"WHEN {x} >= {lo} + CAST({raw} + 1 AS DOUBLE) * {w} THEN {raw} + 1 "
+             f"ELSE {raw} END")
+    over = str(n) if spec.overflow_label is not None else "CAST(NULL AS INT)"
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} < {lo} THEN CAST(NULL AS INT) "
+            f"WHEN {x} > {hi} THEN {over} WHEN {x} = {hi} THEN {n - 1} "
+            f"ELSE least({fixed}, {n - 1}) END")
+
+
+def bin_label_sql(index_sql: str, spec: BinSpec) -> str:
+    labels = ", ".join(lit_sql(s) for s in spec.labels())
+    return (f"coalesce(try_element_at(array({labels}), {index_sql} + 1), "
+            f"{lit_sql(UNKNOWN_BIN)})")
+
+
+def bin_index(x: Column | str, spec: BinSpec) -> Column:
+    """Integer bin of ``x`` under ``spec`` (NULL when Unknown)."""
+    if isinstance(x, str):
+        return F.expr(bin_index_sql(q(x), spec))
+    tmp = x.cast("double")
+    n = spec.nbins
+    raw = F.floor((tmp - F.lit(float(spec.lo))) / F.lit(float(spec.width))).cast("int")
     edge = lambda i: F.lit(float(spec.lo)) + i.cast("double") * F.lit(float(spec.width))
-    fixed = (F.when(x < edge(raw), raw - 1)
-             .when(x >= edge(raw + 1), raw + 1)
+    fixed = (F.when(tmp < edge(raw), raw - 1)
+             .when(tmp >= edge(raw + 1), raw + 1)
              .otherwise(raw))
     over = F.lit(n) if spec.overflow_label is not None else F.lit(None).cast("int")
-    return (F.when(x.isNull() | (x < F.lit(float(spec.lo))) | F.isnan(x), F.lit(None).cast("int"))
-            .when(x > F.lit(float(spec.hi)), over)
-            .when(x == F.lit(float(spec.hi)), F.lit(n - 1))
+    return (F.when(tmp.isNull() | F.isnan(tmp) | (tmp < F.lit(float(spec.lo))),
+                   F.lit(None).cast("int"))
+            .when(tmp > F.lit(float(spec.hi)), over)
+            .when(tmp == F.lit(float(spec.hi)), F.lit(n - 1))
             .otherwise(F.least(fixed, F.lit(n - 1))))
 
 
 def bin_label(index: Column | str, spec: BinSpec) -> Column:
     """Text label for a bin index; NULL index -> ``Unknown``."""
-    index = F.col(index) if isinstance(index, str) else index
+    if isinstance(index, str):
+        return F.expr(bin_label_sql(q(index), spec))
     labels = F.array(*[F.lit(s) for s in spec.labels()])
     return F.coalesce(F.try_element_at(labels, index + 1), F.lit(UNKNOWN_BIN))
 
 
 def with_bin(df, x: str, spec: BinSpec, bin_col: str = "bin", label_col: str = "label"):
     """Add ``bin_col`` and ``label_col`` for column ``x``."""
-    idx = bin_index(x, spec)
-    return df.withColumn(bin_col, idx).withColumn(label_col, bin_label(F.col(bin_col), spec))
+    return df.withColumns({bin_col: bin_index(x, spec)}) \
+             .withColumns({label_col: bin_label(bin_col, spec)})

@@ -3,6 +3,9 @@
 Sums of money-like doubles are taken as decimals so that the result does
 not depend on summation order (and so on partitioning); the total is
 converted back to double once, at the end.
+
+Each helper has a SQL-text form (``*_sql``) used by the operators to build
+a whole projection in one call, and a Column form for callers.
 """
 
 from __future__ import annotations
@@ -10,38 +13,69 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .states import q
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def decimal_type(scale: int) -> str:
+    return f"decimal(18,{scale})"
+
+
+def to_double_sql(x_sql: str) -> str:
+    return f"try_cast({x_sql} AS double)"
+
+
+def to_long_sql(x_sql: str) -> str:
+    return f"try_cast(try_cast({x_sql} AS double) AS bigint)"
+
+
 def to_double(x: Column | str) -> Column:
     """String/number -> double; malformed or empty input becomes NULL."""
-    return _c(x).try_cast("double")
+    return F.expr(to_double_sql(q(x))) if isinstance(x, str) else x.try_cast("double")
 
 
 def to_long(x: Column | str) -> Column:
     """String/number -> bigint; '12.5' is read as 12.5 and truncated, 'x' is NULL."""
-    return _c(x).try_cast("double").try_cast("bigint")
+    if isinstance(x, str):
+        return F.expr(to_long_sql(q(x)))
+    return x.try_cast("double").try_cast("bigint")
 
 
-def decimal_type(scale: int) -> str:
-    return f"decimal(18,{scale})"
+def exact_sum_sql(x_sql: str, scale: int = 2) -> str:
+    return f"CAST(sum(CAST({x_sql} AS {decimal_type(scale)})) AS double)"
+
+
+def exact_mean_sql(x_sql: str, scale: int = 2) -> str:
+    return (f"CAST(sum(CAST({x_sql} AS {decimal_type(scale)})) AS double) "
+            f"/ CAST(count({x_sql}) AS double)")
 
 
 def exact_sum(x: Column | str, scale: int = 2) -> Column:
     """Order-independent sum of a double column at ``scale`` decimals, as double."""
-    return F.sum(_c(x).cast(decimal_type(scale))).cast("double")
+    if isinstance(x, str):
+        return F.expr(exact_sum_sql(q(x), scale))
+    return F.sum(x.cast(decimal_type(scale))).cast("double")
 
 
 def exact_mean(x: Column | str, scale: int = 2) -> Column:
     """Mean from an exact decimal sum divided by the non-NULL count."""
-    x = _c(x)
+    if isinstance(x, str):
+        return F.expr(exact_mean_sql(q(x), scale))
     return (F.sum(x.cast(decimal_type(scale))).cast("double")
             / F.count(x).cast("double"))
 
 
-def pct(part: Column, whole: Column) -> Column:
+def pct_sql(part_sql: str, whole_sql: str) -> str:
+    return (f"coalesce(try_divide(CAST({part_sql} AS double) * 100.0D, "
+            f"CAST({whole_sql} AS double)), 0.0D)")
+
+
+def pct(part: Column | str, whole: Column | str) -> Column:
     """``part / whole * 100``; 0 when the whole is 0 or NULL."""
-    return F.coalesce(F.try_divide(part.cast("double") * F.lit(100.0),
-                                   whole.cast("double")), F.lit(0.0))
+    if isinstance(part, str) and isinstance(whole, str):
+        return F.expr(pct_sql(q(part), q(whole)))
+    return F.coalesce(F.try_divide(_c(part).cast("double") * F.lit(100.0),
+                                   _c(whole).cast("double")), F.lit(0.0))

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binning import BinSpec, bin_index, bin_label
-from ..functions.numeric import exact_mean
+from ..functions.binning import BinSpec, bin_index_sql, bin_label_sql
+from ..functions.numeric import exact_mean_sql
+from ..functions.states import lit_sql, q
 
 # Bin layouts used in the original study.
 GPU_BINS_150 = BinSpec(0, 1950, 150)      # larger cluster, 150-wide
@@ -24,7 +25,7 @@ QUEUE_BINS = BinSpec(0, 300, 20, overflow_label=">300")
 
 def _prepare(jobs: DataFrame, task_types: Sequence[str] | None, where) -> DataFrame:
     if task_types:
-        jobs = jobs.where(F.col("task_type").isin(list(task_types)))
+        jobs = jobs.where(F.expr(f"task_type IN ({', '.join(lit_sql(t) for t in task_types)})"))
     if where is not None:
         jobs = jobs.where(where)
     return jobs
@@ -32,7 +33,7 @@ def _prepare(jobs: DataFrame, task_types: Sequence[str] | None, where) -> DataFr
 
 def _finish(agg: DataFrame, spec: BinSpec, by: list[str], bin_col: str,
             label_col: str, sort: bool) -> DataFrame:
-    out = agg.withColumn(label_col, bin_label(F.col(bin_col), spec))
+    out = agg.withColumns({label_col: F.expr(bin_label_sql(q(bin_col), spec))})
     if sort:
         out = out.orderBy(*by, F.col(bin_col).asc_nulls_last())
     return out
@@ -49,10 +50,10 @@ def mean_by_bin(jobs: DataFrame, x: str, spec: BinSpec, value: str = "queue",
     Output: ``*by, bin, n_jobs, mean_<value>, label``.
     """
     by = list(by)
-    df = _prepare(jobs, task_types, where).withColumn(bin_col, bin_index(x, spec))
-    mean = exact_mean(value, scale) if scale is not None else F.avg(value)
-    agg = df.groupBy(*by, bin_col).agg(F.count(F.lit(1)).alias("n_jobs"),
-                                       mean.alias(f"mean_{value}"))
+    df = _prepare(jobs, task_types, where)
+    mean = exact_mean_sql(q(value), scale) if scale is not None else f"avg({q(value)})"
+    agg = df.groupBy(*by, F.expr(bin_index_sql(q(x), spec)).alias(bin_col)).agg(
+        F.expr("count(1) AS n_jobs"), F.expr(f"{mean} AS {q('mean_' + value)}"))
     return _finish(agg, spec, by, bin_col, label_col, sort)
 
 
@@ -62,8 +63,9 @@ def count_by_bin(jobs: DataFrame, x: str, spec: BinSpec, by: Sequence[str] = (),
                  sort: bool = True) -> DataFrame:
     """Number of jobs per bin of ``x``. Output: ``*by, bin, n_jobs, label``."""
     by = list(by)
-    df = _prepare(jobs, task_types, where).withColumn(bin_col, bin_index(x, spec))
-    agg = df.groupBy(*by, bin_col).agg(F.count(F.lit(1)).alias("n_jobs"))
+    df = _prepare(jobs, task_types, where)
+    agg = df.groupBy(*by, F.expr(bin_index_sql(q(x), spec)).alias(bin_col)).agg(
+        F.expr("count(1) AS n_jobs"))
     return _finish(agg, spec, by, bin_col, label_col, sort)
 
 
@@ -72,4 +74,4 @@ def cancels_by_queue_bin(jobs: DataFrame, spec: BinSpec = QUEUE_BINS,
                          by: Sequence[str] = (), label_col: str = "state_label") -> DataFrame:
     """Cancelled jobs per queue-delay bin (the filter reaches the scan)."""
     return count_by_bin(jobs, "queue", spec, by=by, task_types=task_types,
-                        where=F.col(label_col) == "Canceled")
+                        where=F.expr(f"{q(label_col)} = 'Canceled'"))

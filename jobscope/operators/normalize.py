@@ -11,19 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import to_double, to_long
-from ..functions.states import state_label
+from ..functions.numeric import to_double, to_double_sql, to_long_sql
+from ..functions.states import lit_sql, q, state_label_sql
 from ..sources.schemas import JOB_ALIASES, JOB_COLUMNS
 
 MICROS = 1_000_000
 
 
-def epoch_micros(c: Column, dtype: T.DataType) -> Column:
-    """Epoch microseconds of a timestamp column.
+def epoch_micros_sql(col_sql: str, dtype: T.DataType) -> str:
+    """Epoch microseconds of a timestamp column, as SQL text.
 
     A zone-less timestamp (TIMESTAMP_NTZ) is read as UTC wall time,
     whatever the session time zone is; a zoned one is an instant already.
     """
+    if isinstance(dtype, T.TimestampNTZType):
+        return (f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
+                f"{col_sql})")
+    return f"unix_micros({col_sql})"
+
+
+def epoch_micros(c: Column | str, dtype: T.DataType) -> Column:
+    if isinstance(c, str):
+        return F.expr(epoch_micros_sql(q(c), dtype))
     if isinstance(dtype, T.TimestampNTZType):
         return F.timestamp_diff("MICROSECOND",
                                 F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), c)
@@ -41,16 +50,16 @@ def canonical_names(df: DataFrame, aliases: dict[str, str] | None = None) -> Dat
     return df.withColumnsRenamed(renames) if renames else df
 
 
-def _to_timestamp(c: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.TimestampType,)):
+def _to_timestamp_sql(c: str, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.TimestampType):
         return c
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_micros(epoch_micros(c, dtype))
+        return f"timestamp_micros({epoch_micros_sql(c, dtype)})"
     if isinstance(dtype, (T.LongType, T.IntegerType, T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.timestamp_seconds(c)
+        return f"timestamp_seconds({c})"
     # text: a number of epoch seconds, or a date-time string
-    as_num = c.try_cast("double")
-    return F.when(as_num.isNotNull(), F.timestamp_seconds(as_num)).otherwise(F.try_to_timestamp(c))
+    return (f"CASE WHEN try_cast({c} AS double) IS NOT NULL "
+            f"THEN timestamp_seconds(try_cast({c} AS double)) ELSE try_to_timestamp({c}) END")
 
 
 def normalize_jobs(df: DataFrame, cluster: str | None = None,
@@ -61,27 +70,26 @@ def normalize_jobs(df: DataFrame, cluster: str | None = None,
     the input has none and ``cluster`` is given.
     """
     df = canonical_names(df, aliases)
-    types = dict(df.dtypes)
     fields = {f.name: f.dataType for f in df.schema.fields}
-    cols = {}
-    for name, dtype in JOB_COLUMNS.items():
-        if name not in types:
-            continue
-        c = F.col(name)
-        if isinstance(dtype, T.DoubleType):
-            cols[name] = to_double(c)
-        elif isinstance(dtype, T.LongType):
-            cols[name] = to_long(c)
-        elif isinstance(dtype, T.TimestampType):
-            cols[name] = _to_timestamp(c, fields[name])
+    exprs = []
+    for name, have in fields.items():
+        want = JOB_COLUMNS.get(name)
+        c = q(name)
+        if want is None:
+            exprs.append(c)
+        elif isinstance(want, T.DoubleType):
+            exprs.append(f"{to_double_sql(c)} AS {c}")
+        elif isinstance(want, T.LongType):
+            exprs.append(f"{to_long_sql(c)} AS {c}")
+        elif isinstance(want, T.TimestampType):
+            exprs.append(f"{_to_timestamp_sql(c, have)} AS {c}")
         else:
-            cols[name] = c.cast("string")
-    if cluster is not None and "cluster" not in types:
-        cols["cluster"] = F.lit(cluster)
-    df = df.withColumns(cols)
-    if "state" in df.columns:
-        df = df.withColumn("state_label", state_label("state"))
-    return df
+            exprs.append(f"CAST({c} AS STRING) AS {c}")
+    if cluster is not None and "cluster" not in fields:
+        exprs.append(f"{lit_sql(cluster)} AS cluster")
+    if "state" in fields:
+        exprs.append(f"{state_label_sql(q('state'))} AS state_label")
+    return df.selectExpr(*exprs)
 
 
 def with_intervals(df: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import decimal_type, pct
-from ..functions.states import KNOWN_LABELS, REPORT_LABELS, UNKNOWN
+from ..functions.numeric import decimal_type, pct_sql
+from ..functions.states import KNOWN_LABELS, REPORT_LABELS, UNKNOWN, lit_sql, q
 
 
 def _slot(label: str) -> str:
@@ -34,32 +34,29 @@ def state_shares(jobs: DataFrame, by: Sequence[str] = (), weight: str | None = N
     Unknown. Shares are by ``weight`` when one is given, else by count.
     """
     by = list(by)
-    lab = F.col(label_col)
-    aggs = [F.count_if(lab == name).alias(f"n_{_slot(name)}") for name in REPORT_LABELS]
+    lab = q(label_col)
+    dec = decimal_type(scale)
+    aggs = [f"count_if({lab} = {lit_sql(n)}) AS n_{_slot(n)}" for n in REPORT_LABELS]
     if weight is not None:
-        w = F.col(weight).cast(decimal_type(scale))
-        # kept as decimals: totals below are exact sums, converted once
-        aggs += [F.coalesce(F.sum(F.when(lab == name, w)), F.lit(0).cast(decimal_type(scale)))
-                 .alias(f"w_{_slot(name)}") for name in REPORT_LABELS]
-    wide = jobs.groupBy(*by).agg(*aggs)
+        # kept as decimals: the totals below are exact sums, converted once
+        aggs += [f"coalesce(sum(CASE WHEN {lab} = {lit_sql(n)} THEN CAST({q(weight)} AS {dec}) "
+                 f"END), CAST(0 AS {dec})) AS w_{_slot(n)}" for n in REPORT_LABELS]
+    wide = jobs.groupBy(*by).agg(*[F.expr(a) for a in aggs])
 
-    measure = "w" if weight is not None else "n"
-    total = sum((F.col(f"{measure}_{_slot(n)}") for n in REPORT_LABELS[1:]),
-                F.col(f"{measure}_{_slot(REPORT_LABELS[0])}"))
-    known = sum((F.col(f"{measure}_{_slot(n)}") for n in KNOWN_LABELS[1:]),
-                F.col(f"{measure}_{_slot(KNOWN_LABELS[0])}"))
+    m = "w" if weight is not None else "n"
+    total = " + ".join(f"{m}_{_slot(n)}" for n in REPORT_LABELS)
+    known = " + ".join(f"{m}_{_slot(n)}" for n in KNOWN_LABELS)
     rows = []
     for i, name in enumerate(REPORT_LABELS):
-        m = F.col(f"{measure}_{_slot(name)}")
-        fields = [F.lit(name).alias("state"), F.lit(i).alias("state_order"),
-                  F.col(f"n_{_slot(name)}").alias("n_jobs")]
+        s = _slot(name)
+        fields = [f"'state', {lit_sql(name)}", f"'state_order', {i}", f"'n_jobs', n_{s}"]
         if weight is not None:
-            fields.append(F.col(f"w_{_slot(name)}").cast("double").alias(weight))
-        fields += [pct(m, total).alias("pct_of_all"),
-                   (F.lit(None).cast("double") if name == UNKNOWN else pct(m, known))
-                   .alias("pct_of_known")]
-        rows.append(F.struct(*fields))
-    return wide.select(*by, F.inline(F.array(*rows)))
+            fields.append(f"{lit_sql(weight)}, CAST(w_{s} AS double)")
+        fields.append(f"'pct_of_all', {pct_sql(f'{m}_{s}', f'({total})')}")
+        fields.append("'pct_of_known', " + ("CAST(NULL AS double)" if name == UNKNOWN
+                                            else pct_sql(f"{m}_{s}", f"({known})")))
+        rows.append(f"named_struct({', '.join(fields)})")
+    return wide.selectExpr(*[q(b) for b in by], f"inline(array({', '.join(rows)}))")
 
 
 def unsuccessful_breakdown(jobs: DataFrame, by: Sequence[str] = (), weight: str = "gpu_time",
@@ -68,22 +65,26 @@ def unsuccessful_breakdown(jobs: DataFrame, by: Sequence[str] = (), weight: str
 
     Unsuccessful = every label but Completed (Unknown included).
     """
-    lab = F.col(label_col)
-    bad = lab != "Completed"
-    cancel = lab == "Canceled"
-    w = F.col(weight).cast(decimal_type(scale))
-    zero = F.lit(0).cast(decimal_type(scale))
-    agg = jobs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_jobs"),
-        F.count_if(bad).alias("n_unsuccessful"),
-        F.count_if(cancel).alias("n_canceled"),
-        F.coalesce(F.sum(w), zero).cast("double").alias(f"{weight}_all"),
-        F.coalesce(F.sum(F.when(bad, w)), zero).cast("double").alias(f"{weight}_unsuccessful"),
-        F.coalesce(F.sum(F.when(cancel, w)), zero).cast("double").alias(f"{weight}_canceled"),
+    lab = q(label_col)
+    bad = f"{lab} <> 'Completed'"
+    cancel = f"{lab} = 'Canceled'"
+    dec = decimal_type(scale)
+    w = f"CAST({q(weight)} AS {dec})"
+    zero = f"CAST(0 AS {dec})"
+    agg = jobs.groupBy(*by).agg(*[F.expr(a) for a in (
+        "count(1) AS n_jobs",
+        f"count_if({bad}) AS n_unsuccessful",
+        f"count_if({cancel}) AS n_canceled",
+        f"CAST(coalesce(sum({w}), {zero}) AS double) AS {q(weight + '_all')}",
+        f"CAST(coalesce(sum(CASE WHEN {bad} THEN {w} END), {zero}) AS double) "
+        f"AS {q(weight + '_unsuccessful')}",
+        f"CAST(coalesce(sum(CASE WHEN {cancel} THEN {w} END), {zero}) AS double) "
+        f"AS {q(weight + '_canceled')}",
+    )])
+    return agg.selectExpr(
+        "*",
+        f"{pct_sql('n_unsuccessful', 'n_jobs')} AS pct_unsuccessful",
+        f"{pct_sql('n_canceled', 'n_unsuccessful')} AS pct_canceled_of_unsuccessful",
+        f"{pct_sql(q(weight + '_canceled'), q(weight + '_unsuccessful'))} "
+        f"AS {q('pct_' + weight + '_canceled_of_unsuccessful')}",
     )
-    return agg.withColumns({
-        "pct_unsuccessful": pct(F.col("n_unsuccessful"), F.col("n_jobs")),
-        "pct_canceled_of_unsuccessful": pct(F.col("n_canceled"), F.col("n_unsuccessful")),
-        f"pct_{weight}_canceled_of_unsuccessful": pct(F.col(f"{weight}_canceled"),
-                                                      F.col(f"{weight}_unsuccessful")),
-    })

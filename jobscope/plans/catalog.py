@@ -102,7 +102,7 @@ def q10_queue_bins_all_states(spark, sf_dir):
 
 def q11_cancels_by_queue_bin(spark, sf_dir):
     return count_by_bin(jobs_e(spark, sf_dir), "queue", QUEUE_BINS, task_types=["Eval"],
-                        where=F.col("state_label") == "Canceled")
+                        where="state_label = 'Canceled'")
 
 
 def q12_unsuccessful_breakdown(spark, sf_dir):

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.normalize import MICROS, epoch_micros
+from ..functions.states import lit_sql
+from ..operators.normalize import MICROS, epoch_micros_sql
 
 # Fixed values for the adapters.
 PRIORITY_TO_TYPE = (("1-URGENT", "Eval"), ("5-LOW", "Pretrain"))
@@ -29,71 +30,70 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _case(c, pairs, default):
-    expr = None
-    for k, v in pairs:
-        expr = F.when(c == k, v) if expr is None else expr.when(c == k, v)
-    return expr.otherwise(default)
+def _case(col_sql: str, pairs, default: str | None) -> str:
+    arms = " ".join(f"WHEN {lit_sql(k)} THEN {lit_sql(v)}" for k, v in pairs)
+    other = "NULL" if default is None else lit_sql(default)
+    return f"CASE {col_sql} {arms} ELSE {other} END"
 
 
-def _cluster(key) -> F.Column:
-    return F.when(key % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
+def _cluster(key_sql: str) -> str:
+    return f"CASE WHEN {key_sql} % 2 = 0 THEN 'A' ELSE 'B' END"
 
 
 def jobs_from_orders(orders: DataFrame) -> DataFrame:
     """job_id, user, cluster, task_type, state, gpu_time."""
-    return orders.select(
-        F.col("o_orderkey").alias("job_id"),
-        F.col("o_custkey").alias("user"),
-        _cluster(F.col("o_orderkey")).alias("cluster"),
-        _case(F.col("o_orderpriority"), PRIORITY_TO_TYPE, OTHER_TYPE).alias("task_type"),
-        _case(F.col("o_orderstatus"), ORDER_STATUS_TO_STATE, F.lit(None)).alias("state"),
-        F.col("o_totalprice").alias("gpu_time"),
+    return orders.selectExpr(
+        "o_orderkey AS job_id",
+        "o_custkey AS user",
+        f"{_cluster('o_orderkey')} AS cluster",
+        f"{_case('o_orderpriority', PRIORITY_TO_TYPE, OTHER_TYPE)} AS task_type",
+        f"{_case('o_orderstatus', ORDER_STATUS_TO_STATE, None)} AS state",
+        "o_totalprice AS gpu_time",
     )
 
 
 def jobs_from_events(events: DataFrame) -> DataFrame:
     """job_id, user, cluster, task_type, state, queue, gpu_use_count, gpu_num,
     node_num, cpu_num, duration, submit_us, start_us, end_us."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    states = F.array(*[F.lit(s) for s in EVENT_STATES])
-    base = events.select(
-        F.col("event_id").alias("job_id"),
-        F.col("user_id").alias("user"),
-        _cluster(F.col("event_id")).alias("cluster"),
-        _case(F.col("event_type"), EVENT_TYPE_TO_TYPE, OTHER_TYPE).alias("task_type"),
-        F.col("value").alias("queue"),
-        k.alias("k"),
-        epoch_micros(F.col("ts"), events.schema["ts"].dataType).alias("submit_us"),
+    states = ", ".join(lit_sql(s) for s in EVENT_STATES)
+    submit = epoch_micros_sql("ts", events.schema["ts"].dataType)
+    base = events.selectExpr(
+        "event_id AS job_id",
+        "user_id AS user",
+        f"{_cluster('event_id')} AS cluster",
+        f"{_case('event_type', EVENT_TYPE_TO_TYPE, OTHER_TYPE)} AS task_type",
+        "value AS queue",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        f"{submit} AS submit_us",
     )
-    out = base.select(
+    return base.selectExpr(
         "job_id", "user", "cluster", "task_type",
-        F.try_element_at(states, (F.col("k") % len(EVENT_STATES)).cast("int") + 1).alias("state"),
+        f"try_element_at(array({states}), CAST(k % {len(EVENT_STATES)} AS INT) + 1) AS state",
         "queue",
-        F.col("k").alias("gpu_use_count"),
-        (F.col("k") % 8 + 1).alias("gpu_num"),
-        (F.col("k") % 4 + 1).alias("node_num"),
-        ((F.col("k") % 16 + 1) * 8).alias("cpu_num"),
-        ((F.col("k") + 1) * 60).alias("duration"),
+        "k AS gpu_use_count",
+        "k % 8 + 1 AS gpu_num",
+        "k % 4 + 1 AS node_num",
+        "(k % 16 + 1) * 8 AS cpu_num",
+        "(k + 1) * 60 AS duration",
         "submit_us",
+        f"submit_us + CAST(round(queue * {float(MICROS)}D) AS BIGINT) AS start_us",
+        f"submit_us + CAST(round(queue * {float(MICROS)}D) AS BIGINT) "
+        f"+ (k + 1) * 60 * {MICROS} AS end_us",
     )
-    start = F.col("submit_us") + F.round(F.col("queue") * F.lit(float(MICROS))).cast("bigint")
-    return (out.withColumn("start_us", start)
-               .withColumn("end_us", F.col("start_us") + F.col("duration") * F.lit(MICROS)))
 
 
 def util_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Long utilisation samples: time, unit, util (2 * quantity, so 2..100)."""
-    return lineitem.select(
-        F.col("l_shipdate").cast("string").alias("time"),
-        F.col("l_orderkey").cast("string").alias("unit"),
-        (F.col("l_quantity") * 2).alias("util"),
+    return lineitem.selectExpr(
+        "CAST(l_shipdate AS STRING) AS time",
+        "CAST(l_orderkey AS STRING) AS unit",
+        "l_quantity * 2 AS util",
     )
 
 
 def wide_from_embeddings(embeddings: DataFrame, width: int = 64) -> DataFrame:
     """Wide utilisation table: ``time`` then ``col_1 .. col_width`` (doubles)."""
-    return embeddings.select(
-        F.col("vec_id").alias("time"),
-        *[F.try_element_at("embedding", F.lit(i)).cast("double").alias(f"col_{i}")
+    return embeddings.selectExpr(
+        "vec_id AS time",
+        *[f"CAST(try_element_at(embedding, {i}) AS DOUBLE) AS col_{i}"
           for i in range(1, width + 1)])
