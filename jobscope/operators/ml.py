@@ -131,6 +131,12 @@ def make_estimator(model: ModelSpec, spec: FeatureSpec):
     raise ValueError(f"unknown model kind {model.kind!r}")
 
 
+def fit_features(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
+    """Fit the feature stages (scaler, indexers, encoders, PCA) on train."""
+    check_width(train, spec)
+    return Pipeline(stages=feature_stages(spec)).fit(train)
+
+
 def fit_pipeline(train: DataFrame, spec: FeatureSpec, model: ModelSpec) -> PipelineModel:
     """Fit features + estimator on the training rows (M10). Always on train."""
     check_width(train, spec)
@@ -167,20 +173,31 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
              spec: FeatureSpec) -> tuple[DataFrame, DataFrame]:
     """Fit every model on ``train``, score on ``test``.
 
-    Returns ``(metrics, importances)``: rows ``(model, metric, value)`` and
+    The feature stages are fitted once and shared; the training vectors are
+    persisted while the estimators make their passes over them. Returns
+    ``(metrics, importances)``: rows ``(model, metric, value)`` and
     ``(model, feature, importance)`` (tree models only; features are the
     PCA axes when PCA is on, else the assembled feature slots).
     """
     spark = train.sparkSession
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        feats = fit_features(train, spec)
+        names = feature_names(feats, spec)
+        vectors = feats.transform(train).select(spec.features_col, "label") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fitted = [(m, make_estimator(m, spec).fit(vectors)) for m in models]
+        finally:
+            vectors.unpersist()
+    finally:
+        train.unpersist()
+    scored_test = feats.transform(test)
     metric_frames, imp_rows = [], []
-    for m in models:
-        fitted = fit_pipeline(train, spec, m)
-        scored = fitted.transform(test)
-        metric_frames.append(metrics_rows(regression_metrics(scored), m.kind))
-        last = fitted.stages[-1]
-        if hasattr(last, "featureImportances"):
-            names = feature_names(fitted, spec)
-            vec = last.featureImportances.toArray()
+    for m, est in fitted:
+        metric_frames.append(metrics_rows(regression_metrics(est.transform(scored_test)), m.kind))
+        if hasattr(est, "featureImportances"):
+            vec = est.featureImportances.toArray()
             imp_rows += [(m.kind, names[i] if i < len(names) else f"f{i}", float(v))
                          for i, v in enumerate(vec)]
     metrics = metric_frames[0]

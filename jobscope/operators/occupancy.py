@@ -32,6 +32,8 @@ def quantile_splits(df: DataFrame, cols: Sequence[str], buckets: int,
                     rel_error: float = 0.001) -> list[float]:
     """Strictly increasing split points (with +-inf ends) from approximate
     quantiles of ``cols``; at most ``buckets - 1`` inner points."""
+    if buckets <= 1:
+        return [float("-inf"), float("inf")]
     probs = [i / buckets for i in range(1, buckets)]
     inner = set()
     for qs in df.approxQuantile(list(cols), probs, rel_error):
@@ -40,6 +42,8 @@ def quantile_splits(df: DataFrame, cols: Sequence[str], buckets: int,
 
 
 def _bucket_expr(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
     src = f"__{out}_src"
     b = Bucketizer(splits=splits, inputCol=src, outputCol=out, handleInvalid="keep")
     staged = df.withColumn(src, F.col(col).cast("double"))

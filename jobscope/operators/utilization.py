@@ -57,46 +57,63 @@ def unit_means(long: DataFrame, unit: str = "unit", value: str = "util",
 
 def histogram(values: DataFrame, value: str = "mean_util", bins: int = 10,
               by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width histogram over ``[min, max]`` with the last bin closed.
+    """Equal-width histogram over ``[min, max]``, last bin closed — the
+    binning rule of ``numpy.histogram`` (and so of ``plt.hist``).
 
     Output: ``*by, bin, bin_lo, bin_hi, n``; every bin is present (empty
-    ones with 0). A value goes to ``least(floor((x - lo) / step), bins-1)``
-    with ``step = (hi - lo) / bins``; ``hi == lo`` puts everything in bin 0.
-
-    Without ``by`` the range comes from two scalar subqueries (evaluated
-    once, no join); with ``by`` it is a per-group aggregate joined back on
-    the group keys, whose size is the number of groups.
+    ones with 0). Edges are ``lo + i * (hi - lo) / bins``; a value goes to
+    ``floor((x - lo) * (bins / (hi - lo)))``, corrected by one step against
+    those edges. When all values are equal the range is widened by 0.5 on
+    both sides, as numpy does.
+
+    Without ``by`` the range comes from one scalar subquery (Catalyst merges
+    the min and max), evaluated once, no join; with ``by`` it is a
+    per-group aggregate joined back on the group keys, whose size is the
+    number of groups.
     """
     by = list(by)
-    x = F.col(value)
     n = int(bins)
     if not by:
-        lo = values.agg(F.min(value)).scalar()
-        hi = values.agg(F.max(value)).scalar()
-        data, ranged = values, None
+        r = values.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        rng = {"_mn": r.select("lo").scalar(), "_mx": r.select("hi").scalar()}
+        data = values.withColumns(rng)
     else:
-        ranged = values.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        ranged = values.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
         data = values.join(ranged, on=by, how="inner")
-        lo, hi = F.col("_lo"), F.col("_hi")
+    # each step is its own projection over named columns, so the range is
+    # computed once and not re-inlined into every sub-expression
+    same = F.col("_mn") == F.col("_mx")
+    data = data.withColumns({
+        "_lo": F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")),
+        "_hi": F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx"))})
+    lo, hi = F.col("_lo"), F.col("_hi")
     step = (hi - lo) / F.lit(float(n))
-    b = (F.when(hi == lo, F.lit(0))
-         .otherwise(F.least(F.floor((x - lo) / step).cast("int"), F.lit(n - 1))))
-    hits = data.where(x.isNotNull()).select(*by, b.alias("bin"), F.lit(1).alias("w"))
+    edge = lambda i: F.when(i == F.lit(n), hi).otherwise(i.cast("double") * step + lo)
+    x = F.col(value)
+    data = data.where(x.isNotNull()).withColumn(
+        "_raw", F.least(F.floor((x - lo) * (F.lit(float(n)) / (hi - lo))).cast("int"),
+                        F.lit(n - 1)))
+    data = data.withColumn("_down", F.when(x < edge(F.col("_raw")), F.col("_raw") - 1)
+                           .otherwise(F.col("_raw")))
+    down = F.col("_down")
+    data = data.withColumn("bin", F.when((x >= edge(down + 1)) & (down != F.lit(n - 1)), down + 1)
+                           .otherwise(down))
+    hits = data.select(*by, "bin", F.lit(1).alias("w"))
     if not by:
         zeros = values.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"),
                                                     F.lit(0).alias("w"))
+        counts = hits.unionByName(zeros).groupBy("bin").agg(F.sum("w").alias("n"))
+        counts = counts.withColumns(rng)
     else:
         zeros = ranged.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"),
                               F.lit(0).alias("w"))
-    counts = hits.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("w").alias("n"))
-    if by:
+        counts = hits.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("w").alias("n"))
         counts = counts.join(ranged, on=by, how="inner")
-    binc = F.col("bin").cast("double")
-    return counts.select(
-        *by, "bin",
-        (lo + binc * step).alias("bin_lo"),
-        F.when(F.col("bin") == n - 1, hi).otherwise(lo + (binc + F.lit(1.0)) * step).alias("bin_hi"),
-        "n")
+    counts = counts.withColumns({
+        "_lo": F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")),
+        "_hi": F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx"))})
+    return counts.select(*by, "bin", edge(F.col("bin")).alias("bin_lo"),
+                         edge(F.col("bin") + 1).alias("bin_hi"), "n")
 
 
 def zone_of(lower_edge) -> F.Column:

@@ -347,7 +347,7 @@ FROM a""",
 }
 
 _LINE_MEANS = """
-u AS (SELECT CAST(l_orderkey AS VARCHAR) AS unit, round(avg(l_quantity * 2), 6) AS mean_util
+u AS (SELECT l_orderkey AS unit, round(avg(l_quantity * 2), 6) AS mean_util
       FROM lineitem GROUP BY l_orderkey)"""
 
 _OCC = """
@@ -364,18 +364,21 @@ ORACLE.update({
 SELECT 'col_' || CAST(i AS VARCHAR) AS unit, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean_util
 FROM embeddings CROSS JOIN range(1, 65) AS r(i) GROUP BY i""",
     "q14_util_histogram": f"""WITH {_LINE_MEANS},
-s AS (SELECT min(mean_util) AS lo, max(mean_util) AS hi FROM u),
-b AS (SELECT CASE WHEN s.hi = s.lo THEN 0
-                  ELSE least(CAST(floor((mean_util - s.lo) / ((s.hi - s.lo) / 10.0)) AS INTEGER), 9)
-             END AS bin
-      FROM u CROSS JOIN s WHERE mean_util IS NOT NULL),
-bins AS (SELECT CAST(i AS INTEGER) AS bin FROM range(10) AS r(i)),
-c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
-SELECT bins.bin, s.lo + CAST(bins.bin AS DOUBLE) * ((s.hi - s.lo) / 10.0) AS bin_lo,
-       CASE WHEN bins.bin = 9 THEN s.hi
-            ELSE s.lo + (CAST(bins.bin AS DOUBLE) + 1.0) * ((s.hi - s.lo) / 10.0) END AS bin_hi,
-       CAST(coalesce(c.n, 0) AS BIGINT) AS n
-FROM bins CROSS JOIN s LEFT JOIN c ON c.bin = bins.bin""",
+s0 AS (SELECT min(mean_util) AS mn, max(mean_util) AS mx FROM u),
+s AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+             CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM s0),
+e AS (SELECT CAST(i AS INTEGER) AS bin,
+             CASE WHEN i = 10 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 10.0) + lo END AS edge
+      FROM s CROSS JOIN range(11) AS r(i)),
+r0 AS (SELECT mean_util AS x, least(CAST(floor((mean_util - lo) * (10.0 / (hi - lo))) AS INTEGER), 9) AS b
+       FROM u CROSS JOIN s WHERE mean_util IS NOT NULL),
+r1 AS (SELECT r0.x, CASE WHEN r0.x < e.edge THEN r0.b - 1 ELSE r0.b END AS b
+       FROM r0 JOIN e ON e.bin = r0.b),
+r2 AS (SELECT CASE WHEN r1.x >= e.edge AND r1.b <> 9 THEN r1.b + 1 ELSE r1.b END AS bin
+       FROM r1 JOIN e ON e.bin = r1.b + 1),
+c AS (SELECT bin, count(*) AS n FROM r2 GROUP BY bin)
+SELECT e.bin, e.edge AS bin_lo, e1.edge AS bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM e JOIN e AS e1 ON e1.bin = e.bin + 1 LEFT JOIN c ON c.bin = e.bin""",
     "q15_util_bands": f"""WITH {_LINE_MEANS},
 h AS (SELECT {_U_BIN} AS bin, 1 AS w FROM u
       UNION ALL SELECT CAST(i AS INTEGER), 0 FROM range(10) AS r(i)),

@@ -86,7 +86,7 @@ def util_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Long utilisation samples: time, unit, util (2 * quantity, so 2..100)."""
     return lineitem.selectExpr(
         "CAST(l_shipdate AS STRING) AS time",
-        "CAST(l_orderkey AS STRING) AS unit",
+        "l_orderkey AS unit",
         "l_quantity * 2 AS util",
     )
 
