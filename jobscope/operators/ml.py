@@ -2,9 +2,16 @@
 
 Feature pipeline: numeric columns -> ``VectorAssembler`` -> ``MinMaxScaler``;
 categorical columns -> ``StringIndexer(handleInvalid='keep')`` ->
-``OneHotEncoder``; everything -> ``VectorAssembler`` -> optional ``PCA`` ->
+``OneHotEncoder``; everything -> ``VectorAssembler`` -> optional PCA ->
 regressor (linear, random forest or gradient-boosted trees).
 
+PCA gives the same axes as ``ml.feature.PCA`` (up to sign) but is split
+differently: Spark builds the covariance (distributed, sparse-aware),
+the k leading eigenvectors come from LAPACK on the driver instead of a full
+SVD of the width x width matrix, and the projection is one SQL expression
+per axis — a short dot product for the numeric block and one array lookup
+per one-hot block, so a row never gets densified to the full width.
+
 Scale notes:
 * the split is a hash of the job id, so it is the same for any
   partitioning and any re-execution after an executor loss;
@@ -21,11 +28,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (PCA, MinMaxScaler, OneHotEncoder, StringIndexer,
-                                VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,8 +123,6 @@ def feature_stages(spec: FeatureSpec) -> list:
                                  handleInvalid="keep")]
         parts.append(f"{c}_vec")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    if spec.pca_k:
-        stages.append(PCA(k=spec.pca_k, inputCol="features", outputCol="pca_features"))
     return stages
 
 
@@ -131,19 +138,103 @@ def make_estimator(model: ModelSpec, spec: FeatureSpec):
     raise ValueError(f"unknown model kind {model.kind!r}")
 
 
-def fit_features(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
-    """Fit the feature stages (scaler, indexers, encoders, PCA) on train."""
-    check_width(train, spec)
-    return Pipeline(stages=feature_stages(spec)).fit(train)
+@dataclass(frozen=True)
+class Features:
+    """Fitted feature stages plus, when PCA is on, the principal axes."""
+    stages: PipelineModel
+    spec: FeatureSpec
+    blocks: tuple[tuple[str, str, int], ...]       # (kind, column, width) per block
+    pc: np.ndarray | None = None                   # width x k
+    explained: np.ndarray | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.stages.transform(df)
+        if self.pc is None:
+            return out
+        return out.withColumn("_num_arr", vector_to_array("scaled_numeric")) \
+            .withColumn("pca_features", array_to_vector(F.expr(self._projection_sql()))) \
+            .drop("_num_arr")
+
+    def _projection_sql(self) -> str:
+        comps = []
+        for j in range(self.pc.shape[1]):
+            parts, off = [], 0
+            for kind, col, width in self.blocks:
+                if width:
+                    lits = ", ".join(f"{float(v)!r}D" for v in self.pc[off:off + width, j])
+                    if kind == "dense":
+                        parts.append(f"aggregate(zip_with(_num_arr, array({lits}), "
+                                     f"(a, b) -> a * b), 0D, (s, y) -> s + y)")
+                    else:
+                        # one-hot with the last slot dropped: index == width -> zeros
+                        parts.append(f"coalesce(try_element_at(array({lits}), "
+                                     f"CAST(`{col}` AS INT) + 1), 0D)")
+                off += width
+            comps.append(" + ".join(parts) or "0D")
+        return f"array({', '.join(comps)})"
+
+
+def feature_blocks(stages: PipelineModel, spec: FeatureSpec,
+                   schema) -> tuple[tuple[str, str, int], ...]:
+    """Layout of the assembled feature vector: numeric block, then one
+    one-hot block per categorical column. Widths are read from the ML
+    attribute metadata Spark attaches to each encoded column (the encoder's
+    ``keep``/``dropLast`` settings decide them)."""
+    blocks = []
+    if spec.numeric:
+        blocks.append(("dense", "scaled_numeric", len(spec.numeric)))
+    for c in spec.categorical:
+        meta = schema[f"{c}_vec"].metadata.get("ml_attr", {})
+        blocks.append(("onehot", f"{c}_index", int(meta["num_attrs"])))
+    return tuple(blocks)
+
 
+def principal_axes(vectors: DataFrame, col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Top-``k`` principal axes of a vector column.
 
-def fit_pipeline(train: DataFrame, spec: FeatureSpec, model: ModelSpec) -> PipelineModel:
-    """Fit features + estimator on the training rows (M10). Always on train."""
+    The covariance is Spark's (``RowMatrix.computeCovariance``: one
+    distributed pass over sparse rows); its leading eigenvectors are taken
+    with LAPACK on the driver, where the width x width matrix already is
+    (bounded by ``max_onehot_width``). Same axes as ``ml.feature.PCA`` up to
+    sign, without its full SVD; signs are fixed so the largest entry of
+    each axis is positive.
+    """
+    cov = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(col), col)) \
+        .computeCovariance().toArray()
+    w, v = np.linalg.eigh(cov)
+    order = np.argsort(w)[::-1][:k]
+    pc = v[:, order]
+    pivot = np.abs(pc).argmax(axis=0)
+    pc = pc * np.where(pc[pivot, np.arange(pc.shape[1])] < 0, -1.0, 1.0)
+    total = float(np.clip(w, 0, None).sum())
+    return pc, (w[order] / total if total > 0 else np.zeros(len(order)))
+
+
+def fit_features(train: DataFrame, spec: FeatureSpec) -> Features:
+    """Fit the feature stages (scaler, indexers, encoders) and, when
+    ``spec.pca_k`` is set, the principal axes — all on the training rows."""
     check_width(train, spec)
-    pipe = Pipeline(stages=feature_stages(spec) + [make_estimator(model, spec)])
+    stages = Pipeline(stages=feature_stages(spec)).fit(train)
+    assembled = stages.transform(train)
+    blocks = feature_blocks(stages, spec, assembled.schema)
+    width = sum(b[2] for b in blocks)
+    size = assembled.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", width)
+    if size != width:
+        raise ValueError(f"feature layout {blocks} does not add up to {size} slots")
+    if not spec.pca_k:
+        return Features(stages, spec, blocks)
+    pc, explained = principal_axes(assembled, "features", spec.pca_k)
+    return Features(stages, spec, blocks, pc, explained)
+
+
+def fit_pipeline(train: DataFrame, spec: FeatureSpec, model: ModelSpec):
+    """Fit features + one estimator on the training rows (M10). Always on
+    train. Returns ``(features, fitted_estimator)``; score new rows with
+    ``est.transform(features.transform(df))``."""
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipe.fit(train)
+        feats = fit_features(train, spec)
+        return feats, make_estimator(model, spec).fit(feats.transform(train))
     finally:
         train.unpersist()
 
@@ -207,11 +298,11 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
     return metrics, importances
 
 
-def feature_names(fitted: PipelineModel, spec: FeatureSpec) -> list[str]:
+def feature_names(fitted: Features, spec: FeatureSpec) -> list[str]:
     if spec.pca_k:
         return [f"pc{i + 1}" for i in range(spec.pca_k)]
     names = list(spec.numeric)
-    for st in fitted.stages:
+    for st in fitted.stages.stages:
         if hasattr(st, "labelsArray") and st.getOrDefault("inputCol") in spec.categorical:
             c = st.getOrDefault("inputCol")
             names += [f"{c}={v}" for v in st.labelsArray[0]]

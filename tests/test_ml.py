@@ -110,3 +110,20 @@ def test_evaluate_models(split):
 def test_no_job_id_or_state_features():
     spec = ml.FeatureSpec()
     assert "job_id" not in spec.categorical and "state" not in spec.categorical
+
+
+def test_pca_matches_spark_pca_up_to_sign(split):
+    from pyspark.ml.feature import PCA
+    train, _ = split
+    feats = ml.fit_features(train, C.TEST_FEATURES)
+    assembled = feats.stages.transform(train)
+    ref = PCA(k=3, inputCol="features", outputCol="ref").fit(assembled)
+    ours = feats.transform(train).select("job_id", "pca_features")
+    theirs = ref.transform(assembled).select("job_id", "ref")
+    a = {r.job_id: r.pca_features.toArray() for r in ours.collect()}
+    b = {r.job_id: r.ref.toArray() for r in theirs.collect()}
+    assert a.keys() == b.keys()
+    A = np.array([a[k] for k in sorted(a)])
+    B = np.array([b[k] for k in sorted(a)])
+    signs = np.sign((A * B).sum(axis=0))
+    assert np.allclose(A, B * signs, atol=1e-8)
