@@ -25,7 +25,8 @@ from ..operators.utilization import histogram, unit_means, util_bands, wide_to_l
 from ..operators.shares import state_shares, unsuccessful_breakdown
 from ..session import scratch_path
 from ..sources.adapters import (jobs_from_events, jobs_from_orders, load,
-                                util_from_lineitem, wide_from_embeddings)
+                                util_from_lineitem, wide_daily_from_events,
+                                wide_from_embeddings)
 from ..sources.readers import read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +115,11 @@ def q13_unit_mean_util(spark, sf_dir):
     return unit_means(wide_to_long(wide))
 
 
+def q13b_unit_mean_util_daily(spark, sf_dir):
+    wide = wide_daily_from_events(load(spark, sf_dir, "events"))
+    return unit_means(wide_to_long(wide))
+
+
 def _line_unit_means(spark, sf_dir):
     return unit_means(util_from_lineitem(load(spark, sf_dir, "lineitem")))
 
@@ -363,6 +369,9 @@ ORACLE.update({
     "q13_unit_mean_util": """
 SELECT 'col_' || CAST(i AS VARCHAR) AS unit, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean_util
 FROM embeddings CROSS JOIN range(1, 65) AS r(i) GROUP BY i""",
+    "q13b_unit_mean_util_daily": """
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY 1, 2)
+SELECT event_type AS unit, round(avg(v), 6) AS mean_util FROM d GROUP BY event_type""",
     "q14_util_histogram": f"""WITH {_LINE_MEANS},
 s0 AS (SELECT min(mean_util) AS mn, max(mean_util) AS mx FROM u),
 s AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
@@ -460,5 +469,5 @@ FROM tr WHERE split = 'train'""",
 
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in globals().items()
-    if name.startswith("q") and name[1:3].isdigit() and callable(fn)
+    if name[:1] == "q" and name[1:3].isdigit() and callable(fn)
 }

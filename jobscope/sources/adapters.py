@@ -97,3 +97,14 @@ def wide_from_embeddings(embeddings: DataFrame, width: int = 64) -> DataFrame:
         "vec_id AS time",
         *[f"CAST(try_element_at(embedding, {i}) AS DOUBLE) AS col_{i}"
           for i in range(1, width + 1)])
+
+
+def wide_daily_from_events(events: DataFrame) -> DataFrame:
+    """Wide utilisation table from events: one row per day, one column per
+    event type holding that day's mean value (NULL when the type is absent).
+    ``pivot`` finds the column set with one distinct pass, as a wide export
+    would have it in its header."""
+    day = "to_date(ts)" if "ntz" not in events.schema["ts"].dataType.simpleString() \
+        else "CAST(ts AS DATE)"
+    return (events.selectExpr(f"{day} AS time", "event_type", "value")
+            .groupBy("time").pivot("event_type").agg(F.avg("value")))
