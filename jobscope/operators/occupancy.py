@@ -83,15 +83,13 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
     by = list(by)
     g = F.col(gpus).cast("long")
     valid = F.col(start).isNotNull() & F.col(end).isNotNull() & g.isNotNull()
-    j = jobs.where(valid)
-    parts = [j.select(*by, F.col(start).alias("t"), g.alias("d")),
-             j.select(*by, F.col(end).alias("t"), (-g).alias("d"))]
+    # one pass over the jobs emits both deltas (and the probe instant)
+    events = [F.struct(F.when(valid, F.col(start)).alias("t"), g.alias("d")),
+              F.struct(F.when(valid, F.col(end)).alias("t"), (-g).alias("d"))]
     if probes is not None:
-        parts.append(jobs.where(F.col(probes).isNotNull())
-                     .select(*by, F.col(probes).alias("t"), F.lit(0).cast("long").alias("d")))
-    deltas = parts[0]
-    for p in parts[1:]:
-        deltas = deltas.unionByName(p)
+        events.append(F.struct(F.col(probes).alias("t"), F.lit(0).cast("long").alias("d")))
+    deltas = jobs.select(*by, F.inline(F.array(*events))).where(F.col("t").isNotNull())
+    j = jobs.where(valid)
     if splits is None:
         n = buckets or 4 * jobs.sparkSession.sparkContext.defaultParallelism
         cols = [start, end] + ([probes] if probes else [])
