@@ -114,3 +114,15 @@ def with_bin(df, x: str, spec: BinSpec, bin_col: str = "bin", label_col: str = "
     """Add ``bin_col`` and ``label_col`` for column ``x``."""
     return df.withColumns({bin_col: bin_index(x, spec)}) \
              .withColumns({label_col: bin_label(bin_col, spec)})
+
+
+def bin_index_by_sql(x_sql: str, specs, key_sql: str) -> str:
+    """Bin index with a different spec per key value (e.g. per cluster)."""
+    arms = " ".join(f"WHEN {lit_sql(k)} THEN {bin_index_sql(x_sql, sp)}" for k, sp in specs.items())
+    return f"CASE {key_sql} {arms} ELSE CAST(NULL AS INT) END"
+
+
+def bin_label_by_sql(index_sql: str, specs, key_sql: str) -> str:
+    arms = " ".join(f"WHEN {lit_sql(k)} THEN {bin_label_sql(index_sql, sp)}"
+                    for k, sp in specs.items())
+    return f"CASE {key_sql} {arms} ELSE {lit_sql(UNKNOWN_BIN)} END"

@@ -8,12 +8,13 @@ scan and one aggregation (A13) instead of one job per type.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binning import BinSpec, bin_index_sql, bin_label_sql
+from ..functions.binning import (BinSpec, bin_index_by_sql, bin_index_sql, bin_label_by_sql,
+                                bin_label_sql)
 from ..functions.numeric import exact_mean_sql
 from ..functions.states import lit_sql, q
 
@@ -31,42 +32,63 @@ def _prepare(jobs: DataFrame, task_types: Sequence[str] | None, where) -> DataFr
     return jobs
 
 
-def _finish(agg: DataFrame, spec: BinSpec, by: list[str], bin_col: str,
-            label_col: str, sort: bool) -> DataFrame:
-    out = agg.withColumns({label_col: F.expr(bin_label_sql(q(bin_col), spec))})
+Specs = BinSpec | Mapping[str, BinSpec]
+
+
+def _bin_sql(x: str, spec: Specs, key: str) -> str:
+    if isinstance(spec, BinSpec):
+        return bin_index_sql(q(x), spec)
+    return bin_index_by_sql(q(x), spec, q(key))
+
+
+def _finish(agg: DataFrame, spec: Specs, by: list[str], bin_col: str,
+            label_col: str, sort: bool, key: str = "cluster") -> DataFrame:
+    label = (bin_label_sql(q(bin_col), spec) if isinstance(spec, BinSpec)
+             else bin_label_by_sql(q(bin_col), spec, q(key)))
+    out = agg.withColumns({label_col: F.expr(label)})
     if sort:
         out = out.orderBy(*by, F.col(bin_col).asc_nulls_last())
     return out
 
 
-def mean_by_bin(jobs: DataFrame, x: str, spec: BinSpec, value: str = "queue",
+def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
                 by: Sequence[str] = (), task_types: Sequence[str] | None = None,
                 where=None, scale: int | None = 2, bin_col: str = "bin",
-                label_col: str = "label", sort: bool = True) -> DataFrame:
+                label_col: str = "label", sort: bool = True,
+                spec_key: str = "cluster") -> DataFrame:
     """Mean of ``value`` per bin of ``x`` (and per ``by``).
 
+    ``spec`` is one ``BinSpec`` or a mapping ``{key value: BinSpec}`` giving
+    each value of ``spec_key`` (a cluster, usually) its own bin layout; then
+    ``spec_key`` must be in ``by``, and all layouts still come out of one
+    scan and one aggregation.
     ``scale`` makes the mean exact at that many decimals (decimal sum /
     count), so it does not depend on partitioning; ``None`` uses ``avg``.
     Output: ``*by, bin, n_jobs, mean_<value>, label``.
     """
     by = list(by)
+    if not isinstance(spec, BinSpec) and spec_key not in by:
+        raise ValueError(f"per-{spec_key} bin specs need {spec_key!r} in by")
     df = _prepare(jobs, task_types, where)
     mean = exact_mean_sql(q(value), scale) if scale is not None else f"avg({q(value)})"
-    agg = df.groupBy(*by, F.expr(bin_index_sql(q(x), spec)).alias(bin_col)).agg(
+    agg = df.groupBy(*by, F.expr(_bin_sql(x, spec, spec_key)).alias(bin_col)).agg(
         F.expr("count(1) AS n_jobs"), F.expr(f"{mean} AS {q('mean_' + value)}"))
-    return _finish(agg, spec, by, bin_col, label_col, sort)
+    return _finish(agg, spec, by, bin_col, label_col, sort, spec_key)
 
 
-def count_by_bin(jobs: DataFrame, x: str, spec: BinSpec, by: Sequence[str] = (),
+def count_by_bin(jobs: DataFrame, x: str, spec: Specs, by: Sequence[str] = (),
                  task_types: Sequence[str] | None = None, where=None,
                  bin_col: str = "bin", label_col: str = "label",
-                 sort: bool = True) -> DataFrame:
-    """Number of jobs per bin of ``x``. Output: ``*by, bin, n_jobs, label``."""
+                 sort: bool = True, spec_key: str = "cluster") -> DataFrame:
+    """Number of jobs per bin of ``x``. Output: ``*by, bin, n_jobs, label``.
+    ``spec`` may be per ``spec_key`` value, as in ``mean_by_bin``."""
     by = list(by)
+    if not isinstance(spec, BinSpec) and spec_key not in by:
+        raise ValueError(f"per-{spec_key} bin specs need {spec_key!r} in by")
     df = _prepare(jobs, task_types, where)
-    agg = df.groupBy(*by, F.expr(bin_index_sql(q(x), spec)).alias(bin_col)).agg(
+    agg = df.groupBy(*by, F.expr(_bin_sql(x, spec, spec_key)).alias(bin_col)).agg(
         F.expr("count(1) AS n_jobs"))
-    return _finish(agg, spec, by, bin_col, label_col, sort)
+    return _finish(agg, spec, by, bin_col, label_col, sort, spec_key)
 
 
 def cancels_by_queue_bin(jobs: DataFrame, spec: BinSpec = QUEUE_BINS,

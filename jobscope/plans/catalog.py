@@ -34,6 +34,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Bin layouts for the test tables (GPUs in use on events run 0..99).
 GPU_BINS_TEST = BinSpec(0, 80, 10)
 OCCUPANCY_BINS_TEST = BinSpec(0, 80, 10)
+# one layout per cluster, as the study used 150-wide and 100-wide bins
+GPU_BINS_PER_CLUSTER = {"A": BinSpec(0, 80, 10), "B": BinSpec(0, 100, 25)}
 
 
 # ---------------------------------------------------------------- inputs
@@ -92,6 +94,11 @@ def q08_queue_by_gpu_bin(spark, sf_dir):
                        task_types=["Eval"])
 
 
+def q08b_queue_by_gpu_bin_per_cluster(spark, sf_dir):
+    return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_PER_CLUSTER,
+                       by=["cluster"], task_types=["Eval"])
+
+
 def q09_queue_by_gpu_bin_and_type(spark, sf_dir):
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
                        by=["task_type"], task_types=["Eval", "Pretrain"])
@@ -323,6 +330,16 @@ FROM jo GROUP BY state_label""",
 SELECT bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
   SELECT {_GPU_BIN} AS bin, count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
   FROM je WHERE task_type = 'Eval' GROUP BY 1)""",
+    "q08b_queue_by_gpu_bin_per_cluster": f"""WITH {_JOBS_E}
+SELECT cluster, bin, n_jobs, mean_queue,
+       CASE cluster WHEN 'A' THEN {_label_sql('bin', 0, 80, 10, None)}
+                    ELSE {_label_sql('bin', 0, 100, 25, None)} END AS label
+FROM (
+  SELECT cluster,
+         CASE cluster WHEN 'A' THEN {_bin_sql('gpu_use_count', 0, 80, 10, False)}
+                      ELSE {_bin_sql('gpu_use_count', 0, 100, 25, False)} END AS bin,
+         count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
+  FROM je WHERE task_type = 'Eval' GROUP BY 1, 2)""",
     "q09_queue_by_gpu_bin_and_type": f"""WITH {_JOBS_E}
 SELECT task_type, bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
   SELECT task_type, {_GPU_BIN} AS bin, count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
