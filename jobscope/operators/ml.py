@@ -117,11 +117,14 @@ def feature_stages(spec: FeatureSpec) -> list:
                                    handleInvalid="keep"),
                    MinMaxScaler(inputCol="numeric_features", outputCol="scaled_numeric")]
         parts.append("scaled_numeric")
-    for c in spec.categorical:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep"),
-                   OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_vec",
-                                 handleInvalid="keep")]
-        parts.append(f"{c}_vec")
+    if spec.categorical:
+        cats = list(spec.categorical)
+        # one indexer and one encoder for all columns: one counting pass
+        stages += [StringIndexer(inputCols=cats, outputCols=[f"{c}_index" for c in cats],
+                                 handleInvalid="keep"),
+                   OneHotEncoder(inputCols=[f"{c}_index" for c in cats],
+                                 outputCols=[f"{c}_vec" for c in cats], handleInvalid="keep")]
+        parts += [f"{c}_vec" for c in cats]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return stages
 
@@ -303,9 +306,9 @@ def feature_names(fitted: Features, spec: FeatureSpec) -> list[str]:
         return [f"pc{i + 1}" for i in range(spec.pca_k)]
     names = list(spec.numeric)
     for st in fitted.stages.stages:
-        if hasattr(st, "labelsArray") and st.getOrDefault("inputCol") in spec.categorical:
-            c = st.getOrDefault("inputCol")
-            names += [f"{c}={v}" for v in st.labelsArray[0]]
+        if hasattr(st, "labelsArray"):
+            for c, labels in zip(st.getOrDefault("inputCols"), st.labelsArray):
+                names += [f"{c}={v}" for v in labels]
     return names
 
 

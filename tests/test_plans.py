@@ -41,3 +41,23 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 8
     assert df.columns == ["cluster", "state", "state_order", "n_jobs", "pct_of_all", "pct_of_known"]
+
+
+def test_filters_reach_the_scan_on_a_stored_log(spark, scratch):
+    from jobscope.operators.latency import QUEUE_BINS, count_by_bin
+    from jobscope.operators.normalize import normalize_jobs
+    from jobscope.plans.inspect import pushed_filters
+    from jobscope.sources.adapters import jobs_from_events, load
+    from jobscope.sources.sinks import write_result
+    write_result(jobs_from_events(load(spark, SF_SMALL, "events")), scratch)
+    jobs = normalize_jobs(spark.read.parquet(scratch))
+    df = count_by_bin(jobs, "queue", QUEUE_BINS, task_types=["Eval"],
+                      where="state = 'CANCELED'", sort=False)
+    pushed = " ".join(pushed_filters(df))
+    assert "task_type" in pushed and "state" in pushed
+    # cluster is the partition column of the stored log: pruned, not scanned
+    from jobscope.plans.inspect import formatted
+    import re
+    plan = formatted(jobs.where("cluster = 'A'"))
+    parts = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert parts and "cluster" in parts[0] and "= A" in parts[0]
