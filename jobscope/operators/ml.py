@@ -73,6 +73,14 @@ STUDY_MODELS = (
 
 # ------------------------------------------------------------------ split
 
+def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` rows without replacement (M14): a Bernoulli sample with
+    fraction n / count — one counting pass, then a per-row coin flip; the
+    result size is random around ``n``, as with ``DataFrame.sample``."""
+    total = df.count()
+    return df if total <= n else df.sample(withReplacement=False, fraction=n / total, seed=seed)
+
+
 def hash_unit(key) -> F.Column:
     """A stable pseudo-random integer in [0, 2^32) from md5 of the key."""
     key = F.col(key) if isinstance(key, str) else key

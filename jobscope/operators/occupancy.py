@@ -29,11 +29,17 @@ from pyspark.sql import functions as F
 
 
 def quantile_splits(df: DataFrame, cols: Sequence[str], buckets: int,
-                    rel_error: float = 0.001) -> list[float]:
+                    rel_error: float | None = None) -> list[float]:
     """Strictly increasing split points (with +-inf ends) from approximate
-    quantiles of ``cols``; at most ``buckets - 1`` inner points."""
+    quantiles of ``cols``; at most ``buckets - 1`` inner points.
+
+    The default relative error is a quarter of a bucket's share (floored
+    at 1e-4), so buckets stay within ~25% of even however many there are.
+    """
     if buckets <= 1:
         return [float("-inf"), float("inf")]
+    if rel_error is None:
+        rel_error = max(1e-4, min(1e-3, 0.25 / buckets))
     probs = [i / buckets for i in range(1, buckets)]
     inner = set()
     for qs in df.approxQuantile(list(cols), probs, rel_error):

@@ -22,6 +22,29 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (1000+ executors, ~100 TB inputs):
+# many initial shuffle partitions that AQE coalesces to ~256 MB each, input
+# splits of 256 MB, skew splitting for hot join keys, and a broadcast limit
+# that AQE checks against runtime sizes.
+CLUSTER_CONF = {
+    **{k: v for k, v in DEFAULT_CONF.items() if not k.startswith("spark.ui.")},
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.pivotMaxValues": "10000",
+}
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> None:
+    """Set runtime SQL settings on an existing session (static ones are skipped)."""
+    for k, v in conf.items():
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "jobscope", extra: dict | None = None) -> SparkSession:
     """A local session configured the way tests and the bench expect."""

@@ -19,16 +19,22 @@ from .schemas import all_strings
 
 
 def read_csv(spark: SparkSession, path: str, columns=None, *,
-             mode: str = "PERMISSIVE", sep: str = ",") -> DataFrame:
+             mode: str = "PERMISSIVE", sep: str = ",",
+             corrupt_col: str | None = None) -> DataFrame:
     """Header CSV as text columns.
 
     With ``columns`` the schema is given up front (no inference pass, no
     header-sniffing job); without it, Spark reads the header only and
     every column is a string, as it would be without ``inferSchema``.
+    ``corrupt_col`` (with ``columns`` and PERMISSIVE mode) keeps the raw text
+    of rows that do not parse, e.g. with too many fields.
     """
     reader = spark.read.option("header", "true").option("mode", mode).option("sep", sep)
     if columns is not None:
-        reader = reader.schema(all_strings(columns))
+        names = list(columns) + ([corrupt_col] if corrupt_col else [])
+        reader = reader.schema(all_strings(names))
+        if corrupt_col:
+            reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
     return reader.csv(path)
 
 

@@ -127,3 +127,10 @@ def test_pca_matches_spark_pca_up_to_sign(split):
     B = np.array([b[k] for k in sorted(a)])
     signs = np.sign((A * B).sum(axis=0))
     assert np.allclose(A, B * signs, atol=1e-8)
+
+
+def test_sample_rows(spark):
+    df = spark.range(10000)
+    got = ml.sample_rows(df, 1000, seed=7).count()
+    assert 800 < got < 1200
+    assert ml.sample_rows(df, 20000).count() == 10000

@@ -56,3 +56,19 @@ def test_chart_table_and_preview(spark):
     ct = chart_table(df, "bin", "label", "n")
     assert ct.columns == ["bin", "label", "value"]
     assert [r.bin for r in preview(ct, ["bin"], 2).collect()] == [0, 1]
+
+
+def test_csv_corrupt_records_are_kept(spark, scratch):
+    import os
+    from urllib.parse import urlparse
+    local = urlparse(scratch).path          # the shared folder is a file: URI here
+    os.makedirs(local, exist_ok=True)
+    with open(f"{local}/log.csv", "w") as f:
+        f.write("job_id,TaskStatus,GPU_Time\n1,COMPLETED,3.5\n2,FAILED,1,extra\n3,CANCELED,x\n")
+    raw = read_csv(spark, scratch, columns=["job_id", "TaskStatus", "GPU_Time"],
+                   corrupt_col="_corrupt")
+    rows = {r.job_id: r for r in raw.collect()}
+    assert rows["2"]._corrupt == "2,FAILED,1,extra"
+    assert rows["1"]._corrupt is None
+    typed = {r.job_id: r.gpu_time for r in normalize_jobs(raw).collect()}
+    assert typed == {"1": 3.5, "2": 1.0, "3": None}
