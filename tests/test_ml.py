@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.sql import functions as F
 
 from jobscope.operators import ml
 from jobscope.plans import catalog as C

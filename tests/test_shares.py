@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from jobscope.operators.normalize import normalize_jobs
 from jobscope.operators.shares import state_shares, unsuccessful_breakdown

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from jobscope.operators.normalize import normalize_jobs, training_rows, with_intervals
 from jobscope.sources.adapters import jobs_from_orders, load
