@@ -61,3 +61,20 @@ def test_filters_reach_the_scan_on_a_stored_log(spark, scratch):
     plan = formatted(jobs.where("cluster = 'A'"))
     parts = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
     assert parts and "cluster" in parts[0] and "= A" in parts[0]
+
+
+def test_window_check_detects_a_global_window(spark):
+    from pyspark.sql import Window, functions as F
+    from jobscope.plans.inspect import single_partition_windows
+    df = spark.range(10).withColumn("r", F.sum("id").over(Window.orderBy("id")))
+    assert single_partition_windows(df) != []
+    keyed = spark.range(10).withColumn("r", F.sum("id").over(Window.partitionBy(F.col("id") % 2)
+                                                             .orderBy("id")))
+    assert single_partition_windows(keyed) == []
+
+
+def test_udf_check_detects_a_python_udf(spark):
+    from pyspark.sql import functions as F
+    from jobscope.plans.inspect import python_udf_nodes
+    plus = F.udf(lambda x: x + 1, "long")
+    assert python_udf_nodes(spark.range(3).select(plus("id"))) != []
