@@ -52,12 +52,26 @@ def shares_of(counts: DataFrame, by: Sequence[str] = ("cluster",),
 
 def start_running_counts(jobs: DataFrame, query_name: str, by: Sequence[str] = ("cluster",),
                          checkpoint: str | None = None, sink: str = "memory",
-                         trigger_seconds: int | None = None) -> StreamingQuery:
-    """Start the running-count query; ``complete`` mode re-emits all totals."""
+                         trigger_seconds: int | None = None,
+                         snapshot_path: str | None = None) -> StreamingQuery:
+    """Start the running-count query; ``complete`` mode re-emits all totals.
+
+    ``sink="snapshot"`` writes every micro-batch's totals (one row per group
+    and label) over ``snapshot_path`` as Parquet with ``foreachBatch``, the
+    way to keep a current table on shared storage; other values are passed
+    to ``format`` (``memory`` for tests and notebooks).
+    """
     spark = jobs.sparkSession
     writer = (running_state_counts(jobs, by).writeStream.outputMode("complete")
-              .format(sink).queryName(query_name)
+              .queryName(query_name)
               .option("checkpointLocation", checkpoint or scratch_path(spark, f"ckpt-{query_name}")))
+    if sink == "snapshot":
+        if not snapshot_path:
+            raise ValueError("sink='snapshot' needs snapshot_path")
+        writer = writer.foreachBatch(
+            lambda batch, _epoch: batch.write.mode("overwrite").parquet(snapshot_path))
+    else:
+        writer = writer.format(sink)
     if trigger_seconds:
         writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
     return writer.start()

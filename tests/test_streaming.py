@@ -32,3 +32,17 @@ def test_running_counts_follow_new_files(spark):
         assert all(abs(v - 100) < 1e-9 for v in per_cluster.values())
     finally:
         q.stop()
+
+
+def test_snapshot_sink(spark):
+    folder = scratch_path(spark, "stream-snap-in")
+    out = scratch_path(spark, "stream-snap-out")
+    jobs = jobs_from_orders(load(spark, SF_SMALL, "orders"))
+    jobs.write.parquet(f"{folder}/part-a")
+    q = start_running_counts(job_log_stream(spark, f"{folder}/*", jobs.schema), "snap_test",
+                             sink="snapshot", snapshot_path=out)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sum(r.n_jobs for r in spark.read.parquet(out).collect()) == jobs.count()
