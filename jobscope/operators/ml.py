@@ -26,6 +26,7 @@ Scale notes:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -272,11 +273,14 @@ def metrics_rows(metrics: DataFrame, model: str) -> DataFrame:
 
 
 def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
-             spec: FeatureSpec) -> tuple[DataFrame, DataFrame]:
+             spec: FeatureSpec, parallelism: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fit every model on ``train``, score on ``test``.
 
     The feature stages are fitted once and shared; the training vectors are
-    persisted while the estimators make their passes over them. Returns
+    persisted while the estimators make their passes over them; up to
+    ``parallelism`` estimators fit at once from driver threads (as
+    ``CrossValidator(parallelism=...)`` does), so their jobs share the
+    cluster instead of queueing. Returns
     ``(metrics, importances)``: rows ``(model, metric, value)`` and
     ``(model, feature, importance)`` (tree models only; features are the
     PCA axes when PCA is on, else the assembled feature slots).
@@ -289,7 +293,10 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
         vectors = feats.transform(train).select(spec.features_col, "label") \
             .persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fitted = [(m, make_estimator(m, spec).fit(vectors)) for m in models]
+            workers = max(1, min(parallelism, len(models)))
+            with ThreadPoolExecutor(max_workers=workers) as pool:
+                ests = list(pool.map(lambda m: make_estimator(m, spec).fit(vectors), models))
+            fitted = list(zip(models, ests))
         finally:
             vectors.unpersist()
     finally:
