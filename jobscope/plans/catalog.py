@@ -150,6 +150,13 @@ def q17_queue_by_occupancy(spark, sf_dir):
                        task_types=["Eval", "Pretrain"])
 
 
+def q17b_queue_by_occupancy_at_submit(spark, sf_dir):
+    jobs = jobs_e(spark, sf_dir)
+    probed = gpus_in_use_at(jobs, gpu_occupancy(jobs, probes="submit_us"), at="submit")
+    return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
+                       task_types=["Eval", "Pretrain"])
+
+
 # The test tables' duration is an exact function of the GPU columns, so
 # the models here predict the queue delay instead and leave it out of the
 # features.
@@ -380,6 +387,14 @@ n AS (SELECT cluster, t, sum(d) AS delta FROM d GROUP BY cluster, t),
 occ AS (SELECT cluster, t, CAST(sum(delta) OVER (PARTITION BY cluster ORDER BY t
                                 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gpus_in_use FROM n)"""
 
+_OCC_SUBMIT = """
+ds AS (SELECT cluster, start_us AS t, CAST(gpu_num AS BIGINT) AS d FROM jobs_e
+       UNION ALL SELECT cluster, end_us AS t, -CAST(gpu_num AS BIGINT) AS d FROM jobs_e
+       UNION ALL SELECT cluster, submit_us AS t, CAST(0 AS BIGINT) AS d FROM jobs_e),
+ns AS (SELECT cluster, t, sum(d) AS delta FROM ds GROUP BY cluster, t),
+occs AS (SELECT cluster, t, CAST(sum(delta) OVER (PARTITION BY cluster ORDER BY t
+                                 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gpus_in_use FROM ns)"""
+
 _U_BIN = _bin_sql("mean_util", 0, 100, 10, False)
 
 ORACLE.update({
@@ -422,6 +437,14 @@ SELECT cluster, t, gpus_in_use FROM occ""",
     "q17_queue_by_occupancy": f"""WITH {_JOBS_E},{_OCC},
 p AS (SELECT je.*, occ.gpus_in_use - CAST(je.gpu_num AS BIGINT) AS in_use
       FROM je LEFT JOIN occ ON occ.cluster = je.cluster AND occ.t = je.start_us)
+SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
+  SELECT task_type, {_bin_sql('in_use', 0, 80, 10, False)} AS bin, count(*) AS n_jobs,
+         {_mean_sql('queue')} AS mean_queue
+  FROM p WHERE task_type IN ('Eval', 'Pretrain') GROUP BY 1, 2)""",
+    "q17b_queue_by_occupancy_at_submit": f"""WITH {_JOBS_E},{_OCC_SUBMIT},
+p AS (SELECT je.*, occs.gpus_in_use - CASE WHEN je.start_us = je.submit_us
+                                           THEN CAST(je.gpu_num AS BIGINT) ELSE 0 END AS in_use
+      FROM je LEFT JOIN occs ON occs.cluster = je.cluster AND occs.t = je.submit_us)
 SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
   SELECT task_type, {_bin_sql('in_use', 0, 80, 10, False)} AS bin, count(*) AS n_jobs,
          {_mean_sql('queue')} AS mean_queue
