@@ -66,8 +66,8 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float],
     with_b = _bucket_expr(df, order, splits, "_bucket")
     totals = with_b.groupBy(*by, "_bucket").agg(F.sum(value).alias("_bt"))
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*by, "_bucket", F.coalesce(F.sum("_bt").over(wb), F.lit(0))
-                          .cast("long").alias("_carry"))
+    carry = totals.select(*by, "_bucket",
+                          F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_carry"))
     wr = Window.partitionBy(*by, "_bucket").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (with_b.join(carry, on=[*by, "_bucket"], how="inner")

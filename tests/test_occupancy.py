@@ -84,3 +84,11 @@ def test_running_sum_partitioning_invariant(spark):
 def test_no_single_partition_window(spark):
     jobs = spark.createDataFrame(INTERVALS, SCHEMA)
     assert single_partition_windows(gpu_occupancy(jobs, buckets=4)) == []
+
+
+def test_running_sum_of_doubles(spark):
+    df = spark.createDataFrame([("g", t, v) for t, v in enumerate([0.5, 1.25, -0.75, 2.5])],
+                               "g string, t long, v double")
+    splits = [float("-inf"), 1.5, float("inf")]
+    got = {r.t: r.running for r in running_sum(df, "t", "v", splits, by=["g"]).collect()}
+    assert got == {0: 0.5, 1: 1.75, 2: 1.0, 3: 3.5}
