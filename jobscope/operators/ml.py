@@ -163,8 +163,9 @@ class Features:
         out = self.stages.transform(df)
         if self.pc is None:
             return out
-        return out.withColumn("_num_arr", vector_to_array("scaled_numeric")) \
-            .withColumn("pca_features", array_to_vector(F.expr(self._projection_sql()))) \
+        if self.spec.numeric:
+            out = out.withColumn("_num_arr", vector_to_array("scaled_numeric"))
+        return out.withColumn("pca_features", array_to_vector(F.expr(self._projection_sql()))) \
             .drop("_num_arr")
 
     def _projection_sql(self) -> str:

@@ -133,3 +133,11 @@ def test_sample_rows(spark):
     got = ml.sample_rows(df, 1000, seed=7).count()
     assert 800 < got < 1200
     assert ml.sample_rows(df, 20000).count() == 10000
+
+
+def test_pca_without_numeric_block(split):
+    train, _ = split
+    spec = ml.FeatureSpec(label="queue", numeric=(), categorical=("task_type",), pca_k=2)
+    feats = ml.fit_features(train, spec)
+    rows = feats.transform(train).select("pca_features").collect()
+    assert len(rows) == train.count() and rows[0].pca_features.size == 2
