@@ -10,13 +10,15 @@ rows (an unpartitioned ``Window.orderBy`` puts every row in one task).
 1. cut the order axis into buckets whose boundaries are approximate
    quantiles of the instants — one scan of the input, no shuffle — so a
    burst of activity is spread over as many buckets as its size needs;
-2. total per (group, bucket), and an exclusive running sum over those
-   totals — one row per bucket, so this window is small;
+2. total per (group, bucket) straight from the deltas, and an exclusive
+   running sum over those totals — one row per bucket, so this window is
+   small;
 3. a window per (group, bucket) ordered by the instant, plus the carry.
 
-Deltas at the same instant are netted first (``groupBy(group, t)`` with
-map-side partial aggregation), so a hot instant collapses to one row
-before any window sees it.
+Deltas at the same instant are netted first (``groupBy(group, bucket, t)``
+with map-side partial aggregation), so a hot instant collapses to one row
+per task before anything is shuffled, and to one row before any window
+sees it.
 """
 
 from __future__ import annotations
@@ -60,19 +62,29 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float],
                 by: Sequence[str] = (), out: str = "running") -> DataFrame:
     """Inclusive prefix sum of ``value`` ordered by ``order`` within ``by``.
 
-    ``order`` must be unique within ``by`` (net same-instant rows first).
+    Rows that share an ``order`` value are netted first, so the output has
+    one row per distinct ``(by, order)``: ``*by, order, value, out``.
+
+    * netting is a grouped sum with map-side partial aggregation, so any
+      number of rows at one ``order`` value shuffles as one row per task;
+    * the per-bucket totals come straight from the input rows, also
+      partially aggregated: that shuffle carries about one row per bucket
+      and task, and it does not wait for the netting;
+    * the carry window runs over one row per bucket; the prefix-sum window
+      runs per ``(by, bucket)``.
     """
     by = list(by)
-    with_b = _bucket_expr(df, order, splits, "_bucket")
-    totals = with_b.groupBy(*by, "_bucket").agg(F.sum(value).alias("_bt"))
+    rows = _bucket_expr(df, order, splits, "_bucket")
+    net = rows.groupBy(*by, "_bucket", order).agg(F.sum(value).alias(value))
+    totals = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_bt"))
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*by, "_bucket",
                           F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_carry"))
     wr = Window.partitionBy(*by, "_bucket").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (with_b.join(carry, on=[*by, "_bucket"], how="inner")
+    return (net.join(carry, on=[*by, "_bucket"], how="inner")
             .withColumn(out, F.col("_carry") + F.sum(value).over(wr))
-            .drop("_bucket", "_carry"))
+            .select(*by, order, value, out))
 
 
 def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
@@ -100,8 +112,8 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
         n = buckets or 4 * jobs.sparkSession.sparkContext.defaultParallelism
         cols = [start, end] + ([probes] if probes else [])
         splits = quantile_splits(j.select(*[F.col(c).cast("double") for c in cols]), cols, n)
-    net = deltas.groupBy(*by, "t").agg(F.sum("d").alias("delta"))
-    return running_sum(net, "t", "delta", splits, by=by, out="gpus_in_use")
+    return running_sum(deltas.withColumnRenamed("d", "delta"), "t", "delta", splits,
+                       by=by, out="gpus_in_use")
 
 
 def gpus_in_use_at(jobs: DataFrame, occupancy: DataFrame, at: str = "start",

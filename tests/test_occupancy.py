@@ -92,3 +92,25 @@ def test_running_sum_of_doubles(spark):
     splits = [float("-inf"), 1.5, float("inf")]
     got = {r.t: r.running for r in running_sum(df, "t", "v", splits, by=["g"]).collect()}
     assert got == {0: 0.5, 1: 1.75, 2: 1.0, 3: 3.5}
+
+
+def test_hot_instant_and_burst(spark):
+    """A third of the jobs start at one instant, another third in a burst."""
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(3000):
+        if i < 1000:
+            s = 500_000                                  # one hot instant
+        elif i < 2000:
+            s = 1_000_000 + rnd.randrange(0, 2_000)      # a narrow burst
+        else:
+            s = rnd.randrange(0, 10_000_000)
+        rows.append(("A", f"j{i}", s, s, s + rnd.randrange(1, 50_000), float(1 + i % 4)))
+    jobs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {(r.cluster, r.t): r.gpus_in_use for r in gpu_occupancy(jobs, buckets=32).collect()}
+    assert got == brute(rows)
+    from jobscope.operators.occupancy import quantile_splits
+    splits = quantile_splits(jobs, ["start_us", "end_us"], 32)
+    in_burst = [x for x in splits if 1_000_000 <= x <= 1_002_000]
+    assert len(in_burst) >= 5          # the burst is cut into several buckets
