@@ -43,6 +43,11 @@ def _norm(v):
     return (3, str(v))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "float": "FLOAT", "boolean": "BOOLEAN", "smallint": "SMALLINT",
+                 "tinyint": "TINYINT", "date": "DATE"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -50,13 +55,17 @@ def compare(spark, con, name, fn, sql, sf_dir):
     s_rows = [tuple(r[c] for c in s_cols) for r in sdf.collect()]
     t1 = time.time()
     rel = con.sql(sql)
+    s_types = dict(sdf.dtypes)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    type_diff = {c: (s_types[c], d_types.get(c)) for c in s_types
+                 if SPARK_TO_DUCK.get(s_types[c], s_types[c]) != d_types.get(c)}
     d_cols_orig = rel.columns
     d_rows_raw = rel.fetchall()
     d_cols = sorted(d_cols_orig)
     idx = [d_cols_orig.index(c) for c in d_cols]
     d_rows = [tuple(r[i] for i in idx) for r in d_rows_raw]
     res = {"name": name, "spark_s": round(t1 - t0, 3), "rows": (len(s_rows), len(d_rows)),
-           "cols_match": s_cols == d_cols}
+           "cols_match": s_cols == d_cols, "type_diff": type_diff}
     if s_cols != d_cols:
         res["cols"] = (s_cols, d_cols)
         res["ok"] = False
