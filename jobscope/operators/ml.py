@@ -51,7 +51,8 @@ class FeatureSpec:
     numeric: tuple[str, ...] = ("node_num", "gpu_num", "cpu_num", "queue")
     categorical: tuple[str, ...] = ("user", "task_type")
     pca_k: int | None = 3
-    max_onehot_width: int = 4096
+    max_onehot_width: int = 4096      # PCA holds width x width on the driver
+    max_categories: int = 100_000     # StringIndexer keeps every label on the driver
 
     @property
     def features_col(self) -> str:
@@ -103,12 +104,19 @@ def hash_split(df: DataFrame, key: str = "job_id", train_fraction: float = 0.8,
 # --------------------------------------------------------------- features
 
 def check_width(train: DataFrame, spec: FeatureSpec) -> dict[str, int]:
-    """Distinct count per categorical column (one pass, approximate) and a
-    guard on the one-hot width that PCA would have to hold densely."""
+    """Distinct count per categorical column (one pass, approximate), checked
+    before any label list or width-squared matrix reaches the driver: every
+    column against ``max_categories``, and with PCA the total one-hot width
+    against ``max_onehot_width``."""
     if not spec.categorical:
         return {}
     row = train.agg(*[F.approx_count_distinct(c).alias(c) for c in spec.categorical]).first()
     widths = {c: int(row[c]) + 1 for c in spec.categorical}
+    too_many = [c for c, w in widths.items() if w > spec.max_categories]
+    if too_many:
+        raise ValueError(f"categorical columns {too_many} have more than "
+                         f"max_categories={spec.max_categories} values; they look like "
+                         f"identifiers, not features")
     total = sum(widths.values()) + len(spec.numeric)
     if spec.pca_k and total > spec.max_onehot_width:
         raise ValueError(
@@ -225,7 +233,8 @@ def principal_axes(vectors: DataFrame, col: str, k: int) -> tuple[np.ndarray, np
 
 def fit_features(train: DataFrame, spec: FeatureSpec) -> Features:
     """Fit the feature stages (scaler, indexers, encoders) and, when
-    ``spec.pca_k`` is set, the principal axes — all on the training rows."""
+    ``spec.pca_k`` is set, the principal axes — all on the training rows.
+    The category guard runs first, whether or not PCA is on."""
     check_width(train, spec)
     stages = Pipeline(stages=feature_stages(spec)).fit(train)
     assembled = stages.transform(train)

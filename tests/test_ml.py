@@ -141,3 +141,11 @@ def test_pca_without_numeric_block(split):
     feats = ml.fit_features(train, spec)
     rows = feats.transform(train).select("pca_features").collect()
     assert len(rows) == train.count() and rows[0].pca_features.size == 2
+
+
+def test_category_guard_without_pca(split):
+    train, _ = split
+    spec = ml.FeatureSpec(label="queue", numeric=("gpu_num",), categorical=("job_id",),
+                          pca_k=None, max_categories=100)
+    with pytest.raises(ValueError, match="max_categories"):
+        ml.fit_features(train, spec)
