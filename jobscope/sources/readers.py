@@ -71,11 +71,19 @@ def rename_wide(df: DataFrame, time_col: str = "Time") -> tuple[DataFrame, dict[
     Returns the renamed frame and ``{col_i: original header}`` so that the
     long form can carry the real unit name.
     """
-    others = [c for c in df.columns if c != time_col]
-    new = {c: f"col_{i}" for i, c in enumerate(others, start=1)}
-    out = df.select(F.col(time_col).alias("time"),
-                    *[F.col(f"`{c}`").alias(n) for c, n in new.items()])
-    return out, {n: c for c, n in new.items()}
+    cols = df.columns
+    if time_col not in cols:
+        raise ValueError(f"no {time_col!r} column in {cols[:5]}...")
+    renamed, names, i = [], {}, 0
+    for c in cols:
+        if c == time_col:
+            renamed.append("time")
+        else:
+            i += 1
+            renamed.append(f"col_{i}")
+            names[f"col_{i}"] = c
+    # one positional rename (a single JVM call however wide the table is)
+    return df.toDF(*renamed), names
 
 
 def read_wide(spark: SparkSession, path: str, time_col: str = "Time",

@@ -67,3 +67,16 @@ def test_wide_to_long_and_means(spark):
     means = {r.unit: r.mean_util
              for r in unit_means(wide_to_long(renamed, names=names)).collect()}
     assert means == {"gpu-a": 15.0, "gpu-b": 50.0, "gpu-c": 30.0}
+
+
+def test_wide_table_with_many_units(spark):
+    n = 500
+    wide = spark.range(30).selectExpr(
+        "CAST(id AS STRING) AS Time",
+        *[f"CAST((id * {i + 1}) % 101 AS STRING) AS `gpu {i}`" for i in range(n)])
+    renamed, names = rename_wide(wide, "Time")
+    means = {r.unit: r.mean_util for r in unit_means(wide_to_long(renamed, names=names)).collect()}
+    assert len(means) == n
+    for i in (0, 7, n - 1):
+        want = round(sum((t * (i + 1)) % 101 for t in range(30)) / 30, 6)
+        assert means[f"gpu {i}"] == pytest.approx(want)
