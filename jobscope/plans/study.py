@@ -22,6 +22,16 @@ from ..operators.occupancy import gpu_occupancy, gpus_in_use_at
 from ..operators.shares import state_shares, unsuccessful_breakdown
 from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
 from ..sources.readers import read_clusters, read_csv, read_wide
+from ..sources.sinks import preview
+
+
+def preview_export(spark: SparkSession, path: str, n: int = 20,
+                   order_by: Sequence[str] | None = None) -> DataFrame:
+    """Connectivity check: the first ``n`` rows of a CSV export, as text.
+    With ``order_by`` the rows are the first in that order; without it,
+    any ``n`` rows (Spark stops reading once it has them)."""
+    df = read_csv(spark, path)
+    return preview(df, order_by, n) if order_by else df.limit(n)
 
 
 def load_tasks(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:

@@ -82,3 +82,9 @@ def test_duration_models(spark, exports):
     rows = {(r.model, r.metric): r.value for r in metrics.collect()}
     assert rows[("lr", "rmse")] >= rows[("lr", "mae")]
     assert {r.model for r in imp.collect()} == {"rf"}
+
+
+def test_preview_export(spark, exports):
+    rows = study.preview_export(spark, exports["tasks"]["A"], n=5, order_by=["job_id"]).collect()
+    assert len(rows) == 5 and all(isinstance(r.job_id, str) for r in rows)
+    assert study.preview_export(spark, exports["tasks"]["A"]).count() == 20
