@@ -3,9 +3,11 @@
 Every query reads whole tables through the adapters in
 ``sources.adapters`` and runs one of the library's operators. The oracle
 SQL recomputes the same report independently from the raw tables; column
-names match the Spark result. Doubles are produced the same way on both
-sides (exact decimal sums, then one division), so values agree bit for
-bit rather than only after rounding.
+names and types match the Spark result. Shares and means of money-like
+values come from exact decimal sums and one division on both sides, so
+they agree bit for bit; where a double depends on summation order (means
+of float samples, model metrics, fitted coefficients) both sides round to
+6 decimals.
 """
 
 from __future__ import annotations
