@@ -1 +1,2 @@
-
+"""DataFrame -> DataFrame operators: normalisation, shares, latency, occupancy,
+utilisation and duration models."""

@@ -1 +1 @@
-
+"""Structured Streaming form of the end-state report over an arriving job log."""
