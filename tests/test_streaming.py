@@ -46,3 +46,25 @@ def test_snapshot_sink(spark):
     finally:
         q.stop()
     assert sum(r.n_jobs for r in spark.read.parquet(out).collect()) == jobs.count()
+
+
+def test_restart_from_checkpoint_does_not_double_count(spark):
+    folder = scratch_path(spark, "stream-restart-in")
+    ckpt = scratch_path(spark, "stream-restart-ckpt")
+    jobs = jobs_from_orders(load(spark, SF_SMALL, "orders"))
+    first, second = jobs.where("job_id % 2 = 0"), jobs.where("job_id % 2 = 1")
+    first.write.parquet(f"{folder}/part-a")
+    q = start_running_counts(job_log_stream(spark, f"{folder}/*", jobs.schema), "restart_a",
+                             checkpoint=ckpt)
+    q.processAllAvailable()
+    q.stop()
+    second.write.parquet(f"{folder}/part-b")
+    # a new query on the same checkpoint resumes: part-a is not read again
+    q = start_running_counts(job_log_stream(spark, f"{folder}/*", jobs.schema), "restart_b",
+                             checkpoint=ckpt)
+    try:
+        q.processAllAvailable()
+        total = sum(r.n_jobs for r in spark.table("restart_b").collect())
+        assert total == jobs.count()
+    finally:
+        q.stop()
