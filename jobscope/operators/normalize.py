@@ -100,6 +100,8 @@ def with_intervals(df: DataFrame) -> DataFrame:
     rounding keeps the arithmetic exact in long.
     """
     cols = set(df.columns)
+    if "submit_time" not in cols and "start_time" not in cols:
+        raise ValueError("intervals need submit_time (with queue) or start_time")
     out = {}
     submit = F.unix_micros(F.col("submit_time")) if "submit_time" in cols else None
     if submit is not None:

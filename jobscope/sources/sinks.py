@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 
 
 def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ("cluster",),
-                 fmt: str = "parquet", mode: str = "overwrite") -> str:
+                 fmt: str = "parquet", mode: str = "overwrite", compact: bool = True) -> str:
     """Write a report as a table (re-aimed chart output, S7).
 
-    Partition columns that the report does not have are skipped. The
-    result of every report is small (bins x groups), so it is coalesced to
-    one file per partition value.
+    Partition columns that the frame does not have are skipped. A report
+    is small (bins x groups), so by default it is written by one task as
+    one file per partition value. ``compact=False`` is for large frames
+    (a whole job log): every task writes its own files, with no shuffle,
+    so a cluster holding most rows does not funnel them through one task.
     """
     parts = [c for c in partition_by if c in df.columns]
-    out = df.repartition(*parts) if parts else df.coalesce(1)
+    out = df.coalesce(1) if compact else df
     writer = out.write.mode(mode).format(fmt)
     if parts:
         writer = writer.partitionBy(*parts)

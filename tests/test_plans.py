@@ -49,7 +49,7 @@ def test_filters_reach_the_scan_on_a_stored_log(spark, scratch):
     from jobscope.plans.inspect import pushed_filters
     from jobscope.sources.adapters import jobs_from_events, load
     from jobscope.sources.sinks import write_result
-    write_result(jobs_from_events(load(spark, SF_SMALL, "events")), scratch)
+    write_result(jobs_from_events(load(spark, SF_SMALL, "events")), scratch, compact=False)
     jobs = normalize_jobs(spark.read.parquet(scratch))
     df = count_by_bin(jobs, "queue", QUEUE_BINS, task_types=["Eval"],
                       where="state = 'CANCELED'", sort=False)

@@ -23,7 +23,7 @@ def test_csv_round_trip_is_text_then_typed(spark, scratch):
 
 def test_cluster_registry_union(spark, scratch):
     orders = jobs_from_orders(load(spark, SF_SMALL, "orders"))
-    write_result(orders, scratch, partition_by=["cluster"])
+    write_result(orders, scratch, partition_by=["cluster"], compact=False)
     paths = {"A": f"{scratch}/cluster=A", "B": f"{scratch}/cluster=B"}
     both = read_clusters(spark, paths)
     counts = {r.cluster: r["count"] for r in both.groupBy("cluster").count().collect()}
