@@ -114,3 +114,11 @@ def test_hot_instant_and_burst(spark):
     splits = quantile_splits(jobs, ["start_us", "end_us"], 32)
     in_burst = [x for x in splits if 1_000_000 <= x <= 1_002_000]
     assert len(in_burst) >= 5          # the burst is cut into several buckets
+
+
+def test_empty_and_invalid_jobs(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert gpu_occupancy(empty).count() == 0
+    # rows without an end or GPU count contribute nothing
+    bad = spark.createDataFrame([("A", "x", 0, 5, None, 2.0), ("A", "y", 0, 5, 9, None)], SCHEMA)
+    assert gpu_occupancy(bad).count() == 0
