@@ -40,8 +40,6 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import exact_mean
-
 HASH_SPACE = 2 ** 32
 
 
@@ -366,11 +364,17 @@ def group_mean_baseline(train: DataFrame, test: DataFrame, group: str = "task_ty
     """Predict the training mean of the label per ``group`` (global mean for
     a group unseen in training) and score it on ``test`` (M12 baseline).
 
-    The per-group means are one row per group; the join to the test rows
-    is decided by AQE on their actual size.
+    One aggregation of the training rows gives exact decimal sums and
+    counts per group; the global mean is summed from those few rows, so
+    the training rows are read once. The join to the test rows is against
+    one row per group, and AQE decides how on its actual size.
     """
-    means = train.groupBy(group).agg(exact_mean(label, scale).alias("_pred"))
-    overall = train.agg(exact_mean(label, scale)).scalar()
+    dec = f"decimal(18,{scale})"
+    sums = train.groupBy(group).agg(F.sum(F.col(label).cast(dec)).alias("_s"),
+                                    F.count(label).alias("_n"))
+    means = sums.select(group, (F.col("_s").cast("double") / F.col("_n").cast("double"))
+                        .alias("_pred"))
+    overall = sums.agg(F.sum("_s").cast("double") / F.sum("_n").cast("double")).scalar()
     scored = (test.join(means, on=group, how="left")
               .withColumn("prediction", F.coalesce(F.col("_pred"), overall)))
     return regression_metrics(scored, label=label)
