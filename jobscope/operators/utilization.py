@@ -77,6 +77,7 @@ def histogram(values: DataFrame, value: str = "mean_util", bins: int = 10,
     """
     by = list(by)
     n = int(bins)
+    x = q(value)
     if not by:
         r = values.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
         rng = {"_mn": r.select("lo").scalar(), "_mx": r.select("hi").scalar()}
@@ -86,38 +87,30 @@ def histogram(values: DataFrame, value: str = "mean_util", bins: int = 10,
         data = values.join(ranged, on=by, how="inner")
     # each step is its own projection over named columns, so the range is
     # computed once and not re-inlined into every sub-expression
-    same = F.col("_mn") == F.col("_mx")
-    data = data.withColumns({
-        "_lo": F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")),
-        "_hi": F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx"))})
-    lo, hi = F.col("_lo"), F.col("_hi")
-    step = (hi - lo) / F.lit(float(n))
-    edge = lambda i: F.when(i == F.lit(n), hi).otherwise(i.cast("double") * step + lo)
-    x = F.col(value)
-    data = data.where(x.isNotNull()).withColumn(
-        "_raw", F.least(F.floor((x - lo) * (F.lit(float(n)) / (hi - lo))).cast("int"),
-                        F.lit(n - 1)))
-    data = data.withColumn("_down", F.when(x < edge(F.col("_raw")), F.col("_raw") - 1)
-                           .otherwise(F.col("_raw")))
-    down = F.col("_down")
-    data = data.withColumn("bin", F.when((x >= edge(down + 1)) & (down != F.lit(n - 1)), down + 1)
-                           .otherwise(down))
-    hits = data.select(*by, "bin", F.lit(1).alias("w"))
+    widen = ["*", "CASE WHEN _mn = _mx THEN _mn - 0.5D ELSE _mn END AS _lo",
+             "CASE WHEN _mn = _mx THEN _mx + 0.5D ELSE _mx END AS _hi"]
+
+    def edge(i: str) -> str:
+        return f"CASE WHEN {i} = {n} THEN _hi ELSE CAST({i} AS DOUBLE) * ((_hi - _lo) / {n}.0D) + _lo END"
+
+    hits = (data.where(F.col(value).isNotNull()).selectExpr(*widen)
+            .selectExpr("*", f"least(CAST(floor(({x} - _lo) * ({n}.0D / (_hi - _lo))) AS INT), "
+                             f"{n - 1}) AS _raw")
+            .selectExpr("*", f"CASE WHEN {x} < {edge('_raw')} THEN _raw - 1 ELSE _raw END AS _down")
+            .selectExpr(*[q(b) for b in by],
+                        f"CASE WHEN {x} >= {edge('_down + 1')} AND _down <> {n - 1} "
+                        f"THEN _down + 1 ELSE _down END AS bin", "1 AS w"))
     if not by:
-        zeros = values.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"),
-                                                    F.lit(0).alias("w"))
+        zeros = values.sparkSession.range(n).selectExpr("CAST(id AS INT) AS bin", "0 AS w")
         counts = hits.unionByName(zeros).groupBy("bin").agg(F.sum("w").alias("n"))
         counts = counts.withColumns(rng)
     else:
-        zeros = ranged.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"),
-                              F.lit(0).alias("w"))
+        zeros = ranged.selectExpr(*[q(b) for b in by], f"explode(sequence(0, {n - 1})) AS bin",
+                                  "0 AS w")
         counts = hits.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("w").alias("n"))
         counts = counts.join(ranged, on=by, how="inner")
-    counts = counts.withColumns({
-        "_lo": F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")),
-        "_hi": F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx"))})
-    return counts.select(*by, "bin", edge(F.col("bin")).alias("bin_lo"),
-                         edge(F.col("bin") + 1).alias("bin_hi"), "n")
+    return counts.selectExpr(*widen).selectExpr(
+        *[q(b) for b in by], "bin", f"{edge('bin')} AS bin_lo", f"{edge('bin + 1')} AS bin_hi", "n")
 
 
 def zone_of(lower_edge) -> F.Column:
