@@ -42,10 +42,15 @@ def _bin_sql(x: str, spec: Specs, key: str) -> str:
 
 
 def _finish(agg: DataFrame, spec: Specs, by: list[str], bin_col: str,
-            label_col: str, sort: bool, key: str = "cluster") -> DataFrame:
+            label_col: str, sort: bool, key: str = "cluster",
+            unknown_bin: int | None = None) -> DataFrame:
     label = (bin_label_sql(q(bin_col), spec) if isinstance(spec, BinSpec)
              else bin_label_by_sql(q(bin_col), spec, q(key)))
     out = agg.withColumns({label_col: F.expr(label)})
+    if unknown_bin is not None:
+        # a non-NULL index for Unknown keeps the column a plain integer
+        # wherever the result goes (pandas would turn NULL ints into floats)
+        out = out.withColumn(bin_col, F.coalesce(F.col(bin_col), F.lit(int(unknown_bin))))
     if sort:
         out = out.orderBy(*by, F.col(bin_col).asc_nulls_last())
     return out
@@ -55,7 +60,7 @@ def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
                 by: Sequence[str] = (), task_types: Sequence[str] | None = None,
                 where=None, scale: int | None = 2, bin_col: str = "bin",
                 label_col: str = "label", sort: bool = True,
-                spec_key: str = "cluster") -> DataFrame:
+                spec_key: str = "cluster", unknown_bin: int | None = None) -> DataFrame:
     """Mean of ``value`` per bin of ``x`` (and per ``by``).
 
     ``spec`` is one ``BinSpec`` or a mapping ``{key value: BinSpec}`` giving
@@ -64,6 +69,7 @@ def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
     scan and one aggregation.
     ``scale`` makes the mean exact at that many decimals (decimal sum /
     count), so it does not depend on partitioning; ``None`` uses ``avg``.
+    The Unknown bin has a NULL index unless ``unknown_bin`` gives one.
     Output: ``*by, bin, n_jobs, mean_<value>, label``.
     """
     by = list(by)
@@ -73,13 +79,14 @@ def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
     mean = exact_mean_sql(q(value), scale) if scale is not None else f"avg({q(value)})"
     agg = df.groupBy(*by, F.expr(_bin_sql(x, spec, spec_key)).alias(bin_col)).agg(
         F.expr("count(1) AS n_jobs"), F.expr(f"{mean} AS {q('mean_' + value)}"))
-    return _finish(agg, spec, by, bin_col, label_col, sort, spec_key)
+    return _finish(agg, spec, by, bin_col, label_col, sort, spec_key, unknown_bin)
 
 
 def count_by_bin(jobs: DataFrame, x: str, spec: Specs, by: Sequence[str] = (),
                  task_types: Sequence[str] | None = None, where=None,
                  bin_col: str = "bin", label_col: str = "label",
-                 sort: bool = True, spec_key: str = "cluster") -> DataFrame:
+                 sort: bool = True, spec_key: str = "cluster",
+                 unknown_bin: int | None = None) -> DataFrame:
     """Number of jobs per bin of ``x``. Output: ``*by, bin, n_jobs, label``.
     ``spec`` may be per ``spec_key`` value, as in ``mean_by_bin``."""
     by = list(by)
@@ -88,7 +95,7 @@ def count_by_bin(jobs: DataFrame, x: str, spec: Specs, by: Sequence[str] = (),
     df = _prepare(jobs, task_types, where)
     agg = df.groupBy(*by, F.expr(_bin_sql(x, spec, spec_key)).alias(bin_col)).agg(
         F.expr("count(1) AS n_jobs"))
-    return _finish(agg, spec, by, bin_col, label_col, sort, spec_key)
+    return _finish(agg, spec, by, bin_col, label_col, sort, spec_key, unknown_bin)
 
 
 def cancels_by_queue_bin(jobs: DataFrame, spec: BinSpec = QUEUE_BINS,

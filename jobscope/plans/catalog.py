@@ -38,6 +38,8 @@ GPU_BINS_TEST = BinSpec(0, 80, 10)
 OCCUPANCY_BINS_TEST = BinSpec(0, 80, 10)
 # one layout per cluster, as the study used 150-wide and 100-wide bins
 GPU_BINS_PER_CLUSTER = {"A": BinSpec(0, 80, 10), "B": BinSpec(0, 100, 25)}
+# reports give the Unknown bin index -1 so the bin column never holds NULL
+UNKNOWN_BIN = -1
 
 
 # ---------------------------------------------------------------- inputs
@@ -93,26 +95,27 @@ def q07_known_state_share(spark, sf_dir):
 
 def q08_queue_by_gpu_bin(spark, sf_dir):
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
-                       task_types=["Eval"])
+                       task_types=["Eval"], unknown_bin=UNKNOWN_BIN)
 
 
 def q08b_queue_by_gpu_bin_per_cluster(spark, sf_dir):
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_PER_CLUSTER,
-                       by=["cluster"], task_types=["Eval"])
+                       by=["cluster"], task_types=["Eval"], unknown_bin=UNKNOWN_BIN)
 
 
 def q09_queue_by_gpu_bin_and_type(spark, sf_dir):
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
-                       by=["task_type"], task_types=["Eval", "Pretrain"])
+                       by=["task_type"], task_types=["Eval", "Pretrain"],
+                       unknown_bin=UNKNOWN_BIN)
 
 
 def q10_queue_bins_all_states(spark, sf_dir):
-    return count_by_bin(jobs_e(spark, sf_dir), "queue", QUEUE_BINS)
+    return count_by_bin(jobs_e(spark, sf_dir), "queue", QUEUE_BINS, unknown_bin=UNKNOWN_BIN)
 
 
 def q11_cancels_by_queue_bin(spark, sf_dir):
     return count_by_bin(jobs_e(spark, sf_dir), "queue", QUEUE_BINS, task_types=["Eval"],
-                        where="state_label = 'Canceled'")
+                        where="state_label = 'Canceled'", unknown_bin=UNKNOWN_BIN)
 
 
 def q12_unsuccessful_breakdown(spark, sf_dir):
@@ -149,14 +152,14 @@ def q17_queue_by_occupancy(spark, sf_dir):
     jobs = jobs_e(spark, sf_dir)
     probed = gpus_in_use_at(jobs, gpu_occupancy(jobs))
     return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
-                       task_types=["Eval", "Pretrain"])
+                       task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
 
 
 def q17b_queue_by_occupancy_at_submit(spark, sf_dir):
     jobs = jobs_e(spark, sf_dir)
     probed = gpus_in_use_at(jobs, gpu_occupancy(jobs, probes="submit_us"), at="submit")
     return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
-                       task_types=["Eval", "Pretrain"])
+                       task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
 
 
 # The test tables' duration is an exact function of the GPU columns, so
@@ -336,11 +339,11 @@ FROM jo GROUP BY state_label""",
                                           extra_where="task_type IN ('Eval', 'Pretrain')"),
     "q07_known_state_share": _share_sql(_JOBS_E, "je", by=["cluster", "task_type"]),
     "q08_queue_by_gpu_bin": f"""WITH {_JOBS_E}
-SELECT bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
+SELECT coalesce(bin, -1) AS bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
   SELECT {_GPU_BIN} AS bin, count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
   FROM je WHERE task_type = 'Eval' GROUP BY 1)""",
     "q08b_queue_by_gpu_bin_per_cluster": f"""WITH {_JOBS_E}
-SELECT cluster, bin, n_jobs, mean_queue,
+SELECT cluster, coalesce(bin, -1) AS bin, n_jobs, mean_queue,
        CASE cluster WHEN 'A' THEN {_label_sql('bin', 0, 80, 10, None)}
                     ELSE {_label_sql('bin', 0, 100, 25, None)} END AS label
 FROM (
@@ -350,14 +353,14 @@ FROM (
          count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
   FROM je WHERE task_type = 'Eval' GROUP BY 1, 2)""",
     "q09_queue_by_gpu_bin_and_type": f"""WITH {_JOBS_E}
-SELECT task_type, bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
+SELECT task_type, coalesce(bin, -1) AS bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
   SELECT task_type, {_GPU_BIN} AS bin, count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
   FROM je WHERE task_type IN ('Eval', 'Pretrain') GROUP BY 1, 2)""",
     "q10_queue_bins_all_states": f"""WITH {_JOBS_E}
-SELECT bin, n_jobs, {_Q_LABEL} AS label FROM (
+SELECT coalesce(bin, -1) AS bin, n_jobs, {_Q_LABEL} AS label FROM (
   SELECT {_Q_BIN} AS bin, count(*) AS n_jobs FROM je GROUP BY 1)""",
     "q11_cancels_by_queue_bin": f"""WITH {_JOBS_E}
-SELECT bin, n_jobs, {_Q_LABEL} AS label FROM (
+SELECT coalesce(bin, -1) AS bin, n_jobs, {_Q_LABEL} AS label FROM (
   SELECT {_Q_BIN} AS bin, count(*) AS n_jobs FROM je
   WHERE task_type = 'Eval' AND state_label = 'Canceled' GROUP BY 1)""",
     "q12_unsuccessful_breakdown": f"""WITH {_JOBS_O},
@@ -439,7 +442,7 @@ SELECT cluster, t, gpus_in_use FROM occ""",
     "q17_queue_by_occupancy": f"""WITH {_JOBS_E},{_OCC},
 p AS (SELECT je.*, occ.gpus_in_use - CAST(je.gpu_num AS BIGINT) AS in_use
       FROM je LEFT JOIN occ ON occ.cluster = je.cluster AND occ.t = je.start_us)
-SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
+SELECT task_type, coalesce(bin, -1) AS bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
   SELECT task_type, {_bin_sql('in_use', 0, 80, 10, False)} AS bin, count(*) AS n_jobs,
          {_mean_sql('queue')} AS mean_queue
   FROM p WHERE task_type IN ('Eval', 'Pretrain') GROUP BY 1, 2)""",
@@ -447,7 +450,7 @@ SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)}
 p AS (SELECT je.*, occs.gpus_in_use - CASE WHEN je.start_us = je.submit_us
                                            THEN CAST(je.gpu_num AS BIGINT) ELSE 0 END AS in_use
       FROM je LEFT JOIN occs ON occs.cluster = je.cluster AND occs.t = je.submit_us)
-SELECT task_type, bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
+SELECT task_type, coalesce(bin, -1) AS bin, n_jobs, mean_queue, {_label_sql('bin', 0, 80, 10, None)} AS label FROM (
   SELECT task_type, {_bin_sql('in_use', 0, 80, 10, False)} AS bin, count(*) AS n_jobs,
          {_mean_sql('queue')} AS mean_queue
   FROM p WHERE task_type IN ('Eval', 'Pretrain') GROUP BY 1, 2)""",

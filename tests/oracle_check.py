@@ -64,8 +64,13 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d_cols = sorted(d_cols_orig)
     idx = [d_cols_orig.index(c) for c in d_cols]
     d_rows = [tuple(r[i] for i in idx) for r in d_rows_raw]
+    # the same frames through pandas: NULLs in an integer column would make
+    # Spark's side float64 and DuckDB's side a nullable integer
+    s_pd = dict(sdf.toPandas().dtypes.astype(str))
+    d_pd = dict(con.sql(sql).df().dtypes.astype(str))
+    pandas_diff = {c: (s_pd[c], d_pd.get(c)) for c in s_pd if s_pd[c] != d_pd.get(c)}
     res = {"name": name, "spark_s": round(t1 - t0, 3), "rows": (len(s_rows), len(d_rows)),
-           "cols_match": s_cols == d_cols, "type_diff": type_diff}
+           "cols_match": s_cols == d_cols, "type_diff": type_diff, "pandas_diff": pandas_diff}
     if s_cols != d_cols:
         res["cols"] = (s_cols, d_cols)
         res["ok"] = False

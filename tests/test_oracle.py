@@ -20,3 +20,4 @@ def test_matches_oracle(spark, con, name):
     assert r["rows"][0] == r["rows"][1], r
     assert r["exact"], r
     assert r["type_diff"] == {}, r
+    assert r["pandas_diff"] == {}, r
