@@ -37,37 +37,11 @@ def to_double(x: Column | str) -> Column:
     return F.expr(to_double_sql(q(x))) if isinstance(x, str) else x.try_cast("double")
 
 
-def to_long(x: Column | str) -> Column:
-    """String/number -> bigint; '12.5' is read as 12.5 and truncated, 'x' is NULL."""
-    if isinstance(x, str):
-        return F.expr(to_long_sql(q(x)))
-    return x.try_cast("double").try_cast("bigint")
-
-
-def exact_sum_sql(x_sql: str, scale: int = 2) -> str:
-    return f"CAST(sum(CAST({x_sql} AS {decimal_type(scale)})) AS double)"
-
-
 def exact_mean_sql(x_sql: str, scale: int = 2) -> str:
     return (f"CAST(sum(CAST({x_sql} AS {decimal_type(scale)})) AS double) "
             f"/ CAST(count({x_sql}) AS double)")
 
 
-def exact_sum(x: Column | str, scale: int = 2) -> Column:
-    """Order-independent sum of a double column at ``scale`` decimals, as double."""
-    if isinstance(x, str):
-        return F.expr(exact_sum_sql(q(x), scale))
-    return F.sum(x.cast(decimal_type(scale))).cast("double")
-
-
-def exact_mean(x: Column | str, scale: int = 2) -> Column:
-    """Mean from an exact decimal sum divided by the non-NULL count."""
-    if isinstance(x, str):
-        return F.expr(exact_mean_sql(q(x), scale))
-    return (F.sum(x.cast(decimal_type(scale))).cast("double")
-            / F.count(x).cast("double"))
-
-
 def pct_sql(part_sql: str, whole_sql: str) -> str:
     return (f"coalesce(try_divide(CAST({part_sql} AS double) * 100.0D, "
             f"CAST({whole_sql} AS double)), 0.0D)")

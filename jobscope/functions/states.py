@@ -48,19 +48,3 @@ def state_label(raw: Column | str) -> Column:
         expr = (F.when(raw == value, label) if expr is None
                 else expr.when(raw == value, label))
     return expr.otherwise(UNKNOWN)
-
-
-def label_order_sql(label_sql: str) -> str:
-    arms = " ".join(f"WHEN {lit_sql(n)} THEN {i}" for i, n in enumerate(REPORT_LABELS))
-    return f"CASE {label_sql} {arms} END"
-
-
-def label_order(label: Column | str) -> Column:
-    """Position of a report label in REPORT_LABELS (0-based)."""
-    if isinstance(label, str):
-        return F.expr(label_order_sql(q(label)))
-    expr = None
-    for i, name in enumerate(REPORT_LABELS):
-        expr = (F.when(label == name, i) if expr is None
-                else expr.when(label == name, i))
-    return expr

@@ -44,13 +44,6 @@ JOB_COLUMNS = {
     "end_time": T.TimestampType(),
 }
 
-UTIL_LONG = T.StructType([
-    T.StructField("cluster", T.StringType()),
-    T.StructField("time", T.StringType()),
-    T.StructField("unit", T.StringType()),
-    T.StructField("util", T.DoubleType()),
-])
-
 
 def all_strings(names) -> T.StructType:
     """A CSV read schema that keeps every listed column as text."""

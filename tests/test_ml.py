@@ -149,3 +149,10 @@ def test_category_guard_without_pca(split):
                           pca_k=None, max_categories=100)
     with pytest.raises(ValueError, match="max_categories"):
         ml.fit_features(train, spec)
+
+
+def test_fit_pipeline_single_model(split):
+    train, test = split
+    feats, est = ml.fit_pipeline(train, C.TEST_FEATURES, ml.ModelSpec("lr", {}))
+    m = ml.regression_metrics(est.transform(feats.transform(test))).first()
+    assert m.n_test == test.count() and m.rmse >= m.mae
