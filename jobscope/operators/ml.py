@@ -351,9 +351,13 @@ def minmax_scaled(train: DataFrame, cols: Sequence[str], key: str = "job_id",
         key, *[arr[i].alias(f"{c}{suffix}") for i, c in enumerate(cols)])
 
 
-def string_indexes(train: DataFrame, cols: Sequence[str], key: str = "job_id") -> DataFrame:
+def string_indexes(train: DataFrame, cols: Sequence[str], key: str = "job_id",
+                   max_categories: int = 100_000) -> DataFrame:
     """Fit ``StringIndexer`` (frequency-descending, ties alphabetical,
-    unseen -> extra index) on ``train``; return ``key`` and ``<col>_index`` (M3)."""
+    unseen -> extra index) on ``train``; return ``key`` and ``<col>_index`` (M3).
+    The label lists live on the driver, so their size is checked first."""
+    check_width(train, FeatureSpec(numeric=(), categorical=tuple(cols), pca_k=None,
+                                   max_categories=max_categories))
     idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_index" for c in cols],
                         handleInvalid="keep", stringOrderType="frequencyDesc")
     return idx.fit(train).transform(train).select(key, *[f"{c}_index" for c in cols])

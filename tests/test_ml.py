@@ -156,3 +156,9 @@ def test_fit_pipeline_single_model(split):
     feats, est = ml.fit_pipeline(train, C.TEST_FEATURES, ml.ModelSpec("lr", {}))
     m = ml.regression_metrics(est.transform(feats.transform(test))).first()
     assert m.n_test == test.count() and m.rmse >= m.mae
+
+
+def test_string_index_guard(split):
+    train, _ = split
+    with pytest.raises(ValueError, match="max_categories"):
+        ml.string_indexes(train, ["job_id"], max_categories=10)
