@@ -58,8 +58,9 @@ def _bucket_expr(df: DataFrame, col: str, splits: list[float], out: str) -> Data
     return b.transform(staged).drop(src).withColumn(out, F.col(out).cast("int"))
 
 
-def running_sum(df: DataFrame, order: str, value: str, splits: list[float],
-                by: Sequence[str] = (), out: str = "running") -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: str, splits: list[float] | None = None,
+                by: Sequence[str] = (), out: str = "running",
+                bucket_width: float | None = None) -> DataFrame:
     """Inclusive prefix sum of ``value`` ordered by ``order`` within ``by``.
 
     Rows that share an ``order`` value are netted first, so the output has
@@ -72,9 +73,17 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float],
       and task, and it does not wait for the netting;
     * the carry window runs over one row per bucket; the prefix-sum window
       runs per ``(by, bucket)``.
+
+    Buckets come from ``splits`` (sorted cut points, e.g. quantiles) or,
+    with ``bucket_width``, from ``floor(order / bucket_width)`` — no pass
+    over the data to choose them, but a burst inside one bucket stays in
+    one task.
     """
     by = list(by)
-    rows = _bucket_expr(df, order, splits, "_bucket")
+    if bucket_width is not None:
+        rows = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(float(bucket_width))))
+    else:
+        rows = _bucket_expr(df, order, splits or [float("-inf"), float("inf")], "_bucket")
     net = rows.groupBy(*by, "_bucket", order).agg(F.sum(value).alias(value))
     totals = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_bt"))
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,13 +99,16 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float],
 def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
                   gpus: str = "gpu_num", by: Sequence[str] = ("cluster",),
                   probes: str | None = None, buckets: int | None = None,
-                  splits: list[float] | None = None) -> DataFrame:
+                  splits: list[float] | None = None,
+                  bucket_width: float | None = None) -> DataFrame:
     """GPUs allocated right after every instant where the allocation changes.
 
     Output: ``*by, t, delta, gpus_in_use`` with one row per distinct
     instant and group. ``probes`` names an extra instant column (e.g. the
     submit time) whose instants get a row too, with delta 0.
-    ``buckets`` defaults to four times the default parallelism.
+    ``buckets`` defaults to four times the default parallelism; their
+    boundaries are quantiles of the instants (one eager pass), unless
+    ``splits`` or a fixed ``bucket_width`` (in the instant's unit) is given.
     """
     by = list(by)
     g = F.col(gpus).cast("long")
@@ -108,12 +120,12 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
         events.append(F.struct(F.col(probes).alias("t"), F.lit(0).cast("long").alias("d")))
     deltas = jobs.select(*by, F.inline(F.array(*events))).where(F.col("t").isNotNull())
     j = jobs.where(valid)
-    if splits is None:
+    if splits is None and bucket_width is None:
         n = buckets or 4 * jobs.sparkSession.sparkContext.defaultParallelism
         cols = [start, end] + ([probes] if probes else [])
         splits = quantile_splits(j.select(*[F.col(c).cast("double") for c in cols]), cols, n)
     return running_sum(deltas.withColumnRenamed("d", "delta"), "t", "delta", splits,
-                       by=by, out="gpus_in_use")
+                       by=by, out="gpus_in_use", bucket_width=bucket_width)
 
 
 def gpus_in_use_at(jobs: DataFrame, occupancy: DataFrame, at: str = "start",

@@ -122,3 +122,11 @@ def test_empty_and_invalid_jobs(spark):
     # rows without an end or GPU count contribute nothing
     bad = spark.createDataFrame([("A", "x", 0, 5, None, 2.0), ("A", "y", 0, 5, 9, None)], SCHEMA)
     assert gpu_occupancy(bad).count() == 0
+
+
+@pytest.mark.parametrize("width", [7, 100, 10_000])
+def test_fixed_width_buckets(spark, width):
+    jobs = spark.createDataFrame(INTERVALS, SCHEMA)
+    got = {(r.cluster, r.t): r.gpus_in_use
+           for r in gpu_occupancy(jobs, bucket_width=width).collect()}
+    assert got == brute(INTERVALS)
