@@ -21,12 +21,18 @@ MICROS = 1_000_000
 def epoch_micros_sql(col_sql: str, dtype: T.DataType) -> str:
     """Epoch microseconds of a timestamp column, as SQL text.
 
-    A zone-less timestamp (TIMESTAMP_NTZ) is read as UTC wall time,
-    whatever the session time zone is; a zoned one is an instant already.
+    A zone-less timestamp (TIMESTAMP_NTZ) is read as UTC wall time whatever
+    the session time zone is. It is built from zone-free parts (days since
+    1970, hour, minute, seconds with fraction) in exact integer arithmetic:
+    going through a zoned timestamp would bring in the session zone, and a
+    wall time inside its daylight-saving gap would come out an hour off.
+    A zoned timestamp is an instant already.
     """
     if isinstance(dtype, T.TimestampNTZType):
-        return (f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
-                f"{col_sql})")
+        return (f"(CAST(datediff(CAST({col_sql} AS DATE), DATE '1970-01-01') AS BIGINT) "
+                f"* 86400000000 + CAST(hour({col_sql}) AS BIGINT) * 3600000000 "
+                f"+ CAST(minute({col_sql}) AS BIGINT) * 60000000 "
+                f"+ CAST(date_part('SECOND', {col_sql}) * 1000000 AS BIGINT))")
     return f"unix_micros({col_sql})"
 
 

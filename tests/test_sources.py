@@ -71,3 +71,24 @@ def test_csv_corrupt_records_are_kept(spark, scratch):
     assert rows["1"]._corrupt is None
     typed = {r.job_id: r.gpu_time for r in normalize_jobs(raw).collect()}
     assert typed == {"1": 3.5, "2": 1.0, "3": None}
+
+
+def test_epoch_micros_ignores_session_zone_and_dst(spark):
+    import calendar
+    import datetime as dt
+    from pyspark.sql import types as T
+    from jobscope.operators.normalize import epoch_micros_sql
+    stamps = [dt.datetime(2024, 1, 15, 3, 4, 5, 123456), dt.datetime(2024, 7, 1, 0, 0, 0, 1),
+              dt.datetime(2024, 3, 10, 2, 30, 0), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+    df = spark.createDataFrame([(s,) for s in stamps], T.StructType(
+        [T.StructField("ts", T.TimestampNTZType())]))
+    want = [calendar.timegm(s.timetuple()) * 1_000_000 + s.microsecond for s in stamps]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r.us for r in df.selectExpr(
+                f"{epoch_micros_sql('ts', T.TimestampNTZType())} AS us").collect()]
+            assert got == want, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
