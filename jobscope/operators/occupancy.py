@@ -30,6 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _parallelism(spark) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def quantile_splits(df: DataFrame, cols: Sequence[str], buckets: int,
                     rel_error: float | None = None) -> list[float]:
     """Strictly increasing split points (with +-inf ends) from approximate
@@ -121,7 +128,7 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
     deltas = jobs.select(*by, F.inline(F.array(*events))).where(F.col("t").isNotNull())
     j = jobs.where(valid)
     if splits is None and bucket_width is None:
-        n = buckets or 4 * jobs.sparkSession.sparkContext.defaultParallelism
+        n = buckets or 4 * _parallelism(jobs.sparkSession)
         cols = [start, end] + ([probes] if probes else [])
         splits = quantile_splits(j.select(*[F.col(c).cast("double") for c in cols]), cols, n)
     return running_sum(deltas.withColumnRenamed("d", "delta"), "t", "delta", splits,
