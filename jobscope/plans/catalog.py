@@ -29,7 +29,7 @@ from ..session import scratch_path
 from ..sources.adapters import (jobs_from_events, jobs_from_orders, load,
                                 util_from_lineitem, wide_daily_from_events,
                                 wide_from_embeddings)
-from ..sources.readers import read_csv
+from ..sources.readers import read_clusters, read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,17 @@ def q03_state_share_by_cluster(spark, sf_dir):
     return state_shares(jobs_o(spark, sf_dir), by=["cluster"])
 
 
+def q03b_state_share_from_cluster_exports(spark, sf_dir):
+    """Per-cluster CSV exports (as a scheduler writes them) read back through
+    the cluster registry: the tag comes from the registry, not the file."""
+    path = scratch_path(spark, "q03b-exports")
+    jobs_from_orders(load(spark, sf_dir, "orders")).write.mode("overwrite") \
+        .partitionBy("cluster").option("header", "true").csv(path)
+    exports = {c: f"{path}/cluster={c}" for c in ("A", "B")}
+    raw = read_clusters(spark, exports, reader=lambda s, p: read_csv(s, p))
+    return state_shares(normalize_jobs(raw), by=["cluster"])
+
+
 def q04_gpu_time_by_state(spark, sf_dir):
     return state_shares(jobs_o(spark, sf_dir), weight="gpu_time") \
         .select("state", "state_order", "gpu_time")
@@ -332,6 +343,7 @@ SELECT state_label AS state, count(*) AS n_jobs,
 FROM jo GROUP BY state_label""",
     "q02_state_share": _share_sql(_JOBS_O, "jo"),
     "q03_state_share_by_cluster": _share_sql(_JOBS_O, "jo", by=["cluster"]),
+    "q03b_state_share_from_cluster_exports": _share_sql(_JOBS_O, "jo", by=["cluster"]),
     "q04_gpu_time_by_state": f"""SELECT state, state_order, gpu_time FROM (
 {_share_sql(_JOBS_O, "jo", weight="gpu_time")})""",
     "q05_gpu_time_share_by_cluster": _share_sql(_JOBS_O, "jo", by=["cluster"], weight="gpu_time"),
