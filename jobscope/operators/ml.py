@@ -210,7 +210,8 @@ def feature_blocks(stages: PipelineModel, spec: FeatureSpec,
     return tuple(blocks)
 
 
-def principal_axes(vectors: DataFrame, col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+def principal_axes(vectors: DataFrame, col: str, k: int,
+                   width: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Top-``k`` principal axes of a vector column.
 
     The covariance is Spark's (``RowMatrix.computeCovariance``: one
@@ -220,8 +221,9 @@ def principal_axes(vectors: DataFrame, col: str, k: int) -> tuple[np.ndarray, np
     sign, without its full SVD; signs are fixed so the largest entry of
     each axis is positive.
     """
-    cov = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(col), col)) \
-        .computeCovariance().toArray()
+    # a known width spares RowMatrix the job that would look it up
+    cov = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(col), col),
+                    numCols=int(width)).computeCovariance().toArray()
     w, v = np.linalg.eigh(cov)
     order = np.argsort(w)[::-1][:k]
     pc = v[:, order]
@@ -245,7 +247,7 @@ def fit_features(train: DataFrame, spec: FeatureSpec) -> Features:
         raise ValueError(f"feature layout {blocks} does not add up to {size} slots")
     if not spec.pca_k:
         return Features(stages, spec, blocks)
-    pc, explained = principal_axes(assembled, "features", spec.pca_k)
+    pc, explained = principal_axes(assembled, "features", spec.pca_k, width)
     return Features(stages, spec, blocks, pc, explained)
 
 
