@@ -68,10 +68,12 @@ def q01_csv_ingest(spark, sf_dir):
 
 
 def q02_state_share(spark, sf_dir):
+    """Share of jobs per end state (all labels, zero when absent)."""
     return state_shares(jobs_o(spark, sf_dir))
 
 
 def q03_state_share_by_cluster(spark, sf_dir):
+    """Share of jobs per end state and cluster — the flagship report."""
     return state_shares(jobs_o(spark, sf_dir), by=["cluster"])
 
 
@@ -87,58 +89,70 @@ def q03b_state_share_from_cluster_exports(spark, sf_dir):
 
 
 def q04_gpu_time_by_state(spark, sf_dir):
+    """Exact GPU time per end state."""
     return state_shares(jobs_o(spark, sf_dir), weight="gpu_time") \
         .select("state", "state_order", "gpu_time")
 
 
 def q05_gpu_time_share_by_cluster(spark, sf_dir):
+    """GPU-time shares per end state and cluster."""
     return state_shares(jobs_o(spark, sf_dir), by=["cluster"], weight="gpu_time")
 
 
 def q06_state_share_by_type(spark, sf_dir):
+    """Shares per job type (Eval, Pretrain)."""
     jobs = jobs_o(spark, sf_dir).where(F.col("task_type").isin("Eval", "Pretrain"))
     return state_shares(jobs, by=["task_type"])
 
 
 def q07_known_state_share(spark, sf_dir):
+    """Shares with two unknown raw states, per cluster and job type."""
     return state_shares(jobs_e(spark, sf_dir), by=["cluster", "task_type"])
 
 
 def q08_queue_by_gpu_bin(spark, sf_dir):
+    """Eval mean queue delay per bin of GPUs already in use."""
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
                        task_types=["Eval"], unknown_bin=UNKNOWN_BIN)
 
 
 def q08b_queue_by_gpu_bin_per_cluster(spark, sf_dir):
+    """Same, each cluster with its own bin layout, in one pass."""
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_PER_CLUSTER,
                        by=["cluster"], task_types=["Eval"], unknown_bin=UNKNOWN_BIN)
 
 
 def q09_queue_by_gpu_bin_and_type(spark, sf_dir):
+    """Eval and Pretrain on one GPU axis, in one pass."""
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
                        by=["task_type"], task_types=["Eval", "Pretrain"],
                        unknown_bin=UNKNOWN_BIN)
 
 
 def q10_queue_bins_all_states(spark, sf_dir):
+    """Jobs per queue-delay bin, with the >300 overflow bin."""
     return count_by_bin(jobs_e(spark, sf_dir), "queue", QUEUE_BINS, unknown_bin=UNKNOWN_BIN)
 
 
 def q11_cancels_by_queue_bin(spark, sf_dir):
+    """Cancelled Eval jobs per queue-delay bin."""
     return count_by_bin(jobs_e(spark, sf_dir), "queue", QUEUE_BINS, task_types=["Eval"],
                         where="state_label = 'Canceled'", unknown_bin=UNKNOWN_BIN)
 
 
 def q12_unsuccessful_breakdown(spark, sf_dir):
+    """Cancelled share of unsuccessful jobs, by count and GPU time."""
     return unsuccessful_breakdown(jobs_o(spark, sf_dir), by=["cluster"])
 
 
 def q13_unit_mean_util(spark, sf_dir):
+    """Per-unit mean of a 64-column wide utilisation table."""
     wide = wide_from_embeddings(load(spark, sf_dir, "embeddings"))
     return unit_means(wide_to_long(wide))
 
 
 def q13b_unit_mean_util_daily(spark, sf_dir):
+    """Per-unit mean of a daily pivot (one column per event type)."""
     wide = wide_daily_from_events(load(spark, sf_dir, "events"))
     return unit_means(wide_to_long(wide))
 
@@ -148,18 +162,22 @@ def _line_unit_means(spark, sf_dir):
 
 
 def q14_util_histogram(spark, sf_dir):
+    """10-bin histogram of per-unit means, numpy's binning rule."""
     return histogram(_line_unit_means(spark, sf_dir), bins=10)
 
 
 def q15_util_bands(spark, sf_dir):
+    """Units per 10-point utilisation band, with zones."""
     return util_bands(_line_unit_means(spark, sf_dir))
 
 
 def q16_gpu_occupancy(spark, sf_dir):
+    """GPUs in use after every allocation change, per cluster."""
     return gpu_occupancy(jobs_e(spark, sf_dir)).select("cluster", "t", "gpus_in_use")
 
 
 def q17_queue_by_occupancy(spark, sf_dir):
+    """Mean queue delay by GPUs used by others when a job starts."""
     jobs = jobs_e(spark, sf_dir)
     probed = gpus_in_use_at(jobs, gpu_occupancy(jobs))
     return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
@@ -167,6 +185,7 @@ def q17_queue_by_occupancy(spark, sf_dir):
 
 
 def q17b_queue_by_occupancy_at_submit(spark, sf_dir):
+    """Same, sampled when a job is submitted."""
     jobs = jobs_e(spark, sf_dir)
     probed = gpus_in_use_at(jobs, gpu_occupancy(jobs, probes="submit_us"), at="submit")
     return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
@@ -199,6 +218,7 @@ def _train_test(spark, sf_dir):
 
 
 def q18_training_rows(spark, sf_dir):
+    """Completed jobs, typed, rows with NULL features dropped, label set."""
     rows = training_rows(jobs_e(spark, sf_dir), label=TEST_FEATURES.label,
                          required=TEST_FEATURES.numeric + (TEST_FEATURES.label,))
     return rows.select("job_id", "user", "task_type", "node_num", "gpu_num", "cpu_num",
@@ -206,36 +226,43 @@ def q18_training_rows(spark, sf_dir):
 
 
 def q19_hash_split(spark, sf_dir):
+    """Stable 80/20 split by a salted md5 of the job id."""
     return hash_split(jobs_e(spark, sf_dir), "job_id", TRAIN_FRACTION, SPLIT_SEED) \
         .select("job_id", "split")
 
 
 def q20_minmax_features(spark, sf_dir):
+    """MinMaxScaler fitted on the training rows."""
     train, _ = _train_test(spark, sf_dir)
     return minmax_scaled(train, TEST_FEATURES.numeric)
 
 
 def q21_string_index(spark, sf_dir):
+    """StringIndexer indexes (frequency, then text) on the training rows."""
     train, _ = _train_test(spark, sf_dir)
     return string_indexes(train, ["user", "task_type"])
 
 
 def q22_baseline_metrics(spark, sf_dir):
+    """Per-type mean predictor scored on the test rows."""
     train, test = _train_test(spark, sf_dir)
     return group_mean_baseline(train, test, group="task_type")
 
 
 def q23_linear_one_feature(spark, sf_dir):
+    """One-feature least squares with Spark ML's normal solver."""
     train, _ = _train_test(spark, sf_dir)
     return linear_fit(train, "gpu_use_count")
 
 
 def q24_model_metrics(spark, sf_dir):
+    """LR, RF and GBT on shared features + PCA: metric rows."""
     train, test = _train_test(spark, sf_dir)
     return evaluate(TEST_MODELS, train, test, TEST_FEATURES)[0]
 
 
 def q25_feature_importance(spark, sf_dir):
+    """RF and GBT feature importances over the PCA axes."""
     train, test = _train_test(spark, sf_dir)
     return evaluate([m for m in TEST_MODELS if m.kind != "lr"], train, test, TEST_FEATURES)[1]
 
