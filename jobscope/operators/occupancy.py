@@ -29,6 +29,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binning import bin_index_sql
+from .latency import _finish, _prepare
+
 
 def _parallelism(spark) -> int:
     try:
@@ -156,3 +159,39 @@ def gpus_in_use_at(jobs: DataFrame, occupancy: DataFrame, at: str = "start",
     else:
         mine = F.when(F.col(start) == F.col(submit), own).otherwise(F.lit(0))
     return joined.withColumn(out, F.col("_occ") - mine).drop("_occ")
+
+
+def mean_by_occupancy(jobs: DataFrame, occupancy: DataFrame, spec, value: str = "queue",
+                      by: Sequence[str] = ("task_type",), at: str = "start",
+                      start: str = "start_us", submit: str = "submit_us",
+                      gpus: str = "gpu_num", group: Sequence[str] = ("cluster",),
+                      task_types: Sequence[str] | None = None, scale: int = 2,
+                      unknown_bin: int | None = None, sort: bool = True) -> DataFrame:
+    """Mean of ``value`` per bin of GPUs in use by other jobs (A12 with A4, A13).
+
+    Gives the same numbers as ``mean_by_bin`` over ``gpus_in_use_at``, but
+    jobs are first aggregated per (group, instant, own GPUs, *by) — exact
+    decimal sums and counts, map-side partial aggregation — so the join to
+    the occupancy table carries one row per distinct instant and job shape
+    instead of one per job. A third of all jobs starting together is one row
+    per shape, not a hot join key. Output: ``*by, bin, n_jobs, mean_<value>, label``.
+    """
+    by, group = list(by), list(group)
+    key = start if at == "start" else submit
+    own = F.col(gpus).cast("long")
+    if at != "start":
+        own = F.when(F.col(start) == F.col(submit), own).otherwise(F.lit(0).cast("long"))
+    dec = f"decimal(18,{scale})"
+    pre = (_prepare(jobs, task_types, None)
+           .groupBy(*group, key, own.alias("_own"), *by)
+           .agg(F.count(F.lit(1)).alias("_n"),
+                F.sum(F.col(value).cast(dec)).alias("_s"),
+                F.count(value).alias("_c")))
+    occ = occupancy.select(*group, F.col("t").alias(key), F.col("gpus_in_use").alias("_occ"))
+    probed = pre.join(occ, on=[*group, key], how="left") \
+        .withColumn("_in_use", F.col("_occ") - F.col("_own"))
+    agg = probed.groupBy(*by, F.expr(bin_index_sql("_in_use", spec)).alias("bin")).agg(
+        F.sum("_n").alias("n_jobs"),
+        F.try_divide(F.sum("_s").cast("double"), F.sum("_c").cast("double"))
+        .alias(f"mean_{value}"))
+    return _finish(agg, spec, by, "bin", "label", sort, "cluster", unknown_bin)

@@ -22,7 +22,7 @@ from ..operators.latency import QUEUE_BINS, count_by_bin, mean_by_bin
 from ..operators.ml import (FeatureSpec, ModelSpec, evaluate, group_mean_baseline,
                             hash_split, linear_fit, minmax_scaled, string_indexes, HASH_SPACE)
 from ..operators.normalize import normalize_jobs, training_rows
-from ..operators.occupancy import gpu_occupancy, gpus_in_use_at
+from ..operators.occupancy import gpu_occupancy, mean_by_occupancy
 from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
 from ..operators.shares import state_shares, unsuccessful_breakdown
 from ..session import scratch_path
@@ -179,17 +179,16 @@ def q16_gpu_occupancy(spark, sf_dir):
 def q17_queue_by_occupancy(spark, sf_dir):
     """Mean queue delay by GPUs used by others when a job starts."""
     jobs = jobs_e(spark, sf_dir)
-    probed = gpus_in_use_at(jobs, gpu_occupancy(jobs))
-    return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
-                       task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
+    return mean_by_occupancy(jobs, gpu_occupancy(jobs), OCCUPANCY_BINS_TEST, by=["task_type"],
+                             task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
 
 
 def q17b_queue_by_occupancy_at_submit(spark, sf_dir):
     """Same, sampled when a job is submitted."""
     jobs = jobs_e(spark, sf_dir)
-    probed = gpus_in_use_at(jobs, gpu_occupancy(jobs, probes="submit_us"), at="submit")
-    return mean_by_bin(probed, "gpus_in_use", OCCUPANCY_BINS_TEST, by=["task_type"],
-                       task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
+    return mean_by_occupancy(jobs, gpu_occupancy(jobs, probes="submit_us"),
+                             OCCUPANCY_BINS_TEST, by=["task_type"], at="submit",
+                             task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
 
 
 # The test tables' duration is an exact function of the GPU columns, so

@@ -130,3 +130,19 @@ def test_fixed_width_buckets(spark, width):
     got = {(r.cluster, r.t): r.gpus_in_use
            for r in gpu_occupancy(jobs, bucket_width=width).collect()}
     assert got == brute(INTERVALS)
+
+
+@pytest.mark.parametrize("at", ["start", "submit"])
+def test_mean_by_occupancy_equals_per_job_path(spark, at):
+    from jobscope.functions.binning import BinSpec
+    from jobscope.operators.latency import mean_by_bin
+    from jobscope.operators.occupancy import mean_by_occupancy
+    from jobscope.plans import catalog as C
+    from conftest import SF_SMALL
+    jobs = C.jobs_e(spark, SF_SMALL)
+    occ = gpu_occupancy(jobs, probes="submit_us" if at == "submit" else None)
+    spec = BinSpec(0, 80, 10)
+    per_job = mean_by_bin(gpus_in_use_at(jobs, occ, at=at), "gpus_in_use", spec,
+                          by=["task_type"], unknown_bin=-1).collect()
+    pre_agg = mean_by_occupancy(jobs, occ, spec, at=at, unknown_bin=-1).collect()
+    assert sorted(map(tuple, pre_agg)) == sorted(map(tuple, per_job))
