@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bfd_output, bpe, line_dedup, nnls_pack, toxicity
+from llm import bfd_output, bpe, line_dedup, lsh_forest, nnls_pack, toxicity
 from llm.common import read_table, remainder_of_crc
 from llm.ship import shipped
 
@@ -44,6 +44,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_removed", "sha2(cast(text as binary), 256) as text_sha256", "cast(length(text) as long) as n_chars")
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document: 3-word shingles, similarity 0.85 or more."""
+    return lsh_forest.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=0.85, width=3)
+
+
 def op9_bfd_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packed sequence: its size, segments and a digest of its ids."""
     packed = bfd_output.pack(read_table(spark, sf_dir, "documents"), tokenizer_source(), END_ID)
@@ -58,5 +63,5 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: shipped(f) for f in (
-    op3_toxicity, op5_bpe_trie, op6_line_dedup, op9_bfd_output, op10_nnls_packing)}
+    op3_toxicity, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op9_bfd_output, op10_nnls_packing)}
 ORACLE: dict[str, str] = {}
