@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bfd_output, bpe, line_dedup, lsh_forest, nnls_pack, toxicity
+from llm import bfd_output, bpe, line_dedup, lsh_forest, ngram_trie, nnls_pack, toxicity
 from llm.common import read_table, remainder_of_crc
 from llm.ship import shipped
 
@@ -22,6 +22,12 @@ def tokenizer_source(path: str | None = None) -> str:
     return bpe.read_tokenizer(path)
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a trigram model of the documents outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (remainder_of_crc("doc_id", 7) != 2).alias("train"))
+    return ngram_trie.score(docs).withColumn("trained", ~F.col("trained")).withColumnRenamed("trained", "held_out")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from labels outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,5 +69,5 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: shipped(f) for f in (
-    op3_toxicity, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op9_bfd_output, op10_nnls_packing)}
+    op2_ngram_trie, op3_toxicity, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op9_bfd_output, op10_nnls_packing)}
 ORACLE: dict[str, str] = {}
