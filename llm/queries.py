@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bfd_output, bpe, line_dedup, lsh_forest, ngram_trie, nnls_pack, toxicity
-from llm.common import read_table, remainder_of_crc
+from llm import ball_tree, bfd_output, bpe, flat_graph, line_dedup, lsh_forest, ngram_trie, nnls_pack, toxicity, warc
+from jobscope.session import scratch_path
+from llm.common import materialise, read_table, remainder_of_crc
 from llm.ship import shipped
 
 #: The tokenizer of the token queries, and the id that ends a document in packed sequences.
@@ -22,6 +23,11 @@ def tokenizer_source(path: str | None = None) -> str:
     return bpe.read_tokenizer(path)
 
 
+def op1_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector id with all other vectors."""
+    return ball_tree.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under a trigram model of the documents outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (remainder_of_crc("doc_id", 7) != 2).alias("train"))
@@ -38,6 +44,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.expr("cast(if(score >= 0.5, 1, 0) as int)"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archived capture reads back: payload size and digest, record type and what it refers to."""
+    path = scratch_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.page_table(materialise(warc.records(spark, path, payloads=False), "warc-records"))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     return bpe.digest(read_table(spark, sf_dir, "documents"), tokenizer_source())
@@ -55,6 +68,11 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=0.85, width=3)
 
 
+def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector: cosine 0.9 or more."""
+    return flat_graph.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_bfd_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packed sequence: its size, segments and a digest of its ids."""
     packed = bfd_output.pack(read_table(spark, sf_dir, "documents"), tokenizer_source(), END_ID)
@@ -69,5 +87,5 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: shipped(f) for f in (
-    op2_ngram_trie, op3_toxicity, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op9_bfd_output, op10_nnls_packing)}
+    op1_ball_tree, op2_ngram_trie, op3_toxicity, op4_warc, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op8_flat_graph, op9_bfd_output, op10_nnls_packing)}
 ORACLE: dict[str, str] = {}
