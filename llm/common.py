@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from jobscope.session import scratch_path
 
 #: Bytes of text that one vectorised pass looks at; longer text is cut at white space.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -54,11 +54,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Spark removes a query's shuffle files when the query ends, not when the driver collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
+
+    Nothing reads the written query's shuffles again, so they are cleaned up with it where Spark can.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN_UP, None)
+    if before is not None and spark.conf.isModifiable(_CLEAN_UP):
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None and spark.conf.isModifiable(_CLEAN_UP):
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -81,13 +81,21 @@ class EliasFano:
         most = int(self.zeros[-1])
         inside = np.flatnonzero(bucket < most)
         bucket, low = bucket[inside], x[inside] & np.uint64((1 << self.width) - 1)
-        start = np.where(bucket > 0, self._zero_place(np.maximum(bucket - 1, 0)) - bucket + 1, 0)
-        stop = self._zero_place(bucket) - bucket  # padding zeros of the last word give empty buckets at the end
-        at, todo = start, np.flatnonzero(start < stop)
-        while len(todo):
-            here = get_bits(self.low, at[todo], self.width)
-            out[inside[todo[here == low[todo]]]] = at[todo[here == low[todo]]]
-            todo = todo[here < low[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < stop[todo]]
+        if 8 * len(x) > self.n:  # for many lookups at once all buckets' ends are decoded, for as long as this takes
+            ends = np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)
+            ends -= np.arange(len(ends))
+            start, stop = np.where(bucket > 0, ends[bucket - 1], 0), ends[bucket]
+        else:
+            start = np.where(bucket > 0, self._zero_place(np.maximum(bucket - 1, 0)) - bucket + 1, 0)
+            stop = self._zero_place(bucket) - bucket
+        at, end, todo = start, stop.copy(), np.flatnonzero(start < stop)
+        while len(todo):  # by halves: buckets of a frequent context are long
+            middle = (at[todo] + end[todo]) >> 1
+            less = get_bits(self.low, middle, self.width) < low[todo]
+            at[todo[less]] = middle[less] + 1
+            end[todo[~less]] = middle[~less]
+            todo = todo[at[todo] < end[todo]]
+        hit = np.flatnonzero(at < stop)
+        hit = hit[get_bits(self.low, at[hit], self.width) == low[hit]]
+        out[inside[hit]] = at[hit]
         return out

@@ -24,7 +24,7 @@ the chunks add up the parts of their contexts' totals. Nothing about single
 words or documents reaches the driver but that bounded list (at most 1 / HOT
 words), token totals and vocabulary size.
 
-Words are known by 64-bit hashes, successors within a context by 32 bits.
+Words are known by 64-bit hashes, successors within a context by their upper 32 bits.
 Null and empty texts are a lone end. Rows repeat as they come. Without
 training rows every probability is the unigram's 1 / (0 + 1 * (0 + 1)).
 """
@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from llm.common import materialise, mix, text_buffers, word_hashes
 from llm.elias_fano import EliasFano
 
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Tokens whose n-grams a shard gathers, about.
-SHARD = 2_500_000
+SHARD = 1_200_000
 HOT = 0.005
 M2, M3 = 200.0, 20.0
 END, START = (int(x) for x in mix(np.array([101, 102], np.uint64)))
@@ -63,7 +63,8 @@ def dump(*arrays: np.ndarray) -> bytes:
         top = int(a.max()) if len(a) else 0
         kind = next(k for k, most in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if top < most)
         head.append(f"{kind}:{len(a)}")
-        body.append(a.astype(kind).tobytes())
+        a = a.astype(kind)
+        body.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())  # byte by byte: equal high bytes compress
     head = " ".join(head).encode()
     return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(body))
 
@@ -74,11 +75,38 @@ def load(data: bytes) -> list[np.ndarray]:
     out = []
     for field in data[4:at].decode().split():
         kind, n = field.split(":")
-        out.append(np.frombuffer(data, kind, int(n), at))
-        at += out[-1].nbytes
+        size = int(n) * np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, size, at).reshape(-1, int(n))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind) if size else np.zeros(0, kind))
+        at += size
     return out
 
 
+def steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """32-bit differences within runs of the given sizes; the first of a run stands as it is."""
+    out = values.astype(np.uint32)
+    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[1:] -= values[:-1].astype(np.uint32)
+    out[firsts] = values[firsts]
+    return out
+
+
+def from_steps(d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sizes = sizes[sizes > 0].astype(np.int64)
+    total = np.cumsum(d.astype(np.uint32), dtype=np.uint32)
+    firsts = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[firsts] - d[firsts].astype(np.uint32), sizes)
+
+
+def dump_words(words: np.ndarray) -> bytes:
+    """Ascending 64-bit hashes."""
+    return dump(np.diff(words, prepend=np.uint64(0)))
+
+
+def load_words(data: bytes) -> np.ndarray:
+    return np.cumsum(load(data)[0].astype(np.uint64), dtype=np.uint64)
+
+
 # -- chunks
 
 _CHUNK_SCHEMA = "chunk long, ids array<long>, trained array<boolean>, sizes array<int>, words binary, tokens binary, n_train long, hot array<struct<word: long, n: long>>"
@@ -99,7 +127,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
             often = np.flatnonzero(own >= max(1, HOT * len(words)))
             hot = [{"word": int(np.int64(distinct[i].astype(np.int64))), "n": int(own[i])} for i in often]
             return pa.RecordBatch.from_pylist([{
-                "chunk": number, "ids": ids, "trained": trained, "sizes": size.tolist(), "words": distinct.tobytes(), "tokens": dump(place),
+                "chunk": number, "ids": ids, "trained": trained, "sizes": size.tolist(), "words": dump_words(distinct), "tokens": dump(place),
                 "n_train": int(own.sum()), "hot": hot}], schema=schema)
 
         schema = pa.schema([
@@ -109,8 +137,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
         for batch in batches:
             buf, offsets = text_buffers(batch.column(1))
             low = 0
-            while low < batch.num_rows:  # some megabytes of text at a time
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (8 << 20), "right")) - 1)
+            while low < batch.num_rows:  # a few megabytes of text at a time
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (4 << 20), "right")) - 1)
                 high = min(high, batch.num_rows)
                 words, first = word_hashes(buf[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                 parts.append(np.insert(words, first[1:], np.uint64(END)))
@@ -133,8 +161,8 @@ class Ngrams:
     """The distinct n-grams of a chunk, ascending: (v, w), (v, u) and, by places among those, the trigrams."""
 
     def __init__(self, row: pd.Series):
-        words = np.frombuffer(row["words"], np.uint64)
-        tokens = load(row["tokens"])[0].astype(np.int64)
+        words = load_words(row["words"])
+        tokens = load(row["tokens"])[0].astype(np.int32)
         size = np.asarray(row["sizes"], np.int64)
         self.ends = np.cumsum(size)
         self.words = words if START in words else np.append(words, np.uint64(START))
@@ -143,18 +171,22 @@ class Ngrams:
         v[1:] = tokens[:-1]
         firsts = self.ends - size
         v[firsts] = start
-        u = np.empty_like(tokens)
-        u[1:] = v[:-1]
-        u[firsts] = start
         n = start + 1
-        self.vw, vw = np.unique(v * n + tokens, return_inverse=True)
-        self.vu, vu = np.unique(v * n + u, return_inverse=True)
-        self.tri, self.place = np.unique(vu * len(self.vw) + vw, return_inverse=True)
+        self.vw, vw = _distinct(v * np.int64(n) + tokens)
+        key = v * np.int64(n)
+        key[1:] += v[:-1]
+        key[firsts] = v[firsts] * np.int64(n) + start
+        del v
+        self.vu, vu = _distinct(key)
+        del key
+        self.tri, self.place = _distinct(vu * np.int64(len(self.vw)) + vw)
+        del vu, vw
         self.train = np.repeat(np.asarray(row["trained"], bool), size)
         self.count = np.bincount(self.place[self.train], minlength=len(self.tri))
-        self.v_of_vw, self.w = self.vw // n, self.vw % n
-        self.v_of_vu, self.u = self.vu // n, self.vu % n
-        self.tri_vu, self.tri_vw = self.tri // max(1, len(self.vw)), self.tri % max(1, len(self.vw))
+        self.v_of_vw, self.w = _halves(self.vw, n)
+        self.v_of_vu, self.u = _halves(self.vu, n)
+        self.tri_vu, self.tri_vw = _halves(self.tri, max(1, len(self.vw)))
+        self.vw, self.vu, self.tri = len(self.vw), len(self.vu), len(self.tri)
         self.tokens = tokens
 
     def blocks(self, shards: int, hot: dict[int, tuple[int, int]]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
@@ -192,14 +224,32 @@ class Ngrams:
         """Words, successors, longer contexts, and the trigrams by their places among the block's successors and contexts."""
         v, vw, vu, tri = block
         words = self.words
+        n_vw, n_vu = (np.diff(np.append(np.searchsorted(of, v), len(of))) for of in (self.v_of_vw[vw], self.v_of_vu[vu]))
         return dump(
-            words[v], np.diff(np.append(np.searchsorted(self.v_of_vw[vw], v), len(vw))), np.diff(np.append(np.searchsorted(self.v_of_vu[vu], v), len(vu))),
-            words[self.w[vw]] & np.uint64(0xFFFFFFFF), words[self.u[vu]] & np.uint64(0xFFFFFFFF),
+            np.diff(words[v], prepend=np.uint64(0)), n_vw, n_vu,
+            steps((words >> np.uint64(32))[self.w[vw]], n_vw), steps((words >> np.uint64(32))[self.u[vu]], n_vu),
             np.diff(np.append(np.searchsorted(self.tri_vu[tri], vu), len(tri))),
             np.searchsorted(vw, self.tri_vw[tri]) - np.searchsorted(self.v_of_vw[vw], self.v_of_vu[self.tri_vu[tri]]),
             self.count[tri])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and each key's 32-bit place among them."""
+    order = np.argsort(keys)
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    ascending = keys[order]
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ascending[new], place
+
+
+def _halves(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    high = keys // n
+    return high.astype(np.int32), (keys - high * n).astype(np.int32)
+
+
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """first[0]..last[0]-1, first[1]..last[1]-1, ..."""
     n = last - first
@@ -283,37 +333,53 @@ def _at(values: np.ndarray, place: np.ndarray, missing: int) -> np.ndarray:
     return np.where(place >= 0, values[np.maximum(place, 0)], missing)
 
 
+def _unpacked(block: list[np.ndarray]) -> list[np.ndarray]:
+    v, n_vw, n_vu, w, u = block[:5]
+    return [np.cumsum(v.astype(np.uint64), dtype=np.uint64), n_vw, n_vu, from_steps(w, n_vw), from_steps(u, n_vu), *block[5:]]
+
+
 def serve_shard(payloads: list[bytes]) -> list[bytes]:
     """Add up the blocks' counts, build the shard's trie, and answer each block from it."""
-    blocks = [load(p) for p in payloads]
-    v_all = np.concatenate([b[0] for b in blocks]).astype(np.uint64)
+    blocks = [_unpacked(load(p)) for p in payloads]
+    v_all = np.concatenate([b[0] for b in blocks])
     # the trie keeps 62 bits of a hash, so that pointers stay monotone 64-bit integers
     v, v_place = np.unique(v_all >> np.uint64(2) << np.uint64(2), return_inverse=True)
     vw_keys, vu_keys, tri_vu, tri_vw, counts = [], [], [], [], []
     at_v = at_vw = at_vu = 0
-    queries = []
+    sizes = []
     for b in blocks:
-        n_vw, n_vu, w, u, n_tri, rel, count = (x.astype(np.int64) for x in b[1:])
+        n_vw, n_vu, w, u, n_tri, rel, count = b[1:]
+        n_vw, n_vu, rel, w, u = n_vw.astype(np.int64), n_vu.astype(np.int64), rel.astype(np.int32), w.astype(np.int64), u.astype(np.int64)
         mine = v_place[at_v:at_v + len(b[0])]
-        of_vw, of_vu = np.repeat(np.arange(len(b[0])), n_vw), np.repeat(np.arange(len(b[0])), n_vu)
-        first = np.cumsum(n_vw) - n_vw
-        own_vu = np.repeat(np.arange(len(u)), n_tri)
+        each = np.arange(len(b[0]), dtype=np.int32)
+        of_vw, of_vu = np.repeat(each, n_vw), np.repeat(each, n_vu)
+        first = (np.cumsum(n_vw) - n_vw).astype(np.int32)
+        own_vu = np.repeat(np.arange(len(u), dtype=np.int32), n_tri)
         own_vw = first[of_vu[own_vu]] + rel
-        queries.append((b[0].astype(np.uint64), of_vw, w, of_vu, u, own_vu, own_vw))
+        sizes.append((len(b[0]), len(u), len(w), len(rel)))
         vw_keys.append(mine[of_vw] << 32 | w)
         vu_keys.append(mine[of_vu] << 32 | u)
         tri_vu.append(own_vu + at_vu)
         tri_vw.append(own_vw + at_vw)
-        counts.append(count)
+        counts.append(count.astype(np.int64))
         at_v, at_vw, at_vu = at_v + len(b[0]), at_vw + len(w), at_vu + len(u)
-    vw, vw_place = np.unique(np.concatenate(vw_keys), return_inverse=True)
-    vu, vu_place = np.unique(np.concatenate(vu_keys), return_inverse=True)
-    count = np.concatenate(counts)
-    seen = count > 0
-    key = vu_place[np.concatenate(tri_vu)[seen]] * len(vw) + vw_place[np.concatenate(tri_vw)[seen]]
-    tri, place = np.unique(key, return_inverse=True)
-    trie = Trie.build(v, vw, vu, tri // max(1, len(vw)), tri % max(1, len(vw)), np.bincount(place, count[seen], len(tri)).astype(np.int64))
-    return [dump(*trie.answer(*q)) for q in queries]
+    vw, vw_place = _distinct(np.concatenate(vw_keys))
+    vu, vu_place = _distinct(np.concatenate(vu_keys))
+    del vw_keys, vu_keys
+    key = vu_place[np.concatenate(tri_vu)] * np.int64(len(vw)) + vw_place[np.concatenate(tri_vw)]
+    del tri_vu, tri_vw
+    tri, tri_place = _distinct(key)
+    del key
+    tri_vu, tri_vw = _halves(tri, max(1, len(vw)))
+    count = np.bincount(tri_place, np.concatenate(counts), len(tri)).astype(np.int64)
+    trie = Trie.build(v, vw, vu, tri_vu.astype(np.int64), tri_vw.astype(np.int64), count)
+    # each distinct n-gram that the blocks ask for is looked up once
+    found = trie.answer(v, vw >> 32, vw & 0xFFFFFFFF, vu >> 32, vu & 0xFFFFFFFF, tri_vu, tri_vw)
+    places, ends, out = (v_place, vu_place, vw_place, tri_place), [0, 0, 0, 0], []
+    for size in sizes:
+        out.append(dump(*(f[p[e:e + n]] for f, p, e, n in zip(found, places, ends, size))))
+        ends = [e + n for e, n in zip(ends, size)]
+    return out
 
 
 # -- scoring
@@ -334,16 +400,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     def send_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, row in pdf.iterrows():
-                words, place = np.frombuffer(row["words"], np.uint64), load(row["tokens"])[0]
+                words, place = load_words(row["words"]), load(row["tokens"])[0]
                 own = np.bincount(place[np.repeat(np.asarray(row["trained"], bool), np.asarray(row["sizes"]))], minlength=len(words))
                 cuts = np.searchsorted((words >> np.uint64(32)).astype(np.int64) * shards >> 32, np.arange(shards + 1))
                 some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
                 yield pd.DataFrame({"chunk": row["chunk"], "shard": some, "payload": [
-                    dump(words[cuts[s]:cuts[s + 1]], own[cuts[s]:cuts[s + 1]]) for s in some]})
+                    dump(np.diff(words[cuts[s]:cuts[s + 1]], prepend=np.uint64(0)), own[cuts[s]:cuts[s + 1]]) for s in some]})
 
     def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = [load(p) for p in pdf["payload"]]
-        words, place = np.unique(np.concatenate([b[0].astype(np.uint64) for b in blocks]), return_inverse=True)
+        words, place = np.unique(np.concatenate([np.cumsum(b[0].astype(np.uint64), dtype=np.uint64) for b in blocks]), return_inverse=True)
         count = np.bincount(place, np.concatenate([b[1] for b in blocks]), len(words)).astype(np.int64)
         ends = np.cumsum([len(b[0]) for b in blocks])
         answers = [dump(count[place[e - len(b[0]):e]]) for b, e in zip(blocks, ends)]
@@ -372,17 +438,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         counts = pdf[pdf["kind"] == 1].sort_values("shard")
         c = np.concatenate([load(p)[0] for p in counts["payload"]]).astype(float)
         answers = dict(zip(*pdf[pdf["kind"] == 2][["shard", "payload"]].to_numpy().T)) if (pdf["kind"] == 2).any() else {}
-        total_v, total_vu = np.zeros(len(c) + 1), np.zeros(len(grams.vu))
-        c_vw, c_tri = np.zeros(len(grams.vw)), np.zeros(len(grams.tri))
+        total_v, total_vu = np.zeros(len(c) + 1), np.zeros(grams.vu)
+        c_vw, c_tri = np.zeros(grams.vw), np.zeros(grams.tri)
         for s, (v, vw, vu, tri) in grams.blocks(shards, hot):
             part_v, part_vu, code_vw, code_tri = load(answers[s])
             total_v[v] += part_v
             total_vu[vu] += part_vu
-            # a split context's share of the counts: its values are relative to its own part's total
-            own_v, own_vu = np.zeros(len(c) + 1), np.zeros(len(grams.vu))
-            own_v[v], own_vu[vu] = part_v, part_vu
-            c_vw[vw] = restored(code_vw) * (own_v[grams.v_of_vw[vw]] + M2)
-            c_tri[tri] = restored(code_tri) * (own_vu[grams.tri_vu[tri]] + M3)
+            # a split context's values are relative to its own part's total
+            c_vw[vw] = restored(code_vw) * (part_v[np.searchsorted(v, grams.v_of_vw[vw])] + M2)
+            c_tri[tri] = restored(code_tri) * (part_vu[np.searchsorted(vu, grams.tri_vu[tri])] + M3)
         unigram = (c + 1) / (n_train + vocabulary + 1)
         p2 = (c_vw + M2 * unigram[np.minimum(grams.w, len(c) - 1)]) / (total_v[grams.v_of_vw] + M2)
         p3 = (c_tri + M3 * p2[grams.tri_vw]) / (total_vu[grams.tri_vu] + M3)
