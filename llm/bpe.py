@@ -3,8 +3,8 @@
 In a byte-pair encoding every prefix of a word has one last token, and it
 follows from the prefix before that token: t is the last token of a prefix
 if it ends the prefix and (last token of the rest, t) stay apart when
-merged. So the distinct words of a batch go into a trie, states pass down
-it once per node, and a word's encoding is read by walking its last tokens
+merged. So the distinct words of a batch form a trie, states pass down it
+once per node, and a word's encoding is read by walking its last tokens
 backwards: words that share a prefix share its states. A word's final
 symbol carries the end mark, so it is a leaf of its own below the shared
 prefix.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import gc
 import json
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,11 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encoding a task keeps from one batch to the next; others are encoded again.
-KEPT_WORDS = 300_000
+#: Units (words with their punctuation) whose encoding a task keeps from one batch to the next; others are encoded again.
+KEPT_WORDS = 200_000
 #: Characters of text that are split and encoded together.
 BATCH_CHARS = 8 << 20
 _NEVER = 1 << 30
+_ODD = regex.compile("[\x1c-\x1f]")
 _FAR = regex.compile("[^\x00-\u024f]")
 
 
@@ -50,10 +52,10 @@ class WordBpe:
     """Encoder and decoder of one tokenizer file.
 
     A symbol is one byte, as chr(byte), or as chr(256 + byte) if it ends its word.
-    ``make`` turns a word's ids into what ``encode_batch`` returns for it.
+    ``make`` turns a word's ids into what ``encode_batch`` returns for it, ``join`` those of a unit's words into one.
     """
 
-    def __init__(self, source: str, make: Callable[[tuple[int, ...]], object] = tuple):
+    def __init__(self, source: str, make: Callable[[tuple[int, ...]], object] = tuple, join: Callable[[list], object] = lambda parts: sum(parts, ())):
         spec = json.loads(source)
         model = spec["model"]
         if spec["decoder"] is not None or not model["end_of_word_suffix"] or any(
@@ -63,7 +65,7 @@ class WordBpe:
         names = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if [p["type"] for p in parts] != ["Split", "ByteLevel"] or names != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("unknown text handling in the tokenizer file")
-        self.source, self.make = source, make
+        self.source, self.make, self.join = source, make, join
         self.words = regex.compile(parts[0]["pattern"]["Regex"])
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
@@ -78,18 +80,41 @@ class WordBpe:
         made = {c: (rank, a, b) for (a, b), (rank, c) in self.merges.items()}
         self.left = {t: self._spine(t, made, 1) for t in self.size}
         self.right = {t: self._spine(t, made, 2) for t in self.size}
-        #: trie of the reversed tokens; 0 leads to a token's id
-        self.reversed: dict = {}
-        for s, i in self.id_of.items():
-            node = self.reversed
-            for c in reversed(s):
-                node = node.setdefault(c, {})
-            node[0] = i
+        self._suffixes()
         self.apart: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.kept: dict[str, object] = {}
+        self.passing: list[str] = []
         self.library = None
 
+    def _suffixes(self) -> None:
+        """An automaton over the tokens: what it reads last decides which tokens end here, longest first (``self.ends``)."""
+        self.moves: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, ...]] = [()]
+        for text, token in self.id_of.items():
+            node = 0
+            for c in text:
+                if c not in self.moves[node]:
+                    self.moves[node][c] = len(self.moves)
+                    self.moves.append({})
+                    self.ends.append(())
+                node = self.moves[node][c]
+            self.ends[node] = (token,)
+        self.shorter = [0] * len(self.moves)
+        #: moves by way of shorter suffixes, as they come up
+        self.found: list[dict[str, int]] = [{} for _ in self.moves]
+        queue = list(self.moves[0].values())
+        for node in queue:
+            for c, child in self.moves[node].items():
+                queue.append(child)
+                self.shorter[child] = self._move(self.shorter[node], c)
+                self.ends[child] += self.ends[self.shorter[child]]
+
+    def _move(self, node: int, c: str) -> int:
+        while node and c not in self.moves[node]:
+            node = self.shorter[node]
+        return self.moves[node][c]
+
     def _symbols(self, token: str, end: str) -> str:
         if token.endswith(end) and len(token) > len(end):
             body = "".join(chr(self.byte[c]) for c in token[:-len(end)])
@@ -108,22 +133,29 @@ class WordBpe:
     # -- words of a text
 
     def split(self, text: str | None) -> list[str]:
-        """The text's words; a special token comes as its own string."""
+        """The text's units: runs without white space, lower-cased. The split pattern never crosses white space,
+        so it is applied to each distinct unit once (``_words_of``). A unit after "\\n" is a special token, one
+        after " " is a word already."""
         if not text:
             return []
         pieces = self.cut.split(text) if self.cut and "<" in text else [text]
         out: list[str] = []
         for i, piece in enumerate(pieces):
             if i % 2:
-                out.append(piece)
-            elif piece.isascii():
-                out += self.words.findall(piece.lower())
-            elif _FAR.search(piece):
-                out += self._library_words(piece)
+                out.append("\n" + piece)
+            elif not piece.isascii() and _FAR.search(piece):
+                out += [" " + w for w in self._library_words(piece)]
+            elif _ODD.search(piece):  # white space to Python, not to the pattern
+                out += [" " + w for w in self.words.findall(unicodedata.normalize("NFC", piece).lower())]
             else:
-                out += self.words.findall(unicodedata.normalize("NFC", piece).lower())
+                out += piece.lower().split()  # letters up to U+024F are in normal form
         return out
 
+    def _words_of(self, unit: str) -> list[str]:
+        if unit[0] == "\n":
+            return [unit]
+        return [unit[1:]] if unit[0] == " " else self.words.findall(unit)
+
     def _library_words(self, piece: str) -> list[str]:
         """Beyond Latin letters the library's own tables decide on letters and cases."""
         if self.library is None:
@@ -177,113 +209,98 @@ class WordBpe:
     # -- the trie of words
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each distinct word."""
-        collecting = gc.isenabled()
-        gc.disable()  # no cycles are made here, and the collector would walk the whole trie again and again
-        try:
-            return self._encode_words(words)
-        finally:
-            if collecting:
-                gc.enable()
+        """The ids of each distinct word.
 
-    def _encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        root: dict = {}
+        Sorted words with their common prefixes are the trie in depth-first order: from one word to the next
+        the states of the shared prefix stay, and only the new nodes below it get theirs.
+        """
         out: dict[str, tuple[int, ...]] = {}
+        texts: list[tuple[str, str]] = []
         for word in words:
-            if word in self.specials:
-                out[word] = (self.specials[word],)
+            if word[0] == "\n":
+                out[word] = (self.specials[word[1:]],)
                 continue
             text = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
-            node = root
-            for c in text[:-1]:
-                node = node.setdefault(c, {})
-            node[chr(256 + ord(text[-1]))] = word
-        self._descend(root, out)
-        return out
-
-    def _descend(self, root: dict, out: dict[str, tuple[int, ...]]) -> None:
-        """Depth first: one shared path, and with it the last token of each of its prefixes."""
-        path: list[str] = []
-        last: list[int] = []
-        first, size, apart = self.reversed, self.size, self.apart
-        stack: list[tuple[int, str, object]] = [(0, c, n) for c, n in root.items()]
-        while stack:
-            depth, c, node = stack.pop()
-            del path[depth:], last[depth:]
-            ends = first[c]
-            token, n, i = ends[0], 1, depth - 1
-            candidates = [(token, n)]
-            while i >= 0:
-                ends = ends.get(path[i])
-                if ends is None:
+            texts.append((text[:-1] + chr(256 + ord(text[-1])), word))
+        texts.sort()
+        moves, all_ends, size, apart = self.moves, self.ends, self.size, self.apart
+        found: list[dict[str, int]] = self.found
+        last: list[int] = []  # the last token of each prefix on the way down
+        nodes: list[int] = [0]  # and the automaton's node
+        before = ""
+        for text, word in texts:
+            depth = 0
+            for x, y in zip(before, text):
+                if x != y:
                     break
-                n += 1
-                i -= 1
-                if 0 in ends:
-                    candidates.append((ends[0], n))
-            while len(candidates) > 1:
-                token, n = candidates.pop()
-                if n > depth:
-                    if self._whole(token):
-                        break
-                else:
-                    before = last[depth - n]
-                    key = before << 20 | token
-                    stays = apart.get(key)
-                    if stays is None:
-                        stays = apart[key] = self._stays(before, token)
-                    if stays:
+                depth += 1
+            del last[depth:], nodes[depth + 1:]
+            before, node = text, nodes[depth]
+            for depth in range(depth, len(text)):
+                c = text[depth]
+                to = moves[node].get(c)
+                if to is None:
+                    to = found[node].get(c)
+                    if to is None:
+                        to = found[node][c] = self._move(node, c)
+                node = to
+                nodes.append(node)
+                ends = all_ends[node]
+                for token in ends:  # the longest one that stays apart from what comes before it
+                    n = size[token]
+                    if n > depth:
+                        if n == 1 or self._whole(token):
+                            break
+                    elif n == 1 and token == ends[-1]:
                         break
-            else:
-                token, n = candidates[0]
-            if type(node) is dict:
-                path.append(c)
+                    else:
+                        left = last[depth - n]
+                        key = left << 20 | token
+                        stays = apart.get(key)
+                        if stays is None:
+                            stays = apart[key] = self._stays(left, token)
+                        if stays:
+                            break
                 last.append(token)
-                depth += 1
-                for c, child in node.items():
-                    stack.append((depth, c, child))
-            else:
-                ids, at = [token], depth - n
-                while at >= 0:
-                    token = last[at]
-                    ids.append(token)
-                    at -= size[token]
-                ids.reverse()
-                out[node] = tuple(ids)
+            ids, at = [], len(text) - 1
+            while at >= 0:
+                token = last[at]
+                ids.append(token)
+                at -= size[token]
+            ids.reverse()
+            out[word] = tuple(ids)
+        return out
 
     # -- batches
 
     def encode_batch(self, texts: list[str | None]) -> tuple[list[list[str]], Callable[[str], object]]:
-        """The words of each text, and a function from each of them to ``make`` of its ids."""
-        split = [self.split(t) for t in texts]
+        """The units of each text, and a function from each of them to ``make`` of its ids."""
         known, make = self.kept, self.make
-        new = {w for words in split for w in words if w not in known}
-        found = {w: make(ids) for w, ids in self.encode_words(new).items()}
-        room = KEPT_WORDS - len(known)
+        for unit in self.passing:
+            del known[unit]
+        split = [self.split(t) for t in texts]
+        unknown = set().union(*split).difference(known)
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and the collector would walk all that is kept again and again
+        try:
+            new = {u: self._words_of(u) for u in unknown}
+            room = KEPT_WORDS - len(known)
+            ids = self.encode_words({w for words in new.values() for w in words if w not in known})
+            made = {w: make(x) for w, x in ids.items()}
+            join = self.join
+            known.update((u, made[words[0]] if len(words) == 1 and words[0] in made else join([made[w] if w in made else known[w] for w in words])) for u, words in new.items())
+        finally:
+            if collecting:
+                gc.enable()
+        self.passing = [u for k, u in enumerate(new) if k >= room]
         if len(self.apart) > 2_000_000:
             self.apart.clear()
-        if room >= len(found):
-            known.update(found)
-            return split, known.__getitem__
-        if room > 0:
-            known.update({w: found[w] for w, _ in zip(found, range(room))})
-        both = _Both(found)
-        both.kept = known
-        return split, both.__getitem__
+        return split, known.__getitem__
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.strings[i] for i in ids)
 
 
-class _Both(dict):
-    """Looks a word up in this batch's words, then in the kept ones."""
-
-    kept: dict
-
-    def __missing__(self, word):
-        return self.kept[word]
-
-
 def char_runs(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:
     """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
     start, size = 0, 0
@@ -306,13 +323,14 @@ def _as_ids(source: str) -> WordBpe:
 def _as_strings(source: str) -> WordBpe:
     bpe = WordBpe(source)
     bpe.make = lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids))
+    bpe.join = lambda parts: (sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
     return bpe
 
 
 @functools.lru_cache(maxsize=2)
 def as_bytes(source: str) -> WordBpe:
     """A worker process's encoder whose words come as little-endian unsigned 32-bit ids; later tasks use it again."""
-    return WordBpe(source, lambda ids: np.array(ids, "<u4").tobytes())
+    return WordBpe(source, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
 
 
 def read_tokenizer(path: str) -> str:
