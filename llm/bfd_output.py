@@ -19,6 +19,7 @@ block makes a block of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -94,13 +95,13 @@ def pack(df: DataFrame, source: str, end_id: int, window: int = WINDOW, pad_id:
 
     def rows(block: list[tuple[object, bytes]], first: int, kind: str) -> pd.DataFrame:
         pieces = [(doc, at, ids[4 * at:4 * (at + n)]) for doc, ids in block for at, n in split_lengths(len(ids) // 4, window)]
-        out = []
-        for k, items in enumerate(best_fit_decreasing([len(p[2]) // 4 for p in pieces], window)):
-            ids = np.frombuffer(b"".join(pieces[i][2] for i in items), "<u4")
-            cuts = np.cumsum([0] + [len(pieces[i][2]) // 4 for i in items])
-            padded = np.pad(ids, (0, window - len(ids)), constant_values=pad_id).astype(kind)
-            out.append((first + k, len(ids), padded.tobytes(), cuts.astype(np.int32), cuts[:-1].astype(np.int32),
-                        [pieces[i][0] for i in items], np.array([pieces[i][1] for i in items], np.int64)))
+        out, pad = [], np.array([pad_id], kind).tobytes()
+        sizes = [len(p[2]) // 4 for p in pieces]
+        for k, items in enumerate(best_fit_decreasing(sizes, window)):
+            ids = np.frombuffer(b"".join([pieces[i][2] for i in items]), "<u4")
+            cuts = [0, *accumulate([sizes[i] for i in items])]
+            out.append((first + k, len(ids), ids.astype(kind).tobytes() + pad * (window - len(ids)), cuts, cuts[:-1],
+                        [pieces[i][0] for i in items], [pieces[i][1] for i in items]))
         return pd.DataFrame(out, columns=["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "docs", "starts"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

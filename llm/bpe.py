@@ -81,7 +81,7 @@ class WordBpe:
         self.left = {t: self._spine(t, made, 1) for t in self.size}
         self.right = {t: self._spine(t, made, 2) for t in self.size}
         self._suffixes()
-        self.apart: dict[int, bool] = {}
+        self.apart: dict[int, dict[int, bool]] = {t: {} for t in self.size}
         self.alone: dict[int, bool] = {}
         self.kept: dict[str, object] = {}
         self.passing: list[str] = []
@@ -152,7 +152,7 @@ class WordBpe:
         return out
 
     def _words_of(self, unit: str) -> list[str]:
-        if unit[0] == "\n":
+        if unit[0] == "\n" or unit.isalpha():
             return [unit]
         return [unit[1:]] if unit[0] == " " else self.words.findall(unit)
 
@@ -215,20 +215,19 @@ class WordBpe:
         the states of the shared prefix stay, and only the new nodes below it get theirs.
         """
         out: dict[str, tuple[int, ...]] = {}
-        texts: list[tuple[str, str]] = []
+        words_of: dict[str, str] = {}
         for word in words:
             if word[0] == "\n":
                 out[word] = (self.specials[word[1:]],)
                 continue
             text = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
-            texts.append((text[:-1] + chr(256 + ord(text[-1])), word))
-        texts.sort()
+            words_of[text[:-1] + chr(256 + ord(text[-1]))] = word
         moves, all_ends, size, apart = self.moves, self.ends, self.size, self.apart
         found: list[dict[str, int]] = self.found
         last: list[int] = []  # the last token of each prefix on the way down
         nodes: list[int] = [0]  # and the automaton's node
         before = ""
-        for text, word in texts:
+        for text in sorted(words_of):
             depth = 0
             for x, y in zip(before, text):
                 if x != y:
@@ -255,10 +254,9 @@ class WordBpe:
                         break
                     else:
                         left = last[depth - n]
-                        key = left << 20 | token
-                        stays = apart.get(key)
+                        stays = apart[left].get(token)
                         if stays is None:
-                            stays = apart[key] = self._stays(left, token)
+                            stays = apart[left][token] = self._stays(left, token)
                         if stays:
                             break
                 last.append(token)
@@ -268,7 +266,7 @@ class WordBpe:
                 ids.append(token)
                 at -= size[token]
             ids.reverse()
-            out[word] = tuple(ids)
+            out[words_of[text]] = tuple(ids)
         return out
 
     # -- batches
@@ -293,8 +291,8 @@ class WordBpe:
             if collecting:
                 gc.enable()
         self.passing = [u for k, u in enumerate(new) if k >= room]
-        if len(self.apart) > 2_000_000:
-            self.apart.clear()
+        if sum(map(len, self.apart.values())) > 1_000_000:
+            self.apart = {t: {} for t in self.size}
         return split, known.__getitem__
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SLICE, materialise, mix, row_slices, text_buffers, word_hashes
+from llm.common import SLICE, materialise, mix, release, row_slices, text_buffers, word_hashes
 from llm.components import connected_components
 
 TREES = 10
@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
                 names=["id", "d1", "d2", "n", "sig"])
+            release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "id long, d1 long, d2 long, n long, sig binary")
@@ -194,6 +195,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_c
         for batch in batches:
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "shingles"])
+            release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     if needed.count() <= BROADCAST_IDS:

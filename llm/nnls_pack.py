@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bpe import as_bytes, char_runs
-from llm.common import materialise
+from llm.common import materialise, release
 
 WINDOW = 2048
 BUCKETS = 256
@@ -63,6 +63,7 @@ def pieces(df: DataFrame, source: str, end_id: int, window: int = WINDOW, id_col
             out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
             out.insert(0, "id", pdf["id"].iloc[owners].to_numpy())
             yield out
+            release()
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -19,9 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the model learns from all labels of ``sf_dir``."""
     ship(spark)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where("label is not null")
-    train = docs.select("doc_id", "text").join(labels, "doc_id").withColumn("key", F.col("doc_id"))
     score = fresh(docs, "_score")
-    scored = docs.withColumn(score, toxicity.score_column(docs, toxicity.fit(train)))
+    scored = docs.withColumn(score, toxicity.score_column(docs, toxicity.fit(docs, labels)))
     return scored.where(F.col(score) < 0.5).drop(score)
 
 

@@ -24,15 +24,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import materialise, release
+
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 21
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that a fit uses at most: those with the smallest hash, half of it for either class.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 SMOOTHING = 1.0
 #: Least log-likelihood ratio (G squared) of a feature's counts against equal shares in both classes.
 MIN_EVIDENCE = 20.0
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,31 +51,37 @@ def _slice_buckets(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.nd
             yield bucket[whole], owner[:len(h)][whole]
 
 
-def ngram_buckets(texts: list[str | None], keep: np.ndarray | None = None) -> np.ndarray:
-    """Distinct (text number, bucket) pairs as text * BUCKETS + bucket, sorted; ``keep`` marks wanted buckets."""
-    out: list[np.ndarray] = []
-
-    def take(parts: list[str], owners: list[int]) -> None:
+def ngram_buckets(texts: list[str | None], keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Distinct (text number, bucket) pairs as text * BUCKETS + bucket, ascending, some whole texts at a time; ``keep`` marks wanted buckets."""
+    def distinct(parts: list[str], owners: list[int]) -> np.ndarray:
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
-        owner = np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
-        got = [o * BUCKETS + b.astype(np.int64) for b, o in _slice_buckets(codes, owner)] if keep is None else [
-            o[k] * BUCKETS + b[k].astype(np.int64) for b, o in _slice_buckets(codes, owner) for k in [keep[b]]]
-        if got:
-            out.append(np.unique(np.concatenate(got)))
+        owner = np.repeat(np.array(owners, np.int32), [len(p) for p in parts])
+        got = [np.zeros(0, np.int64)]
+        for b, o in _slice_buckets(codes, owner):
+            if keep is not None:
+                k = np.flatnonzero(keep[b])
+                b, o = b[k], o[k]
+            got.append(o.astype(np.int64) << BUCKET_BITS | b.astype(np.int64))
+        return np.unique(np.concatenate(got))
 
     parts, owners, size = [], [], 0
     for i, text in enumerate(texts):
         text = (text or "").lower()
-        step = _SLICE - max(ORDERS) + 1  # slices of a long text overlap, so that no n-gram is lost
-        for at in range(0, max(1, len(text) - max(ORDERS) + 1), step):
-            parts.append(text[at:at + _SLICE])
+        if len(text) > _SLICE:  # slices of a long text overlap, so that no n-gram is lost
+            step = _SLICE - max(ORDERS) + 1
+            found = np.zeros(0, np.int64)
+            for at in range(0, len(text), step):
+                found = np.union1d(found, distinct([text[at:at + _SLICE]], [i]))
+            yield found
+        elif text:
+            parts.append(text)
             owners.append(i)
-            size += len(parts[-1])
+            size += len(text)
             if size >= _SLICE:
-                take(parts, owners)
+                yield distinct(parts, owners)
                 parts, owners, size = [], [], 0
-    take(parts, owners)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    if parts:
+        yield distinct(parts, owners)
 
 
 @dataclass(frozen=True)
@@ -85,13 +93,15 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         keep = np.zeros(BUCKETS, bool)
         keep[self.buckets] = True
-        found = ngram_buckets(texts, keep)
-        weight = self.weights[np.searchsorted(self.buckets, found % BUCKETS)] if len(found) else np.zeros(0)
-        z = self.bias + np.bincount(found // BUCKETS, weight, len(texts))[:len(texts)]
+        z = np.full(len(texts), self.bias)
+        for found in ngram_buckets(texts, keep):
+            if len(found):
+                weight = self.weights[np.searchsorted(self.buckets, found & (BUCKETS - 1))]
+                z += np.bincount(found >> BUCKET_BITS, weight, len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _logistic(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 200) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on sparse rows of scaled features, by Adam."""
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
@@ -105,33 +115,41 @@ def _logistic(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, penalty: flo
         g = np.append(np.bincount(index, value * e[owner], len(r)), e.sum()) / len(y)
         g[:-1] += penalty * w[:-1] / len(r)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", key_col: str = "key", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on rows with a text and a 0/1 label; ``key_col`` orders the choice of the bounded sample."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(key_col).alias("h")).where("y in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_train: int = MAX_TRAIN) -> Model:
+    """Fit on the texts of ``docs`` whose ids have a 0/1 label in ``labels``.
+
+    The bounded sample is chosen among the labelled ids, so at most ``max_train`` small rows are
+    broadcast and no text is shuffled but theirs.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).distinct()
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y")).join(ids, "id", "left_semi").withColumn("h", F.xxhash64("id"))
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         share = 1.0 if 1 in n else 0.0
         return Model(np.zeros(0, np.int64), np.zeros(0), 500.0 if share else -500.0)
     half = max_train // 2
-    parts = [rows.where(F.col("y") == y).orderBy("h", "text").limit(min(n[y], max(half, max_train - n[1 - y]))) for y in (0, 1)]
-    sample = parts[0].union(parts[1]).repartition(2 * max(1, labelled.sparkSession.sparkContext.defaultParallelism // 2)).persist()
-    try:
-        return _fit_sample(sample)
-    finally:
-        sample.unpersist()
+    parts = [rows.where(F.col("y") == y).orderBy("h", "id").limit(min(n[y], max(half, max_train - n[1 - y]))) for y in (0, 1)]
+    chosen = F.broadcast(parts[0].union(parts[1]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "y", "h")
+    return _fit_sample(materialise(texts.repartition(2 * max(1, docs.sparkSession.sparkContext.defaultParallelism)), "labelled-texts"))
 
 
 def _fit_sample(sample: DataFrame) -> Model:
     def texts_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = np.zeros(2 * BUCKETS, np.int32)
         for pdf in batches:
-            y = pdf["y"].to_numpy()
-            found = ngram_buckets(pdf["text"].tolist())
-            key, count = np.unique((found % BUCKETS) * 2 + y[found // BUCKETS], return_counts=True)
-            yield pd.DataFrame({"bucket": key // 2, "y": key % 2, "n": count})
+            y = pdf["y"].to_numpy(np.int64)
+            for found in ngram_buckets(pdf["text"].tolist()):
+                key, n = np.unique((found & (BUCKETS - 1)) * 2 + y[found >> BUCKET_BITS], return_counts=True)
+                count[key] += n.astype(np.int32)
+            release()
+        key = np.flatnonzero(count)
+        yield pd.DataFrame({"bucket": key // 2, "y": key % 2, "n": count[key].astype(np.int64)})
 
     total = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
@@ -150,9 +168,9 @@ def _fit_sample(sample: DataFrame) -> Model:
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = np.unpackbits(sent.value, count=BUCKETS).astype(bool)
         for pdf in batches:
-            found = ngram_buckets(pdf["text"].tolist(), wanted)
-            cuts = np.searchsorted(found // BUCKETS, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"y": pdf["y"], "h": pdf["h"], "found": [(found[a:b] % BUCKETS).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]})
+            found = np.concatenate([np.zeros(0, np.int64), *ngram_buckets(pdf["text"].tolist(), wanted)])
+            cuts = np.searchsorted(found >> BUCKET_BITS, np.arange(len(pdf) + 1))
+            yield pd.DataFrame({"y": pdf["y"], "h": pdf["h"], "found": [(found[a:b] & (BUCKETS - 1)).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]})
 
     got = sample.mapInPandas(rows_of, "y int, h long, found binary").toPandas().sort_values(["h", "y", "found"])
     sent.destroy()
@@ -169,5 +187,6 @@ def score_column(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(sent.value.score(texts.tolist()))
+            release()
 
     return score(F.col(text_col))
