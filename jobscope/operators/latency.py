@@ -25,8 +25,9 @@ QUEUE_BINS = BinSpec(0, 300, 20, overflow_label=">300")
 
 
 def _prepare(jobs: DataFrame, task_types: Sequence[str] | None, where) -> DataFrame:
-    if task_types:
-        jobs = jobs.where(F.expr(f"task_type IN ({', '.join(lit_sql(t) for t in task_types)})"))
+    if task_types is not None:  # an empty list selects nothing
+        jobs = jobs.where(F.expr(f"task_type IN ({', '.join(lit_sql(t) for t in task_types)})")
+                          if task_types else F.lit(False))
     if where is not None:
         jobs = jobs.where(where)
     return jobs

@@ -101,11 +101,22 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float] | Non
                           F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_carry"))
     wr = Window.partitionBy(*by, "_bucket").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (net.join(carry, on=[*by, "_bucket"], how="inner")
+    carry = carry.toDF(*[f"_k{i}" for i in range(len(by))], "_kb", "_carry")
+    same = F.col("_bucket") == F.col("_kb")
+    for i, c in enumerate(by):  # a NULL group is a group like any other
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return (net.join(carry, on=same, how="inner")
             .withColumn(out, F.col("_carry") + F.sum(value).over(wr))
             .select(*by, order, value, out))
 
 
+def _counted(start: str, end: str, gpus: str):
+    """Jobs that hold GPUs: started, and not ended at or before that instant. Without an
+    end a job is still running; zero-length and reversed intervals hold nothing."""
+    return (F.col(start).isNotNull() & F.col(gpus).isNotNull()
+            & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+
+
 def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
                   gpus: str = "gpu_num", by: Sequence[str] = ("cluster",),
                   probes: str | None = None, buckets: int | None = None,
@@ -122,14 +133,15 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
     """
     by = list(by)
     g = F.col(gpus).cast("long")
-    valid = F.col(start).isNotNull() & F.col(end).isNotNull() & g.isNotNull()
-    # one pass over the jobs emits both deltas (and the probe instant)
-    events = [F.struct(F.when(valid, F.col(start)).alias("t"), g.alias("d")),
+    valid = _counted(start, end, gpus)
+    # one pass over the jobs emits both deltas (and the probe instant); a job that
+    # holds no GPUs still gets a row at its start, with delta 0
+    events = [F.struct(F.col(start).alias("t"), F.when(valid, g).otherwise(F.lit(0)).alias("d")),
               F.struct(F.when(valid, F.col(end)).alias("t"), (-g).alias("d"))]
     if probes is not None:
         events.append(F.struct(F.col(probes).alias("t"), F.lit(0).cast("long").alias("d")))
     deltas = jobs.select(*by, F.inline(F.array(*events))).where(F.col("t").isNotNull())
-    j = jobs.where(valid)
+    j = jobs.where(F.col(start).isNotNull())
     if splits is None and bucket_width is None:
         n = buckets or 4 * _parallelism(jobs.sparkSession)
         cols = [start, end] + ([probes] if probes else [])
@@ -141,7 +153,7 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
 def gpus_in_use_at(jobs: DataFrame, occupancy: DataFrame, at: str = "start",
                    start: str = "start_us", submit: str = "submit_us",
                    gpus: str = "gpu_num", by: Sequence[str] = ("cluster",),
-                   out: str = "gpus_in_use") -> DataFrame:
+                   out: str = "gpus_in_use", end: str = "end_us") -> DataFrame:
     """Attach to each job the GPUs in use by *other* jobs when it starts
     (``at='start'``) or when it is submitted (``at='submit'``).
 
@@ -151,14 +163,22 @@ def gpus_in_use_at(jobs: DataFrame, occupancy: DataFrame, at: str = "start",
     """
     by = list(by)
     col = start if at == "start" else submit
-    occ = occupancy.select(*by, F.col("t").alias(col), F.col("gpus_in_use").alias("_occ"))
-    joined = jobs.join(occ, on=[*by, col], how="left")
-    own = F.col(gpus).cast("long")
-    if at == "start":
-        mine = own
-    else:
-        mine = F.when(F.col(start) == F.col(submit), own).otherwise(F.lit(0))
-    return joined.withColumn(out, F.col("_occ") - mine).drop("_occ")
+    occ = occupancy.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
+                           F.col("t").alias("_kt"), F.col("gpus_in_use").alias("_occ"))
+    same = F.col(col) == F.col("_kt")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = jobs.join(occ, on=same, how="left")
+    mine = _own(at, start, end, submit, gpus)
+    return joined.withColumn(out, F.col("_occ") - mine).select(*jobs.columns, out)
+
+
+def _own(at: str, start: str, end: str, submit: str, gpus: str):
+    """The job's own GPUs, if it holds them at the probed instant."""
+    held = _counted(start, end, gpus)
+    if at != "start":
+        held = held & (F.col(start) == F.col(submit))
+    return F.when(held, F.col(gpus).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def mean_by_occupancy(jobs: DataFrame, occupancy: DataFrame, spec, value: str = "queue",
@@ -166,7 +186,8 @@ def mean_by_occupancy(jobs: DataFrame, occupancy: DataFrame, spec, value: str =
                       start: str = "start_us", submit: str = "submit_us",
                       gpus: str = "gpu_num", group: Sequence[str] = ("cluster",),
                       task_types: Sequence[str] | None = None, scale: int = 2,
-                      unknown_bin: int | None = None, sort: bool = True) -> DataFrame:
+                      unknown_bin: int | None = None, sort: bool = True,
+                      end: str = "end_us") -> DataFrame:
     """Mean of ``value`` per bin of GPUs in use by other jobs (A12 with A4, A13).
 
     Gives the same numbers as ``mean_by_bin`` over ``gpus_in_use_at``, but
@@ -178,17 +199,19 @@ def mean_by_occupancy(jobs: DataFrame, occupancy: DataFrame, spec, value: str =
     """
     by, group = list(by), list(group)
     key = start if at == "start" else submit
-    own = F.col(gpus).cast("long")
-    if at != "start":
-        own = F.when(F.col(start) == F.col(submit), own).otherwise(F.lit(0).cast("long"))
+    own = _own(at, start, end, submit, gpus)
     dec = f"decimal(18,{scale})"
     pre = (_prepare(jobs, task_types, None)
            .groupBy(*group, key, own.alias("_own"), *by)
            .agg(F.count(F.lit(1)).alias("_n"),
                 F.sum(F.col(value).cast(dec)).alias("_s"),
                 F.count(value).alias("_c")))
-    occ = occupancy.select(*group, F.col("t").alias(key), F.col("gpus_in_use").alias("_occ"))
-    probed = pre.join(occ, on=[*group, key], how="left") \
+    occ = occupancy.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)],
+                           F.col("t").alias("_kt"), F.col("gpus_in_use").alias("_occ"))
+    same = F.col(key) == F.col("_kt")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    probed = pre.join(occ, on=same, how="left") \
         .withColumn("_in_use", F.col("_occ") - F.col("_own"))
     agg = probed.groupBy(*by, F.expr(bin_index_sql("_in_use", spec)).alias("bin")).agg(
         F.sum("_n").alias("n_jobs"),

@@ -32,7 +32,8 @@ def read_csv(spark: SparkSession, path: str, columns=None, *,
     reader = spark.read.option("header", "true").option("mode", mode).option("sep", sep)
     if columns is not None:
         names = list(columns) + ([corrupt_col] if corrupt_col else [])
-        reader = reader.schema(all_strings(names))
+        # names are held against the header, not bound by position
+        reader = reader.schema(all_strings(names)).option("enforceSchema", "false")
         if corrupt_col:
             reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
     return reader.csv(path)

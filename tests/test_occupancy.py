@@ -55,7 +55,7 @@ def test_probe_at_start_and_submit(spark):
     at_start = {r.job_id: r.gpus_in_use
                 for r in gpus_in_use_at(jobs, gpu_occupancy(jobs, buckets=3)).collect()}
     for c, j, sub, s, e, g in INTERVALS:
-        assert at_start[j] == occ[(c, s)] - int(g), j
+        assert at_start[j] == occ[(c, s)] - (int(g) if s < e else 0), j
     probed = gpu_occupancy(jobs, probes="submit_us", buckets=3)
     at_submit = {r.job_id: r.gpus_in_use
                  for r in gpus_in_use_at(jobs, probed, at="submit").collect()}
@@ -119,9 +119,24 @@ def test_hot_instant_and_burst(spark):
 def test_empty_and_invalid_jobs(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert gpu_occupancy(empty).count() == 0
-    # rows without an end or GPU count contribute nothing
-    bad = spark.createDataFrame([("A", "x", 0, 5, None, 2.0), ("A", "y", 0, 5, 9, None)], SCHEMA)
-    assert gpu_occupancy(bad).count() == 0
+    # without an end a job is still running; without a GPU count it holds none
+    open_ = spark.createDataFrame([("A", "x", 0, 5, None, 2.0), ("A", "y", 0, 5, 9, None)], SCHEMA)
+    assert [(r.t, r.gpus_in_use) for r in gpu_occupancy(open_).collect()] == [(5, 2)]
+
+
+def test_others_by_interval_comparison(spark):
+    """Open, zero-length and reversed intervals and a NULL cluster, against the jobs that overlap."""
+    rows = [("A", "background", 0, 0, 100, 12.0), ("A", "running", 10, 40, None, 8.0),
+            ("A", "same", 35, 40, 60, 2.0), ("A", "later", 50, 50, 70, 1.0),
+            ("A", "zero", 30, 45, 45, 5.0), ("A", "reversed", 44, 46, 41, 9.0),
+            ("A", "none", 47, 47, 50, None), (None, "n1", 1, 5, 20, 3.0), (None, "n2", 6, 6, None, 4.0)]
+    jobs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.job_id: r.gpus_in_use
+           for r in gpus_in_use_at(jobs, gpu_occupancy(jobs, buckets=3)).collect()}
+    for c, name, _, at, _, _ in rows:
+        others = sum(int(g) for c2, n2, _, s, e, g in rows
+                     if c2 == c and n2 != name and g is not None and s <= at and (e is None or at < e))
+        assert got[name] == others, name
 
 
 @pytest.mark.parametrize("width", [7, 100, 10_000])
