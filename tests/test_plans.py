@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as E
+from jobscope.plans.catalog import QUERIES
 from jobscope.plans.inspect import (python_udf_nodes, scan_read_schemas,
                                     single_partition_windows)
 
 from conftest import SF_SMALL
 
-CHEAP = [n for n in E.queries() if n not in
+CHEAP = [n for n in QUERIES if n not in
          ("q01_csv_ingest", "q20_minmax_features", "q21_string_index", "q23_linear_one_feature",
           "q24_model_metrics", "q25_feature_importance")]
 
