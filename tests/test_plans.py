@@ -34,7 +34,8 @@ def test_cluster_share_scan(spark):
 def test_contract_keys(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"q24_model_metrics", "q25_feature_importance"}
+    assert set(QUERIES) <= set(qs)
+    assert set(QUERIES) - set(sql) == {"q24_model_metrics", "q25_feature_importance"}
 
 
 def test_entry_smoke(spark):
