@@ -25,6 +25,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,10 @@ KEPT_WORDS = 200_000
 #: Characters of text that are split and encoded together.
 BATCH_CHARS = 8 << 20
 _NEVER = 1 << 30
-_ODD = regex.compile("[\x1c-\x1f]")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _FAR = regex.compile("[^\x00-\u024f]")
+#: A mark that the split pattern takes off a run of letters as a word of its own.
+_MARKS = frozenset(".,;:!?")
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -101,16 +104,17 @@ class WordBpe:
                 node = self.moves[node][c]
             self.ends[node] = (token,)
         self.shorter = [0] * len(self.moves)
-        #: moves by way of shorter suffixes, as they come up
-        self.found: list[dict[str, int]] = [{} for _ in self.moves]
         queue = list(self.moves[0].values())
         for node in queue:
             for c, child in self.moves[node].items():
                 queue.append(child)
                 self.shorter[child] = self._move(self.shorter[node], c)
                 self.ends[child] += self.ends[self.shorter[child]]
+        #: the same with each token's size
+        self.sized = [tuple([(t, self.size[t]) for t in ends]) for ends in self.ends]
 
     def _move(self, node: int, c: str) -> int:
+        """The node after reading ``c``; ``encode_words`` enters those by way of shorter suffixes into ``moves`` as they come up."""
         while node and c not in self.moves[node]:
             node = self.shorter[node]
         return self.moves[node][c]
@@ -145,7 +149,7 @@ class WordBpe:
                 out.append("\n" + piece)
             elif not piece.isascii() and _FAR.search(piece):
                 out += [" " + w for w in self._library_words(piece)]
-            elif _ODD.search(piece):  # white space to Python, not to the pattern
+            elif any(c in piece for c in _ODD):  # white space to Python, not to the pattern
                 out += [" " + w for w in self.words.findall(unicodedata.normalize("NFC", piece).lower())]
             else:
                 out += piece.lower().split()  # letters up to U+024F are in normal form
@@ -154,7 +158,11 @@ class WordBpe:
     def _words_of(self, unit: str) -> list[str]:
         if unit[0] == "\n" or unit.isalpha():
             return [unit]
-        return [unit[1:]] if unit[0] == " " else self.words.findall(unit)
+        if unit[0] == " ":
+            return [unit[1:]]
+        if unit[-1] in _MARKS and unit[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.words.findall(unit)
 
     def _library_words(self, piece: str) -> list[str]:
         """Beyond Latin letters the library's own tables decide on letters and cases."""
@@ -222,8 +230,7 @@ class WordBpe:
                 continue
             text = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
             words_of[text[:-1] + chr(256 + ord(text[-1]))] = word
-        moves, all_ends, size, apart = self.moves, self.ends, self.size, self.apart
-        found: list[dict[str, int]] = self.found
+        moves, sized, size, apart, alone = self.moves, self.sized, self.size, self.apart, self.alone
         last: list[int] = []  # the last token of each prefix on the way down
         nodes: list[int] = [0]  # and the automaton's node
         before = ""
@@ -235,30 +242,27 @@ class WordBpe:
                 depth += 1
             del last[depth:], nodes[depth + 1:]
             before, node = text, nodes[depth]
-            for depth in range(depth, len(text)):
-                c = text[depth]
-                to = moves[node].get(c)
+            for depth, c in enumerate(text[depth:], depth):
+                here = moves[node]
+                to = here.get(c)
                 if to is None:
-                    to = found[node].get(c)
-                    if to is None:
-                        to = found[node][c] = self._move(node, c)
+                    to = here[c] = self._move(node, c)
                 node = to
                 nodes.append(node)
-                ends = all_ends[node]
-                for token in ends:  # the longest one that stays apart from what comes before it
-                    n = size[token]
-                    if n > depth:
-                        if n == 1 or self._whole(token):
-                            break
-                    elif n == 1 and token == ends[-1]:
+                for token, n in sized[node]:  # the longest one that stays apart from what comes before it
+                    if n == 1:
                         break
+                    if n > depth:
+                        stays = alone.get(token)
+                        if stays is None:
+                            stays = self._whole(token)
                     else:
                         left = last[depth - n]
                         stays = apart[left].get(token)
                         if stays is None:
                             stays = apart[left][token] = self._stays(left, token)
-                        if stays:
-                            break
+                    if stays:
+                        break
                 last.append(token)
             ids, at = [], len(text) - 1
             while at >= 0:
@@ -281,16 +285,18 @@ class WordBpe:
         collecting = gc.isenabled()
         gc.disable()  # no cycles are made here, and the collector would walk all that is kept again and again
         try:
-            new = {u: self._words_of(u) for u in unknown}
-            room = KEPT_WORDS - len(known)
-            ids = self.encode_words({w for words in new.values() for w in words if w not in known})
-            made = {w: make(x) for w, x in ids.items()}
-            join = self.join
-            known.update((u, made[words[0]] if len(words) == 1 and words[0] in made else join([made[w] if w in made else known[w] for w in words])) for u, words in new.items())
+            plain = {u for u in unknown if u.isalpha()}
+            rest = {u: self._words_of(u) for u in unknown.difference(plain)}
+            words = plain.union(*rest.values()).difference(known)
+            made = {w: make(x) for w, x in self.encode_words(words).items()}
+            room, join = max(0, KEPT_WORDS - len(known)), self.join
+            new = {u: made[u] for u in plain}
+            new.update((u, join([made.get(w) or known[w] for w in parts])) for u, parts in rest.items())
+            known.update(new)
         finally:
             if collecting:
                 gc.enable()
-        self.passing = [u for k, u in enumerate(new) if k >= room]
+        self.passing = list(islice(new, room, None))
         if sum(map(len, self.apart.values())) > 1_000_000:
             self.apart = {t: {} for t in self.size}
         return split, known.__getitem__
