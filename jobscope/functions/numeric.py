@@ -1,8 +1,10 @@
 """Numeric helpers: ANSI-safe casts, exact sums and guarded shares.
 
-Sums of money-like doubles are taken as decimals so that the result does
-not depend on summation order (and so on partitioning); the total is
-converted back to double once, at the end.
+Sums are plain double sums unless the caller names a ``scale``: then values
+are taken as decimals with that many places, so that the result does not
+depend on summation order (and so on partitioning), and the total is
+converted back to double once, at the end. Values with more places are
+rounded to them, and ``10^(38 - scale)`` is the largest one.
 
 Each helper has a SQL-text form (``*_sql``) used by the operators to build
 a whole projection in one call, and a Column form for callers.
@@ -20,8 +22,9 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def decimal_type(scale: int) -> str:
-    return f"decimal(18,{scale})"
+def number_sql(x_sql: str, scale: int | None) -> str:
+    """What to sum: the value itself, or an exact decimal of ``scale`` places."""
+    return f"CAST({x_sql} AS {'double' if scale is None else f'decimal(38,{scale})'})"
 
 
 def to_double_sql(x_sql: str) -> str:
@@ -29,7 +32,8 @@ def to_double_sql(x_sql: str) -> str:
 
 
 def to_long_sql(x_sql: str) -> str:
-    return f"try_cast(try_cast({x_sql} AS double) AS bigint)"
+    # through double only what is no integer: a double has 53 bits
+    return f"coalesce(try_cast({x_sql} AS bigint), try_cast(try_cast({x_sql} AS double) AS bigint))"
 
 
 def to_double(x: Column | str) -> Column:
@@ -37,9 +41,9 @@ def to_double(x: Column | str) -> Column:
     return F.expr(to_double_sql(q(x))) if isinstance(x, str) else x.try_cast("double")
 
 
-def exact_mean_sql(x_sql: str, scale: int = 2) -> str:
-    return (f"CAST(sum(CAST({x_sql} AS {decimal_type(scale)})) AS double) "
-            f"/ CAST(count({x_sql}) AS double)")
+def mean_sql(x_sql: str, scale: int | None = None) -> str:
+    return (f"try_divide(CAST(sum({number_sql(x_sql, scale)}) AS double), "
+            f"CAST(count({x_sql}) AS double))")
 
 
 def pct_sql(part_sql: str, whole_sql: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import (BinSpec, bin_index_by_sql, bin_index_sql, bin_label_by_sql,
                                 bin_label_sql)
-from ..functions.numeric import exact_mean_sql
+from ..functions.numeric import mean_sql
 from ..functions.states import lit_sql, q
 
 # Bin layouts used in the original study.
@@ -59,7 +59,7 @@ def _finish(agg: DataFrame, spec: Specs, by: list[str], bin_col: str,
 
 def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
                 by: Sequence[str] = (), task_types: Sequence[str] | None = None,
-                where=None, scale: int | None = 2, bin_col: str = "bin",
+                where=None, scale: int | None = None, bin_col: str = "bin",
                 label_col: str = "label", sort: bool = True,
                 spec_key: str = "cluster", unknown_bin: int | None = None) -> DataFrame:
     """Mean of ``value`` per bin of ``x`` (and per ``by``).
@@ -69,7 +69,7 @@ def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
     ``spec_key`` must be in ``by``, and all layouts still come out of one
     scan and one aggregation.
     ``scale`` makes the mean exact at that many decimals (decimal sum /
-    count), so it does not depend on partitioning; ``None`` uses ``avg``.
+    count), so it does not depend on partitioning; ``None`` sums doubles.
     The Unknown bin has a NULL index unless ``unknown_bin`` gives one.
     Output: ``*by, bin, n_jobs, mean_<value>, label``.
     """
@@ -77,7 +77,7 @@ def mean_by_bin(jobs: DataFrame, x: str, spec: Specs, value: str = "queue",
     if not isinstance(spec, BinSpec) and spec_key not in by:
         raise ValueError(f"per-{spec_key} bin specs need {spec_key!r} in by")
     df = _prepare(jobs, task_types, where)
-    mean = exact_mean_sql(q(value), scale) if scale is not None else f"avg({q(value)})"
+    mean = mean_sql(q(value), scale)
     agg = df.groupBy(*by, F.expr(_bin_sql(x, spec, spec_key)).alias(bin_col)).agg(
         F.expr("count(1) AS n_jobs"), F.expr(f"{mean} AS {q('mean_' + value)}"))
     return _finish(agg, spec, by, bin_col, label_col, sort, spec_key, unknown_bin)

@@ -1,24 +1,19 @@
 """Job-duration models on Spark ML.
 
-Feature pipeline: numeric columns -> ``VectorAssembler`` -> ``MinMaxScaler``;
-categorical columns -> ``StringIndexer(handleInvalid='keep')`` ->
-``OneHotEncoder``; everything -> ``VectorAssembler`` -> optional PCA ->
-regressor (linear, random forest or gradient-boosted trees).
-
-PCA gives the same axes as ``ml.feature.PCA`` (up to sign) but is split
-differently: Spark builds the covariance (distributed, sparse-aware),
-the k leading eigenvectors come from LAPACK on the driver instead of a full
-SVD of the width x width matrix, and the projection is one SQL expression
-per axis — a short dot product for the numeric block and one array lookup
-per one-hot block, so a row never gets densified to the full width.
+Feature pipeline: numeric columns and group statistics -> ``VectorAssembler``
+-> ``MinMaxScaler``; categorical columns -> ``StringIndexer`` ->
+``OneHotEncoder``; everything -> ``VectorAssembler`` -> optional
+``ml.feature.PCA`` -> regressor (linear, random forest or gradient-boosted
+trees), all in one ``Pipeline`` that can be saved, loaded and applied.
 
 Scale notes:
 * the split is a hash of the job id, so it is the same for any
   partitioning and any re-execution after an executor loss;
-* identifiers (``job_id``) and the constant ``state`` are not features by
-  default — a one-hot of an identifier grows with the data, and PCA
-  builds a dense width x width covariance on the driver. The one-hot
-  width is checked before PCA is fitted;
+* a column whose values grow with the data (``user``) enters as statistics
+  of its training rows, joined on: how many they are and their mean label.
+  The feature width, and with it PCA's width x width matrix and the label
+  lists on the driver, depends only on the ``categorical`` columns, which
+  are for closed vocabularies such as the job type;
 * the training frame is persisted for the many passes estimators make
   and released when fitting is done.
 """
@@ -29,17 +24,18 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.feature import PCA, MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import number_sql
+from ..functions.states import lit_sql, q
+from ..session import scratch_path
+
 HASH_SPACE = 2 ** 32
 
 
@@ -49,10 +45,13 @@ class FeatureSpec:
     predict ``duration`` of completed jobs from resources and queue delay."""
     label: str = "duration"
     numeric: tuple[str, ...] = ("node_num", "gpu_num", "cpu_num", "queue")
-    categorical: tuple[str, ...] = ("user", "task_type")
+    categorical: tuple[str, ...] = ("task_type",)   # one-hot: closed vocabularies
+    grouped: tuple[str, ...] = ("user",)            # any number of values: statistics of their rows
     pca_k: int | None = 3
-    max_onehot_width: int = 4096      # PCA holds width x width on the driver
-    max_categories: int = 100_000     # StringIndexer keeps every label on the driver
+
+    @property
+    def numeric_inputs(self) -> list[str]:
+        return [*self.numeric, *(f"{c}_{s}" for c in self.grouped for s in ("rows", "mean"))]
 
     @property
     def features_col(self) -> str:
@@ -63,6 +62,10 @@ class FeatureSpec:
 class ModelSpec:
     kind: str                       # "lr" | "rf" | "gbt"
     params: dict = field(default_factory=dict)
+    name: str = ""                  # tells two specs of one kind apart in the reports
+
+    def __post_init__(self):
+        object.__setattr__(self, "name", self.name or self.kind)
 
 
 # Estimator settings of the original study (seeded here).
@@ -103,34 +106,41 @@ def hash_split(df: DataFrame, key: str = "job_id", train_fraction: float = 0.8,
 
 # --------------------------------------------------------------- features
 
-def check_width(train: DataFrame, spec: FeatureSpec) -> dict[str, int]:
-    """Distinct count per categorical column (one pass, approximate), checked
-    before any label list or width-squared matrix reaches the driver: every
-    column against ``max_categories``, and with PCA the total one-hot width
-    against ``max_onehot_width``."""
-    if not spec.categorical:
-        return {}
-    row = train.agg(*[F.approx_count_distinct(c).alias(c) for c in spec.categorical]).first()
-    widths = {c: int(row[c]) + 1 for c in spec.categorical}
-    too_many = [c for c, w in widths.items() if w > spec.max_categories]
-    if too_many:
-        raise ValueError(f"categorical columns {too_many} have more than "
-                         f"max_categories={spec.max_categories} values; they look like "
-                         f"identifiers, not features")
-    total = sum(widths.values()) + len(spec.numeric)
-    if spec.pca_k and total > spec.max_onehot_width:
-        raise ValueError(
-            f"one-hot width ~{total} exceeds max_onehot_width={spec.max_onehot_width}; "
-            f"drop high-cardinality columns {sorted(widths, key=widths.get)[-1:]} "
-            f"or raise the limit")
-    return widths
+def group_statistics(train: DataFrame, spec: FeatureSpec) -> dict[str, DataFrame]:
+    """Per ``grouped`` column a table of its values' training rows:
+    ``value, rows, total`` (NULL is a value like any other)."""
+    return {c: train.groupBy(F.col(c).alias("value")).agg(
+        F.count("label").alias("rows"), F.sum("label").alias("total")) for c in spec.grouped}
+
+
+def with_group_statistics(df: DataFrame, train: DataFrame, spec: FeatureSpec,
+                          own: bool = False) -> DataFrame:
+    """``df`` with ``<column>_rows`` and ``<column>_mean`` of each ``grouped``
+    column: the number of training rows with its value and their mean label
+    (the mean of all training rows for a value without any).
+
+    ``own=True`` is for the training rows themselves: a row's own label is
+    taken out of its statistics. Each table is one row per value, joined by
+    equality; AQE broadcasts it or splits a hot value by measured size.
+    """
+    if not spec.grouped:
+        return df
+    overall = train.agg(F.avg("label")).scalar()
+    rows, total = (F.expr("_rows - 1"), F.expr("_total - label")) if own else (F.col("_rows"), F.col("_total"))
+    for c, table in group_statistics(train, spec).items():
+        table = table.toDF("_value", "_rows", "_total")
+        df = (df.join(table, F.col(c).eqNullSafe(F.col("_value")), "left")
+              .withColumns({f"{c}_rows": F.coalesce(rows.cast("double"), F.lit(0.0)),
+                            f"{c}_mean": F.when(rows > 0, total / rows).otherwise(overall)})
+              .drop("_value", "_rows", "_total"))
+    return df
 
 
 def feature_stages(spec: FeatureSpec) -> list:
     stages = []
     parts = []
-    if spec.numeric:
-        stages += [VectorAssembler(inputCols=list(spec.numeric), outputCol="numeric_features",
+    if spec.numeric_inputs:
+        stages += [VectorAssembler(inputCols=spec.numeric_inputs, outputCol="numeric_features",
                                    handleInvalid="keep"),
                    MinMaxScaler(inputCol="numeric_features", outputCol="scaled_numeric")]
         parts.append("scaled_numeric")
@@ -143,12 +153,14 @@ def feature_stages(spec: FeatureSpec) -> list:
                                  outputCols=[f"{c}_vec" for c in cats], handleInvalid="keep")]
         parts += [f"{c}_vec" for c in cats]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
+    if spec.pca_k:
+        stages.append(PCA(k=spec.pca_k, inputCol="features", outputCol="pca_features"))
     return stages
 
 
-def make_estimator(model: ModelSpec, spec: FeatureSpec):
+def make_estimator(model: ModelSpec, spec: FeatureSpec, prediction: str = "prediction"):
     common = {"featuresCol": spec.features_col, "labelCol": "label",
-              "predictionCol": "prediction"}
+              "predictionCol": prediction}
     if model.kind == "gbt":
         return GBTRegressor(**common, **model.params)
     if model.kind == "rf":
@@ -158,109 +170,21 @@ def make_estimator(model: ModelSpec, spec: FeatureSpec):
     raise ValueError(f"unknown model kind {model.kind!r}")
 
 
-@dataclass(frozen=True)
-class Features:
-    """Fitted feature stages plus, when PCA is on, the principal axes."""
-    stages: PipelineModel
-    spec: FeatureSpec
-    blocks: tuple[tuple[str, str, int], ...]       # (kind, column, width) per block
-    pc: np.ndarray | None = None                   # width x k
-    explained: np.ndarray | None = None
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.stages.transform(df)
-        if self.pc is None:
-            return out
-        if self.spec.numeric:
-            out = out.withColumn("_num_arr", vector_to_array("scaled_numeric"))
-        return out.withColumn("pca_features", array_to_vector(F.expr(self._projection_sql()))) \
-            .drop("_num_arr")
-
-    def _projection_sql(self) -> str:
-        comps = []
-        for j in range(self.pc.shape[1]):
-            parts, off = [], 0
-            for kind, col, width in self.blocks:
-                if width:
-                    lits = ", ".join(f"{float(v)!r}D" for v in self.pc[off:off + width, j])
-                    if kind == "dense":
-                        parts.append(f"aggregate(zip_with(_num_arr, array({lits}), "
-                                     f"(a, b) -> a * b), 0D, (s, y) -> s + y)")
-                    else:
-                        # one-hot with the last slot dropped: index == width -> zeros
-                        parts.append(f"coalesce(try_element_at(array({lits}), "
-                                     f"CAST(`{col}` AS INT) + 1), 0D)")
-                off += width
-            comps.append(" + ".join(parts) or "0D")
-        return f"array({', '.join(comps)})"
-
-
-def feature_blocks(stages: PipelineModel, spec: FeatureSpec,
-                   schema) -> tuple[tuple[str, str, int], ...]:
-    """Layout of the assembled feature vector: numeric block, then one
-    one-hot block per categorical column. Widths are read from the ML
-    attribute metadata Spark attaches to each encoded column (the encoder's
-    ``keep``/``dropLast`` settings decide them)."""
-    blocks = []
-    if spec.numeric:
-        blocks.append(("dense", "scaled_numeric", len(spec.numeric)))
-    for c in spec.categorical:
-        meta = schema[f"{c}_vec"].metadata.get("ml_attr", {})
-        blocks.append(("onehot", f"{c}_index", int(meta["num_attrs"])))
-    return tuple(blocks)
-
-
-def principal_axes(vectors: DataFrame, col: str, k: int,
-                   width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Top-``k`` principal axes of a vector column.
-
-    The covariance is Spark's (``RowMatrix.computeCovariance``: one
-    distributed pass over sparse rows); its leading eigenvectors are taken
-    with LAPACK on the driver, where the width x width matrix already is
-    (bounded by ``max_onehot_width``). Same axes as ``ml.feature.PCA`` up to
-    sign, without its full SVD; signs are fixed so the largest entry of
-    each axis is positive.
-    """
-    # a known width spares RowMatrix the job that would look it up
-    cov = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(col), col),
-                    numCols=int(width)).computeCovariance().toArray()
-    w, v = np.linalg.eigh(cov)
-    order = np.argsort(w)[::-1][:k]
-    pc = v[:, order]
-    pivot = np.abs(pc).argmax(axis=0)
-    pc = pc * np.where(pc[pivot, np.arange(pc.shape[1])] < 0, -1.0, 1.0)
-    total = float(np.clip(w, 0, None).sum())
-    return pc, (w[order] / total if total > 0 else np.zeros(len(order)))
-
-
-def fit_features(train: DataFrame, spec: FeatureSpec) -> Features:
-    """Fit the feature stages (scaler, indexers, encoders) and, when
-    ``spec.pca_k`` is set, the principal axes — all on the training rows.
-    The category guard runs first, whether or not PCA is on."""
-    check_width(train, spec)
-    stages = Pipeline(stages=feature_stages(spec)).fit(train)
-    assembled = stages.transform(train)
-    blocks = feature_blocks(stages, spec, assembled.schema)
-    width = sum(b[2] for b in blocks)
-    size = assembled.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", width)
-    if size != width:
-        raise ValueError(f"feature layout {blocks} does not add up to {size} slots")
-    if not spec.pca_k:
-        return Features(stages, spec, blocks)
-    pc, explained = principal_axes(assembled, "features", spec.pca_k, width)
-    return Features(stages, spec, blocks, pc, explained)
-
-
-def fit_pipeline(train: DataFrame, spec: FeatureSpec, model: ModelSpec):
-    """Fit features + one estimator on the training rows (M10). Always on
-    train. Returns ``(features, fitted_estimator)``; score new rows with
-    ``est.transform(features.transform(df))``."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+def fit_features(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
+    """Fit the feature stages (scaler, indexers, encoders, PCA) on training
+    rows that have their group statistics."""
+    return Pipeline(stages=feature_stages(spec)).fit(train)
+
+
+def fit_pipeline(train: DataFrame, spec: FeatureSpec, model: ModelSpec) -> PipelineModel:
+    """Fit features and one estimator on the training rows (M10): one
+    ``PipelineModel``, to be saved, loaded and applied to rows that went
+    through ``with_group_statistics(rows, train, spec)``."""
+    rows = with_group_statistics(train, train, spec, own=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        feats = fit_features(train, spec)
-        return feats, make_estimator(model, spec).fit(feats.transform(train))
+        return Pipeline(stages=[*feature_stages(spec), make_estimator(model, spec)]).fit(rows)
     finally:
-        train.unpersist()
+        rows.unpersist()
 
 
 # ---------------------------------------------------------------- metrics
@@ -275,13 +199,17 @@ def regression_metrics(pred: DataFrame, label: str = "label",
     return pred.agg(F.count(F.lit(1)).alias("n_test"), rmse.alias("rmse"), mae.alias("mae"))
 
 
-def metrics_rows(metrics: DataFrame, model: str) -> DataFrame:
-    """``n_test, rmse, mae`` -> rows ``(model, metric, value)``."""
-    return metrics.select(F.lit(model).alias("model"), F.inline(F.array(
-        F.struct(F.lit("rmse").alias("metric"), F.col("rmse").alias("value")),
-        F.struct(F.lit("mae").alias("metric"), F.col("mae").alias("value")),
-        F.struct(F.lit("n_test").alias("metric"), F.col("n_test").cast("double").alias("value")),
-    )))
+def metrics_rows(scored: DataFrame, predictions: dict[str, str], label: str = "label",
+                 digits: int = 6) -> DataFrame:
+    """Rows ``(model, metric, value)`` for all models at once (S8): their
+    ``predictions`` (model -> column) are read in one pass."""
+    aggs, rows = ["count(1) AS _n"], []
+    for i, (model, column) in enumerate(predictions.items()):
+        e = f"({q(column)} - {q(label)})"
+        aggs += [f"round(sqrt(avg({e} * {e})), {digits}) AS _r{i}", f"round(avg(abs({e})), {digits}) AS _a{i}"]
+        rows += [f"struct({lit_sql(model)} AS model, {lit_sql(metric)} AS metric, {value} AS value)"
+                 for metric, value in (("rmse", f"_r{i}"), ("mae", f"_a{i}"), ("n_test", "CAST(_n AS double)"))]
+    return scored.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
@@ -292,50 +220,48 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
     persisted while the estimators make their passes over them; up to
     ``parallelism`` estimators fit at once from driver threads (as
     ``CrossValidator(parallelism=...)`` does), so their jobs share the
-    cluster instead of queueing. Returns
+    cluster instead of queueing. The fitted models are chained, each adding
+    its own prediction column, so the test rows are read once. Returns
     ``(metrics, importances)``: rows ``(model, metric, value)`` and
     ``(model, feature, importance)`` (tree models only; features are the
-    PCA axes when PCA is on, else the assembled feature slots).
+    PCA axes when PCA is on, else the assembled feature slots). Models must
+    differ in name.
     """
     spark = train.sparkSession
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    columns = {m.name: f"prediction_{i}" for i, m in enumerate(models)}
+    if len(columns) < len(models):
+        raise ValueError("two models have one name")
+    rows = with_group_statistics(train, train, spec, own=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        feats = fit_features(train, spec)
+        feats = fit_features(rows, spec)
         names = feature_names(feats, spec)
-        vectors = feats.transform(train).select(spec.features_col, "label") \
+        vectors = feats.transform(rows).select(spec.features_col, "label") \
             .persist(StorageLevel.MEMORY_AND_DISK)
         try:
             workers = max(1, min(parallelism, len(models)))
             with ThreadPoolExecutor(max_workers=workers) as pool:
-                ests = list(pool.map(lambda m: make_estimator(m, spec).fit(vectors), models))
-            fitted = list(zip(models, ests))
+                ests = list(pool.map(lambda m: make_estimator(m, spec, columns[m.name]).fit(vectors), models))
         finally:
             vectors.unpersist()
     finally:
-        train.unpersist()
-    scored_test = feats.transform(test)
-    metric_frames, imp_rows = [], []
-    for m, est in fitted:
-        metric_frames.append(metrics_rows(regression_metrics(est.transform(scored_test)), m.kind))
-        if hasattr(est, "featureImportances"):
-            vec = est.featureImportances.toArray()
-            imp_rows += [(m.kind, names[i] if i < len(names) else f"f{i}", float(v))
-                         for i, v in enumerate(vec)]
-    metrics = metric_frames[0]
-    for f in metric_frames[1:]:
-        metrics = metrics.unionByName(f)
-    importances = spark.createDataFrame(imp_rows, "model string, feature string, importance double")
-    return metrics, importances
-
-
-def feature_names(fitted: Features, spec: FeatureSpec) -> list[str]:
+        rows.unpersist()
+    scored = PipelineModel([feats, *ests]).transform(with_group_statistics(test, train, spec))
+    importances = [(m.name, names[i], float(v)) for m, est in zip(models, ests)
+                   if hasattr(est, "featureImportances")
+                   for i, v in enumerate(est.featureImportances.toArray())]
+    return metrics_rows(scored, columns), spark.createDataFrame(
+        importances, "model string, feature string, importance double")
+
+
+def feature_names(fitted: PipelineModel, spec: FeatureSpec) -> list[str]:
     if spec.pca_k:
         return [f"pc{i + 1}" for i in range(spec.pca_k)]
-    names = list(spec.numeric)
-    for st in fitted.stages.stages:
+    names = spec.numeric_inputs
+    for st in fitted.stages:
         if hasattr(st, "labelsArray"):
+            # the encoder keeps a slot per label; the one for unseen values is the dropped last
             for c, labels in zip(st.getOrDefault("inputCols"), st.labelsArray):
-                names += [f"{c}={v}" for v in labels]
+                names += [f"{c}={v}" for v in labels] + [f"{c}=other"]
     return names
 
 
@@ -353,30 +279,53 @@ def minmax_scaled(train: DataFrame, cols: Sequence[str], key: str = "job_id",
         key, *[arr[i].alias(f"{c}{suffix}") for i, c in enumerate(cols)])
 
 
-def string_indexes(train: DataFrame, cols: Sequence[str], key: str = "job_id",
-                   max_categories: int = 100_000) -> DataFrame:
-    """Fit ``StringIndexer`` (frequency-descending, ties alphabetical,
-    unseen -> extra index) on ``train``; return ``key`` and ``<col>_index`` (M3).
-    The label lists live on the driver, so their size is checked first."""
-    check_width(train, FeatureSpec(numeric=(), categorical=tuple(cols), pca_k=None,
-                                   max_categories=max_categories))
-    idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_index" for c in cols],
-                        handleInvalid="keep", stringOrderType="frequencyDesc")
-    return idx.fit(train).transform(train).select(key, *[f"{c}_index" for c in cols])
+def string_indexes(train: DataFrame, cols: Sequence[str], key: str = "job_id") -> DataFrame:
+    """Index of each value by descending frequency, ties in text order; NULL
+    gets the index after the last (M3). Output: ``key`` and ``<col>_index``.
+
+    The order is ``StringIndexer``'s, but no value reaches the driver, so a
+    column may have any number of them: the values are counted (with
+    map-side partial sums), range-partitioned by frequency and text, and
+    numbered within each range. Only the ranges' sizes, one row per range
+    and column, go to the driver to make the offsets.
+    """
+    spark = train.sparkSession
+    cells = ", ".join(f"struct({lit_sql(c)} AS col, CAST({q(c)} AS string) AS value)" for c in cols)
+    counts = train.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL") \
+        .groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "string-index")
+    counts.repartitionByRange("col", F.desc("n"), "value").withColumn("range", F.spark_partition_id()) \
+        .write.parquet(path)
+    ranged = spark.read.schema("col string, value string, n long, range int").parquet(path)
+    sizes = {(r.col, r.range): r.size for r in
+             ranged.groupBy("col", "range").agg(F.count(F.lit(1)).alias("size")).collect()}
+    offsets, seen = [], dict.fromkeys(cols, 0)
+    for (col, part), size in sorted(sizes.items()):
+        offsets.append((col, part, seen[col]))
+        seen[col] += size
+    before = spark.createDataFrame(offsets, "col string, range int, before long")
+    at = F.row_number().over(Window.partitionBy("col", "range").orderBy(F.desc("n"), "value"))
+    numbered = ranged.withColumn("at", at).join(before, ["col", "range"]) \
+        .select("col", "value", (F.col("at") - 1 + F.col("before")).cast("double").alias("index"))
+    out = train.select(key, *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(cols)])
+    for i, c in enumerate(cols):
+        own = numbered.where(F.col("col") == c).select(F.col("value").alias(f"_v{i}"), F.col("index").alias(f"{c}_index"))
+        out = out.join(own, F.col(f"_{i}") == F.col(f"_v{i}"), "left") \
+            .withColumn(f"{c}_index", F.coalesce(f"{c}_index", F.lit(float(seen[c]))))
+    return out.select(key, *[f"{c}_index" for c in cols])
 
 
 def group_mean_baseline(train: DataFrame, test: DataFrame, group: str = "task_type",
-                        label: str = "label", scale: int = 2) -> DataFrame:
+                        label: str = "label", scale: int | None = None) -> DataFrame:
     """Predict the training mean of the label per ``group`` (global mean for
     a group unseen in training) and score it on ``test`` (M12 baseline).
 
-    One aggregation of the training rows gives exact decimal sums and
-    counts per group; the global mean is summed from those few rows, so
+    One aggregation of the training rows gives sums (exact decimals with
+    ``scale``) and counts per group; the global mean is summed from those few rows, so
     the training rows are read once. The join to the test rows is against
     one row per group, and AQE decides how on its actual size.
     """
-    dec = f"decimal(18,{scale})"
-    sums = train.groupBy(group).agg(F.sum(F.col(label).cast(dec)).alias("_s"),
+    sums = train.groupBy(group).agg(F.expr(f"sum({number_sql(q(label), scale)})").alias("_s"),
                                     F.count(label).alias("_n"))
     means = sums.select(group, (F.col("_s").cast("double") / F.col("_n").cast("double"))
                         .alias("_pred"))

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index_sql
+from ..functions.numeric import number_sql
+from ..functions.states import q
 from .latency import _finish, _prepare
 
 
@@ -185,14 +187,14 @@ def mean_by_occupancy(jobs: DataFrame, occupancy: DataFrame, spec, value: str =
                       by: Sequence[str] = ("task_type",), at: str = "start",
                       start: str = "start_us", submit: str = "submit_us",
                       gpus: str = "gpu_num", group: Sequence[str] = ("cluster",),
-                      task_types: Sequence[str] | None = None, scale: int = 2,
+                      task_types: Sequence[str] | None = None, scale: int | None = None,
                       unknown_bin: int | None = None, sort: bool = True,
                       end: str = "end_us") -> DataFrame:
     """Mean of ``value`` per bin of GPUs in use by other jobs (A12 with A4, A13).
 
     Gives the same numbers as ``mean_by_bin`` over ``gpus_in_use_at``, but
-    jobs are first aggregated per (group, instant, own GPUs, *by) — exact
-    decimal sums and counts, map-side partial aggregation — so the join to
+    jobs are first aggregated per (group, instant, own GPUs, *by) — sums
+    (exact decimals with ``scale``) and counts, map-side partial aggregation — so the join to
     the occupancy table carries one row per distinct instant and job shape
     instead of one per job. A third of all jobs starting together is one row
     per shape, not a hot join key. Output: ``*by, bin, n_jobs, mean_<value>, label``.
@@ -200,11 +202,10 @@ def mean_by_occupancy(jobs: DataFrame, occupancy: DataFrame, spec, value: str =
     by, group = list(by), list(group)
     key = start if at == "start" else submit
     own = _own(at, start, end, submit, gpus)
-    dec = f"decimal(18,{scale})"
     pre = (_prepare(jobs, task_types, None)
            .groupBy(*group, key, own.alias("_own"), *by)
            .agg(F.count(F.lit(1)).alias("_n"),
-                F.sum(F.col(value).cast(dec)).alias("_s"),
+                F.expr(f"sum({number_sql(q(value), scale)})").alias("_s"),
                 F.count(value).alias("_c")))
     occ = occupancy.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)],
                            F.col("t").alias("_kt"), F.col("gpus_in_use").alias("_occ"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import decimal_type, pct_sql
+from ..functions.numeric import number_sql, pct_sql
 from ..functions.states import KNOWN_LABELS, REPORT_LABELS, UNKNOWN, lit_sql, q
 
 
@@ -24,23 +24,23 @@ def _slot(label: str) -> str:
 
 
 def state_shares(jobs: DataFrame, by: Sequence[str] = (), weight: str | None = None,
-                 scale: int = 2, label_col: str = "state_label") -> DataFrame:
+                 scale: int | None = None, label_col: str = "state_label") -> DataFrame:
     """Share of jobs (or of ``weight``) per end-state label.
 
     Output, one row per group and report label (Completed, Canceled,
     Failed, Unknown — zero when absent):
     ``*by, state, state_order, n_jobs[, <weight>], pct_of_all, pct_of_known``.
     ``pct_of_known`` renormalises over the known labels and is NULL for
-    Unknown. Shares are by ``weight`` when one is given, else by count.
+    Unknown. Shares are by ``weight`` when one is given, else by count;
+    ``scale`` sums it as exact decimals with that many places.
     """
     by = list(by)
     lab = q(label_col)
-    dec = decimal_type(scale)
     aggs = [f"count_if({lab} = {lit_sql(n)}) AS n_{_slot(n)}" for n in REPORT_LABELS]
     if weight is not None:
-        # kept as decimals: the totals below are exact sums, converted once
-        aggs += [f"coalesce(sum(CASE WHEN {lab} = {lit_sql(n)} THEN CAST({q(weight)} AS {dec}) "
-                 f"END), CAST(0 AS {dec})) AS w_{_slot(n)}" for n in REPORT_LABELS]
+        # decimals with a scale: the totals below are exact sums, converted once
+        aggs += [f"coalesce(sum(CASE WHEN {lab} = {lit_sql(n)} THEN {number_sql(q(weight), scale)} "
+                 f"END), {number_sql('0', scale)}) AS w_{_slot(n)}" for n in REPORT_LABELS]
     wide = jobs.groupBy(*by).agg(*[F.expr(a) for a in aggs])
 
     m = "w" if weight is not None else "n"
@@ -60,7 +60,7 @@ def state_shares(jobs: DataFrame, by: Sequence[str] = (), weight: str | None = N
 
 
 def unsuccessful_breakdown(jobs: DataFrame, by: Sequence[str] = (), weight: str = "gpu_time",
-                           scale: int = 2, label_col: str = "state_label") -> DataFrame:
+                           scale: int | None = None, label_col: str = "state_label") -> DataFrame:
     """Cancelled jobs as a share of all unsuccessful jobs, by count and weight.
 
     Unsuccessful = every label but Completed (Unknown included).
@@ -68,9 +68,7 @@ def unsuccessful_breakdown(jobs: DataFrame, by: Sequence[str] = (), weight: str
     lab = q(label_col)
     bad = f"{lab} <> 'Completed'"
     cancel = f"{lab} = 'Canceled'"
-    dec = decimal_type(scale)
-    w = f"CAST({q(weight)} AS {dec})"
-    zero = f"CAST(0 AS {dec})"
+    w, zero = number_sql(q(weight), scale), number_sql("0", scale)
     agg = jobs.groupBy(*by).agg(*[F.expr(a) for a in (
         "count(1) AS n_jobs",
         f"count_if({bad}) AS n_unsuccessful",

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import BinSpec
 from ..operators.latency import QUEUE_BINS, count_by_bin, mean_by_bin
-from ..operators.ml import (FeatureSpec, ModelSpec, evaluate, group_mean_baseline,
+from ..operators.ml import (STUDY_MODELS, FeatureSpec, ModelSpec, evaluate, group_mean_baseline,
                             hash_split, linear_fit, minmax_scaled, string_indexes, HASH_SPACE)
 from ..operators.normalize import normalize_jobs, training_rows
 from ..operators.occupancy import gpu_occupancy, mean_by_occupancy
@@ -38,6 +38,7 @@ GPU_BINS_TEST = BinSpec(0, 80, 10)
 OCCUPANCY_BINS_TEST = BinSpec(0, 80, 10)
 # one layout per cluster, as the study used 150-wide and 100-wide bins
 GPU_BINS_PER_CLUSTER = {"A": BinSpec(0, 80, 10), "B": BinSpec(0, 100, 25)}
+QUANTITY_BINS = BinSpec(0, 50, 10)
 # reports give the Unknown bin index -1 so the bin column never holds NULL
 UNKNOWN_BIN = -1
 
@@ -90,13 +91,13 @@ def q03b_state_share_from_cluster_exports(spark, sf_dir):
 
 def q04_gpu_time_by_state(spark, sf_dir):
     """Exact GPU time per end state."""
-    return state_shares(jobs_o(spark, sf_dir), weight="gpu_time") \
+    return state_shares(jobs_o(spark, sf_dir), weight="gpu_time", scale=SCALE) \
         .select("state", "state_order", "gpu_time")
 
 
 def q05_gpu_time_share_by_cluster(spark, sf_dir):
     """GPU-time shares per end state and cluster."""
-    return state_shares(jobs_o(spark, sf_dir), by=["cluster"], weight="gpu_time")
+    return state_shares(jobs_o(spark, sf_dir), by=["cluster"], weight="gpu_time", scale=SCALE)
 
 
 def q06_state_share_by_type(spark, sf_dir):
@@ -113,20 +114,26 @@ def q07_known_state_share(spark, sf_dir):
 def q08_queue_by_gpu_bin(spark, sf_dir):
     """Eval mean queue delay per bin of GPUs already in use."""
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
-                       task_types=["Eval"], unknown_bin=UNKNOWN_BIN)
+                       task_types=["Eval"], unknown_bin=UNKNOWN_BIN, scale=SCALE)
+
+
+def q08c_discount_by_quantity_bin(spark, sf_dir):
+    """Exact mean of a value with four decimals per bin of another column."""
+    items = load(spark, sf_dir, "lineitem").selectExpr("l_quantity", "l_extendedprice * l_discount AS discount")
+    return mean_by_bin(items, "l_quantity", QUANTITY_BINS, value="discount", unknown_bin=UNKNOWN_BIN, scale=4)
 
 
 def q08b_queue_by_gpu_bin_per_cluster(spark, sf_dir):
     """Same, each cluster with its own bin layout, in one pass."""
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_PER_CLUSTER,
-                       by=["cluster"], task_types=["Eval"], unknown_bin=UNKNOWN_BIN)
+                       by=["cluster"], task_types=["Eval"], unknown_bin=UNKNOWN_BIN, scale=SCALE)
 
 
 def q09_queue_by_gpu_bin_and_type(spark, sf_dir):
     """Eval and Pretrain on one GPU axis, in one pass."""
     return mean_by_bin(jobs_e(spark, sf_dir), "gpu_use_count", GPU_BINS_TEST,
                        by=["task_type"], task_types=["Eval", "Pretrain"],
-                       unknown_bin=UNKNOWN_BIN)
+                       unknown_bin=UNKNOWN_BIN, scale=SCALE)
 
 
 def q10_queue_bins_all_states(spark, sf_dir):
@@ -142,7 +149,7 @@ def q11_cancels_by_queue_bin(spark, sf_dir):
 
 def q12_unsuccessful_breakdown(spark, sf_dir):
     """Cancelled share of unsuccessful jobs, by count and GPU time."""
-    return unsuccessful_breakdown(jobs_o(spark, sf_dir), by=["cluster"])
+    return unsuccessful_breakdown(jobs_o(spark, sf_dir), by=["cluster"], scale=SCALE)
 
 
 def q13_unit_mean_util(spark, sf_dir):
@@ -180,7 +187,7 @@ def q17_queue_by_occupancy(spark, sf_dir):
     """Mean queue delay by GPUs used by others when a job starts."""
     jobs = jobs_e(spark, sf_dir)
     return mean_by_occupancy(jobs, gpu_occupancy(jobs), OCCUPANCY_BINS_TEST, by=["task_type"],
-                             task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
+                             task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN, scale=SCALE)
 
 
 def q17b_queue_by_occupancy_at_submit(spark, sf_dir):
@@ -188,19 +195,15 @@ def q17b_queue_by_occupancy_at_submit(spark, sf_dir):
     jobs = jobs_e(spark, sf_dir)
     return mean_by_occupancy(jobs, gpu_occupancy(jobs, probes="submit_us"),
                              OCCUPANCY_BINS_TEST, by=["task_type"], at="submit",
-                             task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN)
+                             task_types=["Eval", "Pretrain"], unknown_bin=UNKNOWN_BIN, scale=SCALE)
 
 
 # The test tables' duration is an exact function of the GPU columns, so
 # the models here predict the queue delay instead and leave it out of the
 # features.
-TEST_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "gpu_num", "cpu_num", "duration"),
-                            categorical=("user", "task_type"), pca_k=3)
-TEST_MODELS = (
-    ModelSpec("lr", {}),
-    ModelSpec("rf", {"numTrees": 15, "maxDepth": 8, "seed": 42}),
-    ModelSpec("gbt", {"maxIter": 10, "maxDepth": 5, "seed": 42}),
-)
+TEST_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "gpu_num", "cpu_num", "duration"))
+#: The test values have two decimals: sums are exact with as many.
+SCALE = 2
 TRAIN_FRACTION = 0.8
 SPLIT_SEED = 42
 
@@ -245,7 +248,7 @@ def q21_string_index(spark, sf_dir):
 def q22_baseline_metrics(spark, sf_dir):
     """Per-type mean predictor scored on the test rows."""
     train, test = _train_test(spark, sf_dir)
-    return group_mean_baseline(train, test, group="task_type")
+    return group_mean_baseline(train, test, group="task_type", scale=SCALE)
 
 
 def q23_linear_one_feature(spark, sf_dir):
@@ -257,13 +260,28 @@ def q23_linear_one_feature(spark, sf_dir):
 def q24_model_metrics(spark, sf_dir):
     """LR, RF and GBT on shared features + PCA: metric rows."""
     train, test = _train_test(spark, sf_dir)
-    return evaluate(TEST_MODELS, train, test, TEST_FEATURES)[0]
+    return evaluate(STUDY_MODELS, train, test, TEST_FEATURES)[0]
 
 
 def q25_feature_importance(spark, sf_dir):
     """RF and GBT feature importances over the PCA axes."""
     train, test = _train_test(spark, sf_dir)
-    return evaluate([m for m in TEST_MODELS if m.kind != "lr"], train, test, TEST_FEATURES)[1]
+    return evaluate([m for m in STUDY_MODELS if m.kind != "lr"], train, test, TEST_FEATURES)[1]
+
+
+# One split of a column with few values: what a tree does here is plain SQL.
+STUMP_FEATURES = FeatureSpec(label="queue", numeric=("node_num",), categorical=(), grouped=(), pca_k=None)
+STUMPS = (
+    ModelSpec("rf", {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all", "seed": 42},
+              name="one_tree"),
+    ModelSpec("gbt", {"maxIter": 1, "maxDepth": 1, "seed": 42}, name="one_round"),
+)
+
+
+def q26_stump_metrics(spark, sf_dir):
+    """Forest of one tree and boosting of one round, one split each: metric rows."""
+    train, test = _train_test(spark, sf_dir)
+    return evaluate(STUMPS, train, test, STUMP_FEATURES)[0]
 
 
 # ------------------------------------------------------------ oracle SQL
@@ -352,8 +370,8 @@ def _label_sql(b: str, lo: int, hi: int, w: int, overflow: str | None) -> str:
     return f"CASE {b} {arms} ELSE 'Unknown' END"
 
 
-def _mean_sql(v: str) -> str:
-    return (f"CAST(sum(CAST({v} AS DECIMAL(18,2))) AS DOUBLE) / "
+def _mean_sql(v: str, scale: int = 2) -> str:
+    return (f"CAST(sum(CAST({v} AS DECIMAL(18,{scale}))) AS DOUBLE) / "
             f"CAST(count({v}) AS DOUBLE)")
 
 
@@ -380,6 +398,11 @@ FROM jo GROUP BY state_label""",
 SELECT coalesce(bin, -1) AS bin, n_jobs, mean_queue, {_GPU_LABEL} AS label FROM (
   SELECT {_GPU_BIN} AS bin, count(*) AS n_jobs, {_mean_sql('queue')} AS mean_queue
   FROM je WHERE task_type = 'Eval' GROUP BY 1)""",
+    "q08c_discount_by_quantity_bin": f"""
+SELECT coalesce(bin, -1) AS bin, n_jobs, mean_discount, {_label_sql('bin', 0, 50, 10, None)} AS label FROM (
+  SELECT {_bin_sql('l_quantity', 0, 50, 10, False)} AS bin, count(*) AS n_jobs,
+         {_mean_sql('discount', 4)} AS mean_discount
+  FROM (SELECT l_quantity, l_extendedprice * l_discount AS discount FROM lineitem) GROUP BY 1)""",
     "q08b_queue_by_gpu_bin_per_cluster": f"""WITH {_JOBS_E}
 SELECT cluster, coalesce(bin, -1) AS bin, n_jobs, mean_queue,
        CASE cluster WHEN 'A' THEN {_label_sql('bin', 0, 80, 10, None)}
@@ -544,6 +567,23 @@ SELECT count(*) AS n_test,
        round(sqrt(avg((prediction - label) * (prediction - label))), 6) AS rmse,
        round(avg(abs(prediction - label)), 6) AS mae
 FROM p""",
+    "q26_stump_metrics": f"""WITH {_JOBS_E},{_TRAIN},
+g AS (SELECT node_num AS v, count(*) AS n, sum(label) AS s FROM tr WHERE split = 'train' GROUP BY 1),
+cuts AS (
+  SELECT a.v AS cut, sum(CASE WHEN g.v <= a.v THEN g.n ELSE 0 END) AS nl, sum(CASE WHEN g.v <= a.v THEN g.s ELSE 0 END) AS sl,
+         sum(g.n) AS n, sum(g.s) AS s
+  FROM g a CROSS JOIN g GROUP BY a.v),
+best AS (
+  SELECT cut, sl / nl AS low, (s - sl) / (n - nl) AS high FROM cuts WHERE nl < n
+  ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, cut LIMIT 1),
+p AS (SELECT label, CASE WHEN node_num <= cut THEN low ELSE high END AS prediction
+      FROM tr CROSS JOIN best WHERE split = 'test'),
+m AS (SELECT count(*) AS n, sqrt(avg((prediction - label) * (prediction - label))) AS rmse,
+             avg(abs(prediction - label)) AS mae FROM p)
+SELECT model, metric, CASE metric WHEN 'rmse' THEN round(rmse, 6) WHEN 'mae' THEN round(mae, 6)
+                                  ELSE CAST(n AS DOUBLE) END AS value
+FROM m CROSS JOIN (VALUES ('one_tree'), ('one_round')) AS a(model)
+       CROSS JOIN (VALUES ('rmse'), ('mae'), ('n_test')) AS b(metric)""",
     "q23_linear_one_feature": f"""WITH {_JOBS_E},{_TRAIN}
 SELECT round(regr_slope(label, gpu_use_count), 6) AS slope,
        round(regr_intercept(label, gpu_use_count), 6) AS intercept

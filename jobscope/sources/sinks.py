@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 
 def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ("cluster",),
-                 fmt: str = "parquet", mode: str = "overwrite", compact: bool = True) -> str:
+                 fmt: str = "parquet", mode: str = "overwrite", compact: bool = False) -> str:
     """Write a report as a table (re-aimed chart output, S7).
 
-    Partition columns that the frame does not have are skipped. A report
-    is small (bins x groups), so by default it is written by one task as
-    one file per partition value. ``compact=False`` is for large frames
-    (a whole job log): every task writes its own files, with no shuffle,
-    so a cluster holding most rows does not funnel them through one task.
+    Partition columns that the frame does not have are skipped.
+    Every task writes its own files, with no shuffle, so a cluster holding
+    most rows does not funnel them through one task. ``compact=True`` is
+    for a report known to be small (bins x groups): one task, one file per
+    partition value.
     """
     parts = [c for c in partition_by if c in df.columns]
     out = df.coalesce(1) if compact else df

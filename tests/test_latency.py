@@ -53,3 +53,15 @@ def test_per_cluster_layouts(jobs):
     assert out[("B", 1)] == "50-100"
     with pytest.raises(ValueError):
         mean_by_bin(jobs, "gpu_use_count", specs)
+
+
+def test_small_values_are_not_rounded(spark):
+    df = spark.createDataFrame([(1.0, 0.004)] * 3 + [(1.0, None)], "x double, queue double")
+    for scale in (None, 3):
+        assert mean_by_bin(df, "x", BinSpec(0, 10, 10), scale=scale).first().mean_queue == pytest.approx(0.004)
+
+
+def test_bigints_keep_their_digits(spark):
+    from jobscope.functions.numeric import to_long_sql
+    df = spark.createDataFrame([("9007199254740993",), ("12.7",), ("x",), (None,)], "v string")
+    assert [r[0] for r in df.selectExpr(to_long_sql("v")).collect()] == [9007199254740993, 12, None, None]

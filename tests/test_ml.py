@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 
 from jobscope.operators import ml
@@ -52,9 +53,8 @@ def test_string_index_order(spark):
 
 def test_metrics_agree_with_evaluator(spark, split):
     train, test = split
-    feats = ml.fit_features(train, C.TEST_FEATURES)
-    est = ml.make_estimator(ml.ModelSpec("lr", {}), C.TEST_FEATURES).fit(feats.transform(train))
-    pred = est.transform(feats.transform(test))
+    model = ml.fit_pipeline(train, C.TEST_FEATURES, ml.ModelSpec("lr", {}))
+    pred = model.transform(ml.with_group_statistics(test, train, C.TEST_FEATURES))
     m = ml.regression_metrics(pred, digits=None).first()
     rmse = RegressionEvaluator(metricName="rmse").evaluate(pred)
     mae = RegressionEvaluator(metricName="mae").evaluate(pred)
@@ -82,22 +82,43 @@ def test_baseline_handles_unseen_group(spark):
     assert r.mae == pytest.approx(round((70 / 3 - 10) / 2, 6))
 
 
-def test_width_guard(split):
-    train, _ = split
-    spec = ml.FeatureSpec(label="queue", numeric=("gpu_num",), categorical=("job_id",),
-                          max_onehot_width=50)
-    with pytest.raises(ValueError, match="one-hot width"):
-        ml.check_width(train, spec)
+def test_group_statistics(spark):
+    spec = ml.FeatureSpec(grouped=("user",))
+    train = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 8.0), (None, 4.0), (None, 5.0)],
+                                  "user string, label double")
+    own = {(r.user, r.label): (r.user_rows, r.user_mean)
+           for r in ml.with_group_statistics(train, train, spec, own=True).collect()}
+    assert own == {("a", 1.0): (1.0, 3.0), ("a", 3.0): (1.0, 1.0), ("b", 8.0): (0.0, pytest.approx(4.2)),
+                   (None, 4.0): (1.0, 5.0), (None, 5.0): (1.0, 4.0)}
+    test = spark.createDataFrame([("a",), ("new",), (None,)], "user string")
+    assert {r.user: (r.user_rows, r.user_mean) for r in ml.with_group_statistics(test, train, spec).collect()} == {
+        "a": (2.0, 2.0), "new": (0.0, pytest.approx(4.2)), None: (2.0, 4.5)}
+
+
+def test_many_users(spark):
+    """As many users as a large log has: every step still works, and none is left out."""
+    n = 200_000
+    rows = spark.range(n).selectExpr(
+        "cast(id as string) AS job_id", "concat('u', id) AS user", "if(id % 2 = 0, 'Eval', 'Pretrain') AS task_type",
+        "cast(id % 7 as double) AS gpu_num", "cast(id % 5 as double) AS label")
+    got = ml.string_indexes(rows, ["user", "task_type"])
+    r = got.selectExpr("count(distinct user_index) AS n", "max(user_index) AS most", "min(user_index) AS least").first()
+    assert (r.n, r.most, r.least) == (n, n - 1.0, 0.0)
+    spec = ml.FeatureSpec(label="label", numeric=("gpu_num",), pca_k=2)
+    metrics, importances = ml.evaluate([ml.ModelSpec("rf", {"numTrees": 2, "maxDepth": 2, "seed": 1})],
+                                       rows, rows, spec)
+    assert {x.metric: x.value for x in metrics.collect()}["n_test"] == n and importances.count() == 2
 
 
 def test_evaluate_models(split):
     train, test = split
     models = [ml.ModelSpec("lr", {}), ml.ModelSpec("rf", {"numTrees": 3, "maxDepth": 3, "seed": 1}),
-              ml.ModelSpec("gbt", {"maxIter": 3, "maxDepth": 2, "seed": 1})]
+              ml.ModelSpec("gbt", {"maxIter": 3, "maxDepth": 2, "seed": 1}),
+              ml.ModelSpec("lr", {"regParam": 0.5}, name="ridge")]
     metrics, imp = ml.evaluate(models, train, test, C.TEST_FEATURES)
     rows = {(r.model, r.metric): r.value for r in metrics.collect()}
-    assert {m for m, _ in rows} == {"lr", "rf", "gbt"}
-    for m in ("lr", "rf", "gbt"):
+    assert {m for m, _ in rows} == {"lr", "rf", "gbt", "ridge"}
+    for m in ("lr", "rf", "gbt", "ridge"):
         assert rows[(m, "rmse")] >= rows[(m, "mae")] >= 0
         assert rows[(m, "n_test")] == test.count()
     got = imp.collect()
@@ -111,21 +132,17 @@ def test_no_job_id_or_state_features():
     assert "job_id" not in spec.categorical and "state" not in spec.categorical
 
 
-def test_pca_matches_spark_pca_up_to_sign(split):
-    from pyspark.ml.feature import PCA
+def test_pca_is_the_closed_form_of_two_columns(split):
     train, _ = split
-    feats = ml.fit_features(train, C.TEST_FEATURES)
-    assembled = feats.stages.transform(train)
-    ref = PCA(k=3, inputCol="features", outputCol="ref").fit(assembled)
-    ours = feats.transform(train).select("job_id", "pca_features")
-    theirs = ref.transform(assembled).select("job_id", "ref")
-    a = {r.job_id: r.pca_features.toArray() for r in ours.collect()}
-    b = {r.job_id: r.ref.toArray() for r in theirs.collect()}
-    assert a.keys() == b.keys()
-    A = np.array([a[k] for k in sorted(a)])
-    B = np.array([b[k] for k in sorted(a)])
-    signs = np.sign((A * B).sum(axis=0))
-    assert np.allclose(A, B * signs, atol=1e-8)
+    spec = ml.FeatureSpec(numeric=("gpu_num", "duration"), categorical=(), grouped=(), pca_k=2)
+    model = ml.fit_features(train, spec)
+    x = np.array([r.features.toArray() for r in model.transform(train).select("features").collect()])
+    (a, b), (_, d) = np.cov(x.T)
+    root = np.sqrt((a - d) ** 2 / 4 + b * b)
+    axes = model.stages[-1].pc.toArray()
+    for k, value in enumerate(((a + d) / 2 + root, (a + d) / 2 - root)):
+        want = np.array([b, value - a]) / np.hypot(b, value - a)
+        assert np.allclose(np.abs(axes[:, k] @ want), 1.0, atol=1e-9)
 
 
 def test_sample_rows(spark):
@@ -137,28 +154,31 @@ def test_sample_rows(spark):
 
 def test_pca_without_numeric_block(split):
     train, _ = split
-    spec = ml.FeatureSpec(label="queue", numeric=(), categorical=("task_type",), pca_k=2)
-    feats = ml.fit_features(train, spec)
-    rows = feats.transform(train).select("pca_features").collect()
+    spec = ml.FeatureSpec(label="queue", numeric=(), grouped=(), pca_k=2)
+    rows = ml.fit_features(train, spec).transform(train).select("pca_features").collect()
     assert len(rows) == train.count() and rows[0].pca_features.size == 2
 
 
-def test_category_guard_without_pca(split):
-    train, _ = split
-    spec = ml.FeatureSpec(label="queue", numeric=("gpu_num",), categorical=("job_id",),
-                          pca_k=None, max_categories=100)
-    with pytest.raises(ValueError, match="max_categories"):
-        ml.fit_features(train, spec)
-
-
-def test_fit_pipeline_single_model(split):
+def test_pipeline_saved_and_loaded(split, tmp_path):
     train, test = split
-    feats, est = ml.fit_pipeline(train, C.TEST_FEATURES, ml.ModelSpec("lr", {}))
-    m = ml.regression_metrics(est.transform(feats.transform(test))).first()
-    assert m.n_test == test.count() and m.rmse >= m.mae
+    model = ml.fit_pipeline(train, C.TEST_FEATURES, ml.ModelSpec("lr", {}))
+    model.write().overwrite().save(f"file://{tmp_path}/model")
+    rows = ml.with_group_statistics(test, train, C.TEST_FEATURES)
+    got = [{r.job_id: r.prediction for r in m.transform(rows).collect()}
+           for m in (model, PipelineModel.load(f"file://{tmp_path}/model"))]
+    assert got[0] == got[1] and len(got[0]) == test.count()
 
 
-def test_string_index_guard(split):
+def test_feature_names_without_pca(split):
     train, _ = split
-    with pytest.raises(ValueError, match="max_categories"):
-        ml.string_indexes(train, ["job_id"], max_categories=10)
+    spec = ml.FeatureSpec(label="queue", numeric=("gpu_num",), pca_k=None)
+    rows = ml.with_group_statistics(train, train, spec, own=True)
+    model = ml.fit_features(rows, spec)
+    assert len(ml.feature_names(model, spec)) >= model.transform(rows).first().features.size
+
+
+def test_string_index_null_comes_last(spark):
+    df = spark.createDataFrame([("1", "a"), ("2", None), ("3", "b"), ("4", "b")], "job_id string, user string")
+    got = {r.job_id: r.user_index for r in ml.string_indexes(df, ["user"]).collect()}
+    assert got == {"1": 1.0, "2": 2.0, "3": 0.0, "4": 0.0}
+    assert ml.string_indexes(df.where("user = 'x'"), ["user"]).count() == 0

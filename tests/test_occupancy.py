@@ -158,6 +158,6 @@ def test_mean_by_occupancy_equals_per_job_path(spark, at):
     occ = gpu_occupancy(jobs, probes="submit_us" if at == "submit" else None)
     spec = BinSpec(0, 80, 10)
     per_job = mean_by_bin(gpus_in_use_at(jobs, occ, at=at), "gpus_in_use", spec,
-                          by=["task_type"], unknown_bin=-1).collect()
-    pre_agg = mean_by_occupancy(jobs, occ, spec, at=at, unknown_bin=-1).collect()
+                          by=["task_type"], unknown_bin=-1, scale=2).collect()
+    pre_agg = mean_by_occupancy(jobs, occ, spec, at=at, unknown_bin=-1, scale=2).collect()
     assert sorted(map(tuple, pre_agg)) == sorted(map(tuple, per_job))

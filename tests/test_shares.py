@@ -64,6 +64,14 @@ def test_unsuccessful_breakdown(spark):
     assert r.pct_gpu_time_canceled_of_unsuccessful == pytest.approx(60.0)
 
 
+def test_weights_are_summed_as_they_are(spark):
+    rows = [("A", "COMPLETED", "0.004"), ("A", "COMPLETED", "0.004"), ("A", "CANCELED", "1e17")]
+    out = {r.state: r.gpu_time for r in state_shares(jobs(spark, rows), weight="gpu_time").collect()}
+    assert out["Completed"] == pytest.approx(0.008) and out["Canceled"] == 1e17
+    exact = {r.state: r.gpu_time for r in state_shares(jobs(spark, rows), weight="gpu_time", scale=3).collect()}
+    assert exact["Completed"] == 0.008 and exact["Canceled"] == 1e17
+
+
 def test_status_alias(spark):
     df = spark.createDataFrame([("CANCELED", "Eval")], "Status string, TaskType string")
     n = normalize_jobs(df)
