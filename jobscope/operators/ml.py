@@ -92,6 +92,13 @@ def hash_unit(key) -> F.Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_sample(df: DataFrame, key: str = "job_id", fraction: float = 0.1, seed: int = 42) -> DataFrame:
+    """The rows whose salted key hash is in the lowest ``fraction`` (M14): like
+    ``hash_split``, the same for any partitioning and reproducible in SQL."""
+    salted = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
+    return df.where(hash_unit(salted) < int(round(fraction * HASH_SPACE)))
+
+
 def hash_split(df: DataFrame, key: str = "job_id", train_fraction: float = 0.8,
                seed: int = 42, out: str = "split") -> DataFrame:
     """Tag rows ``train``/``test`` by a salted hash of ``key``.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import BinSpec
 from ..operators.latency import QUEUE_BINS, count_by_bin, mean_by_bin
 from ..operators.ml import (STUDY_MODELS, FeatureSpec, ModelSpec, evaluate, group_mean_baseline,
-                            hash_split, linear_fit, minmax_scaled, string_indexes, HASH_SPACE)
+                            hash_sample, hash_split, linear_fit, minmax_scaled, string_indexes, HASH_SPACE)
 from ..operators.normalize import normalize_jobs, training_rows
 from ..operators.occupancy import gpu_occupancy, mean_by_occupancy
 from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
@@ -30,6 +30,7 @@ from ..sources.adapters import (jobs_from_events, jobs_from_orders, load,
                                 util_from_lineitem, wide_daily_from_events,
                                 wide_from_embeddings)
 from ..sources.readers import read_clusters, read_csv
+from ..sources.sinks import preview, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,6 +207,7 @@ TEST_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "gpu_num", "cpu_
 SCALE = 2
 TRAIN_FRACTION = 0.8
 SPLIT_SEED = 42
+SAMPLE_SEED = 7
 
 
 def _training(spark, sf_dir):
@@ -269,6 +271,23 @@ def q25_feature_importance(spark, sf_dir):
     return evaluate([m for m in STUDY_MODELS if m.kind != "lr"], train, test, TEST_FEATURES)[1]
 
 
+def q27_preview(spark, sf_dir):
+    """First 20 jobs by GPU time, largest first (a limit is the feature)."""
+    jobs = jobs_o(spark, sf_dir).select("job_id", "state", "gpu_time")
+    return preview(jobs, [F.desc("gpu_time"), "job_id"], 20)
+
+
+def q28_result_table(spark, sf_dir):
+    """State shares per cluster written as a partitioned table and read back."""
+    shares = state_shares(jobs_o(spark, sf_dir), by=["cluster"])
+    return spark.read.parquet(write_result(shares, scratch_path(spark, "q28-shares"))).select(shares.columns)
+
+
+def q29_hash_sample(spark, sf_dir):
+    """A tenth of the jobs, chosen by a salted hash of their id (a sampling operator)."""
+    return hash_sample(jobs_e(spark, sf_dir), "job_id", 0.1, SAMPLE_SEED).select("job_id")
+
+
 # One split of a column with few values: what a tree does here is plain SQL.
 STUMP_FEATURES = FeatureSpec(label="queue", numeric=("node_num",), categorical=(), grouped=(), pca_k=None)
 STUMPS = (
@@ -567,6 +586,13 @@ SELECT count(*) AS n_test,
        round(sqrt(avg((prediction - label) * (prediction - label))), 6) AS rmse,
        round(avg(abs(prediction - label)), 6) AS mae
 FROM p""",
+    "q27_preview": f"""WITH {_JOBS_O}
+SELECT CAST(job_id AS VARCHAR) AS job_id, state, gpu_time FROM jobs_o
+ORDER BY gpu_time DESC, CAST(job_id AS VARCHAR) LIMIT 20""",
+    "q28_result_table": ORACLE["q03_state_share_by_cluster"],
+    "q29_hash_sample": f"""WITH {_JOBS_E}
+SELECT CAST(job_id AS VARCHAR) AS job_id FROM jobs_e
+WHERE CAST('0x' || substr(md5('{SAMPLE_SEED}:' || CAST(job_id AS VARCHAR)), 1, 8) AS BIGINT) < {int(round(0.1 * HASH_SPACE))}""",
     "q26_stump_metrics": f"""WITH {_JOBS_E},{_TRAIN},
 g AS (SELECT node_num AS v, count(*) AS n, sum(label) AS s FROM tr WHERE split = 'train' GROUP BY 1),
 cuts AS (
