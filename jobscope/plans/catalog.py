@@ -184,6 +184,15 @@ def q16_gpu_occupancy(spark, sf_dir):
     return gpu_occupancy(jobs_e(spark, sf_dir)).select("cluster", "t", "gpus_in_use")
 
 
+def q16b_occupancy_of_odd_jobs(spark, sf_dir):
+    """GPUs in use where jobs still run, end as or before they start, or have no cluster."""
+    jobs = jobs_e(spark, sf_dir).withColumns({
+        "end_us": F.expr("CASE WHEN gpu_use_count % 11 = 0 THEN NULL WHEN gpu_use_count % 7 = 0 THEN start_us "
+                         "WHEN gpu_use_count % 13 = 0 THEN start_us - 1000000 ELSE end_us END"),
+        "cluster": F.expr("CASE WHEN gpu_use_count % 5 > 0 THEN cluster END")})
+    return gpu_occupancy(jobs).select(F.coalesce("cluster", F.lit("none")).alias("cluster"), "t", "gpus_in_use")
+
+
 def q17_queue_by_occupancy(spark, sf_dir):
     """Mean queue delay by GPUs used by others when a job starts."""
     jobs = jobs_e(spark, sf_dir)
@@ -519,6 +528,17 @@ SELECT bin, {_label_sql('bin', 0, 100, 10, None)} AS label,
 FROM c""",
     "q16_gpu_occupancy": f"""WITH {_JOBS_E},{_OCC}
 SELECT cluster, t, gpus_in_use FROM occ""",
+    "q16b_occupancy_of_odd_jobs": f"""WITH {_JOBS_E},
+j AS (
+  SELECT CASE WHEN gpu_use_count % 5 > 0 THEN cluster ELSE 'none' END AS cluster, start_us, CAST(gpu_num AS BIGINT) AS g,
+         CASE WHEN gpu_use_count % 11 = 0 THEN NULL WHEN gpu_use_count % 7 = 0 THEN start_us
+              WHEN gpu_use_count % 13 = 0 THEN start_us - 1000000 ELSE end_us END AS end_us
+  FROM je),
+held AS (SELECT * FROM j WHERE end_us IS NULL OR start_us < end_us),
+i AS (SELECT cluster, start_us AS t FROM j UNION SELECT cluster, end_us FROM held WHERE end_us IS NOT NULL)
+SELECT i.cluster, i.t, CAST(coalesce(sum(h.g), 0) AS BIGINT) AS gpus_in_use
+FROM i LEFT JOIN held h ON h.cluster = i.cluster AND h.start_us <= i.t AND i.t < coalesce(h.end_us, 9223372036854775807)
+GROUP BY 1, 2""",
     "q17_queue_by_occupancy": f"""WITH {_JOBS_E},{_OCC},
 p AS (SELECT je.*, occ.gpus_in_use - CAST(je.gpu_num AS BIGINT) AS in_use
       FROM je LEFT JOIN occ ON occ.cluster = je.cluster AND occ.t = je.start_us)
