@@ -148,6 +148,20 @@ def test_toxicity_learns_planted_words_in_long_texts_too(spark, monkeypatch):
     assert got[900] == got[901] and 0 <= got[900] < 0.5
 
 
+def test_toxicity_counts_all_labels_and_keeps_their_share(spark):
+    rng = np.random.default_rng(3)
+    plain = ["lamp", "river", "stone", "walks", "green", "house", "over", "under", "seven", "boats"]
+    rows = [(i, " ".join([*rng.choice(plain, 6), *["zyzzyva"] * (i % 10 == 0 and i % 100 < 20)]), int(i % 10 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df, df.select("doc_id", "label"), max_train=40)  # 20 of either class
+    assert len(model.buckets)  # 20 of 100 toxic texts have the word: far too few in the sample
+    got = {r.doc_id: r.s for r in df.withColumn("s", toxicity.score_column(df, model)).collect()}
+    bare = [got[i] for i, t, _ in rows if "zyzzyva" not in t]
+    assert max(bare) < 0.3 and abs(np.mean(bare) - 0.1) < 0.05
+    everything = toxicity.fit(df, df.select("doc_id", "label"))
+    assert (everything.buckets == model.buckets).all()
+
+
 def test_toxicity_without_two_classes(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, label int")
     assert max(r.s for r in docs.select(toxicity.score_column(docs, toxicity.fit(docs, none)).alias("s")).collect()) < 1e-9
