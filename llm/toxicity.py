@@ -73,6 +73,9 @@ def ngram_buckets(texts: list[str | None], keep: np.ndarray | None = None) -> It
     for i, text in enumerate(texts):
         text = (text or "").lower()
         if len(text) > _SLICE:  # slices of a long text overlap, so that no n-gram is lost
+            if parts:  # the texts before it come first
+                yield distinct(parts, owners)
+                parts, owners, size = [], [], 0
             step = _SLICE - max(ORDERS) + 1
             found = np.zeros(0, np.int64)
             for at in range(0, len(text), step):

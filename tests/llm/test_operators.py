@@ -162,6 +162,24 @@ def test_toxicity_counts_all_labels_and_keeps_their_share(spark):
     assert (everything.buckets == model.buckets).all()
 
 
+def test_toxicity_features_of_a_batch_stay_with_their_texts(spark):
+    rng = np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcdefgh "), toxicity._SLICE + 1000))
+    texts = ["first short text", None, long, "another one", long[:40]]
+    found = np.concatenate(list(toxicity.ngram_buckets(texts)))
+    assert (np.diff(found) > 0).all()
+    for i, text in enumerate(texts):
+        alone = np.concatenate([np.zeros(0, np.int64), *toxicity.ngram_buckets([text])])
+        assert (found[found >> toxicity.BUCKET_BITS == i] & (toxicity.BUCKETS - 1) == alone).all()
+    rows = [(i, "grobnik" if i % 2 else "lamp", i % 2) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, long, 0)], "doc_id long, text string, label int").coalesce(1)
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "_logistic", lambda kept, r, y: (seen.append(sorted((int(v), len(x)) for x, v in zip(kept, y))), (np.zeros(len(r)), 0.0))[1])
+        toxicity.fit(df, df.select("doc_id", "label"))
+    assert Counter(seen[0])[0, 0] <= 1 and Counter(n for v, n in seen[0] if v)[0] == 0
+
+
 def test_toxicity_without_two_classes(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, label int")
     assert max(r.s for r in docs.select(toxicity.score_column(docs, toxicity.fit(docs, none)).alias("s")).collect()) < 1e-9
