@@ -6,14 +6,16 @@ bounded sample). Each shard builds a flat graph: a class's near neighbours
 and some random ones, robust-pruned (an edge goes if a kept neighbour is
 ``ALPHA`` times closer to its end). The shards' adjacency lists are united
 per class. Each class is then searched in the shard of its nearest
-centroid: greedily from the medoid with a beam, then expanding everything
-in range. What is found is verified in double precision. A recall audit
+centroid (its home): greedily from the medoid with a beam, then expanding
+everything in range. What is found is verified in double precision. A link
+counts for both its ends, in one shard: that of the home that holds both,
+the smaller one if both homes do, where then both ends ask. A recall audit
 compares a bounded set of classes with brute force over all vectors; below
 ``RECALL`` the graph is built again with more overlap, up to all shards
 (each class in every shard: then only the graph walk can miss).
 
-Large clusters are split by hash into parts, and every class of the cluster
-searches all of them, so no group grows with the data. A task sends a
+Large clusters are split by hash into parts, and a task has two of them that
+search each other, so no group grows with the data. A task sends a
 spanning forest of its links, not the links.
 
 Vectors that are null, empty, zero or hold null or non-finite components
@@ -186,7 +188,7 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int) -> DataFrame:
-    """``(rep, found, u, v)``: vectors linked with each class beside its own, and forest edges."""
+    """``(rep, found, met, u, v)``: vectors and classes linked with each class beside its own, and forest edges."""
     spark = classes.sparkSession
     centres = kmeans(unit(sample_of(classes.withColumnRenamed("rep", "id"), dim)), max(1, min(MAX_CLUSTERS, n // CLUSTER_ROWS)))
     sent = spark.sparkContext.broadcast(centres)
@@ -196,15 +198,15 @@ def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int)
         return pd.Series(list(nearest(unit(_matrix(vec)), sent.value, overlap)))
 
     placed = materialise(classes.withColumn("clusters", clusters("vec")), "graph-rows")
-    nodes = placed.select("rep", "n", "vec", F.posexplode("clusters").alias("pos", "cluster"))
-    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("c"), F.sum(F.expr("if(pos = 0, 1, 0)")).alias("q")).collect()  # at most MAX_CLUSTERS rows
-    shape = spark.sparkContext.broadcast({r.cluster: (-(-r.c // PART_ROWS), max(1, -(-r.q // PART_ROWS))) for r in sizes})
+    nodes = placed.select("rep", "n", "vec", "clusters", F.explode("clusters").alias("cluster"))
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("c")).collect()  # at most MAX_CLUSTERS rows
+    shape = spark.sparkContext.broadcast({r.cluster: -(-r.c // PART_ROWS) for r in sizes})
 
-    @F.pandas_udf("struct<parts: long, blocks: long>")
-    def shape_of(cluster: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shape.value[c] for c in cluster], columns=["parts", "blocks"], dtype=np.int64)
+    @F.pandas_udf("long")
+    def parts_of(cluster: pd.Series) -> pd.Series:
+        return cluster.map(shape.value).astype(np.int64)
 
-    nodes = nodes.withColumn("s", shape_of("cluster")).withColumn("part", F.expr("pmod(xxhash64(rep), s.parts)"))
+    nodes = nodes.withColumn("parts", parts_of("cluster")).withColumn("part", F.expr("pmod(xxhash64(rep), parts)"))
 
     def adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
         rep = pdf["rep"].to_numpy(np.int64)
@@ -213,19 +215,13 @@ def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int)
     lists = nodes.groupBy("cluster", "part").applyInPandas(adjacency, "rep long, near array<long>")
     united = materialise(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")  # at most OVERLAP lists each
 
-    indexed = nodes.join(united, "rep").select("cluster", "part", F.explode(F.expr("sequence(0L, s.blocks - 1)")).alias("block"), F.lit(False).alias("asks"), "rep", "n", "vec", "near")
-    asking = nodes.where("pos = 0").select(
-        "cluster", F.explode(F.expr("sequence(0L, s.parts - 1)")).alias("part"), F.expr("pmod(xxhash64(rep, 3), s.blocks)").alias("block"),
-        F.lit(True).alias("asks"), "rep", "n", "vec", F.lit(None).cast("array<long>").alias("near"))
+    # each pair of parts is a task
+    indexed = nodes.join(united, "rep").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).select(
+        "cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "n", "vec", "clusters", "near")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        out = pd.DataFrame({"rep": ask["rep"].to_numpy(np.int64), "found": np.zeros(len(ask), np.int64)})
-        out["u"], out["v"] = pd.array([None] * len(ask), "Int64"), pd.array([None] * len(ask), "Int64")
-        if not len(node) or not len(ask):
-            return out
-        node = node.sort_values("rep")
-        rep, weight, mine = node["rep"].to_numpy(np.int64), node["n"].to_numpy(np.int64), ask["rep"].to_numpy(np.int64)
+    def padded(node: pd.DataFrame) -> np.ndarray:
+        """Neighbours within ``node`` (ascending rep), padded with -1."""
+        rep = node["rep"].to_numpy(np.int64)
         own = np.repeat(np.arange(len(node)), [len(x) for x in node["near"]])
         to = np.concatenate([np.asarray(x, np.int64) for x in node["near"]]) if len(own) else np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(rep, to), len(rep) - 1)
@@ -234,16 +230,44 @@ def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int)
         width = np.bincount(own, minlength=len(rep))
         graph = np.full((len(rep), max(1, width.max(initial=0))), -1)
         graph[own, np.arange(len(own)) - (np.cumsum(width) - width)[own]] = at
-        raw, asked = unit(_matrix(node["vec"])), unit(_matrix(ask["vec"]))
-        q, r = search(raw, graph, asked, threshold)
-        ok = (np.einsum("id,id->i", asked[q], raw[r]) >= threshold) & (mine[q] != rep[r])
-        q, r = q[ok], r[ok]
-        out["found"] = np.bincount(q, weight[r], len(ask)).astype(np.int64)
-        u, v = _forest(mine[q], rep[r])
-        edges = pd.DataFrame({"rep": pd.array([None] * len(u), "Int64"), "found": 0, "u": pd.array(u, "Int64"), "v": pd.array(v, "Int64")})
-        return pd.concat([out.astype({"rep": "Int64"}), edges], ignore_index=True)
-
-    found = indexed.unionByName(asking).groupBy("cluster", "part", "block").applyInPandas(walk, "rep long, found long, u long, v long")
+        return graph
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        here, low, high = (int(pdf[c].iloc[0]) for c in ("cluster", "low", "high"))
+        pdf = pdf.sort_values(["part", "rep"]).reset_index(drop=True)
+        part, rep, weight = (pdf[c].to_numpy(np.int64) for c in ("part", "rep", "n"))
+        raw = unit(_matrix(pdf["vec"]))
+        home = np.array([c[0] for c in pdf["clusters"]], np.int64)
+        width = int(home.max()) + 1
+        lies = np.concatenate([i * width + np.asarray(c, np.int64)[np.asarray(c) < width] for i, c in enumerate(pdf["clusters"])])
+        lies.sort()
+        pairs = np.zeros(0, np.int64)
+        for mine, other in {(low, high), (high, low)}:
+            node, ask = np.flatnonzero(part == other), np.flatnonzero((part == mine) & (home >= here))
+            if not len(node) or not len(ask):
+                continue
+            q, r = search(raw[node], padded(pdf.iloc[node]), raw[ask], threshold)
+            q, r = ask[q], node[r]
+            ok = (q != r) & ((home[q] == here) | (home[r] == here))
+            q, r = q[ok], r[ok]
+            q, r = np.where(home[q] == here, q, r), np.where(home[q] == here, r, q)
+            want = q * width + home[r]  # does q lie in r's home? Then the smaller home has the pair
+            both = lies[np.minimum(np.searchsorted(lies, want), len(lies) - 1)] == want
+            ok = ~(both & (home[r] < here))
+            q, r = q[ok], r[ok]
+            ok = np.concatenate([np.zeros(0, bool), *(np.einsum("id,id->i", raw[q[i:i + 65536]], raw[r[i:i + 65536]]) >= threshold for i in range(0, len(q), 65536))])
+            pairs = np.union1d(pairs, np.minimum(q[ok], r[ok]) * len(pdf) + np.maximum(q[ok], r[ok]))
+        a, b = pairs // len(pdf), pairs % len(pdf)
+        ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+        found, met = np.bincount(ends, weight[others], len(pdf)).astype(np.int64), np.bincount(ends, minlength=len(pdf))
+        hit = np.flatnonzero(met)
+        u, v = _forest(rep[a], rep[b])
+        none = [None] * len(hit)
+        out = pd.DataFrame({"rep": pd.array(rep[hit], "Int64"), "found": found[hit], "met": met[hit], "u": pd.array(none, "Int64"), "v": pd.array(none, "Int64")})
+        edges = pd.DataFrame({"rep": pd.array([None] * len(u), "Int64"), "found": 0, "met": 0, "u": pd.array(u, "Int64"), "v": pd.array(v, "Int64")})
+        return pd.concat([out, edges], ignore_index=True)
+
+    found = indexed.groupBy("cluster", "low", "high").applyInPandas(walk, "rep long, found long, met long, u long, v long")
     return materialise(found, "graph-links")
 
 

@@ -302,6 +302,26 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert out[0].audited_recall == 1.0
 
 
+def test_near_vectors_credit_both_ends_at_cluster_borders(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "CLUSTER_ROWS", 20)
+    monkeypatch.setattr(flat_graph, "OVERLAP", 2)
+    monkeypatch.setattr(flat_graph, "RECALL", 0.0)
+    real = flat_graph._recall
+    monkeypatch.setattr(flat_graph, "_recall", lambda *a: max(real(*a), 0.9))  # links may be lost here, but not one-sided
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=(400, 8))
+    x = np.concatenate([one, one + rng.normal(size=(400, 8)) * 0.25])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for part_rows in (10_000, 30):  # the second splits clusters
+        monkeypatch.setattr(flat_graph, "PART_ROWS", part_rows)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        out = flat_graph.near_vectors(df).collect()
+        size = Counter(r.component_id for r in out)
+        near = (x @ x.T >= 0.9).sum(axis=1) - 1
+        assert all((r.n_links > 0) == (size[r.component_id] > 1) and r.n_links <= near[r.vec_id] for r in out)
+        assert sum(r.n_links for r in out) % 2 == 0 and sum(n > 1 for n in size.values()) > 50
+
+
 # -- 9 and 10
 
 def test_best_fit_decreasing_is_best_fit():
