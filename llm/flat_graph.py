@@ -10,9 +10,12 @@ centroid (its home): greedily from the medoid with a beam, then expanding
 everything in range. What is found is verified in double precision. A link
 counts for both its ends, in one shard: that of the home that holds both,
 the smaller one if both homes do, where then both ends ask. A recall audit
-compares a bounded set of classes with brute force over all vectors; below
+compares classes chosen by hash with brute force over all vectors, until
+enough of them have a link or a twentieth of all is compared; each linked class
+counts the same, however many links it has. Below
 ``RECALL`` the graph is built again with more overlap, up to all shards
-(each class in every shard: then only the graph walk can miss).
+(each class in every shard: then only the graph walk can miss); below
+``LEAST_RECALL`` even then, it is an error.
 
 Large clusters are split by hash into parts, and a task has two of them that
 search each other, so no group grows with the data. A task sends a
@@ -41,8 +44,11 @@ CLUSTER_ROWS = 1500
 PART_ROWS = 12_000
 NEAR, RANDOM, DEGREE, ALPHA = 32, 16, 24, 1.2
 BEAM = 24
+#: Classes of an audit's first block; the next ones are larger, up to 16 times.
 AUDITED = 256
-RECALL = 0.97
+#: Audited classes with a link that are enough.
+LINKED = 128
+RECALL, LEAST_RECALL = 0.97, 0.9
 _BLOCK = 256
 
 
@@ -272,23 +278,31 @@ def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int)
 
 
 def _recall(classes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Of the links of at most ``AUDITED`` classes, by brute force over all, the share that was found."""
-    audited = classes.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(AUDITED).select("rep", "vec").toPandas()
-    sent = classes.sparkSession.sparkContext.broadcast((audited["rep"].to_numpy(np.int64), unit(_matrix(audited["vec"]))))
-
-    def count(batches):
-        ids, asked = sent.value
-        for pdf in batches:
-            total = np.zeros(len(ids), np.int64)
-            for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 4096)):
-                x, rep, n = unit(_matrix(pdf["vec"].iloc[part])) if len(part) else np.zeros((0, asked.shape[1])), pdf["rep"].to_numpy()[part], pdf["n"].to_numpy()[part]
-                total += (((asked @ x.T) >= threshold) & (ids[:, None] != rep)) @ n
-            yield pd.DataFrame({"rep": ids, "truth": total})
-
-    truth = classes.select("rep", "n", "vec").mapInPandas(count, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
-    seen = links.where("rep is not null").groupBy("rep").agg(F.sum("found").alias("found"))
-    r = truth.join(seen, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("found", F.lit(0))))).first()
-    return r[1] / r[0] if r[0] else 1.0
+    """Mean share of a class's links that was found, over audited classes that have one by brute force over all."""
+    spark, buckets = classes.sparkSession, -(-classes.count() // AUDITED)
+    met = links.where("rep is not null").groupBy("rep").agg(F.sum("met").alias("met"))
+    total, linked, at, width = 0.0, 0, 0, 1
+    while linked < LINKED and at < -(-buckets // 20):
+        audited = classes.where(F.expr(f"pmod(xxhash64(rep, 9), {buckets}) between {at} and {at + width - 1}")).select("rep", "vec").toPandas()
+        at, width = at + width, min(4 * width, 16)
+        if not len(audited):
+            continue
+        sent = spark.sparkContext.broadcast((audited["rep"].to_numpy(np.int64), unit(_matrix(audited["vec"]))))
+
+        def count(batches, sent=sent):
+            ids, asked = sent.value
+            truth = np.zeros(len(ids), np.int64)
+            for pdf in batches:
+                for i in range(0, len(pdf), 1024):
+                    x, rep = unit(_matrix(pdf["vec"].iloc[i:i + 1024])), pdf["rep"].to_numpy(np.int64)[i:i + 1024]
+                    truth += ((asked @ x.T >= threshold) & (ids[:, None] != rep)).sum(axis=1)
+            yield pd.DataFrame({"rep": ids, "truth": truth})
+
+        truth = classes.select("rep", "vec").mapInPandas(count, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth")).where("truth > 0")
+        share = F.least("truth", F.coalesce("met", F.lit(0))) / F.col("truth")
+        r = truth.join(met, "rep", "left").agg(F.sum(share), F.count("*")).first()
+        total, linked = total + (r[0] or 0.0), linked + r[1]
+    return total / linked if linked else 1.0
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -305,6 +319,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
             got = _recall(own, found, threshold)
             if got >= RECALL or overlap >= r.n // CLUSTER_ROWS:
                 break
+        if got < LEAST_RECALL:
+            raise RuntimeError(f"near vectors of {r.dim} components: audited recall {got:.3f} is below {LEAST_RECALL} at overlap {overlap}")
         recall = min(recall, got)
         links = found if links is None else links.union(found)
     if links is None:

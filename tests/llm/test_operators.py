@@ -322,6 +322,19 @@ def test_near_vectors_credit_both_ends_at_cluster_borders(spark, monkeypatch):
         assert sum(r.n_links for r in out) % 2 == 0 and sum(n > 1 for n in size.values()) > 50
 
 
+def test_recall_audit_sees_small_groups_and_raises(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    hot = rng.normal(size=16) + rng.normal(size=(60, 16)) * 0.01
+    one = rng.normal(size=(10, 16)) * 3
+    x = np.concatenate([hot, one, one + 0.01])
+    classes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep long, n long, vec array<double>")
+    links = spark.createDataFrame([(i, 59, 59, None, None) for i in range(60)], "rep long, found long, met long, u long, v long")
+    assert abs(flat_graph._recall(classes, links, 0.9) - 60 / 80) < 1e-9  # pooled: 3,540 of 3,560 links
+    monkeypatch.setattr(flat_graph, "_links", lambda *a: links.limit(0))
+    with pytest.raises(RuntimeError, match="recall"):
+        flat_graph.near_vectors(classes.toDF("vec_id", "n", "embedding"))
+
+
 # -- 9 and 10
 
 def test_best_fit_decreasing_is_best_fit():
