@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ball_tree, bfd_output, bpe, flat_graph, line_dedup, lsh_forest, ngram_trie, nnls_pack, toxicity, warc
+from llm import (
+    ball_tree, bfd_output, bloom_cascade, bpe, flat_graph, line_dedup, lsh_forest, ngram_trie, nnls_pack, prefix_trie, threshold_kmeans, toxicity, warc)
 from jobscope.session import scratch_path
 from llm.common import materialise, read_table, remainder_of_crc
+from llm.oracle import ORACLE  # noqa: F401
 from llm.ship import shipped
 
 #: The tokenizer of the token queries, and the id that ends a document in packed sequences.
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
+#: Host, path and verdict of the url rules.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def tokenizer_source(path: str | None = None) -> str:
@@ -85,6 +95,26 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_pack.pack(read_table(spark, sf_dir, "documents"), tokenizer_source(), END_ID)
 
 
+def url_rules(spark: SparkSession) -> DataFrame:
+    """The rules of the url query: host, path, verdict."""
+    return spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+
+
+def op11_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that decides on every page's url, and its verdict; urls that no rule fits are allowed."""
+    return bloom_cascade.judge(read_table(spark, sf_dir, "pages"), url_rules(spark))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_threshold_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten exact rounds from eight hash-chosen centroids."""
+    return threshold_kmeans.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: shipped(f) for f in (
-    op1_ball_tree, op2_ngram_trie, op3_toxicity, op4_warc, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op8_flat_graph, op9_bfd_output, op10_nnls_packing)}
-ORACLE: dict[str, str] = {}
+    op1_ball_tree, op2_ngram_trie, op3_toxicity, op4_warc, op5_bpe_trie, op6_line_dedup, op7_lsh_forest, op8_flat_graph, op9_bfd_output, op10_nnls_packing,
+    op11_bloom_cascade, op12_prefix_trie, op13_threshold_kmeans)}
