@@ -123,6 +123,7 @@ def pack(df: DataFrame, source: str, end_id: int, window: int = WINDOW, pad_id:
                         first, block, size = first + len(out), [], 0
         if block:
             yield rows(block, first, kind)
+        bpe.settle()
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, docs array<{id_type}>, starts array<long>")

@@ -33,10 +33,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import hold, release
+
 #: Units (words with their punctuation) whose encoding a task keeps from one batch to the next; others are encoded again.
 KEPT_WORDS = 200_000
 #: Characters of text that are split and encoded together.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 2 << 20
 _NEVER = 1 << 30
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _FAR = regex.compile("[^\x00-\u024f]")
@@ -301,6 +303,13 @@ class WordBpe:
             self.apart = {t: {} for t in self.size}
         return split, known.__getitem__
 
+    def settle(self) -> None:
+        """At a task's end: keep no more than KEPT_WORDS units."""
+        for unit in self.passing:
+            del self.kept[unit]
+        self.passing = []
+        release()
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.strings[i] for i in ids)
 
@@ -337,6 +346,10 @@ def as_bytes(source: str) -> WordBpe:
     return WordBpe(source, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
 
 
+for _encoder in (_as_ids, _as_strings, as_bytes):
+    hold(_encoder.cache_clear)
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file's text, read once on the driver."""
     with open(path, encoding="utf-8") as f:
@@ -356,6 +369,7 @@ def encode(df: DataFrame, source: str, text_col: str = "text", tokens_col: str =
                 split, of = bpe.encode_batch(texts[part])
                 ids += [[i for w in words for i in of(w)] for words in split]
             yield pd.DataFrame({"ids": ids, "text": [bpe.decode(x) for x in ids]})
+        bpe.settle()
 
     names = [F.col(f"`{c}`") for c in df.columns]
     both = F.col("_bpe")
@@ -381,6 +395,7 @@ def digest(df: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
+        bpe.settle()
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

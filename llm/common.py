@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: How to drop what an operator keeps in a worker process from one of its tasks to the next.
+_HELD: list[Callable[[], None]] = []
+
+
+def hold(drop: Callable[[], None]) -> None:
+    """An operator keeps something in its worker processes; ``drop`` forgets it."""
+    _HELD.append(drop)
+
+
+def drop_held() -> None:
+    """At the start of a task that needs none of it: Spark gives the same process to tasks of later stages."""
+    for drop in _HELD:
+        drop()
+    release()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SLICE, materialise, mix, release, row_slices, text_buffers, word_hashes
+from llm.common import SLICE, drop_held, materialise, mix, release, row_slices, text_buffers, word_hashes
 from llm.components import connected_components
 
 TREES = 10
@@ -90,6 +90,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, d1, d2, n, sig)``: digest of the set, its size, and its signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             digests, sizes, sigs = [], [], []
             for s in shingle_sets(batch.column(1), width):

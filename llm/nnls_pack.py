@@ -64,6 +64,7 @@ def pieces(df: DataFrame, source: str, end_id: int, window: int = WINDOW, id_col
             out.insert(0, "id", pdf["id"].iloc[owners].to_numpy())
             yield out
             release()
+        bpe.settle()
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")

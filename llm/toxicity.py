@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import materialise, release
+from llm.common import drop_held, materialise, release
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 21
@@ -165,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _class_counts(labelled: DataFrame) -> DataFrame:
     """``(bucket, p, q)``: texts of class 1 and of class 0 that hold the bucket; bucket -1: all texts."""
     def texts_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_held()
         count, rows = np.zeros(2 * BUCKETS, np.int32), np.zeros(2, np.int64)
         for pdf in batches:
             y = pdf["y"].to_numpy(np.int64)
@@ -199,6 +200,7 @@ def _fit_sample(sample: DataFrame, counts: DataFrame) -> Model:
     sent = sample.sparkSession.sparkContext.broadcast(np.packbits(keep))
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_held()
         wanted = np.unpackbits(sent.value, count=BUCKETS).astype(bool)
         for pdf in batches:
             found = np.concatenate([np.zeros(0, np.int64), *ngram_buckets(pdf["text"].tolist(), wanted)])
@@ -220,6 +222,7 @@ def score_column(df: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drop_held()
         for texts in batches:
             yield pd.Series(sent.value.score(texts.tolist()))
             release()
