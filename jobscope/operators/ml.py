@@ -10,7 +10,8 @@ Scale notes:
 * the split is a hash of the job id, so it is the same for any
   partitioning and any re-execution after an executor loss;
 * a column whose values grow with the data (``user``) enters as statistics
-  of its training rows, joined on: how many they are and their mean label.
+  of its training rows, joined on by a stage of the pipeline: how many they
+  are and their mean label.
   The feature width, and with it PCA's width x width matrix and the label
   lists on the driver, depends only on the ``categorical`` columns, which
   are for closed vocabularies such as the job type;
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import number_sql
 from ..functions.states import lit_sql, q
 from ..session import scratch_path
+from .group_stats import OWN_COL, GroupStatistics
 
 HASH_SPACE = 2 ** 32
 
@@ -113,11 +115,8 @@ def hash_split(df: DataFrame, key: str = "job_id", train_fraction: float = 0.8,
 
 # --------------------------------------------------------------- features
 
-def group_statistics(train: DataFrame, spec: FeatureSpec) -> dict[str, DataFrame]:
-    """Per ``grouped`` column a table of its values' training rows:
-    ``value, rows, total`` (NULL is a value like any other)."""
-    return {c: train.groupBy(F.col(c).alias("value")).agg(
-        F.count("label").alias("rows"), F.sum("label").alias("total")) for c in spec.grouped}
+def _group_stage(spec: FeatureSpec) -> GroupStatistics:
+    return GroupStatistics(inputCols=list(spec.grouped), labelCol="label", ownCol=OWN_COL)
 
 
 def with_group_statistics(df: DataFrame, train: DataFrame, spec: FeatureSpec,
@@ -127,24 +126,19 @@ def with_group_statistics(df: DataFrame, train: DataFrame, spec: FeatureSpec,
     (the mean of all training rows for a value without any).
 
     ``own=True`` is for the training rows themselves: a row's own label is
-    taken out of its statistics. Each table is one row per value, joined by
-    equality; AQE broadcasts it or splits a hot value by measured size.
+    taken out of its statistics. The pipelines hold this step as a stage
+    (``group_stats.GroupStatistics``); this is the same for a single frame.
     """
     if not spec.grouped:
         return df
-    overall = train.agg(F.avg("label")).scalar()
-    rows, total = (F.expr("_rows - 1"), F.expr("_total - label")) if own else (F.col("_rows"), F.col("_total"))
-    for c, table in group_statistics(train, spec).items():
-        table = table.toDF("_value", "_rows", "_total")
-        df = (df.join(table, F.col(c).eqNullSafe(F.col("_value")), "left")
-              .withColumns({f"{c}_rows": F.coalesce(rows.cast("double"), F.lit(0.0)),
-                            f"{c}_mean": F.when(rows > 0, total / rows).otherwise(overall)})
-              .drop("_value", "_rows", "_total"))
-    return df
+    model = _group_stage(spec).fit(train)
+    if not own:
+        return model.transform(df.drop(OWN_COL))
+    return model.transform(df.withColumn(OWN_COL, F.lit(True))).drop(OWN_COL)
 
 
 def feature_stages(spec: FeatureSpec) -> list:
-    stages = []
+    stages = [_group_stage(spec)] if spec.grouped else []
     parts = []
     if spec.numeric_inputs:
         stages += [VectorAssembler(inputCols=spec.numeric_inputs, outputCol="numeric_features",
@@ -178,16 +172,16 @@ def make_estimator(model: ModelSpec, spec: FeatureSpec, prediction: str = "predi
 
 
 def fit_features(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
-    """Fit the feature stages (scaler, indexers, encoders, PCA) on training
-    rows that have their group statistics."""
-    return Pipeline(stages=feature_stages(spec)).fit(train)
+    """Fit the feature stages (group statistics, scaler, indexers, encoders, PCA) on training rows."""
+    return Pipeline(stages=feature_stages(spec)).fit(train.withColumn(OWN_COL, F.lit(True)))
 
 
 def fit_pipeline(train: DataFrame, spec: FeatureSpec, model: ModelSpec) -> PipelineModel:
     """Fit features and one estimator on the training rows (M10): one
-    ``PipelineModel``, to be saved, loaded and applied to rows that went
-    through ``with_group_statistics(rows, train, spec)``."""
-    rows = with_group_statistics(train, train, spec, own=True).persist(StorageLevel.MEMORY_AND_DISK)
+    ``PipelineModel``. It holds all that it learnt, the group statistics
+    too, so it can be saved, loaded in another session and applied to rows
+    of the job log without the training frame."""
+    rows = train.withColumn(OWN_COL, F.lit(True)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=[*feature_stages(spec), make_estimator(model, spec)]).fit(rows)
     finally:
@@ -238,7 +232,7 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
     columns = {m.name: f"prediction_{i}" for i, m in enumerate(models)}
     if len(columns) < len(models):
         raise ValueError("two models have one name")
-    rows = with_group_statistics(train, train, spec, own=True).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.withColumn(OWN_COL, F.lit(True)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         feats = fit_features(rows, spec)
         names = feature_names(feats, spec)
@@ -252,7 +246,7 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
             vectors.unpersist()
     finally:
         rows.unpersist()
-    scored = PipelineModel([feats, *ests]).transform(with_group_statistics(test, train, spec))
+    scored = PipelineModel([feats, *ests]).transform(test)
     importances = [(m.name, names[i], float(v)) for m, est in zip(models, ests)
                    if hasattr(est, "featureImportances")
                    for i, v in enumerate(est.featureImportances.toArray())]

@@ -47,8 +47,9 @@ def quantile_splits(df: DataFrame, cols: Sequence[str], buckets: int,
     """Strictly increasing split points (with +-inf ends) from approximate
     quantiles of ``cols``; at most ``buckets - 1`` inner points.
 
-    The default relative error is a quarter of a bucket's share (floored
-    at 1e-4), so buckets stay within ~25% of even however many there are.
+    The default relative error is a quarter of a bucket's share, so buckets
+    stay within ~25% of even; it is floored at 1e-4, which holds up to 2,500
+    buckets. Beyond that a bucket may be uneven by 1e-4 of the instants.
     """
     if buckets <= 1:
         return [float("-inf"), float("inf")]
@@ -119,6 +120,18 @@ def _counted(start: str, end: str, gpus: str):
             & (F.col(end).isNull() | (F.col(start) < F.col(end))))
 
 
+def _deltas(jobs: DataFrame, start: str, end: str, gpus: str, by: Sequence[str], probes: str | None) -> DataFrame:
+    """``*by, t, delta``: one pass over the jobs emits both deltas (and the probe instant); a job that
+    holds no GPUs still gets a row at its start, with delta 0."""
+    g = F.col(gpus).cast("long")
+    valid = _counted(start, end, gpus)
+    events = [F.struct(F.col(start).alias("t"), F.when(valid, g).otherwise(F.lit(0)).alias("delta")),
+              F.struct(F.when(valid, F.col(end)).alias("t"), (-g).alias("delta"))]
+    if probes is not None:
+        events.append(F.struct(F.col(probes).alias("t"), F.lit(0).cast("long").alias("delta")))
+    return jobs.select(*by, F.inline(F.array(*events))).where(F.col("t").isNotNull())
+
+
 def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
                   gpus: str = "gpu_num", by: Sequence[str] = ("cluster",),
                   probes: str | None = None, buckets: int | None = None,
@@ -134,24 +147,61 @@ def gpu_occupancy(jobs: DataFrame, start: str = "start_us", end: str = "end_us",
     ``splits`` or a fixed ``bucket_width`` (in the instant's unit) is given.
     """
     by = list(by)
-    g = F.col(gpus).cast("long")
-    valid = _counted(start, end, gpus)
-    # one pass over the jobs emits both deltas (and the probe instant); a job that
-    # holds no GPUs still gets a row at its start, with delta 0
-    events = [F.struct(F.col(start).alias("t"), F.when(valid, g).otherwise(F.lit(0)).alias("d")),
-              F.struct(F.when(valid, F.col(end)).alias("t"), (-g).alias("d"))]
-    if probes is not None:
-        events.append(F.struct(F.col(probes).alias("t"), F.lit(0).cast("long").alias("d")))
-    deltas = jobs.select(*by, F.inline(F.array(*events))).where(F.col("t").isNotNull())
+    deltas = _deltas(jobs, start, end, gpus, by, probes)
     j = jobs.where(F.col(start).isNotNull())
     if splits is None and bucket_width is None:
         n = buckets or 4 * _parallelism(jobs.sparkSession)
         cols = [start, end] + ([probes] if probes else [])
         splits = quantile_splits(j.select(*[F.col(c).cast("double") for c in cols]), cols, n)
-    return running_sum(deltas.withColumnRenamed("d", "delta"), "t", "delta", splits,
+    return running_sum(deltas, "t", "delta", splits,
                        by=by, out="gpus_in_use", bucket_width=bucket_width)
 
 
+def occupancy_step(jobs: DataFrame, until: int | None, state: DataFrame | None = None,
+                   start: str = "start_us", end: str = "end_us", gpus: str = "gpu_num",
+                   by: Sequence[str] = ("cluster",), buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The occupancy sweep continued: the rows before ``until``, and what a later step needs.
+
+    ``jobs`` are those not given to an earlier step; they start at or after
+    its ``until``. ``state`` is what that step returned (None at first):
+    ``*by, kind, t, delta`` with one ``carry`` row per group, the GPUs in
+    use at ``until``, and the ``pending`` rows, the netted releases that lie
+    at or after it. Its size is that of the jobs still running, so a day's
+    step reads the day's jobs and this table, never the old log. The steps'
+    rows together are those of one sweep over all jobs. ``until=None`` ends
+    the log. A job that starts before the last ``until`` is an error.
+
+    Store both results (they are used lazily) before the next step reads
+    the state.
+    """
+    by = list(by)
+    deltas = _deltas(jobs, start, end, gpus, by, None)
+    carry = None
+    if state is not None:
+        carry = state.where("kind = 'carry'").select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(by)], F.col("delta").alias("_carry"))
+        since = state.where("kind = 'carry'").agg(F.max("t")).first()[0]
+        if since is not None:
+            late = F.expr(f"if(t < {int(since)}, raise_error('a job starts before the instant the last step ended at'), t)").cast("long")
+            deltas = deltas.withColumn("t", late)
+        deltas = deltas.unionByName(state.where("kind = 'pending'").select(*by, "t", "delta"))
+    now = deltas if until is None else deltas.where(F.col("t") < until)
+    n = buckets or 4 * _parallelism(jobs.sparkSession)
+    rows = running_sum(now, "t", "delta", quantile_splits(now.select(F.col("t").cast("double")), ["t"], n), by=by, out="gpus_in_use")
+    sums = now.groupBy(*by).agg(F.sum("delta").alias("delta"))
+    if carry is not None:  # one row per group
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+        rows = rows.join(carry, same, "left").withColumn("gpus_in_use", F.col("gpus_in_use") + F.coalesce("_carry", F.lit(0))) \
+            .select(*by, "t", "delta", "gpus_in_use")
+        sums = sums.unionByName(carry.toDF(*by, "delta")).groupBy(*by).agg(F.sum("delta").alias("delta"))
+    carries = sums.select(*by, F.lit("carry").alias("kind"), F.lit(until).cast("long").alias("t"), "delta")
+    if until is None:
+        return rows, carries
+    pending = deltas.where(F.col("t") >= until).groupBy(*by, "t").agg(F.sum("delta").alias("delta"))
+    return rows, carries.unionByName(pending.select(*by, F.lit("pending").alias("kind"), "t", "delta"))
+
+
 def gpus_in_use_at(jobs: DataFrame, occupancy: DataFrame, at: str = "start",
                    start: str = "start_us", submit: str = "submit_us",
                    gpus: str = "gpu_num", by: Sequence[str] = ("cluster",),

@@ -84,7 +84,7 @@ def histogram(values: DataFrame, value: str = "mean_util", bins: int = 10,
         data = values.withColumns(rng)
     else:
         ranged = values.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-        data = values.join(ranged, on=by, how="inner")
+        data = _with_range(values, ranged, by)
     # each step is its own projection over named columns, so the range is
     # computed once and not re-inlined into every sub-expression
     widen = ["*", "CASE WHEN _mn = _mx THEN _mn - 0.5D ELSE _mn END AS _lo",
@@ -108,11 +108,20 @@ def histogram(values: DataFrame, value: str = "mean_util", bins: int = 10,
         zeros = ranged.selectExpr(*[q(b) for b in by], f"explode(sequence(0, {n - 1})) AS bin",
                                   "0 AS w")
         counts = hits.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("w").alias("n"))
-        counts = counts.join(ranged, on=by, how="inner")
+        counts = _with_range(counts, ranged, by)
     return counts.selectExpr(*widen).selectExpr(
         *[q(b) for b in by], "bin", f"{edge('bin')} AS bin_lo", f"{edge('bin + 1')} AS bin_hi", "n")
 
 
+def _with_range(df: DataFrame, ranged: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row with its group's range; a NULL group is a group like any other."""
+    keys = ranged.toDF(*[f"_g{i}" for i in range(len(by))], "_mn", "_mx")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(keys, same).drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def zone_of(lower_edge) -> F.Column:
     expr = None
     for name, zlo, zhi in UTIL_ZONES:

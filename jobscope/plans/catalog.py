@@ -14,23 +14,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binning import BinSpec
+from ..operators.explain import feature_slots, pca_loadings, permutation_importance
+from ..operators.group_stats import OWN_COL, GroupStatistics
 from ..operators.latency import QUEUE_BINS, count_by_bin, mean_by_bin
-from ..operators.ml import (STUDY_MODELS, FeatureSpec, ModelSpec, evaluate, group_mean_baseline,
+from ..operators.ml import (STUDY_MODELS, FeatureSpec, ModelSpec, evaluate, fit_features, group_mean_baseline,
                             hash_sample, hash_split, linear_fit, minmax_scaled, string_indexes, HASH_SPACE)
-from ..operators.normalize import normalize_jobs, training_rows
-from ..operators.occupancy import gpu_occupancy, mean_by_occupancy
+from ..operators.normalize import normalize_jobs, training_rows, with_intervals
+from ..operators.occupancy import gpu_occupancy, gpus_in_use_at, mean_by_occupancy, occupancy_step
+from ..operators.ranking import exact_sample
 from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
 from ..operators.shares import state_shares, unsuccessful_breakdown
 from ..session import scratch_path
 from ..sources.adapters import (jobs_from_events, jobs_from_orders, load,
                                 util_from_lineitem, wide_daily_from_events,
                                 wide_from_embeddings)
-from ..sources.readers import read_clusters, read_csv
+from ..sources.readers import bad_record_counts, quarantine, read_clusters, read_csv, read_registry
 from ..sources.sinks import preview, write_result
+from ..sources.wide import read_wide_long, write_wide
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -154,7 +161,7 @@ def q12_unsuccessful_breakdown(spark, sf_dir):
 
 
 def q13_unit_mean_util(spark, sf_dir):
-    """Per-unit mean of a 64-column wide utilisation table."""
+    """Per-unit mean of a wide utilisation table, as wide as its longest row."""
     wide = wide_from_embeddings(load(spark, sf_dir, "embeddings"))
     return unit_means(wide_to_long(wide))
 
@@ -312,6 +319,123 @@ def q26_stump_metrics(spark, sf_dir):
     return evaluate(STUMPS, train, test, STUMP_FEATURES)[0]
 
 
+def q13c_wide_exports_with_other_headers(spark, sf_dir):
+    """Per-unit mean of wide CSV exports: one in order, one reversed, one that lacks columns."""
+    wide = wide_from_embeddings(load(spark, sf_dir, "embeddings"))
+    wide = wide.toDF("time", *[c.replace("col_", "gpu-") for c in wide.columns[1:]])
+    units, path = wide.columns[1:], scratch_path(spark, "q13c-wide")
+    for part, names in enumerate([units, units[::-1], [u for u in units if int(u[4:]) % 10 != 3]]):
+        write_wide(wide.where(F.col("time") % 3 == part).select("time", *[F.expr(f"`{u}`") for u in names]), path)
+    return unit_means(read_wide_long(spark, path)[0])
+
+
+def q30_saved_pipeline_predictions(spark, sf_dir):
+    """A pipeline with group statistics, saved, loaded and applied without the training frame."""
+    train, test = _train_test(spark, sf_dir)
+    stages = [GroupStatistics(inputCols=["user"]), VectorAssembler(inputCols=["user_mean"], outputCol="x"),
+              LinearRegression(featuresCol="x", labelCol="label", solver="normal", standardization=False)]
+    path = scratch_path(spark, "q30-pipeline")
+    Pipeline(stages=stages).fit(train.withColumn(OWN_COL, F.lit(True))).save(path)
+    return PipelineModel.load(path).transform(test.drop("label")).select(
+        "job_id", F.col("user_rows").cast("long").alias("user_rows"), F.round("prediction", 4).alias("prediction"))
+
+
+# Two correlated columns: their covariance matrix has closed-form axes.
+PCA_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "cpu_num"), categorical=(), grouped=(), pca_k=2)
+SLOT_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "gpu_num"), categorical=("task_type",), grouped=(), pca_k=None)
+
+
+def q31_pca_loadings(spark, sf_dir):
+    """PCA axes of two scaled columns: loadings and shares of the variance."""
+    train, _ = _train_test(spark, sf_dir)
+    return pca_loadings(fit_features(train, PCA_FEATURES), PCA_FEATURES.numeric)
+
+
+def q32_feature_slots(spark, sf_dir):
+    """Non-zero slots of the assembled feature vectors (scaled numbers and one-hot types), named by their metadata."""
+    train, _ = _train_test(spark, sf_dir)
+    slots = feature_slots(fit_features(train, SLOT_FEATURES).transform(train))
+    return slots.withColumn("value", F.round("value", 6))
+
+
+def q33_permutation_importance(spark, sf_dir):
+    """How much a one-feature model's error grows when the feature's values are dealt to other test rows."""
+    train, test = _train_test(spark, sf_dir)
+    both = Pipeline(stages=[VectorAssembler(inputCols=["gpu_use_count"], outputCol="x"),
+                            LinearRegression(featuresCol="x", labelCol="label", solver="normal", standardization=False)])
+    model = both.fit(train.select("gpu_use_count", "label"))
+    return permutation_importance(test.select("job_id", "gpu_use_count", "cpu_num", "label"), model.transform,
+                                  ["gpu_use_count", "cpu_num"], digits=4)
+
+
+def q34_exact_sample(spark, sf_dir):
+    """Exactly 500 jobs, those with the lowest salted hash of their id (a sampling operator)."""
+    return exact_sample(jobs_e(spark, sf_dir).select("job_id", "cluster"), "job_id", 500, SAMPLE_SEED)
+
+
+def q35_registry_in_one_scan(spark, sf_dir):
+    """State shares of both clusters' CSV exports, read by one scan; the cluster comes from the file path."""
+    path = scratch_path(spark, "q35-exports")
+    jobs_from_orders(load(spark, sf_dir, "orders")).write.partitionBy("cluster").option("header", "true").csv(path)
+    raw = read_registry(spark, {c: f"{path}/cluster={c}" for c in ("A", "B")})
+    return state_shares(normalize_jobs(raw), by=["cluster"])
+
+
+JOB_EXPORT = ("job_id", "user", "cluster", "task_type", "state", "gpu_time")
+
+
+def q36_quarantined_export(spark, sf_dir):
+    """An export with planted bad lines: rows and GPU time of the good ones per state, bad ones per reason."""
+    path = scratch_path(spark, "q36-export")
+    jobs = jobs_from_orders(load(spark, sf_dir, "orders")).selectExpr(
+        *[f"CAST({c} AS string) AS {c}" for c in JOB_EXPORT if c != "gpu_time"],
+        "CASE WHEN job_id % 50 = 2 THEN 'n/a' ELSE CAST(gpu_time AS string) END AS gpu_time", "job_id % 50 AS kind")
+    jobs.where("kind > 1").drop("kind").write.csv(path)
+    fields = f"concat_ws(',', {', '.join(JOB_EXPORT)}"
+    jobs.where("kind <= 1").selectExpr(f"CASE kind WHEN 0 THEN {fields}, 'more') ELSE concat_ws(',', job_id, user) END AS value") \
+        .write.mode("append").text(path)
+    good, bad = quarantine(spark, path, JOB_EXPORT, scratch_path(spark, "q36-parsed"), numeric=["gpu_time"], header=False)
+    counted = normalize_jobs(good).groupBy(F.col("state_label").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("gpu_time").cast("decimal(18,2)")).cast("double").alias("gpu_time"))
+    found = bad_record_counts(bad).groupBy("reason").agg(F.sum("n").alias("n"))
+    return counted.selectExpr("'good' AS kind", "name", "n", "gpu_time").unionByName(
+        found.selectExpr("'bad' AS kind", "reason AS name", "n", "0.0D AS gpu_time"))
+
+
+def q37_rewritten_cluster(spark, sf_dir):
+    """A result table per cluster of which one cluster is written again, from Eval jobs alone; the other stays."""
+    jobs, path = jobs_o(spark, sf_dir), scratch_path(spark, "q37-shares")
+    write_result(state_shares(jobs, by=["cluster"]), path)
+    again = state_shares(jobs.where("cluster = 'B' AND task_type = 'Eval'"), by=["cluster"])
+    write_result(again, path, mode="overwrite_partitions")
+    return spark.read.parquet(path).select(again.columns)
+
+
+def q38_occupancy_in_two_steps(spark, sf_dir):
+    """GPUs in use when the log's second half is added to the first half's stored state."""
+    jobs = jobs_e(spark, sf_dir)
+    lo, hi = jobs.agg(F.min("start_us"), F.max("start_us")).first()
+    cut, state, tables = (0 if lo is None else (lo + hi) // 2), None, []
+    for part, until in ((jobs.where(F.col("start_us") < cut), cut), (jobs.where(F.col("start_us") >= cut), None)):
+        rows, state = occupancy_step(part, until, state)
+        for kind, df in (("rows", rows), ("state", state)):
+            path = scratch_path(spark, f"q38-{kind}")
+            df.write.parquet(path)
+            stored = spark.read.schema(df.schema).parquet(path)
+            if kind == "rows":
+                tables.append(stored)
+            else:
+                state = stored
+    return tables[0].unionByName(tables[1]).select("cluster", "t", "gpus_in_use")
+
+
+def q39_gpus_in_use_per_job(spark, sf_dir):
+    """GPUs used by others when each job starts, from a trace with submit time, queue delay and duration only."""
+    jobs = jobs_e(spark, sf_dir).selectExpr("job_id", "cluster", "timestamp_micros(submit_us) AS submit_time", "queue", "duration", "gpu_num")
+    jobs = with_intervals(jobs)
+    return gpus_in_use_at(jobs, gpu_occupancy(jobs)).select("job_id", "start_us", "end_us", "gpus_in_use")
+
+
 # ------------------------------------------------------------ oracle SQL
 
 _JOBS_O = """
@@ -494,7 +618,11 @@ _U_BIN = _bin_sql("mean_util", 0, 100, 10, False)
 ORACLE.update({
     "q13_unit_mean_util": """
 SELECT 'col_' || CAST(i AS VARCHAR) AS unit, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean_util
-FROM embeddings CROSS JOIN range(1, 65) AS r(i) GROUP BY i""",
+FROM embeddings CROSS JOIN (SELECT unnest(range(1, max(len(embedding)) + 1)) AS i FROM embeddings) GROUP BY i""",
+    "q13c_wide_exports_with_other_headers": """
+SELECT 'gpu-' || CAST(i AS VARCHAR) AS unit, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean_util
+FROM embeddings CROSS JOIN (SELECT unnest(range(1, max(len(embedding)) + 1)) AS i FROM embeddings)
+WHERE NOT (vec_id % 3 = 2 AND i % 10 = 3) GROUP BY i""",
     "q13b_unit_mean_util_daily": """
 WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY 1, 2)
 SELECT event_type AS unit, round(avg(v), 6) AS mean_util FROM d GROUP BY event_type""",
@@ -636,6 +764,69 @@ SELECT round(regr_slope(label, gpu_use_count), 6) AS slope,
 FROM tr WHERE split = 'train'""",
 })
 
+_HASHED = "md5('{}:' || CAST(job_id AS VARCHAR))"
+_PCA = """
+c AS (SELECT var_samp(node_num_scaled) AS a, covar_samp(node_num_scaled, cpu_num_scaled) AS b, var_samp(cpu_num_scaled) AS d FROM x),
+l AS (SELECT *, (a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2 AS l1, (a + d - sqrt((a - d) * (a - d) + 4 * b * b)) / 2 AS l2 FROM c),
+v AS (SELECT 'pc1' AS axis, b AS p, l1 - a AS r, l1 / (a + d) AS share FROM l UNION ALL SELECT 'pc2', b, l2 - a, l2 / (a + d) FROM l),
+u AS (SELECT axis, p / sqrt(p * p + r * r) AS p, r / sqrt(p * p + r * r) AS r, share FROM v),
+s AS (SELECT axis, share, CASE WHEN (abs(p) >= abs(r) AND p < 0) OR (abs(p) < abs(r) AND r < 0) THEN -1 ELSE 1 END AS sign, p, r FROM u)
+SELECT axis, 'node_num' AS feature, round(sign * p, 6) AS loading, round(share, 6) AS explained FROM s
+UNION ALL SELECT axis, 'cpu_num', round(sign * r, 6), round(share, 6) FROM s"""
+
+
+def _dealt_sql(column: str) -> str:
+    """RMSE of the line over gpu_use_count with the values of ``column`` dealt to other test rows."""
+    x = "b.value" if column == "gpu_use_count" else "t.gpu_use_count"
+    return f"""
+SELECT '{column}' AS feature, sqrt(avg((m.a * {x} + m.b - t.label) * (m.a * {x} + m.b - t.label))) AS r
+FROM te t JOIN r1 ON r1.job_id = t.job_id JOIN (SELECT i, {column} AS value FROM r2) b ON b.i = r1.i CROSS JOIN m"""
+
+
+ORACLE.update({
+    "q30_saved_pipeline_predictions": f"""WITH {_JOBS_E},{_TRAIN},
+s AS (SELECT "user" AS u, count(*) AS n, sum(label) AS s FROM tr WHERE split = 'train' GROUP BY 1),
+g AS (SELECT avg(label) AS g FROM tr WHERE split = 'train'),
+x AS (SELECT label, CASE WHEN n > 1 THEN (s - label) / (n - 1) ELSE g END AS x
+      FROM tr JOIN s ON u = "user" CROSS JOIN g WHERE split = 'train'),
+f AS (SELECT regr_slope(label, x) AS a, regr_intercept(label, x) AS b FROM x)
+SELECT job_id, coalesce(n, 0) AS user_rows, round(a * coalesce(s / n, g) + b, 4) AS prediction
+FROM tr LEFT JOIN s ON u = "user" CROSS JOIN g CROSS JOIN f WHERE split = 'test'""",
+    "q31_pca_loadings": f"""WITH {_JOBS_E},{_TRAIN},
+m AS (SELECT {", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("node_num", "cpu_num"))} FROM tr WHERE split = 'train'),
+x AS (SELECT {_scaled("node_num")}, {_scaled("cpu_num")} FROM tr CROSS JOIN m WHERE split = 'train'),{_PCA}""",
+    "q32_feature_slots": f"""WITH {_JOBS_E},{_TRAIN},
+t AS (SELECT * FROM tr WHERE split = 'train'),
+m AS (SELECT {", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("node_num", "gpu_num"))} FROM t),
+k AS (SELECT task_type, row_number() OVER (ORDER BY count(*) DESC, task_type) - 1 AS i FROM t GROUP BY 1),
+x AS (SELECT job_id, task_type, {_scaled("node_num")}, {_scaled("gpu_num")} FROM t CROSS JOIN m)
+SELECT job_id, 0 AS slot, 'scaled_numeric_0' AS name, round(node_num_scaled, 6) AS value FROM x WHERE node_num_scaled <> 0
+UNION ALL SELECT job_id, 1, 'scaled_numeric_1', round(gpu_num_scaled, 6) FROM x WHERE gpu_num_scaled <> 0
+UNION ALL SELECT job_id, CAST(2 + i AS INTEGER), 'task_type_vec_' || task_type, CAST(1 AS DOUBLE) FROM x JOIN k USING (task_type)""",
+    "q33_permutation_importance": f"""WITH {_JOBS_E},{_TRAIN},
+m AS (SELECT regr_slope(label, gpu_use_count) AS a, regr_intercept(label, gpu_use_count) AS b FROM tr WHERE split = 'train'),
+te AS (SELECT job_id, gpu_use_count, cpu_num, label FROM tr WHERE split = 'test'),
+r1 AS (SELECT job_id, row_number() OVER (ORDER BY {_HASHED.format(42)}, job_id) AS i FROM te),
+r2 AS (SELECT *, row_number() OVER (ORDER BY {_HASHED.format(43)}, job_id) AS i FROM te),
+d AS ({_dealt_sql("gpu_use_count")} UNION ALL {_dealt_sql("cpu_num")}),
+e AS (SELECT sqrt(avg((a * gpu_use_count + b - label) * (a * gpu_use_count + b - label))) AS r FROM te CROSS JOIN m)
+SELECT feature, round(e.r, 4) AS rmse, round(d.r, 4) AS rmse_permuted, round(d.r - e.r, 4) + 0.0 AS importance FROM d CROSS JOIN e""",
+    "q34_exact_sample": f"""WITH {_JOBS_E}
+SELECT CAST(job_id AS VARCHAR) AS job_id, cluster FROM jobs_e ORDER BY {_HASHED.format(SAMPLE_SEED)}, 1 LIMIT 500""",
+    "q35_registry_in_one_scan": ORACLE["q03_state_share_by_cluster"],
+    "q36_quarantined_export": f"""WITH {_JOBS_O}
+SELECT 'good' AS kind, state_label AS name, count(*) AS n, CAST(sum(CAST(gpu_time AS DECIMAL(18,2))) AS DOUBLE) AS gpu_time
+FROM jo WHERE job_id % 50 > 2 GROUP BY 2
+UNION ALL SELECT 'bad', CASE WHEN job_id % 50 < 2 THEN 'fields' ELSE 'number: gpu_time' END, count(*), CAST(0 AS DOUBLE)
+FROM jo WHERE job_id % 50 <= 2 GROUP BY 2""",
+    "q37_rewritten_cluster": f"""SELECT * FROM ({ORACLE["q03_state_share_by_cluster"]}) WHERE cluster = 'A'
+UNION ALL SELECT * FROM ({_share_sql(_JOBS_O, "jo", by=["cluster"], extra_where="cluster = 'B' AND task_type = 'Eval'")})""",
+    "q38_occupancy_in_two_steps": ORACLE["q16_gpu_occupancy"],
+    "q39_gpus_in_use_per_job": f"""WITH {_JOBS_E},{_OCC}
+SELECT CAST(job_id AS VARCHAR) AS job_id, start_us, end_us, occ.gpus_in_use - CAST(gpu_num AS BIGINT) AS gpus_in_use
+FROM jobs_e LEFT JOIN occ ON occ.cluster = jobs_e.cluster AND occ.t = start_us""",
+})
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in globals().items()
     if name[:1] == "q" and name[1:3].isdigit() and callable(fn)

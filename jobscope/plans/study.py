@@ -20,9 +20,10 @@ from ..operators.ml import STUDY_MODELS, FeatureSpec, ModelSpec, evaluate, hash_
 from ..operators.normalize import normalize_jobs, training_rows, with_intervals
 from ..operators.occupancy import gpu_occupancy, gpus_in_use_at
 from ..operators.shares import state_shares, unsuccessful_breakdown
-from ..operators.utilization import histogram, unit_means, util_bands, wide_to_long
-from ..sources.readers import read_clusters, read_csv, read_wide
+from ..operators.utilization import histogram, unit_means, util_bands
+from ..sources.readers import read_clusters, read_csv
 from ..sources.sinks import preview
+from ..sources.wide import read_wide_long
 
 
 def preview_export(spark: SparkSession, path: str, n: int = 20,
@@ -87,8 +88,8 @@ def unit_utilization(spark: SparkSession, paths: Mapping[str, str],
     cluster and the 10-point bands with zones."""
     frames = []
     for cluster, path in paths.items():
-        wide, names = read_wide(spark, path, time_col, fmt="csv")
-        frames.append(wide_to_long(wide, names=names).withColumn("cluster", F.lit(cluster)))
+        rows, _ = read_wide_long(spark, path, time_col)
+        frames.append(rows.withColumn("cluster", F.lit(cluster)))
     long = frames[0]
     for f in frames[1:]:
         long = long.unionByName(f)

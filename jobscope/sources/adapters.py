@@ -91,8 +91,10 @@ def util_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def wide_from_embeddings(embeddings: DataFrame, width: int = 64) -> DataFrame:
-    """Wide utilisation table: ``time`` then ``col_1 .. col_width`` (doubles)."""
+def wide_from_embeddings(embeddings: DataFrame, width: int | None = None) -> DataFrame:
+    """Wide utilisation table: ``time`` then ``col_1 .. col_width`` (doubles); the width is that of the longest row."""
+    if width is None:
+        width = embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
     return embeddings.selectExpr(
         "vec_id AS time",
         *[f"CAST(try_element_at(embedding, {i}) AS DOUBLE) AS col_{i}"

@@ -18,6 +18,10 @@ def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ("clust
     """Write a report as a table (re-aimed chart output, S7).
 
     Partition columns that the frame does not have are skipped.
+    ``mode="overwrite_partitions"`` replaces only the partitions (clusters)
+    that the frame has rows of, so a rerun for one cluster gives the same
+    table and leaves the others. New files are staged and take the old
+    ones' place when the job commits: a failed job leaves the old table.
     Every task writes its own files, with no shuffle, so a cluster holding
     most rows does not funnel them through one task. ``compact=True`` is
     for a report known to be small (bins x groups): one task, one file per
@@ -25,7 +29,12 @@ def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ("clust
     """
     parts = [c for c in partition_by if c in df.columns]
     out = df.coalesce(1) if compact else df
-    writer = out.write.mode(mode).format(fmt)
+    if mode == "overwrite_partitions":
+        if not parts:
+            raise ValueError(f"none of {list(partition_by)} is a column: there is no partition to replace")
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    else:
+        writer = out.write.mode(mode).format(fmt)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.save(path)
