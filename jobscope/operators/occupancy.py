@@ -10,7 +10,7 @@ rows (an unpartitioned ``Window.orderBy`` puts every row in one task).
 1. cut the order axis into buckets whose boundaries are approximate
    quantiles of the instants — one scan of the input, no shuffle — so a
    burst of activity is spread over as many buckets as its size needs;
-2. total per (group, bucket) straight from the deltas, and an exclusive
+2. total per (group, bucket) from the netted deltas, and an exclusive
    running sum over those totals — one row per bucket, so this window is
    small;
 3. a window per (group, bucket) ordered by the instant, plus the carry.
@@ -81,9 +81,9 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float] | Non
 
     * netting is a grouped sum with map-side partial aggregation, so any
       number of rows at one ``order`` value shuffles as one row per task;
-    * the per-bucket totals come straight from the input rows, also
-      partially aggregated: that shuffle carries about one row per bucket
-      and task, and it does not wait for the netting;
+    * the per-bucket totals come from the netted rows, whose exchange is
+      shared with the prefix sums (``ReusedExchange``), so the input is
+      read once; that shuffle carries about one row per bucket and task;
     * the carry window runs over one row per bucket; the prefix-sum window
       runs per ``(by, bucket)``.
 
@@ -98,14 +98,15 @@ def running_sum(df: DataFrame, order: str, value: str, splits: list[float] | Non
     else:
         rows = _bucket_expr(df, order, splits or [float("-inf"), float("inf")], "_bucket")
     net = rows.groupBy(*by, "_bucket", order).agg(F.sum(value).alias(value))
-    totals = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_bt"))
+    totals = net.groupBy(*by, "_bucket").agg(F.sum(value).alias("_bt"))
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*by, "_bucket",
                           F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_carry"))
     wr = Window.partitionBy(*by, "_bucket").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carry = carry.toDF(*[f"_k{i}" for i in range(len(by))], "_kb", "_carry")
-    same = F.col("_bucket") == F.col("_kb")
+    # null-safe: no filter on the buckets is inferred, which would make two exchanges of one
+    same = F.col("_bucket").eqNullSafe(F.col("_kb"))
     for i, c in enumerate(by):  # a NULL group is a group like any other
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     return (net.join(carry, on=same, how="inner")

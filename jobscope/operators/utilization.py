@@ -46,9 +46,9 @@ def wide_to_long(wide: DataFrame, time_col: str = "time", unit_col: str = "unit"
 
 
 def unit_means(long: DataFrame, unit: str = "unit", value: str = "util",
-               by: Sequence[str] = (), digits: int | None = 6,
+               by: Sequence[str] = (), digits: int | None = None,
                out: str = "mean_util") -> DataFrame:
-    """Mean utilisation per unit (NULL samples ignored), rounded to ``digits``.
+    """Mean utilisation per unit (NULL samples ignored), as it is or rounded to ``digits``.
 
     Rounding makes the result independent of summation order, which in turn
     depends on partitioning.

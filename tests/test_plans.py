@@ -80,3 +80,11 @@ def test_udf_check_detects_a_python_udf(spark):
     from jobscope.plans.inspect import python_udf_nodes
     plus = F.udf(lambda x: x + 1, "long")
     assert python_udf_nodes(spark.range(3).select(plus("id"))) != []
+
+
+@pytest.mark.parametrize("name,scans", [("q16_gpu_occupancy", 1), ("q17_queue_by_occupancy", 2), ("q17b_queue_by_occupancy_at_submit", 2)])
+def test_occupancy_shares_the_netted_exchange(spark, name, scans):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == scans and plan.count("ReusedExchange") == 1
