@@ -2,6 +2,32 @@
 
 from __future__ import annotations
 
+# Floors of 64 x are integers, so the products are exact; ties go to the smaller id.
+OP1 = """
+WITH v AS (
+    SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    GROUP BY vec_id),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+# Equal payloads of at least 100 bytes: the smallest page_id (null last) is the response, one row of it.
+OP4 = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS n,
+             first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 OR payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 AND payload_bytes >= 100 THEN first END AS refers_to,
+       CASE WHEN n = 1 OR payload_bytes < 100 THEN true END AS intact
+FROM r
+"""
+
 # The host lies after the first "://" up to one of /?# and the path after it up to ? or #. A rule fits a host
 # that is its own or ends with a dot and its own, and a path that starts with its own.
 OP11 = r"""
@@ -105,4 +131,4 @@ SELECT k.vec_id, f.c::INTEGER AS cluster, f.d AS distance, (sum(f.d) OVER (PARTI
 FROM kept k JOIN far10 f USING (n) JOIN shas s ON s.c = f.c
 """
 
-ORACLE: dict[str, str] = {"op11_bloom_cascade": OP11, "op12_prefix_trie": OP12, "op13_threshold_kmeans": OP13}
+ORACLE: dict[str, str] = {"op1_ball_tree": OP1, "op4_warc": OP4, "op11_bloom_cascade": OP11, "op12_prefix_trie": OP12, "op13_threshold_kmeans": OP13}

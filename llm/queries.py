@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from llm import (
     ball_tree, bfd_output, bloom_cascade, bpe, flat_graph, line_dedup, lsh_forest, ngram_trie, nnls_pack, prefix_trie, threshold_kmeans, toxicity, warc)
 from jobscope.session import scratch_path
-from llm.common import materialise, read_table, remainder_of_crc
+from llm.common import read_table, remainder_of_crc
 from llm.oracle import ORACLE  # noqa: F401
 from llm.ship import shipped
 
@@ -57,7 +57,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its archived capture reads back: payload size and digest, record type and what it refers to."""
     path = scratch_path(spark, "warc")
     warc.write(read_table(spark, sf_dir, "pages"), path)
-    return warc.page_table(materialise(warc.records(spark, path, payloads=False), "warc-records"))
+    return warc.page_table(warc.records(spark, path, payloads=False))
 
 
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,10 @@ of a transaction by their identifiers alone, wherever they lie, into one
 nested row per capture.
 
 Null html is an empty payload; a null url has no target. Control characters
-and spaces in a url are written as %20. Rows that are alike in all columns
-are one capture; rows that share a page_id and differ are captures of their
-own. The response of equal payloads is the one with the smallest page_id
-(null ids last). Records without their response (orphans) make no row.
+and spaces in a url are written as %20. Every row is a capture of its own:
+of rows that are alike in all columns the first stands for the others, which
+revisit it (below ``MIN_REVISIT`` bytes all are responses). The response of
+equal payloads is the one with the smallest page_id (null ids last). Records without their response (orphans) make no row.
 Extra columns of the pages play no part. An empty table gives no rows.
 """
 
@@ -29,12 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.common import materialise
+
 MIN_REVISIT = 100
 CAPTURES = 2000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Revisits up to which their table is broadcast; beyond it the pages are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Shares that the revisits of one response are dealt to in a shuffled join.
+SHARES = 32
 _RECORD = ("record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
            "payload_bytes long, payload_digest string, intact boolean, fields map<string,string>, payload binary")
 
@@ -53,11 +57,25 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html").cast("long"))
     rows = rows.withColumn("key", F.expr("concat(coalesce(cast(page_id as string), '-'), '|', coalesce(url, '-'), '|', digest)"))
     rows = rows.withColumn("rid", F.expr(_uuid("response")))
-    names = rows.where(f"size >= {MIN_REVISIT}").select("digest", F.struct(F.col("page_id").isNull().alias("no"), "page_id", "rid").alias("p"))
+    slim = materialise(rows.select("page_id", "digest", "size", "rid"), "captures")
+    names = slim.where(f"size >= {MIN_REVISIT}").select("digest", F.struct(F.col("page_id").isNull().alias("no"), "page_id", "rid").alias("p"))
     first = names.groupBy("digest").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first != last").select(F.col("digest").alias("d"), "first")
     again = names.join(first, F.col("digest") == F.col("d")).where("p.rid != first.rid").select(F.col("p.rid").alias("again"), F.col("first.rid").alias("first_rid")).distinct()
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    return rows.join(again, F.col("rid") == F.col("again"), "left").drop("again")
+    repeated = materialise(slim.groupBy("rid").agg(F.count("*").alias("rows")).where("rows > 1").withColumnRenamed("rid", "repeated"), "repeated")
+    n, rows = repeated.count(), rows.join(_sent(again, again.count()), F.col("rid") == F.col("again"), "left").drop("again")
+    if not n:
+        return rows
+    # of a repeated row one is written whole; its copies are records without payload, or with a short one
+    marked = rows.join(_sent(repeated, n), F.col("rid") == F.col("repeated"), "left").drop("repeated")
+    whole = marked.where("rows is not null").dropDuplicates(["rid"])
+    copies = whole.withColumn("html", F.expr(f"if(size >= {MIN_REVISIT}, null, html)")).withColumn("copy", F.expr("explode(sequence(2L, rows))")).hint("rebalance")
+    copies = copies.withColumn("first_rid", F.expr(f"if(size >= {MIN_REVISIT}, coalesce(first_rid, rid), null)")) \
+        .withColumn("key", F.expr("concat(key, '|', copy)")).withColumn("rid", F.expr(_uuid("response"))).drop("copy")
+    return marked.where("rows is null").unionByName(whole).unionByName(copies).drop("rows")
+
+
+def _sent(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table
 
 
 def write(pages: DataFrame, path: str, date: str = DATE, **names: str) -> None:
@@ -161,8 +179,16 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def page_table(found: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to, intact)`` per capture; refers_to is the response's page."""
-    rows = assemble(found).select(
+    rows = materialise(assemble(found).select(
         "capture_id", F.expr("try_cast(metadata.fields['page_id'] as long)").alias("page_id"), "response.payload_bytes", "response.payload_digest",
-        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"), "response.intact")
-    named = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
-    return rows.join(named, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"), "response.intact"), "page-records")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
+    again = rows.where("target is not null")
+    wanted = materialise(again.select("target").distinct(), "referred")
+    n = wanted.count()
+    shares = 1 if n <= BROADCAST_ROWS else SHARES  # the revisits of one response may be most rows
+    named = rows.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")) \
+        .join(_sent(wanted, n), "target", "left_semi").withColumn("share", F.expr(f"explode(sequence(0, {shares - 1}))"))
+    again = again.withColumn("share", F.expr(f"cast(pmod(xxhash64(capture_id), {shares}) as int)"))
+    others = rows.where("target is null").withColumn("refers_to", F.lit(None).cast("long"))
+    return others.select(columns).union(again.join(_sent(named, n), ["target", "share"], "left").select(columns))

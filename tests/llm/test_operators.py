@@ -195,8 +195,9 @@ def test_warc_round_trip(spark, scratch):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("type", F.lit("t")).withColumn("key", F.lit(1))
     warc.write(df, scratch)
     found = warc.records(spark, scratch)
-    got = {r.page_id: r for r in warc.page_table(found).collect()}
-    assert len(got) == 10
+    rows = warc.page_table(found).collect()
+    assert len(rows) == len(pages) and [r.record_type for r in rows if r.page_id == 9] == ["revisit"] * 2
+    got = {r.page_id: r for r in rows}
     for i, _, html in pages:
         data = (html or "").encode()
         again = html == same and i != 2
@@ -207,6 +208,16 @@ def test_warc_round_trip(spark, scratch):
     assert bytes(whole["8"].response.payload) == pages[7][2].encode() and whole["1"].request is not None
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_repeated_pages_are_captures_of_their_own(spark, scratch, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+    pages = [(1, "u", "long " * 40)] * 3 + [(2, "u", "short")] * 2 + [(3, "v", "long " * 40), (4, "w", "other " * 40), (4, "w", "other " * 40), (None, None, None), (None, None, None)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), scratch)
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.page_table(warc.records(spark, scratch)).collect())
+    assert got == sorted([(1, 200, "response", 0), (1, 200, "revisit", 1), (1, 200, "revisit", 1), (2, 5, "response", 0), (2, 5, "response", 0),
+                          (3, 200, "revisit", 1), (4, 240, "response", 0), (4, 240, "revisit", 4), (0, 0, "response", 0), (0, 0, "response", 0)])
+
+
 def test_warc_of_no_pages(spark, scratch):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), scratch)
     assert warc.page_table(warc.records(spark, scratch)).count() == 0
