@@ -330,6 +330,20 @@ def q26_stump_metrics(spark, sf_dir):
     return evaluate(STUMPS, train, test, STUMP_FEATURES)[0]
 
 
+# Two columns, two levels: each node takes the split with the greatest gain over all values of both.
+TREE_FEATURES = FeatureSpec(label="queue", numeric=("node_num", "cpu_num"), categorical=(), grouped=(), pca_k=None)
+TREES = (
+    ModelSpec("rf", {"numTrees": 1, "maxDepth": 2, "bootstrap": False, "featureSubsetStrategy": "all", "seed": 42}, name="one_tree"),
+    ModelSpec("gbt", {"maxIter": 1, "maxDepth": 2, "seed": 42}, name="one_round"),
+)
+
+
+def q40_two_level_tree_metrics(spark, sf_dir):
+    """Forest of one tree and boosting of one round, two levels over two columns: metric rows."""
+    train, test = _train_test(spark, sf_dir)
+    return evaluate(TREES, train, test, TREE_FEATURES)[0]
+
+
 def q13c_wide_exports_with_other_headers(spark, sf_dir):
     """Per-unit mean of wide CSV exports: one in order, one reversed, one that lacks columns."""
     wide = wide_from_embeddings(load(spark, sf_dir, "embeddings"))
@@ -822,6 +836,25 @@ r2 AS (SELECT *, row_number() OVER (ORDER BY {_HASHED.format(43)}, job_id) AS i
 d AS ({_dealt_sql("gpu_use_count")} UNION ALL {_dealt_sql("cpu_num")}),
 e AS (SELECT sqrt(avg((a * gpu_use_count + b - label) * (a * gpu_use_count + b - label))) AS r FROM te CROSS JOIN m)
 SELECT feature, round(e.r, 4) AS rmse, round(d.r, 4) AS rmse_permuted, round(d.r - e.r, 4) + 0.0 AS importance FROM d CROSS JOIN e""",
+    "q40_two_level_tree_metrics": f"""WITH {_JOBS_E},{_TRAIN},
+v AS (SELECT job_id, split, label, 0 AS f, node_num AS x FROM tr UNION ALL SELECT job_id, split, label, 1, cpu_num FROM tr),
+g0 AS (SELECT f, x, count(*) AS n, sum(label) AS s FROM v WHERE split = 'train' GROUP BY 1, 2),
+c0 AS (SELECT f, x AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s
+       FROM g0 WINDOW w AS (PARTITION BY f ORDER BY x)),
+b0 AS (SELECT f, cut FROM c0 WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, cut LIMIT 1),
+d AS (SELECT job_id, x <= cut AS side FROM v JOIN b0 USING (f)),
+g1 AS (SELECT side, f, x, count(*) AS n, sum(label) AS s FROM v JOIN d USING (job_id) WHERE split = 'train' GROUP BY 1, 2, 3),
+c1 AS (SELECT side, f, x AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY side, f) AS n,
+              sum(s) OVER (PARTITION BY side, f) AS s FROM g1 WINDOW w AS (PARTITION BY side, f ORDER BY x)),
+b1 AS (SELECT side, f, cut FROM c1 WHERE nl < n
+       QUALIFY row_number() OVER (PARTITION BY side ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, cut) = 1),
+l AS (SELECT v.job_id, split, label, d.side, coalesce(x <= cut, true) AS low FROM v JOIN d USING (job_id) LEFT JOIN b1 ON b1.side = d.side
+      WHERE v.f = coalesce(b1.f, 0)),
+p AS (SELECT t.label, m.p AS prediction FROM l t JOIN (SELECT side, low, avg(label) AS p FROM l WHERE split = 'train' GROUP BY 1, 2) m
+      ON m.side = t.side AND m.low = t.low WHERE t.split = 'test'),
+m AS (SELECT count(*) AS n, sqrt(avg((prediction - label) * (prediction - label))) AS rmse, avg(abs(prediction - label)) AS mae FROM p)
+SELECT model, metric, CASE metric WHEN 'rmse' THEN round(rmse, 6) WHEN 'mae' THEN round(mae, 6) ELSE CAST(n AS DOUBLE) END AS value
+FROM m CROSS JOIN (VALUES ('one_tree'), ('one_round')) AS a(model) CROSS JOIN (VALUES ('rmse'), ('mae'), ('n_test')) AS b(metric)""",
     "q34_exact_sample": f"""WITH {_JOBS_E}
 SELECT CAST(job_id AS VARCHAR) AS job_id, cluster FROM jobs_e ORDER BY {_HASHED.format(SAMPLE_SEED)}, 1 LIMIT 500""",
     "q35_registry_in_one_scan": ORACLE["q03_state_share_by_cluster"],
