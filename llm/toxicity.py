@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -207,10 +208,14 @@ def _fit_sample(sample: DataFrame, counts: DataFrame) -> Model:
             cuts = np.searchsorted(found >> BUCKET_BITS, np.arange(len(pdf) + 1))
             yield pd.DataFrame({"y": pdf["y"], "h": pdf["h"], "found": [(found[a:b] & (BUCKETS - 1)).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]})
 
-    got = sample.mapInPandas(rows_of, "y int, h long, found binary").toPandas().sort_values(["h", "y", "found"])
+    got = materialise(sample.mapInPandas(rows_of, "y int, h long, found binary"), "sample-features")
     sent.destroy()
-    rows = [np.searchsorted(buckets, np.frombuffer(x, "<i4")).astype(np.int32) for x in got.pop("found")]
-    y = got["y"].to_numpy(float)
+    found = []  # a partition at a time: the driver holds each row's features once
+    for row in got.toLocalIterator():
+        found.append((row.h, row.y, crc32(row.found), np.searchsorted(buckets, np.frombuffer(row.found, "<i4")).astype(np.int32)))
+    found.sort(key=lambda x: x[:3])
+    y, rows = np.array([x[1] for x in found], float), [x[3] for x in found]
+    found.clear()
     w, bias = _logistic(rows, r, y)
     s1 = y.sum()
     return Model(buckets, w * r, bias + float(np.log(n1 / n0) - np.log(s1 / (len(y) - s1))))
