@@ -46,6 +46,8 @@ DEPTH = 7
 SHARED, RUN = 2, 32
 #: Followers in a sorted order that a class of a longer run is compared with; the exact pass does the rest.
 REACH = 4
+#: Parity bits of a set in the exact pass: 256 bytes, telling for sets of up to about 2,000 shingles.
+BITS = 2048
 #: A pair is dropped unconfirmed if this share of the threshold's sketch matches is missing.
 SLACK = 0.20
 #: Classes in candidate pairs up to which their ids are broadcast (8 bytes each); beyond it they are joined by a shuffle.
@@ -257,7 +259,9 @@ def dense_pairs(dense: DataFrame, groups: DataFrame, sets: DataFrame, threshold:
 
     A prefix filter: of two sets that reach it, each one's first size - ceil(threshold * size) + 1 shingles in a
     common order share one. The order has shingles of one group first, then rare ones. Nothing is capped; a
-    shingle's holders meet in a shuffled join, where AQE splits a hot one.
+    shingle's holders meet in a shuffled join, where AQE splits a hot one. The join's condition bounds the overlap
+    by sizes, by places in the order, and by parity bits of the sets (``BITS``): sets differ in at least as many
+    shingles as their parities differ in bits, so that no true pair is lost.
     """
     percent = round(100 * threshold)
 
@@ -272,6 +276,11 @@ def dense_pairs(dense: DataFrame, groups: DataFrame, sets: DataFrame, threshold:
                         [same(0), same(2), same(3), pa.array(np.full(len(part), len(held), np.int64)), pa.array(part)],
                         names=["rep", "g", "k", "n", "s"])
 
+    @F.pandas_udf("array<long>")
+    def parities(held: pd.Series) -> pd.Series:
+        odd = [np.bincount(np.frombuffer(x, np.uint64) % np.uint64(BITS), minlength=BITS).astype(np.uint8) & 1 for x in held]
+        return pd.Series([np.packbits(x).view(np.int64) for x in odd], dtype=object)
+
     own = dense.join(groups.toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("g"))
     rows = sets.join(own, "rep").select("rep", "shingles", "g", F.xxhash64("shingles").alias("k"))
     rows = rows.mapInArrow(spread, "rep long, g long, k long, n long, s long")
@@ -281,14 +290,18 @@ def dense_pairs(dense: DataFrame, groups: DataFrame, sets: DataFrame, threshold:
     need = F.expr(f"cast(ceil({percent} * n / 100.0) as long)")
     enough = found.groupBy("rep", "k").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= need)
     order = Window.partitionBy("rep", "k").orderBy("f", "s")
-    first = found.join(enough.select("rep", "k", "m"), ["rep", "k"]).withColumn("i", F.row_number().over(order))
+    marked = sets.withColumn("k", F.xxhash64("shingles")).join(enough.select("rep", "k", "m"), ["rep", "k"])
+    marked = marked.select("rep", "k", "m", parities("shingles").alias("odd"))
+    first = found.join(marked, ["rep", "k"]).withColumn("i", F.row_number().over(order))
     # n - m shingles come before the first joining one
-    first = materialise(first.withColumn("i", F.expr("i + n - m")).where(F.col("i") <= F.expr("n + 1") - need).select("s", "rep", "g", "n", "i"), "prefix")
-    x, y = first.toDF("s", "a", "ga", "na", "ia"), first.toDF("s", "b", "gb", "nb", "ib")
+    first = materialise(first.withColumn("i", F.expr("i + n - m")).where(F.col("i") <= F.expr("n + 1") - need).select("s", "rep", "g", "n", "i", "odd"), "prefix")
+    x, y = first.toDF("s", "a", "ga", "na", "ia", "oa"), first.toDF("s", "b", "gb", "nb", "ib", "ob")
     met = x.join(y, "s").where("a < b and ga <> gb")
     # sizes and places leave room for the overlap that the threshold asks for
     met = met.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     met = met.where(f"(100 + {percent}) * (1 + least(na - ia, nb - ib) + least(ia, ib) - 1) >= {percent} * (na + nb)")
+    differ = "aggregate(zip_with(oa, ob, (p, q) -> bit_count(p ^ q)), 0, (n, c) -> n + c)"
+    met = met.where(f"(100 + {percent}) * (na + nb - {differ}) >= 2 * {percent} * (na + nb)")
     return met.select("a", "b").distinct()
 
 
