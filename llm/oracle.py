@@ -131,4 +131,51 @@ SELECT k.vec_id, f.c::INTEGER AS cluster, f.d AS distance, (sum(f.d) OVER (PARTI
 FROM kept k JOIN far10 f USING (n) JOIN shas s ON s.c = f.c
 """
 
-ORACLE: dict[str, str] = {"op1_ball_tree": OP1, "op4_warc": OP4, "op11_bloom_cascade": OP11, "op12_prefix_trie": OP12, "op13_threshold_kmeans": OP13}
+# Windows of three lines (all lines of a shorter text) with a letter or digit; every occurrence but the first, by
+# document, text hash and position, covers its lines. Texts that share an id are rare and ordered by Spark's hash of
+# them, which SQL lacks: there are none in the tables, so the id alone decides.
+OP6 = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS lines FROM d),
+w AS (
+    SELECT doc_id, text, least(len(lines), 3) AS size, pos, array_to_string(lines[pos + 1:pos + 3], chr(10)) AS body
+    FROM (SELECT *, unnest(generate_series(0, greatest(len(lines) - 3, 0))) AS pos FROM l)),
+n AS (
+    SELECT *, row_number() OVER (PARTITION BY size, body ORDER BY doc_id NULLS FIRST, text, pos) AS nth
+    FROM w WHERE regexp_matches(body, '[\p{L}\p{N}]')),
+gone AS (
+    SELECT doc_id, text, list_sort(list_distinct(flatten(list(generate_series(pos, pos + size - 1))))) AS places FROM n WHERE nth > 1 GROUP BY 1, 2),
+kept AS (
+    SELECT o.doc_id, o.text AS whole, coalesce(len(g.places), 0)::INTEGER AS n_removed,
+           CASE WHEN g.places IS NULL THEN o.text ELSE array_to_string(list_transform(list_filter(list_zip(string_split(o.text, chr(10)),
+                generate_series(0, len(string_split(o.text, chr(10))) - 1)), lambda x: NOT list_contains(g.places, x[2])), lambda x: x[1]), chr(10)) END AS text
+    FROM documents o LEFT JOIN gone g ON o.doc_id IS NOT DISTINCT FROM g.doc_id AND o.text = g.text)
+SELECT doc_id, n_removed, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM kept
+"""
+
+# Pairs of documents with a common shingle, then the smallest id reachable over near pairs.
+OP7 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    FROM words),
+alike AS MATERIALIZED (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+parts AS MATERIALIZED (SELECT rep, n, hash(unnest(s)) AS h FROM alike),
+counted AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY h) AS f FROM parts),
+early AS MATERIALIZED (
+    SELECT rep, n, h FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY f, h) AS i FROM counted) WHERE i <= n - (85 * n + 99) // 100 + 1),
+met AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM early a JOIN early b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+links AS MATERIALIZED (
+    SELECT m.a, m.b FROM met m JOIN alike x ON x.rep = m.a JOIN alike y ON y.rep = m.b
+    WHERE 100 * len(list_intersect(x.s, y.s)) >= 85 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM alike UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+groups AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(g.component_id, t.doc_id) AS component_id, coalesce(g.component_id, t.doc_id) = t.doc_id AS kept
+FROM sets t LEFT JOIN alike c ON len(t.s) > 0 AND list_sort(t.s) = c.s LEFT JOIN groups g ON g.rep = c.rep
+"""
+
+ORACLE: dict[str, str] = {"op1_ball_tree": OP1, "op4_warc": OP4, "op6_line_dedup": OP6, "op7_lsh_forest": OP7, "op11_bloom_cascade": OP11, "op12_prefix_trie": OP12, "op13_threshold_kmeans": OP13}
