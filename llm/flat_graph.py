@@ -277,8 +277,8 @@ def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int)
     return materialise(found, "graph-links")
 
 
-def _recall(classes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Mean share of a class's links that was found, over audited classes that have one by brute force over all."""
+def _recall(classes: DataFrame, links: DataFrame, threshold: float) -> float | None:
+    """Mean share of a class's links that was found, over audited classes that have one by brute force over all (none: null)."""
     spark, buckets = classes.sparkSession, -(-classes.count() // AUDITED)
     met = links.where("rep is not null").groupBy("rep").agg(F.sum("met").alias("met"))
     total, linked, at, width = 0.0, 0, 0, 1
@@ -302,33 +302,33 @@ def _recall(classes: DataFrame, links: DataFrame, threshold: float) -> float:
         share = F.least("truth", F.coalesce("met", F.lit(0))) / F.col("truth")
         r = truth.join(met, "rep", "left").agg(F.sum(share), F.count("*")).first()
         total, linked = total + (r[0] or 0.0), linked + r[1]
-    return total / linked if linked else 1.0
+    return total / linked if linked else None
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(id, n_links, component_id, kept, audited_recall)`` per row."""
+    """``(id, n_links, component_id, kept, audited_recall)`` per row; the recall is null where no audited class has a link."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = "size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x != 0)"
     rows = rows.withColumn("vec", F.expr(f"if({fine}, transform(vec, x -> x + 0D), null)"))
     classes = materialise(rows.where("vec is not null and id is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    links, recall = None, 1.0
+    links, recall = None, None
     for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
         own = classes.where(F.size("vec") == r.dim)
         for overlap in (OVERLAP, 4 * OVERLAP, MAX_CLUSTERS):
             found = _links(own, threshold, r.dim, r.n, overlap)
             got = _recall(own, found, threshold)
-            if got >= RECALL or overlap >= r.n // CLUSTER_ROWS:
+            if got is None or got >= RECALL or overlap >= r.n // CLUSTER_ROWS:
                 break
-        if got < LEAST_RECALL:
+        if got is not None and got < LEAST_RECALL:
             raise RuntimeError(f"near vectors of {r.dim} components: audited recall {got:.3f} is below {LEAST_RECALL} at overlap {overlap}")
-        recall = min(recall, got)
+        recall = min((x for x in (recall, got) if x is not None), default=None)
         links = found if links is None else links.union(found)
     if links is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("audited_recall"))
     groups = connected_components(links.where("u is not null").select("u", "v"))
     counts = links.where("rep is not null").groupBy("rep").agg(F.sum("found").alias("found"))
     of = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("vec").alias("class"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(of, (F.col("vec") == F.col("class")) & F.col("id").isNotNull(), "left").select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(float(recall)))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(recall).cast("double"))
