@@ -11,6 +11,10 @@ unsigned 16-bit ids, 32-bit if the vocabulary needs it, padded with
 ``pad_id``), the cumulative segment lengths, the positions at which position
 ids start again at 0, and each segment's document and start.
 
+``write`` stores that as Parquet files through Spark's committer (a task that
+runs twice leaves one file), ``read`` reads it back, and ``segments`` cuts the
+matrix rows into the documents' pieces again.
+
 Null and empty texts are a lone end id. Every row is a document, repeated
 ones too. An empty table gives no sequences. A document longer than a
 block makes a block of its own.
@@ -23,7 +27,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import as_bytes, char_runs
@@ -127,3 +131,21 @@ def pack(df: DataFrame, source: str, end_id: int, window: int = WINDOW, pad_id:
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, docs array<{id_type}>, starts array<long>")
+
+
+def write(packed: DataFrame, path: str) -> None:
+    """Store packed sequences below ``path``; every task writes its own blocks, nothing is shuffled."""
+    packed.write.parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The packed sequences that ``write`` stored."""
+    return spark.read.parquet(path)
+
+
+def segments(packed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(doc, start, length, sequence_id, position, ids)``: a row per piece, its ids as bytes of the matrix's width."""
+    cut = f"""inline(transform(docs, (d, i) -> named_struct('doc', d, 'start', starts[i], 'length', cu_seqlens[i + 1] - cu_seqlens[i],
+        'sequence_id', sequence_id, 'position', cu_seqlens[i],
+        'ids', substring(ids, 1 + cu_seqlens[i] * (length(ids) div {window}), (cu_seqlens[i + 1] - cu_seqlens[i]) * (length(ids) div {window})))))"""
+    return packed.selectExpr(cut)

@@ -83,9 +83,10 @@ def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bfd_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every packed sequence: its size, segments and a digest of its ids."""
-    packed = bfd_output.pack(read_table(spark, sf_dir, "documents"), tokenizer_source(), END_ID)
-    return packed.selectExpr(
+    """Every packed sequence as its files read back: its size, segments and a digest of its ids."""
+    path = scratch_path(spark, "packed")
+    bfd_output.write(bfd_output.pack(read_table(spark, sf_dir, "documents"), tokenizer_source(), END_ID), path)
+    return bfd_output.read(spark, path).selectExpr(
         "sequence_id", "n_tokens", "size(docs) as n_segments", "sha2(ids, 256) as ids_sha256",
         "cu_seqlens", "position_resets", "docs as doc_ids", "starts")
 
