@@ -71,6 +71,18 @@ class EliasFano:
         left -= np.where(byte > 0, free[np.arange(len(k)), np.maximum(byte - 1, 0)], 0)
         return word * 64 + byte * 8 + _ZERO[bytes_[np.arange(len(k)), np.minimum(byte, 7)], left]
 
+    def at(self, index: np.ndarray) -> np.ndarray:
+        """The elements at ``index``: high bits from the place of the index-th one bit, low bits as they are."""
+        ones = 64 * np.arange(len(self.zeros)) - self.zeros.astype(np.int64)
+        word = np.searchsorted(ones, index, "right") - 1
+        left = index - ones[word]
+        bytes_ = ~self.high[word[:, None] * 8 + np.arange(8)]
+        held = np.cumsum(8 - _POP[bytes_], axis=1, dtype=np.int64)
+        byte = (held <= left[:, None]).sum(axis=1)
+        left = left - np.where(byte > 0, held[np.arange(len(index)), np.maximum(byte - 1, 0)], 0)
+        place = word * 64 + byte * 8 + _ZERO[bytes_[np.arange(len(index)), np.minimum(byte, 7)], left]
+        return (place - index) << self.width | get_bits(self.low, index, self.width).astype(np.int64)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each x, or -1: the first element of at least x, found in the bucket of its high bits."""
         out = np.full(len(x), -1, np.int64)

@@ -90,6 +90,7 @@ def test_elias_fano_finds_what_is_there():
         e = EliasFano.of(EliasFano.build(v).parts())
         want = [at.get(int(x), -1) for x in q]
         assert e.find(q).tolist() == want
+        assert e.at(np.arange(len(v))).tolist() == v.tolist()
         assert [int(e.find(q[k:k + 1])[0]) for k in range(0, len(q), 400)] == want[::400]
 
 
@@ -122,6 +123,37 @@ def test_scores_against_brute_force(spark, docs, monkeypatch, chunk, shard):
     assert Counter((r.doc_id, r.trained, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
 
 
+@pytest.mark.parametrize("shard", [1_200_000, 60])
+def test_stored_model_scores_as_the_run_that_made_it(spark, docs, empty, monkeypatch, scratch, shard):
+    monkeypatch.setattr(ngram_trie, "CHUNK", 300)
+    monkeypatch.setattr(ngram_trie, "SHARD", shard)
+    df = docs.withColumn("train", F.col("doc_id") % 7 != 2)
+    want = ngram_trie.score(df, keep=scratch).drop("trained").collect()
+    monkeypatch.setattr(ngram_trie, "CHUNK", 5000)
+    key = lambda r: (r.doc_id or 0, r.n_tokens, round(r.base_score, 6), round(r.score, 6), r.n_known, r.train_tokens)
+    got = ngram_trie.score_with(docs, scratch)
+    assert Counter(map(key, want)) == Counter(map(key, got.collect())) and got.where("trained").count() == 0
+    new = spark.createDataFrame([(1, "zzyzx quux unheard"), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.n_known) for r in ngram_trie.score_with(new, scratch).orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
+    assert ngram_trie.score_with(empty, scratch).count() == 0
+
+
+def test_successors_with_equal_upper_halves_are_told_apart():
+    high = 7 << 40
+    words = np.array([5, high + 4, high + 8], np.uint64)  # the last two differ in their lowest bits only
+    setting = ngram_trie.Setting.of(4, 1, 3, 1, {})
+    block = ngram_trie.dump(*(
+        np.array(x, np.uint64) for x in (np.diff(words, prepend=np.uint64(0)), [4, 3, 1], [0], [2], [1], [1, 1], [0], [2], [0, 1], [3, 1])))
+    (answer,), trie = ngram_trie.serve_shard([block], setting)
+    total, code2, _, code3 = ngram_trie.load(answer)
+    p1 = setting.unigram(np.array([3, 1]))
+    p2 = (np.array([3, 1]) + ngram_trie.M2 * p1) / (4 + ngram_trie.M2)
+    p3 = (np.array([3, 1]) + ngram_trie.M3 * p2) / (4 + ngram_trie.M3)
+    assert total.tolist() == [4] and code2.tolist() == ngram_trie.quantise(p2).tolist() and code3.tolist() == ngram_trie.quantise(p3).tolist()
+    again, _ = ngram_trie.serve_shard([block], setting, ngram_trie.Trie.load(trie.dump()))
+    assert again == [answer]
+
+
 def test_scores_without_training_rows_or_rows(spark, docs, empty):
     got = ngram_trie.score(docs.withColumn("train", F.lit(False))).collect()
     assert len(got) == len(DOCS) and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in got)
