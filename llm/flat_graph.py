@@ -18,8 +18,8 @@ counts the same, however many links it has. Below
 ``LEAST_RECALL`` even then, it is an error.
 
 Large clusters are split by hash into parts, and a task has two of them that
-search each other, so no group grows with the data. A task sends a
-spanning forest of its links, not the links.
+search each other, so no group grows with the data. A task keeps a bit for
+each pair of its rows, and sends a spanning forest of its links, not the links.
 
 Vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and keep their row, as do null ids. Vectors meet only
@@ -29,6 +29,8 @@ count as copies if their vectors are equal.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +52,8 @@ AUDITED = 256
 LINKED = 128
 RECALL, LEAST_RECALL = 0.97, 0.9
 _BLOCK = 256
+#: Pairs worked on at a time.
+_PAIRS = 65_536
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -112,9 +116,10 @@ def _reachable(x: np.ndarray, graph: list[np.ndarray]) -> list[np.ndarray]:
         front = left[:1]
 
 
-def search(x: np.ndarray, graph: np.ndarray, asked: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) found in range. ``graph``: neighbours per row, padded with -1; both sides are unit vectors."""
-    q_out, r_out, start, slack = [], [], medoid(x), threshold - 0.05
+def search(x: np.ndarray, graph: np.ndarray, asked: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, row) found in range, a block of queries at a time. ``graph``: neighbours per row, padded with -1; both sides are unit vectors."""
+    start, slack = medoid(x), threshold - 0.05
+    near_to = [row[row >= 0] for row in graph]
     for at in range(0, len(asked), _BLOCK):
         q = asked[at:at + _BLOCK]
         n = len(q)
@@ -150,43 +155,83 @@ def search(x: np.ndarray, graph: np.ndarray, asked: np.ndarray, threshold: float
         # everything in range is expanded, whether the beam held it or not
         front_q, front_r = np.concatenate(hits_q), np.concatenate(hits_r)
         found_q, found_r = [front_q], [front_r]
+        unseen = ~seen.T
         while len(front_q):
-            next_q, next_r = [], []
-            for part in np.array_split(np.arange(len(front_q)), -(-len(front_q) // 20_000)):
-                to = graph[front_r[part]]
-                qi, k = np.nonzero((to >= 0) & ~seen[front_q[part][:, None], np.maximum(to, 0)])
-                pair = np.unique(front_q[part][qi] * len(x) + to[qi, k])
-                pq, pr = pair // len(x), pair % len(x)
-                seen[pq, pr] = True
-                near = np.einsum("id,id->i", q[pq], x[pr]) >= slack
-                next_q.append(pq[near])
-                next_r.append(pr[near])
-            front_q, front_r = np.concatenate(next_q), np.concatenate(next_r)
+            # row by row, for all queries at once that have it in front
+            asks = np.zeros((len(x), n), bool)
+            asks[front_r, front_q] = True
+            reached = np.zeros((len(x), n), bool)
+            for row in np.unique(front_r):
+                reached[near_to[row]] |= asks[row]
+            reached &= unseen
+            unseen &= ~reached
+            rows = np.flatnonzero(reached.any(axis=1))
+            some = reached[rows]
+            if 8 * some.sum() > some.size:  # most pairs of these rows: one product
+                i, front_q = np.nonzero(some & (x[rows] @ q.T >= slack))
+            else:
+                i, front_q = np.nonzero(some)
+                near = _in_range(q, front_q, x, rows[i], slack)
+                i, front_q = i[near], front_q[near]
+            front_r = rows[i]
             found_q.append(front_q)
             found_r.append(front_r)
-        q_out.append(np.concatenate(found_q) + at)
-        r_out.append(np.concatenate(found_r))
-    return np.concatenate(q_out), np.concatenate(r_out)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links (a, b)."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    u, v = [], []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            u.append(x)
-            v.append(y)
-    return u, v
+        yield np.concatenate(found_q) + at, np.concatenate(found_r)
+
+
+def _in_range(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether x[a[i]] . y[b[i]] reaches the threshold."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), _PAIRS):
+        out[i:i + _PAIRS] = np.einsum("id,id->i", x[a[i:i + _PAIRS]], y[b[i:i + _PAIRS]]) >= threshold
+    return out
+
+
+class Links:
+    """Symmetric links between the ``n`` rows of a task, a bit for each pair: 72 MB for two parts of ``PART_ROWS``, however many links."""
+
+    def __init__(self, n: int):
+        self.n, self.bits = n, np.zeros((n, -(-n // 8)), np.uint8)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        rows, at = np.unique(a, return_inverse=True)
+        for i in range(0, len(rows), _BLOCK):
+            mine = (at >= i) & (at < i + _BLOCK)
+            block = np.zeros((min(_BLOCK, len(rows) - i), self.n), bool)
+            block[at[mine] - i, b[mine]] = True
+            self.bits[rows[i:i + _BLOCK]] |= np.packbits(block, axis=1, bitorder="little")
+
+    def _rows(self, low: int, high: int) -> np.ndarray:
+        return np.unpackbits(self.bits[low:high], axis=1, count=self.n, bitorder="little")
+
+    def both_ways(self) -> None:
+        for low in range(0, self.n, _BLOCK):
+            self.bits[:, low // 8:(low + _BLOCK) // 8] |= np.packbits(self._rows(low, low + _BLOCK).T, axis=1, bitorder="little")
+
+    def sums(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of each row's links and their number."""
+        found, met = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        for low in range(0, self.n, _BLOCK):
+            rows = self._rows(low, low + _BLOCK)
+            met[low:low + _BLOCK] = rows.sum(axis=1)
+            i, j = np.nonzero(rows)
+            np.add.at(found, low + i, weight[j])
+        return found, met
+
+    def forest(self) -> tuple[list[int], list[int]]:
+        """A spanning forest: every row is taken up once, from the first linked row that is reached."""
+        u, v, left = [], [], np.ones(self.n, bool)
+        for root in np.flatnonzero(self.bits.any(axis=1)):
+            front = [int(root)] if left[root] else []
+            left[root] = False
+            while front:
+                row = front.pop()
+                new = np.flatnonzero(left & self._rows(row, row + 1)[0].view(bool)).tolist()
+                left[new] = False
+                u += [row] * len(new)
+                v += new
+                front += new
+        return u, v
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -247,27 +292,26 @@ def _links(classes: DataFrame, threshold: float, dim: int, n: int, overlap: int)
         width = int(home.max()) + 1
         lies = np.concatenate([i * width + np.asarray(c, np.int64)[np.asarray(c) < width] for i, c in enumerate(pdf["clusters"])])
         lies.sort()
-        pairs = np.zeros(0, np.int64)
+        links = Links(len(pdf))
         for mine, other in {(low, high), (high, low)}:
             node, ask = np.flatnonzero(part == other), np.flatnonzero((part == mine) & (home >= here))
             if not len(node) or not len(ask):
                 continue
-            q, r = search(raw[node], padded(pdf.iloc[node]), raw[ask], threshold)
-            q, r = ask[q], node[r]
-            ok = (q != r) & ((home[q] == here) | (home[r] == here))
-            q, r = q[ok], r[ok]
-            q, r = np.where(home[q] == here, q, r), np.where(home[q] == here, r, q)
-            want = q * width + home[r]  # does q lie in r's home? Then the smaller home has the pair
-            both = lies[np.minimum(np.searchsorted(lies, want), len(lies) - 1)] == want
-            ok = ~(both & (home[r] < here))
-            q, r = q[ok], r[ok]
-            ok = np.concatenate([np.zeros(0, bool), *(np.einsum("id,id->i", raw[q[i:i + 65536]], raw[r[i:i + 65536]]) >= threshold for i in range(0, len(q), 65536))])
-            pairs = np.union1d(pairs, np.minimum(q[ok], r[ok]) * len(pdf) + np.maximum(q[ok], r[ok]))
-        a, b = pairs // len(pdf), pairs % len(pdf)
-        ends, others = np.concatenate([a, b]), np.concatenate([b, a])
-        found, met = np.bincount(ends, weight[others], len(pdf)).astype(np.int64), np.bincount(ends, minlength=len(pdf))
+            for q, r in search(raw[node], padded(pdf.iloc[node]), raw[ask], threshold):
+                q, r = ask[q], node[r]
+                ok = (q != r) & ((home[q] == here) | (home[r] == here))
+                q, r = q[ok], r[ok]
+                one, two = np.where(home[q] == here, q, r), np.where(home[q] == here, r, q)
+                want = one * width + home[two]  # does the one lie in the other's home? Then the smaller home has the pair
+                both = lies[np.minimum(np.searchsorted(lies, want), len(lies) - 1)] == want
+                ok = ~(both & (home[two] < here))
+                q, r = q[ok], r[ok]
+                ok = _in_range(raw, q, raw, r, threshold)
+                links.add(q[ok], r[ok])
+        links.both_ways()
+        found, met = links.sums(weight)
         hit = np.flatnonzero(met)
-        u, v = _forest(rep[a], rep[b])
+        u, v = (rep[x].tolist() for x in links.forest())
         none = [None] * len(hit)
         out = pd.DataFrame({"rep": pd.array(rep[hit], "Int64"), "found": found[hit], "met": met[hit], "u": pd.array(none, "Int64"), "v": pd.array(none, "Int64")})
         edges = pd.DataFrame({"rep": pd.array([None] * len(u), "Int64"), "found": 0, "met": 0, "u": pd.array(u, "Int64"), "v": pd.array(v, "Int64")})

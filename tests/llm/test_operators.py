@@ -81,6 +81,31 @@ def test_vectors_of_an_empty_table(spark):
 
 # -- 2
 
+def test_ball_tree_of_many_levels_prunes_and_loses_nothing(monkeypatch):
+    monkeypatch.setattr(ball_tree, "LEAF", 8)  # the tree is built in this process
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 12)) * 400
+    x = np.floor(centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 12)) * 20)
+    x[100:110] = x[100]  # ties
+    ids = rng.permutation(5000)[:1500]
+    tree = ball_tree.BallTree.load(ball_tree.BallTree(ids, x).dump())
+    depth = {0: 1}
+    for i in np.flatnonzero(tree.child):
+        depth[tree.child[i]] = depth[tree.child[i] + 1] = depth[i] + 1
+    assert max(depth.values()) >= 8
+    seen, real = [], ball_tree.products
+    monkeypatch.setattr(ball_tree, "products", lambda q, p: seen.append(len(q) * len(p)) or real(q, p))
+    for known in (False, True):
+        want = []
+        for q, v in zip(ids[:60], x[:60]):
+            s = sorted((-int(v @ w), int(i)) for i, w in zip(ids, x) if i != q)[:5]
+            want.append([(i, -n) for n, i in s])
+        kth = np.array([w[-1][1] if known else ball_tree._NONE for w in want])
+        scores, found = tree.search(ids[:60], x[:60], 5, kth)
+        assert [list(zip(f.tolist(), s.tolist())) for f, s in zip(found, scores)] == want
+    assert sum(seen) < 60 * 1500  # both searches together need fewer products than one scan
+
+
 def test_elias_fano_finds_what_is_there():
     rng = np.random.default_rng(0)
     for n, top in ((1, 5), (1000, 1 << 40), (5000, 6000), (0, 1), (70000, 1 << 61), (3000, 1 << 20)):
@@ -345,6 +370,28 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert out[0].audited_recall == 1.0
 
 
+def test_dense_groups_are_walked_without_pair_sets():
+    rng = np.random.default_rng(4)
+    x = flat_graph.unit(np.concatenate([rng.normal(size=32) + rng.normal(size=(700, 32)) * 0.2, rng.normal(size=(300, 32))]))
+    lists = flat_graph.build_graph(x)
+    graph = np.full((len(x), max(map(len, lists))), -1)
+    for i, to in enumerate(lists):
+        graph[i, :len(to)] = to
+    links = flat_graph.Links(len(x))
+    for q, r in flat_graph.search(x, graph, x, 0.9):
+        ok = (q != r) & flat_graph._in_range(x, q, x, r, 0.9)
+        links.add(q[ok], r[ok])
+    links.both_ways()
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    weight = rng.integers(1, 9, len(x))
+    found, met = links.sums(weight)
+    assert (met == near.sum(axis=1)).all() and (found == near @ weight).all() and met.sum() > 400_000
+    u, v = links.forest()
+    assert near[u, v].all() and len(set(v)) == len(v) == (met > 0).sum() - 1
+    assert flat_graph.Links(0).forest() == ([], [])
+
+
 def test_near_vectors_credit_both_ends_at_cluster_borders(spark, monkeypatch):
     monkeypatch.setattr(flat_graph, "CLUSTER_ROWS", 20)
     monkeypatch.setattr(flat_graph, "OVERLAP", 2)
