@@ -31,8 +31,8 @@ reaches the driver is that list (at most n / ``SHARD`` words of n tokens, as man
 are shards), token totals and vocabulary size. A chunk sends one row to each shard that it has
 n-grams for, so never more rows than n-grams.
 
-Words are known by 64-bit hashes, of which tries keep 62 bits, whole (100 million distinct
-words collide with a chance of 1 in 900).
+Words are told apart by 64-bit hashes when they are counted; from then on by ids, their shard
+and rank among its known words, so no two successors of a context are taken for one.
 Null and empty texts are a lone end. Rows repeat as they come. Without
 training rows every probability is the unigram's 1 / (0 + 1 * (0 + 1)).
 """
@@ -59,6 +59,8 @@ CHUNK = 1_500_000
 SHARD = 1_200_000
 M2, M3 = 200.0, 20.0
 END, START = (int(x) for x in mix(np.array([101, 102], np.uint64)))
+#: The start mark's id; words' ids are larger.
+START_ID = 1
 _STEPS = 20
 _NONE = 255
 
@@ -164,7 +166,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, train_col: str) -> DataF
 
 @dataclass
 class Setting:
-    """What all tasks know of a model: totals, and the frequent words (ascending hashes), each with its first shard and number of shards."""
+    """What all tasks know of a model: totals, and the frequent words (ascending ids), each with its first shard and number of shards."""
 
     n_train: int
     n_docs: int
@@ -177,16 +179,16 @@ class Setting:
     @classmethod
     def of(cls, n_train: int, n_docs: int, vocabulary: int, shards: int, often: dict[int, int]) -> Setting:
         """``often``: words with a shard's worth of training tokens or more; so at most n_train / SHARD of them."""
-        hot = np.array(sorted(often), np.uint64)
+        hot = np.array(sorted(often), np.int64)
         parts = np.array([1 + often[int(w)] // SHARD for w in hot], np.int64)
         return cls(n_train, n_docs, vocabulary, shards, hot, shards + np.cumsum(parts) - parts, parts)
 
-    def place(self, words: np.ndarray) -> np.ndarray:
+    def place(self, ids: np.ndarray) -> np.ndarray:
         """Each word's place among the frequent ones, or -1."""
         if not len(self.hot):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
-        return np.where(self.hot[at] == words, at, -1)
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.hot, ids), len(self.hot) - 1)
+        return np.where(self.hot[at] == ids, at, -1)
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 1.0) / (self.n_train + self.vocabulary + 1)
@@ -201,7 +203,9 @@ class Ngrams:
         size = np.asarray(row["sizes"], np.int64)
         self.setting, self.ends = setting, np.cumsum(size)
         self.words = np.append(words, np.uint64(START))  # the start mark comes last, whatever its hash
-        self.known = np.append(np.concatenate([load(p)[0].astype(np.int64) for p in row["counts"]]), setting.n_docs)
+        known, rank = (np.concatenate(x).astype(np.int64) for x in zip(*(load(p) for p in row["counts"])))
+        self.known = np.append(known, setting.n_docs)
+        self.ids = np.append(word_ids(_shard(words, setting.shards), rank), START_ID)
         start = len(words)
         v = np.empty_like(tokens)
         v[1:] = tokens[:-1]
@@ -223,7 +227,7 @@ class Ngrams:
         self.v_of_vu, self.u = _halves(vu_keys, n)
         self.tri_vu, self.tri_vw = _halves(tri, max(1, len(self.vw)))
         self.tokens = tokens
-        self.often = setting.place(self.words)
+        self.often = setting.place(self.ids)
 
     def blocks(self) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         """(shard, places in v, vw, vu, tri) of each block; a frequent word's n-grams go to its own shards by successor."""
@@ -232,7 +236,7 @@ class Ngrams:
         for i in v_with[self.often[v_with] >= 0]:
             at = self.often[i]
             low, high = np.searchsorted(self.v_of_vw, [i, i + 1])
-            part = (self.words[self.w[low:high]] % np.uint64(setting.hot_parts[at])).astype(np.int64)
+            part = (mix(self.ids[self.w[low:high]].astype(np.uint64)) % np.uint64(setting.hot_parts[at])).astype(np.int64)
             first, last = np.searchsorted(self.tri_vu, np.searchsorted(self.v_of_vu, [i, i + 1]))
             tri_part = part[self.tri_vw[first:last] - low]
             vw, tri = np.argsort(part, kind="stable"), np.argsort(tri_part, kind="stable")
@@ -260,16 +264,22 @@ class Ngrams:
         """The block's distinct words with their counts; contexts, successors and longer contexts by places among these words,
         and the trigrams by their places among the block's successors and contexts."""
         v, vw, vu, tri = block
-        used, at = np.unique(np.concatenate([v, self.w[vw], self.u[vu]]), return_inverse=True)
+        place = np.concatenate([v, self.w[vw], self.u[vu]])
+        ids, first, at = np.unique(self.ids[place], return_index=True, return_inverse=True)
         at_v, at_w, at_u = np.split(at, [len(v), len(v) + len(vw)])
         n_vw, n_vu = (np.diff(np.append(np.searchsorted(of, v), len(of))) for of in (self.v_of_vw[vw], self.v_of_vu[vu]))
         return dump(
-            np.diff(self.words[used], prepend=np.uint64(0)), self.known[used], at_v, n_vw, n_vu, steps(at_w, n_vw), steps(at_u, n_vu),
+            np.diff(ids, prepend=0), self.known[place[first]], at_v, n_vw, n_vu, steps(at_w, n_vw), steps(at_u, n_vu),
             np.diff(np.append(np.searchsorted(self.tri_vu[tri], vu), len(tri))),
             np.searchsorted(vw, self.tri_vw[tri]) - np.searchsorted(self.v_of_vw[vw], self.v_of_vu[self.tri_vu[tri]]),
             self.count[tri])
 
 
+def word_ids(shard: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ids of words by their shard and their rank among its known words (from 1); words that the model doesn't know share id 0."""
+    return np.where(rank > 0, (shard << 32) + rank + START_ID, 0)
+
+
 def _shard(words: np.ndarray, shards: int) -> np.ndarray:
     return (words >> np.uint64(32)).astype(np.int64) * shards >> 32
 
@@ -330,7 +340,7 @@ class Trie:
     @classmethod
     def build(cls, words: np.ndarray, known: np.ndarray, v: np.ndarray, vw: np.ndarray, vu: np.ndarray,
               tri_vu: np.ndarray, tri_vw: np.ndarray, count: np.ndarray, setting: Setting) -> Trie:
-        """words: 62-bit hashes, known: their training counts; v: contexts, as places in words; vw, vu: place in v * len(words)
+        """words: ids, ascending, known: their training counts; v: contexts, as places in words; vw, vu: place in v * len(words)
         + place in words; the trigrams by places in vu and vw. Zero counts are left out."""
         n, seen = max(1, len(words)), count > 0
         tri_vu, tri_vw, count = tri_vu[seen], tri_vw[seen], count[seen]
@@ -362,7 +372,7 @@ class Trie:
                tri_vu: np.ndarray, tri_vw: np.ndarray) -> tuple[np.ndarray, ...]:
         """Totals of the contexts (v, u), codes and counts of the pairs, codes of the trigrams; 0 and 255 where unseen.
 
-        v, w and u are places in ``words`` (62-bit hashes, ascending), v_of_vw and v_of_vu places in v, the trigrams places of
+        v, w and u are places in ``words`` (ids, ascending), v_of_vw and v_of_vu places in v, the trigrams places of
         their contexts and pairs."""
         own = self.words.find(words)
         context = _below(self.v, np.zeros(len(v), np.int64), own[v], 0)
@@ -391,13 +401,11 @@ def _at(values: np.ndarray, place: np.ndarray, missing: int) -> np.ndarray:
 def serve_shard(payloads: list[bytes], setting: Setting, trie: Trie | None = None) -> tuple[list[bytes], Trie]:
     """Add up the blocks' counts and build the shard's trie (unless there is one), then answer each block from it."""
     blocks = [load(p) for p in payloads]
-    every = [np.cumsum(b[0].astype(np.uint64), dtype=np.uint64) for b in blocks]
-    # the trie keeps 62 bits of a hash, so that pointers stay monotone 64-bit integers
-    words, word_place = np.unique(np.concatenate(every) >> np.uint64(2), return_inverse=True)
+    every = [np.cumsum(b[0].astype(np.int64)) for b in blocks]
+    words, word_place = np.unique(np.concatenate(every), return_inverse=True)
     known = np.zeros(len(words), np.int64)
     known[word_place] = np.concatenate([b[1] for b in blocks])
-    is_hot = np.zeros(len(words), bool)
-    is_hot[word_place] = setting.place(np.concatenate(every)) >= 0
+    is_hot = setting.place(words) >= 0
     n = max(1, len(words))
     ends = np.cumsum([0, *map(len, every)])
     v, v_place = np.unique(np.concatenate([word_place[e + b[2].astype(np.int64)] for e, b in zip(ends, blocks)]), return_inverse=True)
@@ -470,21 +478,23 @@ def _words(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Training counts of every chunk's words, and a row for the model: the shard's words and counts, their number, the frequent ones."""
+    """Training counts and ranks of every chunk's words, and a row for the model: the shard's words and counts, their number, the frequent ones."""
     blocks = [_words(p) for p in pdf["payload"]]
     words, place = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
     count = np.bincount(place, np.concatenate([b[1] for b in blocks]), len(words)).astype(np.int64)
+    seen = count > 0
+    rank = np.where(seen, np.cumsum(seen), 0)
     answers, at = [], 0
     for b in blocks:
-        answers.append(dump(count[place[at:at + len(b[0])]]))
+        mine = place[at:at + len(b[0])]
+        answers.append(dump(count[mine], rank[mine]))
         at += len(b[0])
-    seen = count > 0
-    hot = np.flatnonzero(count >= SHARD)
+    hot = np.flatnonzero((count >= SHARD) & (words != END))  # nothing follows an end
     more = len(pdf) * [None]
     return pd.DataFrame({
         "chunk": [*pdf["chunk"], _MODEL], "shard": [*pdf["shard"], pdf["shard"].iloc[0]],
         "payload": [*answers, dump(np.diff(words[seen], prepend=np.uint64(0)), count[seen])],
-        "known": pd.array([*more, int(seen.sum())], "Int64"), "hot": [*more, dump(words[hot], count[hot]) if len(hot) else None]})
+        "known": pd.array([*more, int(seen.sum())], "Int64"), "hot": [*more, dump(word_ids(np.int64(pdf["shard"].iloc[0]), rank[hot]), count[hot]) if len(hot) else None]})
 
 
 def _look_up_words(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -492,13 +502,15 @@ def _look_up_words(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     out = []
     for payload in asked["payload"]:
         mine = _words(payload)[0]
-        at = np.minimum(np.searchsorted(words, mine), max(0, len(words) - 1))
-        out.append(dump(np.where(words[at] == mine, count[at], 0) if len(words) else np.zeros(len(mine), np.int64)))
+        at = np.searchsorted(words, mine)
+        known = np.append(words, np.uint64(0))[at] == mine
+        known &= at < len(words)
+        out.append(dump(np.where(known, np.append(count, 0)[at], 0), np.where(known, at + 1, 0)))
     return pd.DataFrame({"chunk": asked["chunk"], "shard": asked["shard"], "payload": out})
 
 
 def _with_counts(parts: DataFrame, answers: DataFrame) -> DataFrame:
-    """The chunks with the counts of their words (a list of packed counts, in the words' order); ``parts`` is no longer needed."""
+    """The chunks with the counts and ranks of their words (packed lists, in the words' order); ``parts`` is no longer needed."""
     of = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "payload"))).alias("found"))  # at most one per word of a chunk
     return materialise(parts.join(of, "chunk").withColumn("counts", F.expr("transform(found, x -> x.payload)")).drop("found"), "lm-counted")
 
@@ -560,10 +572,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     shards = max(1, -(-size // SHARD))
     counts = materialise(_send_words(parts, shards).groupBy("shard").applyInPandas(_count_words, f"{_ANSWER}, known long, hot binary"), "lm-words")
     own = counts.where(F.col("chunk") == _MODEL)
-    often = {START: n_docs} if n_docs >= SHARD else {}
+    often = {START_ID: n_docs} if n_docs >= SHARD else {}
     for r in own.where("hot is not null").select("hot").toLocalIterator():  # at most n_train / SHARD words in all
         often.update(zip(*(x.tolist() for x in load(r.hot))))
-    often.pop(END, None)  # nothing follows an end
     setting = Setting.of(n_train, n_docs, own.agg(F.sum("known")).first()[0] or 0, shards, often)
     sent = spark.sparkContext.broadcast(setting)
     counted = _with_counts(parts, counts.where(F.col("chunk") != _MODEL).select("chunk", "shard", "payload"))
@@ -581,7 +592,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         found.where(F.col("chunk") == _MODEL).select("shard", "payload").write.parquet(f"{keep}/tries")
         own.select("shard", "payload").write.parquet(f"{keep}/words")
         spark.createDataFrame(
-            [(n_train, n_docs, setting.vocabulary, shards, setting.hot.astype(np.int64).tolist(), setting.hot_first.tolist(), setting.hot_parts.tolist())],
+            [(n_train, n_docs, setting.vocabulary, shards, setting.hot.tolist(), setting.hot_first.tolist(), setting.hot_parts.tolist())],
             "n_train long, n_docs long, vocabulary long, shards long, hot array<long>, hot_first array<long>, hot_parts array<long>").write.parquet(f"{keep}/setting")
     return _finish(counted, found, sent, id_col)
 
@@ -590,7 +601,7 @@ def score_with(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     """The same columns from a stored model; no row is learnt from."""
     spark = docs.sparkSession
     r = spark.read.parquet(f"{model}/setting").first()
-    setting = Setting(r.n_train, r.n_docs, r.vocabulary, r.shards, np.array(r.hot, np.int64).astype(np.uint64),
+    setting = Setting(r.n_train, r.n_docs, r.vocabulary, r.shards, np.array(r.hot, np.int64),
                       np.array(r.hot_first, np.int64), np.array(r.hot_parts, np.int64))
     sent = spark.sparkContext.broadcast(setting)
     train = fresh(docs, "_train")

@@ -119,7 +119,7 @@ def test_elias_fano_finds_what_is_there():
         assert [int(e.find(q[k:k + 1])[0]) for k in range(0, len(q), 400)] == want[::400]
 
 
-@pytest.mark.parametrize("chunk,shard", [(1_500_000, 1_200_000), (300, 60)])
+@pytest.mark.parametrize("chunk,shard", [(1_500_000, 1_200_000), (300, 60), (5000, 15)])
 def test_scores_against_brute_force(spark, docs, monkeypatch, chunk, shard):
     monkeypatch.setattr(ngram_trie, "CHUNK", chunk)
     monkeypatch.setattr(ngram_trie, "SHARD", shard)  # the smaller sizes split frequent words over shards
@@ -163,12 +163,11 @@ def test_stored_model_scores_as_the_run_that_made_it(spark, docs, empty, monkeyp
     assert ngram_trie.score_with(empty, scratch).count() == 0
 
 
-def test_successors_with_equal_upper_halves_are_told_apart():
-    high = 7 << 40
-    words = np.array([5, high + 4, high + 8], np.uint64)  # the last two differ in their lowest bits only
+def test_a_shard_holds_smoothed_values_of_neighbouring_words():
+    words = np.array([5, (7 << 32) + 4, (7 << 32) + 5])
     setting = ngram_trie.Setting.of(4, 1, 3, 1, {})
     block = ngram_trie.dump(*(
-        np.array(x, np.uint64) for x in (np.diff(words, prepend=np.uint64(0)), [4, 3, 1], [0], [2], [1], [1, 1], [0], [2], [0, 1], [3, 1])))
+        np.array(x, np.uint64) for x in (np.diff(words, prepend=0), [4, 3, 1], [0], [2], [1], [1, 1], [0], [2], [0, 1], [3, 1])))
     (answer,), trie = ngram_trie.serve_shard([block], setting)
     total, code2, _, code3 = ngram_trie.load(answer)
     p1 = setting.unigram(np.array([3, 1]))
