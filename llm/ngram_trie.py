@@ -51,10 +51,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import discard, fresh, materialise, mix, text_buffers, word_hashes
+from llm.common import discard, fresh, materialise, mix, release, text_buffers, word_hashes
 from llm.elias_fano import EliasFano
 
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: Tokens whose n-grams a shard gathers, about.
 SHARD = 1_200_000
 M2, M3 = 200.0, 20.0
@@ -522,6 +522,8 @@ def _send_ngrams(counted: DataFrame, sent: Broadcast) -> DataFrame:
                 grams = Ngrams(row, sent.value)
                 for s, block in grams.blocks():
                     yield pd.DataFrame({"chunk": [row["chunk"]], "shard": [s], "payload": [grams.payload(block)]})
+                del grams
+                release()
 
     return counted.select("chunk", "trained", "sizes", "words", "tokens", "counts").mapInPandas(run, _ANSWER)
 
@@ -581,6 +583,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     discard(parts)
 
     def serve(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         answers, trie = serve_shard(pdf["payload"].tolist(), sent.value)
         out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "payload": answers})
         if keep is None:
