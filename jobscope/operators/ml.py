@@ -39,6 +39,8 @@ from ..session import scratch_path
 from .group_stats import OWN_COL, GroupStatistics
 
 HASH_SPACE = 2 ** 32
+#: Training rows of a partition while estimators fit: fewer are not worth a task of their own, more are split.
+LEAST_ROWS, MOST_ROWS = 20_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -213,12 +215,20 @@ def metrics_rows(scored: DataFrame, predictions: dict[str, str], label: str = "l
     return scored.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt evenly over all cores. Boosting passes over its rows once per level of every
+    tree, and input files and joins leave small rows in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(min(cores, rows // LEAST_ROWS), -(-rows // MOST_ROWS))
+    return df.repartition(n) if n > 1 else df
+
+
 def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
              spec: FeatureSpec, parallelism: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fit every model on ``train``, score on ``test``.
 
     The feature stages are fitted once and shared; the training vectors are
-    persisted while the estimators make their passes over them; up to
+    dealt over all cores and persisted while the estimators make their passes over them; up to
     ``parallelism`` estimators fit at once from driver threads (as
     ``CrossValidator(parallelism=...)`` does), so their jobs share the
     cluster instead of queueing. The fitted models are chained, each adding
@@ -236,7 +246,7 @@ def evaluate(models: Sequence[ModelSpec], train: DataFrame, test: DataFrame,
     try:
         feats = fit_features(rows, spec)
         names = feature_names(feats, spec)
-        vectors = feats.transform(rows).select(spec.features_col, "label") \
+        vectors = spread(feats.transform(rows).select(spec.features_col, "label"), rows.count()) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         try:
             workers = max(1, min(parallelism, len(models)))

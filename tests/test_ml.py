@@ -182,3 +182,24 @@ def test_string_index_null_comes_last(spark):
     got = {r.job_id: r.user_index for r in ml.string_indexes(df, ["user"]).collect()}
     assert got == {"1": 1.0, "2": 2.0, "3": 0.0, "4": 0.0}
     assert ml.string_indexes(df.where("user = 'x'"), ["user"]).count() == 0
+
+
+def test_estimators_pass_over_rows_dealt_over_all_cores(spark, split, monkeypatch):
+    train, test = split
+    seen, make = [], ml.make_estimator
+
+    class Watched:
+        def __init__(self, est):
+            self.est = est
+
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return self.est.fit(rows)
+
+    monkeypatch.setattr(ml, "make_estimator", lambda *a: Watched(make(*a)))
+    monkeypatch.setattr(ml, "LEAST_ROWS", 10)
+    ml.evaluate([ml.ModelSpec("lr", {})], train.coalesce(1), test, C.TEST_FEATURES)
+    assert seen == [(spark.sparkContext.defaultParallelism, train.count())]
+    monkeypatch.setattr(ml, "LEAST_ROWS", 10 ** 9)
+    monkeypatch.setattr(ml, "MOST_ROWS", 100)
+    assert ml.spread(train.coalesce(1), train.count()).rdd.getNumPartitions() == -(-train.count() // 100)
