@@ -25,7 +25,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from llm.common import hold, release
 
 #: Units (words with their punctuation) whose encoding a task keeps from one batch to the next; others are encoded again.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Characters of text that are split and encoded together.
 BATCH_CHARS = 2 << 20
 _NEVER = 1 << 30
@@ -283,7 +283,7 @@ class WordBpe:
         for unit in self.passing:
             del known[unit]
         split = [self.split(t) for t in texts]
-        unknown = set().union(*split).difference(known)
+        unknown = set(filterfalse(known.__contains__, chain.from_iterable(split)))
         collecting = gc.isenabled()
         gc.disable()  # no cycles are made here, and the collector would walk all that is kept again and again
         try:

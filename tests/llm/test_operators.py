@@ -497,3 +497,22 @@ def test_nnls_plan_uses_each_piece_and_pads_little():
 
 def test_packing_empty_tables(empty, source):
     assert nnls_pack.pack(empty, source, 1).count() == 0 and bfd_output.pack(empty, source, 1).count() == 0
+
+
+def test_encoder_keeps_a_large_vocabulary_from_batch_to_batch():
+    encoder, sent = bpe.WordBpe(queries.tokenizer_source()), []
+    encode_words = encoder.encode_words
+
+    def watched(words):
+        words = list(words)
+        sent.append(len(words))
+        return encode_words(words)
+
+    encoder.encode_words = watched
+    letters = "abcdefghij"
+    text = " ".join("".join(letters[int(d)] for d in str(n)) for n in range(250_000))
+    split, of = encoder.encode_batch([text])
+    before = [of(w) for w in split[0]]
+    split, of = encoder.encode_batch([text, None, "zz. zz"])
+    assert [of(w) for w in split[0]] == before and split[1] == []
+    assert sent == [250_000, 2]
