@@ -89,13 +89,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Nothing reads the written query's shuffles again, so they are cleaned up with it where Spark can.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN_UP, None)
-    if before is not None and spark.conf.isModifiable(_CLEAN_UP):
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN_UP, None)  # None: not set, Spark's default holds
+    can = spark.conf.isModifiable(_CLEAN_UP)
+    if can:
         spark.conf.set(_CLEAN_UP, "true")
     try:
         df.write.parquet(path)
     finally:
-        if before is not None and spark.conf.isModifiable(_CLEAN_UP):
+        if can and before is None:
+            spark.conf.unset(_CLEAN_UP)
+        elif can:
             spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 

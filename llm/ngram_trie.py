@@ -56,7 +56,7 @@ from llm.elias_fano import EliasFano
 
 CHUNK = 1_000_000
 #: Tokens whose n-grams a shard gathers, about.
-SHARD = 1_200_000
+SHARD = 800_000
 M2, M3 = 200.0, 20.0
 END, START = (int(x) for x in mix(np.array([101, 102], np.uint64)))
 #: The start mark's id; words' ids are larger.
@@ -412,7 +412,8 @@ def serve_shard(payloads: list[bytes], setting: Setting, trie: Trie | None = Non
     vw_keys, vu_keys, tri_vu, tri_vw, counts = [], [], [], [], []
     at_v = at_vw = at_vu = 0
     sizes = []
-    for e, b in zip(ends, blocks):
+    for i, e in enumerate(ends[:-1]):
+        b, blocks[i] = blocks[i], None  # what is read of a block goes before the next one
         n_v = len(b[2])
         n_vw, n_vu, n_tri, rel, count = b[3].astype(np.int64), b[4].astype(np.int64), b[7], b[8].astype(np.int32), b[9]
         w, u = (word_place[e + from_steps(d, m).astype(np.int64)] for d, m in ((b[5], n_vw), (b[6], n_vu)))
@@ -429,6 +430,7 @@ def serve_shard(payloads: list[bytes], setting: Setting, trie: Trie | None = Non
         tri_vw.append(own_vw + at_vw)
         counts.append(count.astype(np.int64))
         at_v, at_vw, at_vu = at_v + n_v, at_vw + len(w), at_vu + len(u)
+    del blocks, every, word_place, v_place, w, u, of_vw, of_vu, own_vu, own_vw, rel, count, b
     vw, vw_place = _distinct(np.concatenate(vw_keys))
     vu, vu_place = _distinct(np.concatenate(vu_keys))
     del vw_keys, vu_keys
@@ -437,7 +439,9 @@ def serve_shard(payloads: list[bytes], setting: Setting, trie: Trie | None = Non
     tri_vu, tri_vw = (x.astype(np.int64) for x in _halves(tri, max(1, len(vw))))
     if trie is None:
         count = np.bincount(tri_place, np.concatenate(counts), len(tri)).astype(np.int64)
+        del tri, counts
         trie = Trie.build(words, known, v, vw, vu, tri_vu, tri_vw, count, setting)
+        del count
     # each distinct n-gram that the blocks ask for is looked up once
     found = trie.answer(words, v, vw // n, vw % n, vu // n, vu % n, tri_vu, tri_vw)
     hot_w = is_hot[vw % n]

@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out accuracy, with nulls, ties, repeats and empty tables."""
 
+import glob
 import hashlib
 import re
 import zlib
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import ball_tree, bfd_output, bpe, flat_graph, line_dedup, lsh_forest, ngram_trie, nnls_pack, queries, toxicity, warc
+from llm.common import _CLEAN_UP, materialise
 from llm.elias_fano import EliasFano
 from llm.ship import ship
 from llm_samples import DOCS, EMPTY, brute_groups, words_of
@@ -516,3 +518,20 @@ def test_encoder_keeps_a_large_vocabulary_from_batch_to_batch():
     split, of = encoder.encode_batch([text, None, "zz. zz"])
     assert [of(w) for w in split[0]] == before and split[1] == []
     assert sent == [250_000, 2]
+
+
+def test_a_written_tables_shuffles_leave_no_files(spark):
+    env = spark._jsc.sc().env()
+    folders = [str(d) for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    before = files()
+    rows = spark.range(1000).repartition(3)
+    assert rows.count() == 1000
+    assert files() - before  # counting leaves them until the driver collects garbage
+    counted = files()
+    assert materialise(rows, "no-files").count() == 1000
+    assert len(files() - counted) <= 1  # the count's own
+    assert spark.conf.get(_CLEAN_UP, None) is None
