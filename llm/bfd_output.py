@@ -118,9 +118,8 @@ def pack(df: DataFrame, source: str, end_id: int, window: int = WINDOW, pad_id:
         for pdf in batches:
             texts, ids = pdf["text"].tolist(), pdf["id"].tolist()
             for part in char_runs(texts):
-                split, of = bpe.encode_batch(texts[part])
-                for doc, words in zip(ids[part], split):
-                    block.append((doc, b"".join(map(of, words)) + end))
+                for doc, encoded in zip(ids[part], bpe.encode_texts(texts[part])):
+                    block.append((doc, encoded + end))
                     size += len(block[-1][1]) // 4
                     if size >= BLOCK_TOKENS:
                         yield (out := rows(block, first, kind))

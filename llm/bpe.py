@@ -25,10 +25,12 @@ import json
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, filterfalse, islice
+from itertools import chain, filterfalse, islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _FAR = regex.compile("[^\x00-\u024f]")
 #: A mark that the split pattern takes off a run of letters as a word of its own.
 _MARKS = frozenset(".,;:!?")
+#: Where a word ends without white space, whatever follows: no alternative of the split pattern goes on after a letter or digit with another sign.
+_WORD_END = r"([\pL\pN])([^\s\pL\pN])"
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -74,6 +78,8 @@ class WordBpe:
         self.words = regex.compile(parts[0]["pattern"]["Regex"])
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        #: what a text holds if Arrow cannot split it: far characters, a letter whose lower case has a mark, special tokens
+        self.uneven = "|".join(["[^\\x00-\\x{24F}]|\\x{130}", *map(regex.escape, self.specials)])
         self.strings: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.specials.items()}
         self.byte, end = _byte_of_symbol(), model["end_of_word_suffix"]
         own = {t: self._symbols(t, end) for t in model["vocab"]}
@@ -279,11 +285,41 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[list[list[str]], Callable[[str], object]]:
         """The units of each text, and a function from each of them to ``make`` of its ids."""
+        split = [self.split(t) for t in texts]
+        return split, self._learn(chain.from_iterable(split))
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, by an encoder whose ``make`` gives bytes.
+
+        Arrow cuts the texts at white space, tells equal units and lays out their ids, so that Python handles each
+        distinct unit of the batch once. Texts with special tokens or beyond Latin letters are cut by ``split``.
+        """
+        column = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        uneven = pc.match_substring_regex(column, self.uneven)
+        apart = pc.replace_substring_regex(pc.if_else(uneven, "", column), _WORD_END, r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(apart))
+        units, of_text = lists.flatten(), np.repeat(np.arange(len(texts)), lists.value_lengths())
+        others = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        if len(others):
+            split = [self.split(texts[i]) for i in others]
+            of_text = np.concatenate([of_text, np.repeat(others, [len(s) for s in split])])
+            order = np.argsort(of_text, kind="stable")
+            units, of_text = pa.concat_arrays([units, pa.array(chain.from_iterable(split), units.type)]).take(pa.array(order)), of_text[order]
+        coded = units.dictionary_encode()
+        distinct = [u if u.isascii() or u[0] in "\n " else u.lower() for u in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        of = self._learn(filter(None, distinct))  # an empty unit comes before leading white space, say
+        laid = pa.array([of(u) if u else b"" for u in distinct], pa.large_binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(laid).to_numpy())])
+        firsts = np.searchsorted(of_text, np.arange(len(texts) + 1))
+        data = (laid.buffers()[2] or b"") if len(laid) else b""
+        return [bytes(data[a:b]) for a, b in pairwise(ends[firsts].tolist())]
+
+    def _learn(self, units: Iterable[str]) -> Callable[[str], object]:
+        """A function from each of the units to ``make`` of its ids."""
         known, make = self.kept, self.make
         for unit in self.passing:
             del known[unit]
-        split = [self.split(t) for t in texts]
-        unknown = set(filterfalse(known.__contains__, chain.from_iterable(split)))
+        unknown = set(filterfalse(known.__contains__, units))
         collecting = gc.isenabled()
         gc.disable()  # no cycles are made here, and the collector would walk all that is kept again and again
         try:
@@ -301,7 +337,7 @@ class WordBpe:
         self.passing = list(islice(new, room, None))
         if sum(map(len, self.apart.values())) > 1_000_000:
             self.apart = {t: {} for t in self.size}
-        return split, known.__getitem__
+        return known.__getitem__
 
     def settle(self) -> None:
         """At a task's end: keep no more than KEPT_WORDS units."""

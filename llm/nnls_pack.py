@@ -52,9 +52,8 @@ def pieces(df: DataFrame, source: str, end_id: int, window: int = WINDOW, id_col
         for pdf in batches:
             texts, owners, rows = pdf["text"].tolist(), [], []
             for part in char_runs(texts):
-                split, of = bpe.encode_batch(texts[part])
-                for i, words in enumerate(split, part.start):
-                    ids = memoryview(b"".join(map(of, words)) + end)
+                for i, encoded in enumerate(bpe.encode_texts(texts[part]), part.start):
+                    ids = memoryview(encoded + end)
                     total = len(ids) // 4
                     for at in range(0, total, window):
                         piece = ids[4 * at:4 * (at + window)]

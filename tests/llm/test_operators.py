@@ -520,6 +520,39 @@ def test_encoder_keeps_a_large_vocabulary_from_batch_to_batch():
     assert sent == [250_000, 2]
 
 
+def test_packed_texts_are_cut_by_arrow_as_the_library_does(source):
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_str(source), bpe.WordBpe(source, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+    signs = [*"aAzé ß.,'_-#19½ª²", "'S", "'ll", "Ⱥ", "İ", "İ,", "\u00a0", "\u0085", "\x1c", "\x1f", "\x00", "\t", "\n", "\r\n", "\x0b", " ", "  ", "×", "µ", "<", "Σ", "日", "e\u0301", "<|endoftext|>"]
+    rng = np.random.default_rng(8)
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs) - far, rng.integers(0, 30))) for far in (0, 4) for _ in range(400)]
+    texts += [None, "", " ", " tree, tree;Tree! (tree) tree's\n", "<|ENDOFTEXT|> a<|endoftext|>b", "x" * 300 + "."]
+    for _ in range(2):  # the second time all are known, or were passing
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_texts(texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoder.encode_texts([]) == [] and encoder.encode_texts([None, " "]) == [b"", b""]
+
+
+def test_packed_texts_look_up_a_batchs_distinct_words_only(source):
+    class Kept(dict):
+        looked = 0
+
+        def __contains__(self, word):
+            self.looked += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    encoder = bpe.WordBpe(source, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+    encoder.kept = Kept()
+    few, many = encoder.encode_texts(["elm, oak; elm. Oak elm! ", "Elm, oak; elm. Oak elm! " * 5000])
+    assert many == few * 5000 and encoder.kept.looked < 100
+    assert set(encoder.kept) == {"elm", "oak", ",", ";", ".", "!"}
+
+
 def test_a_written_tables_shuffles_leave_no_files(spark):
     env = spark._jsc.sc().env()
     folders = [str(d) for d in env.blockManager().diskBlockManager().localDirs()]
